@@ -11,7 +11,7 @@ from tapeflow.plans.fixture_sql import with_tables
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
-ORACLES: dict[str, str] = {}
+_SQL: dict[str, tuple[list[str], str]] = {}
 COVERS: dict[str, tuple[str, ...]] = {}
 
 
@@ -26,6 +26,11 @@ def query(name: str, covers: str, sql: str | None = None, tables: str = ""):
         QUERIES[name] = fn
         COVERS[name] = tuple(covers.split())
         if sql is not None:
-            ORACLES[name] = with_tables(tables.split(), sql)
+            _SQL[name] = (tables.split(), sql)
         return fn
     return add
+
+
+def oracles() -> dict[str, str]:
+    """Complete SQL text per query."""
+    return {name: with_tables(tables, sql) for name, (tables, sql) in _SQL.items()}
