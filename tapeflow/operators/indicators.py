@@ -26,6 +26,9 @@ WINDOW_COLUMNS = (
     "pct_from_52w_high", "pct_from_52w_low",
 )
 INDICATORS = WINDOW_COLUMNS + recursive.COLUMNS + ("pct_from_ema200", "rs_nifty200")
+# Helper columns of the window step.
+SCRATCH = ("rn", "tp", "prev", "ptp", "mfv", "_span_b", "_k", "_sd20", "_tp20", "_tps", "_ret", "_up", "_dn",
+           "_hi252", "_lo252")
 BAR_COLUMNS = ("symbol", "date", "open", "high", "low", "close", "volume")
 
 

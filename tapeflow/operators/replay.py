@@ -25,55 +25,50 @@ REASONS = ("stop_loss", "target", "signal")
 
 
 def rule_panel(bars: DataFrame, index: DataFrame, stocks: DataFrame, sectors: DataFrame,
-               fundamentals: DataFrame | None = None, vwap: DataFrame | None = None) -> DataFrame:
+               fundamentals: DataFrame | None = None) -> DataFrame:
     """Everything a seeded rule can name, one row per (symbol, date).
 
     ``index`` (date, nifty200_close) and ``sectors`` (date, sector, close) give
     relative strength and the sector regime; stock labels come from the bars.
+    Cross-sectional columns are added while rows are still narrow. The
+    recursive pass comes next, so that its output crosses one shuffle by symbol
+    and all windows, rules and the position walk then share that partitioning.
     """
-    p = R.label_stocks(bars).select(*I.BAR_COLUMNS, "cycle")
-    p = I._add_window_columns(p)
-    p = p.select(*I.BAR_COLUMNS, "cycle", "rn", *I.WINDOW_COLUMNS)
-    p = p.withColumn("prev_close", F.lag("close").over(series()))
-    p = I.momentum_252(p)
-    p = I.williams_reversal(p)
-    p = p.withColumn("_own", F.try_divide(F.col("close"), F.lag("close", 20).over(series())) - 1)
+    w = series()
     n = F.count(F.lit(1)).over(Window.partitionBy("symbol"))
-    p = p.withColumn("_n", n).filter(F.col("_n") >= DEFAULTS.min_bars_indicators).drop("_n")
-    p = I.recursive_indicators(p)
-    p = p.withColumn("pct_from_ema200", (F.col("close") - F.col("ema_200")) / F.col("ema_200") * 100)
+    p = R.label_stocks(bars).select(*I.BAR_COLUMNS, "cycle")
+    p = p.withColumns({"_n": n, "_own": F.try_divide(F.col("close"), F.lag("close", 20).over(w)) - 1})
+    p = p.filter(F.col("_n") >= DEFAULTS.min_bars_indicators).drop("_n")
     # One row per calendar day on the broadcast side.
     p = p.join(F.broadcast(I.index_returns(index)), "date", "left")
     p = p.withColumn("rs_nifty200", F.try_divide("_own", "_idx_ret")).drop("_own", "_idx_ret")
     p = R.with_dimension(p, stocks, "symbol", {"sector": "Unknown"})
-    lab = R.label(sectors.select(F.lit("sector").alias("scope"), F.col("sector").alias("scope_id"), "date", "close"))
-    lab = lab.select(F.col("scope_id").alias("sector"), "date", F.col("cycle").alias("sector_cycle"))
-    p = p.join(lab, ["sector", "date"], "left").withColumn("sector_cycle", F.coalesce("sector_cycle", F.lit("neutral")))
-    return _sector_ranks(p, fundamentals)
+    if fundamentals is not None:
+        p = R.as_of_latest(p, fundamentals, ["symbol"], "date", "period_end",
+                           ["pe_ratio", "roe", "revenue_growth"]).drop("period_end")
+    p = I.recursive_indicators(_against_sector(p, sectors))
+    p = I._add_window_columns(p).drop(*[c for c in I.SCRATCH if c != "rn"])
+    p = I.williams_reversal(I.momentum_252(p))
+    e = F.col("ema_200")
+    return p.withColumns({"prev_close": F.lag("close").over(w), "pct_from_ema200": (F.col("close") - e) / e * 100})
 
 
-def _sector_ranks(p: DataFrame, fundamentals: DataFrame | None) -> DataFrame:
-    """Percent rank of relative strength, and price/earnings, against the sector on that date.
+def _against_sector(p: DataFrame, sectors: DataFrame) -> DataFrame:
+    """Sector regime, percent rank of relative strength and relative price/earnings.
 
-    Ranks come from the distinct values per (date, sector) counted beforehand,
-    so a large sector is aggregated before anything is ordered.
+    The groups are the symbols of one sector on one date, bounded by the number
+    of listed symbols whatever the length of the history.
     """
-    counts = p.filter(F.col("rs_nifty200").isNotNull()).groupBy("date", "sector", "rs_nifty200").agg(
-        F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy("date", "sector")
-    ranks = counts.select(
-        "date", "sector", "rs_nifty200",
-        F.coalesce(F.sum("_c").over(w.orderBy("rs_nifty200").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_below"),
-        F.sum("_c").over(w).alias("_all"))
-    p = p.join(ranks, ["date", "sector", "rs_nifty200"], "left")
-    pct = F.when(F.col("_all") > 1, F.col("_below") / (F.col("_all") - 1) * 100).when(F.col("_all") == 1, 0.0)
-    p = p.withColumn("rs_percentile", pct).drop("_below", "_all")
-    if fundamentals is None:
-        return p
-    p = R.as_of_latest(p, fundamentals, ["symbol"], "date", "period_end", ["pe_ratio", "roe", "revenue_growth"])
-    means = p.groupBy("date", "sector").agg(F.avg("pe_ratio").alias("_pe"))
-    p = p.join(means, ["date", "sector"], "left")
-    return p.withColumn("pe_vs_sector", F.coalesce("pe_ratio", F.lit(20.0)) / F.coalesce("_pe", F.lit(20.0))).drop("_pe", "period_end")
+    lab = R.label(sectors.select(F.lit("sector").alias("scope"), F.col("sector").alias("scope_id"), "date", "close"))
+    lab = lab.select(F.col("scope_id").alias("sector"), "date", F.col("cycle").alias("sector_cycle"))
+    p = p.join(lab, ["sector", "date"], "left").withColumn("sector_cycle", F.coalesce("sector_cycle", F.lit("neutral")))
+    rs = F.col("rs_nifty200")
+    ranked = Window.partitionBy("sector", "date", rs.isNull()).orderBy(rs)
+    p = p.withColumn("rs_percentile", F.when(rs.isNotNull(), F.percent_rank().over(ranked) * 100))
+    if "pe_ratio" in p.columns:
+        mean = F.avg("pe_ratio").over(Window.partitionBy("sector", "date"))
+        p = p.withColumn("pe_vs_sector", F.coalesce("pe_ratio", F.lit(20.0)) / F.coalesce(mean, F.lit(20.0)))
+    return p
 
 
 def signal_columns(panel: DataFrame, docs: list[dict], p=DEFAULTS) -> DataFrame:

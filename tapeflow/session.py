@@ -23,6 +23,8 @@ def get_spark(app: str = "tapeflow", master: str | None = None, **conf) -> Spark
         "spark.sql.execution.arrow.maxRecordsPerBatch": "20000",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
         "spark.ui.enabled": "false",
+        # Call sites of column expressions cost a round trip each while plans are built.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     for k, v in {**defaults, **conf}.items():
         b = b.config(k, v)
