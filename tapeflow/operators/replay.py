@@ -218,8 +218,8 @@ def cycle_breakdown(trades: DataFrame) -> DataFrame:
     return trades.groupBy("strategy_id", "symbol", "cycle").agg(
         F.count(F.lit(1)).alias("n_trades"),
         F.bround(F.count_if(r > 0) / F.count(F.lit(1)), 4).alias("win_rate"),
-        F.bround(F.avg(r) / F.when(sd == 0, 1e-9).otherwise(sd) * float(np.sqrt(252)), 4).alias("sharpe"),
-        F.bround(F.avg(r), 4).alias("avg_return"))
+        (F.avg(r) / F.when(sd == 0, 1e-9).otherwise(sd) * float(np.sqrt(252))).alias("sharpe"),
+        F.bround(F.avg(r), 4).alias("avg_return")).withColumn("sharpe", F.bround("sharpe", 4))
 
 
 def result_rows(trades: DataFrame, docs: list[dict], from_date: str, to_date: str, p=DEFAULTS) -> DataFrame:
