@@ -2,9 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tapeflow.functions import windows as W
 from tapeflow.operators import indicators as I
-from tapeflow.operators import recursive
 from tapeflow.plans.fixture_sql import add_table
 from tapeflow.plans.registry import query
 from tapeflow.sources import testdata as td
@@ -340,5 +338,3 @@ def vix_percentile(spark, d):
     cols = ["nifty200_1d_ret", "nifty200_5d_ret", "nifty200_20d_ret", "india_vix_1d_chg", "india_vix_pct252"]
     return rounded(wide, cols)
 
-
-__all__ = ["rounded", "rsql", "recursive", "W"]

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from tapeflow.operators import actions as A
-from tapeflow.operators import lots
 from tapeflow.operators import portfolio as PF
 from tapeflow.operators import regimes as R
 from tapeflow.operators import sizing as SZ
@@ -445,5 +444,3 @@ def formatted_money(spark, d):
     c = PF.page_rows(td.positions(spark, d), PF.latest_prices(td.bars(spark, d)), AS_OF)
     return c.select("holding_id", SC.format_money(F.col("pnl") * 1000).alias("pnl_text"), SC.format_percent(F.col("pnl_pct")).alias("pct_text"))
 
-
-__all__ = ["lots"]

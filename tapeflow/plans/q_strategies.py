@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tapeflow.functions.rules import Panel, condition, entry_signal, exit_signal, explain_rules
+from tapeflow.functions.rules import Panel, condition, explain_rules
 from tapeflow.operators import replay as P
 from tapeflow.operators import strategies as ST
 from tapeflow.operators import sweep as SW
@@ -140,12 +140,13 @@ def trade_metrics(spark, d):
 @query("cycle_breakdown", "A-04", f"""
 SELECT strategy_id, symbol, cycle, count(*) AS n_trades, round_even(count(*) FILTER (pnl_pct > 0) / count(*), 4) + 0.0 AS win_rate,
   round_even(avg(pnl_pct), 4) + 0.0 AS avg_return,
-  round(avg(pnl_pct) / CASE WHEN stddev_pop(pnl_pct) = 0 THEN 1e-9 ELSE stddev_pop(pnl_pct) END * sqrt(252) / CASE WHEN count(*) = 1 THEN 1e7 ELSE 1 END, 3) + 0.0 AS sharpe FROM trades GROUP BY 1, 2, 3""", "trades")
+  CASE WHEN count(*) = 1 THEN round(avg(pnl_pct) / 1e-9 * sqrt(252) / 1e7, 3)
+    ELSE round_even(avg(pnl_pct) / CASE WHEN stddev_pop(pnl_pct) = 0 THEN 1e-9 ELSE stddev_pop(pnl_pct) END * sqrt(252), 4) END + 0.0 AS sharpe FROM trades GROUP BY 1, 2, 3""", "trades")
 def cycle_breakdown(spark, d):
     b = P.cycle_breakdown(trades(spark, d))
     return b.select("strategy_id", "symbol", "cycle", "n_trades", *[(F.col(c) + 0.0).alias(c) for c in ("win_rate", "avg_return")],
                     # The ratio of a single trade divides by 1e-9; it is shown in units of 1e7.
-                    (F.round(F.col("sharpe") / F.when(F.col("n_trades") == 1, 1e7).otherwise(1.0), 3) + 0.0).alias("sharpe"))
+                    (F.when(F.col("n_trades") == 1, F.round(F.col("sharpe") / 1e7, 3)).otherwise(F.col("sharpe")) + 0.0).alias("sharpe"))
 
 
 @query("strategy_rollup", "A-05 T-05 J-12", """
@@ -219,5 +220,3 @@ def parameter_sweep(spark, d):
     cand = SW.candidates(spark, per_template=6)
     return SW.evaluate(p, cand, min_symbol_trades=5)
 
-
-__all__ = ["entry_signal", "exit_signal"]
