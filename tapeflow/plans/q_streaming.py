@@ -40,13 +40,16 @@ def rolling_tick_volume(spark, d):
     return start(B.rolling_volume(td.ticks(spark, d)), "window_start")
 
 
-@query("opening_ranges", "X-02 I-32", f"""
+RANGES = f"""
 SELECT symbol, CAST(day AS VARCHAR) AS day, {START}, close, orb_high, orb_low, up AND NOT coalesce(seen, FALSE) AS entry, m >= 915 AS force_exit FROM (
   SELECT *, bool_or(up) OVER (PARTITION BY symbol, day ORDER BY bar_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM (
-    SELECT *, coalesce(m >= 600 AND close > orb_high AND m <= 810, FALSE) AS up FROM (
-      SELECT *, max(CASE WHEN m < 600 THEN high END) OVER (PARTITION BY symbol, day) AS orb_high, min(CASE WHEN m < 600 THEN low END) OVER (PARTITION BY symbol, day) AS orb_low FROM (
-        SELECT *, CAST(bar_start AS DATE) AS day, hour(bar_start) * 60 + minute(bar_start) AS m FROM tick_bars) WHERE m >= 0)))
-WHERE m >= 600 AND orb_high IS NOT NULL""".replace("m < 600", "m < 15").replace("m >= 600", "m >= 15"), "tick_bars")
+    SELECT *, coalesce(m >= 15 AND close > orb_high AND m <= 810, FALSE) AS up FROM (
+      SELECT *, max(CASE WHEN m < 15 THEN high END) OVER (PARTITION BY symbol, day) AS orb_high, min(CASE WHEN m < 15 THEN low END) OVER (PARTITION BY symbol, day) AS orb_low FROM (
+        SELECT *, CAST(bar_start AS DATE) AS day, hour(bar_start) * 60 + minute(bar_start) AS m FROM tick_bars))))
+WHERE m >= 15 AND orb_high IS NOT NULL"""
+
+
+@query("opening_ranges", "X-02 I-32", RANGES, "tick_bars")
 def opening_ranges(spark, d):
     o = opening_range.opening_range(B.tick_bars(td.ticks(spark, d)), "00:00")
     return start(o).withColumn("day", F.col("day").cast("string"))
@@ -69,10 +72,13 @@ def streamed_tick_bars(spark, d):
     return start(_stored(spark, B.stream_bars(ticks), "tick-bars")).drop("turnover")
 
 
-@query("streamed_opening_ranges", "X-02")
+@query("streamed_opening_ranges", "X-02", RANGES + " AND bar_start + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM ticks) - INTERVAL 10 MINUTE", "tick_bars ticks")
 def streamed_opening_ranges(spark, d):
-    bars = B.stream_bars(td.tick_columns(B.read_events(spark, d)))
-    return start(_stored(spark, opening_range.stream_opening_range(bars, "00:00"), "opening-ranges"))
+    # The bar stream lands in a table; the stateful stream reads that table.
+    stored = _stored(spark, B.stream_bars(td.tick_columns(B.read_events(spark, d))), "bars-for-ranges")
+    bars = spark.readStream.schema(stored.schema).parquet(stored.inputFiles()[0].rsplit("/", 1)[0])
+    out = start(_stored(spark, opening_range.stream_opening_range(bars, "00:00"), "opening-ranges"))
+    return out.withColumn("day", F.col("day").cast("string"))
 
 
 def tick_positions(spark, d):

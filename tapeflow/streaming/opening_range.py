@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # Session times of the intraday rules.
 OPEN_AT, RANGE_MINUTES, LAST_ENTRY, FORCE_EXIT = "09:15", 15, "13:30", "15:15"
-STORE = "spark.sql.streaming.stateStore.providerClass"
+STATE_KEPT_MS = 2 * 86_400_000
 OUT_SCHEMA = "symbol string, day date, bar_start timestamp, close double, orb_high double, orb_low double, entry boolean, force_exit boolean"
 
 
@@ -35,51 +37,44 @@ def opening_range(bars: DataFrame, open_at: str = OPEN_AT) -> DataFrame:
         (F.col("_m") >= _minutes(FORCE_EXIT)).alias("force_exit"))
 
 
-class OpeningRangeProcessor(StatefulProcessor):
+def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState, start: int) -> Iterator[pd.DataFrame]:
     """State per (symbol, day): range high and low, and whether an entry fired."""
-
-    def __init__(self, open_at: str = OPEN_AT):
-        self.start = _minutes(open_at)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("range", "high double, low double, entered boolean", ttlDurationMs=3 * 86_400_000)
-
-    def handleInputRows(self, key, rows, timerValues):
-        high = low = None
-        entered = False
-        if self.state.exists():
-            high, low, entered = self.state.get()
-        for batch in rows:
-            out = []
-            for r in batch.sort_values("bar_start").itertuples(index=False):
-                m = r.bar_start.hour * 60 + r.bar_start.minute
-                if m < self.start:
-                    continue
-                if m < self.start + RANGE_MINUTES:
-                    high = r.high if high is None else max(high, r.high)
-                    low = r.low if low is None else min(low, r.low)
-                elif high is not None:
-                    up = r.close > high and m <= _minutes(LAST_ENTRY)
-                    out.append((key[0], key[1], r.bar_start, r.close, high, low, up and not entered, m >= _minutes(FORCE_EXIT)))
-                    entered = entered or up
-            if out:
-                yield pd.DataFrame(out, columns=["symbol", "day", "bar_start", "close", "orb_high", "orb_low", "entry", "force_exit"])
-        if high is not None:
-            self.state.update((high, low, entered))
-
-    def close(self) -> None:
-        pass
+    if state.hasTimedOut:
+        state.remove()
+        return
+    high, low, entered = state.get if state.exists else (None, None, False)
+    rows = pd.concat(list(batches)).sort_values("bar_start")  # at most 288 bars a day
+    out = []
+    for r in rows.itertuples(index=False):
+        m = r.bar_start.hour * 60 + r.bar_start.minute
+        if m < start:
+            continue
+        if m < start + RANGE_MINUTES:
+            high = r.high if high is None else max(high, r.high)
+            low = r.low if low is None else min(low, r.low)
+        elif high is not None:
+            up = r.close > high and m <= _minutes(LAST_ENTRY)
+            out.append((key[0], key[1], r.bar_start, r.close, high, low, up and not entered, m >= _minutes(FORCE_EXIT)))
+            entered = entered or up
+    if high is not None:
+        state.update((high, low, entered))
+        until = int(pd.Timestamp(key[1]).timestamp() * 1000) + STATE_KEPT_MS
+        if until > state.getCurrentWatermarkMs():
+            state.setTimeoutTimestamp(until)
+        else:
+            state.remove()
+    if out:
+        yield pd.DataFrame(out, columns=[f.split()[0] for f in OUT_SCHEMA.split(", ")])
 
 
 def stream_opening_range(bars: DataFrame, open_at: str = OPEN_AT) -> DataFrame:
-    """Stateful form over a stream of intraday bars.
+    """Stateful form over a stream of intraday bars. State is dropped once the watermark is past its day.
 
-    The stateful operator needs the RocksDB state store, so a session still on
-    the default store is switched to it.
+    Spark allows this state function only on a stream without an aggregate, so
+    ``bars`` has to come from a table the bar stream writes.
     """
-    conf = bars.sparkSession.conf
-    if "RocksDB" not in conf.get(STORE, ""):
-        conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    b = bars.withColumn("day", F.to_date("bar_start")).select("symbol", "day", "bar_start", "high", "low", "close")
-    return b.groupBy("symbol", "day").transformWithStateInPandas(
-        OpeningRangeProcessor(open_at), OUT_SCHEMA, "append", "none")
+    start = _minutes(open_at)
+    b = bars.withWatermark("bar_start", "1 day").withColumn("day", F.to_date("bar_start"))
+    return b.select("symbol", "day", "bar_start", "high", "low", "close").groupBy("symbol", "day").applyInPandasWithState(
+        lambda key, batches, state: _advance(key, batches, state, start),
+        OUT_SCHEMA, "high double, low double, entered boolean", "append", GroupStateTimeout.EventTimeTimeout)
