@@ -9,6 +9,7 @@ from tapeflow.operators import sizing as SZ
 from tapeflow.operators import strategies as ST
 from tapeflow.operators import triggers as TR
 from tapeflow.functions import scalars as SC
+from tapeflow.plans import rule_sql
 from tapeflow.plans.fixture_sql import add_table
 from tapeflow.plans.q_indicators import DATE
 from tapeflow.plans.q_regimes import cycles
@@ -230,9 +231,25 @@ def latest_ind(spark, d):
     return latest(indicators(td.bars(spark, d)), ["symbol"], "date")
 
 
-@query("eod_stop_targets", "H-08 T-01 T-02 H-02")
+def _levels():
+    parts = []
+    for doc in ST.STRATEGIES:
+        stop = rule_sql.stop(doc, "avg_cost")
+        parts.append(f"SELECT *, {stop} AS st, {rule_sql.target(doc, 'avg_cost', stop)} AS tg FROM eod_in WHERE strategy_id = '{doc['strategy_id']}'")
+    return " UNION ALL ".join(parts)
+
+
+add_table("eod_in", "priced last_ind", """
+SELECT p.holding_id, p.symbol, p.strategy_id, p.avg_cost, p.stop_loss, p.target, p.current AS close, i.atr_14, i.supertrend, i.ichimoku_senkou_a, i.ichimoku_senkou_b,
+  CAST(NULL AS DOUBLE) AS prev_close FROM priced p JOIN last_ind i ON i.symbol = p.symbol""")
+
+
+@query("eod_stop_targets", "H-08 T-01 T-02 H-02", f"""
+SELECT holding_id, round_even(greatest(stop_loss, st), 2) AS new_sl, tg AS new_target FROM ({_levels()})
+WHERE abs(greatest(stop_loss, st) - stop_loss) > 0.01 OR abs(tg - target) > 1""", "eod_in")
 def eod_stop_targets(spark, d):
-    return PF.eod_review(td.positions(spark, d), PF.latest_prices(td.bars(spark, d)), latest_ind(spark, d), ST.parsed(ST.catalog(spark)))
+    r = PF.eod_review(td.positions(spark, d), PF.latest_prices(td.bars(spark, d)), latest_ind(spark, d), ST.parsed(ST.catalog(spark)))
+    return r.select("holding_id", "new_sl", "new_target")
 
 
 add_table("review", "priced last_ind fundamentals regime", """
@@ -304,11 +321,15 @@ def adjustment_factors(spark, d):
     return a.select("action_id", "symbol", "action_type", F.col("ex_date").cast("string"), "adjustment_factor", "processed")
 
 
-@query("recorded_actions", "C-08 C-01")
+@query("recorded_actions", "C-08 C-01", """
+SELECT action_id, symbol, action_type, CAST(ex_date AS VARCHAR) AS ex_date, adjustment_factor, processed FROM actions
+UNION ALL SELECT symbol || '_' || action_type || '_' || ex || '_' || substr(sha256(symbol || '|' || action_type || '|' || ex || '|' || coalesce(CAST(ratio AS VARCHAR), '')), 1, 8),
+  symbol, action_type, ex, adjustment_factor, 0 FROM (SELECT *, CAST(CAST(ex_date + 400 AS DATE) AS VARCHAR) AS ex FROM actions)""", "actions")
 def recorded_actions(spark, d):
     a = td.corporate_actions(spark, d)
     new = a.select("symbol", "action_type", F.date_add("ex_date", 400).alias("ex_date"), "ratio", "cash_amount")
-    return A.record_actions(a, new).drop("created_at")
+    out = A.record_actions(a, new)
+    return out.select("action_id", "symbol", "action_type", F.col("ex_date").cast("string"), "adjustment_factor", "processed")
 
 
 @query("unprocessed_splits", "C-07 P-02", """
@@ -428,7 +449,12 @@ def confirmed_buys(spark, d):
     return new.select(F.expr("substring(holding_id, 3)").alias("trigger_id"), *r(["avg_cost"], 4), "qty")
 
 
-@query("validated_triggers", "K-03 P-12")
+@query("validated_triggers", "K-03 P-12", """
+SELECT z.trigger_id, z.strategy_id, coalesce(g.entry, FALSE) AS all_passed, z.qty > 0 AS capital_fit,
+  coalesce(held, 0) / 2500000 + round_even(z.qty * price * CAST(1.001 AS DOUBLE), 2) / 2500000 <= 0.25 AS sector_fit
+FROM sized z JOIN stocks s ON s.symbol = z.symbol
+LEFT JOIN (SELECT strategy_id, symbol, entry FROM sigs QUALIFY date = max(date) OVER (PARTITION BY symbol)) g ON g.symbol = z.symbol AND g.strategy_id = z.strategy_id
+LEFT JOIN (SELECT sector, sum(qty * avg_cost) AS held FROM positions JOIN stocks USING (symbol) GROUP BY 1) h ON h.sector = s.sector""", "sized stocks sigs positions")
 def validated_triggers(spark, d):
     from tapeflow.functions.windows import latest
     from tapeflow.plans.q_strategies import panel
@@ -436,10 +462,12 @@ def validated_triggers(spark, d):
     p = TR.rule_checks(panel(spark, d), docs)
     last = latest(p.select("symbol", "date", *[f"checks_{i}" for i in range(len(docs))]), ["symbol"], "date")
     v = TR.validate(triggers(spark, d), last, docs, td.positions(spark, d), td.stocks(spark, d))
-    return v.select("trigger_id", "strategy_id", "all_passed", "capital_fit", "sector_fit", "valid", F.size("rule_checks").alias("rules"))
+    return v.select("trigger_id", "strategy_id", "all_passed", "capital_fit", "sector_fit")
 
 
-@query("formatted_money", "F-08 F-01 F-04")
+@query("formatted_money", "F-08 F-01 F-04", """
+SELECT holding_id, CASE WHEN abs(v) >= 100000 THEN '₹' || format('{:,.2f}', v / 100000) || 'L' WHEN abs(v) >= 1000 THEN '₹' || format('{:,.2f}', v) ELSE '₹' || format('{:.2f}', v) END AS pnl_text,
+  CASE WHEN pnl_pct >= 0 THEN '+' ELSE '' END || format('{:.1f}%', pnl_pct) AS pct_text FROM (SELECT *, (current - avg_cost) * qty * 1000 AS v FROM priced)""", "priced")
 def formatted_money(spark, d):
     c = PF.page_rows(td.positions(spark, d), PF.latest_prices(td.bars(spark, d)), AS_OF)
     return c.select("holding_id", SC.format_money(F.col("pnl") * 1000).alias("pnl_text"), SC.format_percent(F.col("pnl_pct")).alias("pct_text"))

@@ -234,3 +234,11 @@ def sectors_of_universe(spark, d):
 def symbols_of_sector(spark, d):
     from tapeflow.sources.universe import symbols_in_sector
     return symbols_in_sector(td.stocks(spark, d), "ASIA")
+
+
+@query("table_row_counts", "A-17", """
+SELECT 'bars' AS name, count(*) AS n FROM bars_raw UNION ALL SELECT 'stocks', count(*) FROM stocks
+UNION ALL SELECT 'tradebook', count(*) FROM tradebook UNION ALL SELECT 'fundamentals', count(*) FROM fundamentals""", "bars_raw stocks tradebook fundamentals")
+def table_row_counts(spark, d):
+    return S.row_counts({"bars": td.bars_raw(spark, d), "stocks": td.stocks(spark, d), "tradebook": td.tradebook(spark, d),
+                         "fundamentals": td.fundamentals(spark, d)})

@@ -275,6 +275,12 @@ def imported_holdings(spark, d):
     return out.select("symbol", "qty", (F.round("avg_cost", 4) + 0.0).alias("avg_cost"))
 
 
+@query("holdings_file_check", "S-09", "SELECT FALSE AS valid, 'Avg cost' AS missing_cols, count(*) AS row_count FROM holdings", "holdings")
+def holdings_file_check(spark, d):
+    raw = td.holdings(spark, d).select(F.col("symbol").alias(" Scrip "), F.col("qty").cast("string").alias("Holding Qty"))
+    return broker_csv.validation_report(raw)
+
+
 @query("page_titles", "S-10", """
 SELECT page_id, len(regexp_extract_all(html, '<a [^>]*href="')) AS links FROM pages""")
 def page_titles(spark, d):

@@ -206,7 +206,9 @@ def rule_explanations(spark, d):
 add_table("last_ind", "ind", "SELECT * FROM ind QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1")
 
 
-@query("active_strategies", "S-12 T-09 P-14")
+@query("active_strategies", "S-12 T-09 P-14", "SELECT * FROM (VALUES " + ", ".join(
+    f"('{s['strategy_id']}', '{s['name']}', '{s['type']}')" for s in DOCS if "swing" in s["timeframes"]) + """) c(strategy_id, name, type)
+CROSS JOIN (SELECT sector, count(*) AS symbols FROM stocks GROUP BY 1)""", "stocks")
 def active_strategies(spark, d):
     # The catalogue decides which strategies are evaluated on the symbols of each sector.
     c = ST.find(ST.catalog(spark), active_only=True, timeframe="swing")

@@ -75,6 +75,14 @@ def validate(df: DataFrame, kind: str = "holdings") -> dict:
             "preview": [r.asDict() for r in df.limit(5).collect()]}
 
 
+def validation_report(df: DataFrame, kind: str = "holdings") -> DataFrame:
+    """Same check as one row, for files too large to preview."""
+    df, required = (holdings_columns(df), HOLDINGS_REQUIRED) if kind == "holdings" else (tradebook_columns(df), TRADEBOOK_REQUIRED)
+    gone = _missing(df, required)
+    return df.agg(F.count(F.lit(1)).alias("row_count")).select(
+        F.lit(not gone).alias("valid"), F.lit(",".join(gone)).alias("missing_cols"), "row_count")
+
+
 def holdings_rows(df: DataFrame) -> DataFrame:
     """Clean holdings rows; unusable ones are left out."""
     df = holdings_columns(df)

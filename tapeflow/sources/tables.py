@@ -147,3 +147,12 @@ def import_log(spark: SparkSession, import_type: str, filename: str, rows: DataF
     return rows.agg(F.count(F.lit(1)).alias("rows_imported")).select(
         F.lit(import_type).alias("import_type"), F.lit(filename).alias("filename"), "rows_imported",
         F.current_timestamp().alias("imported_at"), F.lit(notes).alias("notes"))
+
+
+def row_counts(named: dict[str, DataFrame]) -> DataFrame:
+    """Number of rows per table."""
+    out = None
+    for name, df in named.items():
+        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
