@@ -22,20 +22,30 @@ def cumulative(trades: DataFrame, keys: list[str], qty: str, order: list[str],
                slices: list[str], group: str = "symbol") -> DataFrame:
     """Add [c0, c1) of the running quantity per key, plus per-``group`` totals.
 
-    ``slices`` must cut the order into consecutive ranges. Totals per slice are
-    pre-aggregated before the shuffle; only they are ordered per key.
+    ``slices`` must cut the order into consecutive ranges, outer ones first
+    (date, then a range within the date). Totals per slice are pre-aggregated
+    before the shuffle and offset level by level: dates are ordered per key,
+    ranges only within their date, so no level orders a whole hot symbol.
     """
+    outer, rest = slices[0], slices[1:]
     per_slice = trades.groupBy(*keys, *slices).agg(
         F.sum(qty).alias("_q"), F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy(*slices).rowsBetween(Window.unboundedPreceding, -1)
+    per_outer = per_slice.groupBy(*keys, outer).agg(
+        F.sum("_q").alias("_q"), F.sum("_n").alias("_n")) if rest else per_slice
+    before = Window.partitionBy(*keys).orderBy(outer).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(group)
     is_sell = F.col("trade_type") == "SELL"
-    offsets = (per_slice
+    offsets = (per_outer
                .withColumn("_base", F.coalesce(F.sum("_q").over(before), F.lit(0)))
                .withColumn("_sold", F.coalesce(F.sum(F.when(is_sell, F.col("_q"))).over(whole), F.lit(0)))
                .withColumn("_bought", F.coalesce(F.sum(F.when(~is_sell, F.col("_q"))).over(whole), F.lit(0)))
                .withColumn("_lots", F.sum("_n").over(whole))
                .drop("_q", "_n"))
+    if rest:
+        within = Window.partitionBy(*keys, outer).orderBy(*rest).rowsBetween(Window.unboundedPreceding, -1)
+        inner = per_slice.withColumn("_in", F.coalesce(F.sum("_q").over(within), F.lit(0))).drop("_q", "_n")
+        offsets = (inner.join(offsets, [*keys, outer])
+                   .withColumn("_base", F.col("_base") + F.col("_in")).drop("_in"))
     inside = (Window.partitionBy(*keys, *slices).orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (trades.join(offsets, keys + slices)

@@ -125,8 +125,10 @@ def tradebook_rows(df: DataFrame) -> DataFrame:
 
 def import_tradebook(df: DataFrame, timeframe: str = "swing") -> tuple[DataFrame, DataFrame]:
     """Closed trades and open positions of a tradebook file."""
-    t = tradebook_rows(df)
-    closed = lots.closed_trades(lots.fifo_matches(t))
-    open_ = lots.open_lots(t).select("symbol", F.col("open_qty").alias("qty"), F.col("price").alias("avg_cost"),
+    # A prefix of the execution time follows the trade order within the date.
+    t = tradebook_rows(df).withColumn("slot", F.substring("order_execution_time", 1, 16))
+    slices = ["trade_date", "slot"]
+    closed = lots.closed_trades(lots.fifo_matches(t, slices=slices))
+    open_ = lots.open_lots(t, slices=slices).select("symbol", F.col("open_qty").alias("qty"), F.col("price").alias("avg_cost"),
                                      F.col("trade_date").alias("entry_date"), F.lit(timeframe).alias("timeframe"))
     return closed, open_
