@@ -75,7 +75,7 @@ def rounded(df, cols, n=4):
 
 
 def rsql(cols, n=4):
-    return ", ".join(f"round({c}, {n}) + 0.0 AS {c}" for c in cols)
+    return ", ".join(f"round(CAST({c} AS DOUBLE), {n}) + 0.0 AS {c}" for c in cols)
 
 
 GROUPS = {

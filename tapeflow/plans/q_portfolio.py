@@ -193,12 +193,12 @@ SELECT symbol, side, gap_pct FROM (
   SELECT symbol, CASE WHEN gap_pct >= 1 THEN 'up' WHEN gap_pct <= -1 THEN 'down' END AS side, gap_pct FROM (
     SELECT symbol, round_even((open - prev) / prev * 100, 2) + 0.0 AS gap_pct
     FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY date) AS prev FROM bars_raw)
-    WHERE symbol IN (SELECT symbol FROM holdings)
-    QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1)) WHERE side IS NOT NULL""", "bars_raw holdings")
+    WHERE symbol IN (SELECT symbol FROM holdings UNION SELECT * FROM (SELECT symbol FROM stocks ORDER BY symbol LIMIT 20))
+    QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1)) WHERE side IS NOT NULL""", "bars_raw holdings stocks")
 def opening_gaps(spark, d):
     watch = td.stocks(spark, d).select("symbol", F.lit("intraday").alias("timeframe"), F.lit(True).alias("is_active"), F.lit(0.5).alias("confidence"))
     held = td.holdings(spark, d)
-    tracked = PF.tracked_symbols(held, watch, limit=0)
+    tracked = PF.tracked_symbols(held, watch)
     g = PF.gap_lists(td.bars_raw(spark, d), tracked)
     return g.select("symbol", "side", (F.col("gap_pct") + 0.0).alias("gap_pct"))
 
@@ -215,7 +215,7 @@ def exit_candidates(spark, d):
     return c.select("timeframe", "perspective", "holding_id")
 
 
-@query("preclose_actions", "H-07 H-02", """
+@query("preclose_actions", "H-07", """
 SELECT holding_id, CASE WHEN current <= coalesce(stop_loss, 0) THEN 'EXIT_NOW' WHEN current < avg_cost THEN 'REVIEW_EXIT'
   WHEN pnl_pct >= 0.5 THEN 'TRAILING_SL_UPDATED' ELSE 'MONITOR' END AS action,
   round(CASE WHEN current <= coalesce(stop_loss, 0) THEN NULL WHEN current < avg_cost THEN avg_cost WHEN pnl_pct >= 0.5 THEN round_even(current * CAST(0.995 AS DOUBLE), 2) END, 4) + 0.0 AS new_sl
@@ -225,6 +225,16 @@ def preclose_actions(spark, d):
     return a.select("holding_id", "action", *r(["new_sl"], 4))
 
 
+@query("updated_targets", "H-02 S-05", """
+SELECT holding_id, timeframe, round(target, 4) + 0.0 AS target, round(CASE WHEN timeframe <> 'intraday' OR current <= stop_loss THEN stop_loss WHEN current < avg_cost THEN avg_cost
+  WHEN pnl_pct >= 0.5 THEN round_even(current * CAST(0.995 AS DOUBLE), 2) ELSE stop_loss END, 4) + 0.0 AS stop_loss FROM priced""", "priced")
+def updated_targets(spark, d):
+    pos = td.positions(spark, d)
+    a = PF.preclose_actions(pos, PF.latest_prices(td.bars(spark, d)))
+    changes = a.select("holding_id", F.lit(None).cast("double").alias("new_target"), F.col("new_sl").alias("new_stop_loss"))
+    return PF.update_targets(pos, changes).select("holding_id", "timeframe", *r(["target", "stop_loss"], 4))
+
+
 def latest_ind(spark, d):
     from tapeflow.functions.windows import latest
     from tapeflow.operators.indicators import indicators
@@ -244,7 +254,7 @@ SELECT p.holding_id, p.symbol, p.strategy_id, p.avg_cost, p.stop_loss, p.target,
   CAST(NULL AS DOUBLE) AS prev_close FROM priced p JOIN last_ind i ON i.symbol = p.symbol""")
 
 
-@query("eod_stop_targets", "H-08 T-01 T-02 H-02", f"""
+@query("eod_stop_targets", "H-08 T-01 T-02", f"""
 SELECT holding_id, round_even(greatest(stop_loss, st), 2) AS new_sl, tg AS new_target FROM ({_levels()})
 WHERE abs(greatest(stop_loss, st) - stop_loss) > 0.01 OR abs(tg - target) > 1""", "eod_in")
 def eod_stop_targets(spark, d):

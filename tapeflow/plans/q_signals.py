@@ -20,6 +20,7 @@ from tapeflow.plans.q_strategies import panel
 from tapeflow.plans.registry import query
 from tapeflow.sources import broker_csv, html_fields
 from tapeflow.sources import testdata as td
+from tapeflow.sources.tables import import_log
 
 DOCS = ST.STRATEGIES
 NOW = "2001-11-05 18:30:00"
@@ -90,7 +91,7 @@ def signal_counts(spark, d):
 
 
 @query("top_setups", "W-15 O-02 Z-02", """
-SELECT row_number() OVER (ORDER BY confidence DESC, symbol) AS rank, symbol, confidence AS conf, strategy_id AS strategy FROM (
+SELECT CAST(row_number() OVER (ORDER BY confidence DESC, symbol) AS INTEGER) AS rank, symbol, confidence AS conf, strategy_id AS strategy FROM (
   SELECT * FROM (SELECT * FROM sig_log QUALIFY row_number() OVER (PARTITION BY symbol, timeframe ORDER BY seq DESC) = 1)
   WHERE timeframe = 'medium' ORDER BY confidence DESC, symbol LIMIT 3)""", "sig_log")
 def top_setups(spark, d):
@@ -205,7 +206,7 @@ def label_class_distribution(spark, d):
 
 
 @query("time_folds", "W-16", """
-SELECT fold, count(*) AS n, CAST(min(date) AS VARCHAR) AS first_date, CAST(max(date) AS VARCHAR) AS last_date FROM (
+SELECT CAST(fold AS INTEGER) AS fold, count(*) AS n, CAST(min(date) AS VARCHAR) AS first_date, CAST(max(date) AS VARCHAR) AS last_date FROM (
   SELECT date, CASE WHEN p < total - 5 * (total // 6) THEN 0 ELSE (p - (total - 5 * (total // 6))) // (total // 6) + 1 END AS fold
   FROM (SELECT date, row_number() OVER (ORDER BY date, symbol) - 1 AS p, count(*) OVER () AS total FROM bars)) GROUP BY 1""", "bars")
 def time_fold_sizes(spark, d):
@@ -253,7 +254,7 @@ def return_statistics_by_cycle(spark, d):
 
 # Files and pages
 
-@query("imported_tradebook", "S-08 S-14 J-09 F-02 F-03", "SELECT symbol, qty, CAST(entry_date AS VARCHAR) AS entry_date, CAST(exit_date AS VARCHAR) AS exit_date, timeframe FROM closed", "closed")
+@query("imported_tradebook", "S-08 J-09 F-02 F-03", "SELECT symbol, qty, CAST(entry_date AS VARCHAR) AS entry_date, CAST(exit_date AS VARCHAR) AS exit_date, timeframe FROM closed", "closed")
 def imported_tradebook(spark, d):
     t = td.tradebook(spark, d)
     # The file form: text columns, day-first dates, an execution time that follows the trade order.
@@ -265,6 +266,11 @@ def imported_tradebook(spark, d):
     return closed.select("symbol", "qty", F.col("entry_date").cast("string"), F.col("exit_date").cast("string"), "timeframe")
 
 
+@query("import_audit", "S-14", "SELECT 'tradebook' AS import_type, 'tradebook.csv' AS filename, count(*) AS rows_imported, 'closed trades' AS notes FROM closed", "closed")
+def import_audit(spark, d):
+    return import_log(spark, "tradebook", "tradebook.csv", td.closed_trades(spark, d), "closed trades").drop("imported_at")
+
+
 @query("imported_holdings", "S-07 A-14 F-01 F-02 U-03", "SELECT symbol, CAST(sum(qty) AS BIGINT) AS qty, round(sum(avg_cost * qty) / sum(qty), 4) + 0.0 AS avg_cost FROM holdings GROUP BY 1", "holdings")
 def imported_holdings(spark, d):
     h = td.holdings(spark, d)

@@ -55,13 +55,17 @@ def opening_ranges(spark, d):
     return start(o).withColumn("day", F.col("day").cast("string"))
 
 
-def _stored(spark, stream, name):
-    """Run a stream over all available files into Parquet and read the result back."""
+def _run(spark, stream, name):
+    """Run a stream over all available files into Parquet; returns the folder."""
     out, ck = shared_folder(spark, name), shared_folder(spark, f"{name}-checkpoint")
     q = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return out
+
+
+def _stored(spark, stream, name):
+    return spark.read.schema(stream.schema).parquet(_run(spark, stream, name))
 
 
 @query("streamed_tick_bars", "X-01", f"""
@@ -75,8 +79,8 @@ def streamed_tick_bars(spark, d):
 @query("streamed_opening_ranges", "X-02", RANGES + " AND bar_start + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM ticks) - INTERVAL 10 MINUTE", "tick_bars ticks")
 def streamed_opening_ranges(spark, d):
     # The bar stream lands in a table; the stateful stream reads that table.
-    stored = _stored(spark, B.stream_bars(td.tick_columns(B.read_events(spark, d))), "bars-for-ranges")
-    bars = spark.readStream.schema(stored.schema).parquet(stored.inputFiles()[0].rsplit("/", 1)[0])
+    first = B.stream_bars(td.tick_columns(B.read_events(spark, d)))
+    bars = spark.readStream.schema(first.schema).parquet(_run(spark, first, "bars-for-ranges"))
     out = start(_stored(spark, opening_range.stream_opening_range(bars, "00:00"), "opening-ranges"))
     return out.withColumn("day", F.col("day").cast("string"))
 

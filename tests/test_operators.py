@@ -211,3 +211,52 @@ def test_context_pivot_and_bar_cleaning(spark):
     raw = spark.createDataFrame([("A", D(2020, 1, 1), None, 5.0), ("A", D(2020, 1, 2), 4.0, None)], "symbol string, date date, open double, close double")
     out = tables.clean_bars(raw).collect()
     assert len(out) == 1 and out[0].open == 5 and out[0].volume == 0 and out[0].adj_close == 5
+
+
+def test_open_position_is_appended(spark):
+    pos = spark.createDataFrame([], "holding_id string, symbol string, timeframe string, qty bigint, avg_cost double, entry_date date, target double, stop_loss double, strategy_id string, is_active boolean")
+    new = spark.createDataFrame([("A", "swing", 3, 10.0, 12.0, 9.0, "S001")], "symbol string, timeframe string, qty bigint, avg_cost double, target double, stop_loss double, strategy_id string")
+    r = portfolio.open_positions(pos, new, "2020-01-01").first()
+    assert r.is_active and r.entry_date == D(2020, 1, 1) and len(r.holding_id) == 64
+
+
+def test_recommendation_order(spark):
+    rows = [(-16.0, "bull", "bull", 50.0, 1.0, 2.0, 0.0), (1.0, "bear", "bear", 50.0, 1.0, 2.0, 0.0), (1.0, "bull", "bear", 30.0, 1.0, 2.0, 0.0),
+            (-12.0, "bull", "neutral", 50.0, 3.0, 2.0, 20.0), (-12.0, "bull", "neutral", 50.0, 3.0, 2.0, 10.0)]
+    df = spark.createDataFrame(rows, "pnl_pct double, stock_cycle string, market_cycle string, rsi_14 double, close double, sma_200 double, roe double")
+    assert [r.recommendation for r in portfolio.recommend(df).collect()] == ["EXIT", "EXIT", "EXIT", "AVERAGE_DOWN", "HOLD"]
+
+
+def test_pattern_tables(spark, small):
+    from tapeflow.operators import patterns
+    from tapeflow.sources import testdata as td
+    named = patterns.name_states(patterns.fit_states(td.bars(spark, small))).persist()
+    p = patterns.pattern_rows(named)
+    cur = {r.symbol: r.current_state for r in patterns.current_states(named).collect()}
+    hist = patterns.state_history(p)
+    assert hist.groupBy("symbol").count().agg(F.max("count")).first()[0] <= 500
+    last = {r.symbol: r.state for r in hist.groupBy("symbol").agg(F.max_by("state", "date").alias("state")).collect()}
+    assert cur == last and len(cur) > 0
+    named.unpersist()
+
+
+def test_model_confidence_overrides_the_rule_score(spark):
+    from tapeflow.operators import signals
+    df = bars(spark, [10.0] * 12, sector=F.lit("X"), sector_cycle=F.lit("bull"), atr_14=F.lit(0.5), rsi_14=F.lit(60.0), adx_14=F.lit(30.0),
+              supertrend_dir=F.lit(-1.0), macd_hist=F.lit(1.0), volume_ratio=F.lit(2.0), supertrend=F.lit(9.0), ichimoku_senkou_a=F.lit(1.0),
+              ichimoku_senkou_b=F.lit(1.0), prev_close=F.lit(10.0))
+    doc = {"strategy_id": "T", "name": "Test", "timeframes": ["swing"], "parameters": {}, "stoploss_rules": {"type": "atr_based"},
+           "entry_rules": {"logic": "AND", "conditions": [{"indicator": "rsi_14", "op": ">", "value": 50}]}}
+    hits = signals.entries(df, [doc])
+    regime = spark.createDataFrame([("market", None, "neutral"), ("stock", "A", "bull")], "scope string, scope_id string, cycle string")
+    assert signals.generate(hits, regime, "2020-01-12 18:00:00").count() == 0
+    got = signals.generate(hits, regime, "2020-01-12 18:00:00", model_confidence=F.lit(0.8)).collect()
+    assert [(r.entry_price, r.stop_loss, r.target_price, r.risk_reward, r.stock_cycle) for r in got] == [(10.0, 9.0, 11.5, 1.5, "bull")]
+
+
+def test_drawdown_batch_reports_the_first_price_of_a_day(spark):
+    from tapeflow.streaming import alerts
+    ts = datetime.datetime
+    t = spark.createDataFrame([("A", ts(2020, 1, 1, 10), 95.0), ("A", ts(2020, 1, 1, 11), 80.0), ("A", ts(2020, 1, 1, 12), 70.0)], "symbol string, ts timestamp, price double")
+    pos = spark.createDataFrame([("H", "A", "long_term", 100.0, True)], "holding_id string, symbol string, timeframe string, avg_cost double, is_active boolean")
+    assert [r.ts.hour for r in alerts.drawdown_batch(t, pos).collect()] == [11]
