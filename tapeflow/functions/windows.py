@@ -37,6 +37,22 @@ def rolling(agg, col: Column, w: WindowSpec, n: int, min_n: int | None = None) -
     return F.when(F.count(col).over(frame) >= F.lit(min_n or n), agg(col).over(frame))
 
 
+def long_mean(cumulative: str, w: WindowSpec, n: int) -> Column:
+    """Mean of the last n values from a running-sum column: constant work per row."""
+    return (F.col(cumulative) - F.coalesce(F.lag(cumulative, n).over(w), F.lit(0.0))) / n
+
+
+def long_extreme(pick, short: str, w: WindowSpec, n: int, step: int) -> Column:
+    """Max or min of the last n rows out of the same over ``step`` rows.
+
+    ``short`` holds the extreme of the last ``step`` rows and n is a multiple of
+    it, so n / step values are compared per row instead of n. ``pick`` is
+    ``F.greatest`` or ``F.least``, which skip the NULLs before the first row.
+    """
+    assert n % step == 0
+    return pick(F.col(short), *[F.lag(short, i).over(w) for i in range(step, n, step)])
+
+
 def pct_change(col: Column, w: WindowSpec, n: int) -> Column:
     """Percent change against the value n rows before."""
     return (F.try_divide(col, F.lag(col, n).over(w)) - 1) * 100

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeflow.functions.windows import all_of, previous, running, series, trailing
+from tapeflow.functions.windows import all_of, long_extreme, long_mean, previous, running, series, trailing
 from tapeflow.operators import recursive
 from tapeflow.params import DEFAULTS
 
@@ -27,7 +27,7 @@ WINDOW_COLUMNS = (
 )
 INDICATORS = WINDOW_COLUMNS + recursive.COLUMNS + ("pct_from_ema200", "rs_nifty200")
 # Helper columns of the window step.
-SCRATCH = ("rn", "tp", "prev", "ptp", "mfv", "_span_b", "_k", "_sd20", "_tp20", "_tps", "_ret", "_up", "_dn",
+SCRATCH = ("rn", "tp", "prev", "ptp", "mfv", "_sum", "_h13", "_l13", "_c14h", "_c14l", "_span_b", "_k", "_sd20", "_tp20", "_tps", "_ret", "_up", "_dn",
            "_hi252", "_lo252")
 BAR_COLUMNS = ("symbol", "date", "open", "high", "low", "close", "volume")
 
@@ -49,12 +49,18 @@ def _add_window_columns(bars: DataFrame) -> DataFrame:
     b = bars.withColumns({
         "rn": F.row_number().over(w), "tp": tp, "prev": F.lag("close").over(w), "ptp": F.lag(tp).over(w),
         "mfv": F.when(span > 0, ((c - lo) - (h - c)) / span * v).otherwise(0.0),
+        # Short frames and a running sum from which the long frames follow.
+        "_sum": F.sum("close").over(running(w)),
+        "_h13": F.max("high").over(trailing(w, 13)), "_l13": F.min("low").over(trailing(w, 13)),
+        "_c14h": F.max("close").over(trailing(w, 14)), "_c14l": F.min("close").over(trailing(w, 14)),
     })
-    hh = {n: F.max("high").over(trailing(w, n)) for n in (9, 14, 26, 52)}
-    ll = {n: F.min("low").over(trailing(w, n)) for n in (9, 14, 26, 52)}
+    hh = {n: F.max("high").over(trailing(w, n)) for n in (9, 14)}
+    ll = {n: F.min("low").over(trailing(w, n)) for n in (9, 14)}
+    hh.update({n: long_extreme(F.greatest, "_h13", w, n, 13) for n in (26, 52)})
+    ll.update({n: long_extreme(F.least, "_l13", w, n, 13) for n in (26, 52)})
     flow, mid = F.col("tp") * v, F.avg("close").over(trailing(w, 20))
     b = b.withColumns({
-        "sma_20": from_(20, mid), "sma_50": full(50, F.avg, "close"), "sma_200": full(200, F.avg, "close"),
+        "sma_20": from_(20, mid), "sma_50": from_(50, long_mean("_sum", w, 50)), "sma_200": from_(200, long_mean("_sum", w, 200)),
         "ichimoku_tenkan": from_(9, (hh[9] + ll[9]) / 2), "ichimoku_kijun": from_(26, (hh[26] + ll[26]) / 2),
         "_span_b": from_(52, (hh[52] + ll[52]) / 2), "ichimoku_chikou": F.lead("close", 26).over(w),
         "_k": from_(14, F.try_divide(100 * (c - ll[14]), hh[14] - ll[14])),
@@ -69,7 +75,7 @@ def _add_window_columns(bars: DataFrame) -> DataFrame:
         "obv": F.sum(F.coalesce(F.signum(c - F.col("prev")), F.lit(0.0)) * v).over(running(w)),
         "cmf_20": from_(20, F.try_divide(F.sum("mfv").over(trailing(w, 20)), F.sum(v).over(trailing(w, 20)))),
         "volume_sma20": full(20, F.avg, v),
-        "_hi252": F.max("close").over(trailing(w, 252)), "_lo252": F.min("close").over(trailing(w, 252)),
+        "_hi252": long_extreme(F.greatest, "_c14h", w, 252, 14), "_lo252": long_extreme(F.least, "_c14l", w, 252, 14),
     })
     b = b.withColumns({
         "stoch_k": from_(16, F.avg("_k").over(trailing(w, 3))),

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeflow.functions.scalars import decode_cycle, is_stale, lookup, threshold_for
-from tapeflow.functions.windows import latest, run_length_filter, running, series, simple_rsi, trailing
+from tapeflow.functions.windows import latest, long_extreme, long_mean, run_length_filter, running, series, simple_rsi, trailing
 from tapeflow.params import DEFAULTS, REGIME_PARAMS
 
 LABEL_VERSION = "v1_labeller"
@@ -26,10 +26,10 @@ def label_columns(df: DataFrame, scope: Column, keys: list[str]) -> DataFrame:
     c = F.col("close")
     df = simple_rsi(df, "close", w, "rsi")
     dmas = sorted({p["dma_period"] for p in REGIME_PARAMS.values()})
-    df = df.withColumn("_rn", F.row_number().over(w))
+    df = df.withColumns({"_rn": F.row_number().over(w), "_sum": F.sum("close").over(running(w))})
     period = _per_scope(scope, "dma_period")
     dma = F.coalesce(*[
-        F.when((period == n) & (F.col("_rn") >= n), F.avg("close").over(trailing(w, n))) for n in dmas])
+        F.when((period == n) & (F.col("_rn") >= n), long_mean("_sum", w, n)) for n in dmas])
     peak = F.max("close").over(running(w))
     df = df.withColumns({
         "dma": dma, "drawdown": (c - peak) / peak,
@@ -42,7 +42,7 @@ def label_columns(df: DataFrame, scope: Column, keys: list[str]) -> DataFrame:
         "above_dma": above.cast("int"),
         "cycle_int": F.when(bull, 1).when(bear, -1).otherwise(0)})
     df = run_length_filter(df, "cycle_int", keys, _per_scope(scope, "min_duration_days"))
-    return df.withColumn("cycle", decode_cycle(F.col("cycle_int"))).drop("_rn")
+    return df.withColumn("cycle", decode_cycle(F.col("cycle_int"))).drop("_rn", "_sum")
 
 
 def label(prices: DataFrame) -> DataFrame:
@@ -144,9 +144,10 @@ def breadth(panel: DataFrame) -> DataFrame:
     prev = F.lag("close").over(w)
     c = F.col("close")
     rn = F.row_number().over(w)
-    p = panel.select("symbol", "date", "close", prev.alias("prev"), rn.alias("rn"),
-                     F.avg("close").over(trailing(w, 50)).alias("s50"), F.avg("close").over(trailing(w, 200)).alias("s200"),
-                     F.max("close").over(trailing(w, 252)).alias("hi"), F.min("close").over(trailing(w, 252)).alias("lo"))
+    p = panel.select("symbol", "date", "close", prev.alias("prev"), rn.alias("rn"), F.sum("close").over(running(w)).alias("_sum"),
+                     F.max("close").over(trailing(w, 14)).alias("_hi"), F.min("close").over(trailing(w, 14)).alias("_lo"))
+    p = p.select("date", "close", "prev", "rn", long_mean("_sum", w, 50).alias("s50"), long_mean("_sum", w, 200).alias("s200"),
+                 long_extreme(F.greatest, "_hi", w, 252, 14).alias("hi"), long_extreme(F.least, "_lo", w, 252, 14).alias("lo"))
     ok50, ok200, r = F.col("rn") >= 50, F.col("rn") >= 200, F.col("rn")
     return p.groupBy("date").agg(
         F.try_divide(F.count_if(c > F.col("prev")), F.count_if(c < F.col("prev"))).alias("advance_decline_ratio"),
