@@ -27,7 +27,7 @@ WINDOW_COLUMNS = (
 )
 INDICATORS = WINDOW_COLUMNS + recursive.COLUMNS + ("pct_from_ema200", "rs_nifty200")
 # Helper columns of the window step.
-SCRATCH = ("rn", "tp", "prev", "ptp", "mfv", "_sum", "_h13", "_l13", "_c14h", "_c14l", "_span_b", "_k", "_sd20", "_tp20", "_tps", "_ret", "_up", "_dn",
+SCRATCH = ("rn", "tp", "prev", "ptp", "mfv", "_sum", "_h13", "_l13", "_c14h", "_c14l", "_span_b", "_k", "_sd20", "_tp20", "_tps", "_ret", "_rs", "_rq", "_up", "_dn",
            "_hi252", "_lo252")
 BAR_COLUMNS = ("symbol", "date", "open", "high", "low", "close", "volume")
 
@@ -81,14 +81,21 @@ def _add_window_columns(bars: DataFrame) -> DataFrame:
         "stoch_k": from_(16, F.avg("_k").over(trailing(w, 3))),
         "ichimoku_senkou_a": F.lag((F.col("ichimoku_tenkan") + F.col("ichimoku_kijun")) / 2, 26).over(w),
         "ichimoku_senkou_b": F.lag("_span_b", 26).over(w),
-        "hist_vol_21": from_(22, F.stddev_samp("_ret").over(trailing(w, 21)) * float(np.sqrt(252)) * 100),
-        "hist_vol_63": from_(64, F.stddev_samp("_ret").over(trailing(w, 63)) * float(np.sqrt(252)) * 100),
+        "_rs": F.sum("_ret").over(running(w)), "_rq": F.sum(F.col("_ret") * F.col("_ret")).over(running(w)),
     })
+
+    def volatility(n):
+        """Annualised sample deviation of the last n log returns, in percent."""
+        first, second = (F.col(x) - F.coalesce(F.lag(x, n).over(w), F.lit(0.0)) for x in ("_rs", "_rq"))
+        var = F.greatest(F.lit(0.0), second - first * first / n) / (n - 1)
+        return F.sqrt(var) * float(np.sqrt(252)) * 100
+
     mad = F.aggregate("_tps", F.lit(0.0), lambda a, x: a + F.abs(x - F.col("_tp20"))) / 20
     up, dn, sd = F.col("_up"), F.col("_dn"), F.col("_sd20")
     m = F.col("sma_20")
     b = b.withColumns({
         "stoch_d": from_(18, F.avg("stoch_k").over(trailing(w, 3))),
+        "hist_vol_21": from_(22, volatility(21)), "hist_vol_63": from_(64, volatility(63)),
         "cci_20": from_(20, F.try_divide(F.col("tp") - F.col("_tp20"), 0.015 * mad)),
         "mfi_14": from_(15, F.try_divide(100 * up, up + dn)),
         "bb_upper": m + 2 * sd, "bb_mid": m, "bb_lower": m - 2 * sd,
