@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeflow.llm import decontaminate, language, quality
+from tapeflow.llm import decontaminate, language, mixture, neighbours, pii, quality, token_files
 from tapeflow.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,29 @@ def op4(spark: SparkSession, d: str) -> DataFrame:
 def op8(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     return language.predicted(docs, *language.prototypes(docs))
+
+
+@query("op3_nearest")
+def op3(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.nearest(table(spark, d, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op6_personal_data")
+def op6(spark: SparkSession, d: str) -> DataFrame:
+    found = pii.detected(table(spark, d, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).select("doc_id", "spans")
+    base = pii.KINDS[:4]
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s.kind == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select("doc_id", *[count(k) for k in base], F.sha2(pii.joined(F.filter("spans", lambda s: s.kind.isin(base))), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
+@query("op7_mixture")
+def op7(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.mixed(table(spark, d, "documents").select("doc_id", "text", "lang", "source")).select("doc_id", "domain", "lang", "source", "n_tokens", "copies")
+
+
+@query("op10_token_files")
+def op10(spark: SparkSession, d: str) -> DataFrame:
+    return token_files.encoded(table(spark, d, "documents"))
