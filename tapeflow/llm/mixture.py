@@ -7,7 +7,7 @@ was withheld one level higher, where the node's own siblings get it. This is wat
 running sums over the children in order of supply per weight.
 
 A leaf with budget b and a tokens gives every document b div a whole epochs, and of the next epoch the prefix, in
-an order drawn from the seed and the epoch, that reaches the rest. The prefix ends at a cut-off value of the order, found in two
+an order drawn from the seed and the epoch, that comes closest to the rest. The prefix ends at a cut-off value of the order, found in two
 steps: totals of `SLICES` ranges of the order, then running sums inside the one range where the rest is reached. So
 no leaf is ordered in one task, and documents are not shuffled: they join the table of leaves (one row a leaf).
 
@@ -104,7 +104,10 @@ def cutoffs(docs: DataFrame, plan: Plan, slices: int = SLICES) -> DataFrame:
     upto = sums.withColumn("upto", F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("slice")))
     hit = upto.where("upto >= rest and upto - n < rest").select(*LEVELS, "slice", (F.col("upto") - F.col("n")).alias("before"))
     inside = placed.join(hit, [*LEVELS, "slice"]).withColumn("upto", F.col("before") + F.sum("n_tokens").over(Window.partitionBy(*LEVELS).orderBy("place")))
-    cut = inside.where("upto >= rest").groupBy(*LEVELS).agg(F.min("place").alias("cutoff"))
+    # The document that crosses the target stays if that comes closer to it than leaving it out.
+    inside = inside.withColumn("own", F.sum("n_tokens").over(Window.partitionBy(*LEVELS, "place")))
+    cross = inside.where("upto >= rest and upto - own < rest").groupBy(*LEVELS).agg(F.min(F.struct("place", F.expr("2 * upto - own <= 2 * rest").alias("stays"))).alias("c"))
+    cut = cross.select(*LEVELS, F.when(F.col("c.stays"), F.col("c.place")).otherwise(F.col("c.place") - 1).alias("cutoff"))
     return stored(plans.join(cut, LEVELS, "left").select(*LEVELS, "tokens", "budget", "epochs", "cutoff"), "cutoffs")
 
 

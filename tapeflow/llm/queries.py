@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeflow.llm import decontaminate, language, mixture, neighbours, pii, quality, token_files
+from tapeflow.llm import decontaminate, language, lm, mixture, neighbours, pii, quality, token_files
 from tapeflow.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,8 @@ def op7(spark: SparkSession, d: str) -> DataFrame:
 @query("op10_token_files")
 def op10(spark: SparkSession, d: str) -> DataFrame:
     return token_files.encoded(table(spark, d, "documents"))
+
+
+@query("op9_lm_score")
+def op9(spark: SparkSession, d: str) -> DataFrame:
+    return lm.scored(table(spark, d, "documents"))
