@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeflow.llm import decontaminate, language, lm, mixture, neighbours, pii, quality, substrings, token_files
+from tapeflow.llm import decontaminate, language, lm, mixture, near_duplicates, neighbours, pii, quality, substrings, token_files
 from tapeflow.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,8 @@ def op9(spark: SparkSession, d: str) -> DataFrame:
 @query("op2_repeated_substrings")
 def op2(spark: SparkSession, d: str) -> DataFrame:
     return substrings.without_repeats(table(spark, d, "documents"), keep_text=False).drop("kept")
+
+
+@query("op5_jaccard_join")
+def op5(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.joined(table(spark, d, "documents"))
