@@ -111,8 +111,8 @@ def cutoffs(docs: DataFrame, plan: Plan, slices: int = SLICES) -> DataFrame:
     return stored(plans.join(cut, LEVELS, "left").select(*LEVELS, "tokens", "budget", "epochs", "cutoff"), "cutoffs")
 
 
-def mixed(docs: DataFrame, plan: Plan | None = None, slices: int = SLICES) -> DataFrame:
-    """`docs` with the columns domain, n_tokens and copies (how often the mixture takes the row; 0: not at all)."""
+def mixed(docs: DataFrame, plan: Plan | None = None, slices: int = SLICES, prefix: str = "") -> DataFrame:
+    """`docs` with the columns domain, n_tokens and copies (how often the mixture takes the row; 0: not at all), named with `prefix`."""
     plan = plan or Plan()
     cut = cutoffs(docs, plan, slices)
     keys = {f"__{n}": c for n, c in leaf_columns(plan).items()}
@@ -120,4 +120,4 @@ def mixed(docs: DataFrame, plan: Plan | None = None, slices: int = SLICES) -> Da
     rows = docs.withColumns(keys).join(named, list(keys), "left")
     more = F.coalesce(order_value(plan, F.col("__epochs") + 1) <= F.col("__cutoff"), F.lit(False)).cast("int")
     copies = F.when(token_count() > 0, F.coalesce(F.col("__epochs"), F.lit(0)) + more).otherwise(0).cast("int")
-    return rows.select(*docs.columns, F.col("__domain").alias("domain"), token_count().alias("n_tokens"), copies.alias("copies"))
+    return rows.select(*docs.columns, F.col("__domain").alias(prefix + "domain"), token_count().alias(prefix + "n_tokens"), copies.alias(prefix + "copies"))
