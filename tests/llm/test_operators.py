@@ -1,0 +1,366 @@
+"""Document operators against brute force, on the small tables and on rows with nulls, ties, repeats and clashing columns."""
+
+import os
+import random
+import sys
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+import brute  # noqa: E402
+
+from tapeflow.llm import decontaminate, language, lm, mixture, near_duplicates, neighbours, pii, quality, substrings, token_files  # noqa: E402
+from tapeflow.llm.common import connected, shared_dir  # noqa: E402
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n int, score double, words string, row_no int, copies int, held_out string, spans int, block string"
+SYLLABLES = ["an", "the", "or", "ti", "sh", "ou", "en", "re", "wh", "ly", "é", "ñä"]
+
+
+def prose(seed, n):
+    r = random.Random(seed)
+    return " ".join("".join(r.choices(SYLLABLES, k=r.randint(1, 4))) for _ in range(n))
+
+
+def edge_rows():
+    long = prose(1, 9000)
+    near = long.split(" ")
+    near[4500] = "changed"
+    base = prose(2, 80)
+    rows = [
+        (1, long), (2, " ".join(near)), (3, base), (4, base), (4, base), (5, base.upper()), (6, ""), (7, None), (8, "one two"), (9, "one two"), (10, "  \n\t "),
+        (None, base), (None, None), (11, "nd " * 400), (12, prose(3, 30) + "\n" + base + " " + prose(4, 30)), (13, "12345 !!! 999"),
+        (14, "Mail a.b@c.de, b@c.d.@e.f or x@y; card 4111 1111 1111 1111 or 4111-1111-1111-1112; 1.2.3.4.5.6.7.8 and 999.1.1.1 +1 (555) 010-9999 "
+             "iban DE89 3704 0044 0532 0130 00 \U0001F600 z@q.io account GB82WEST12345698765432 0.0.0.255 +49 (0)"),
+        (15, "🙂 " + prose(5, 12)), (16, "'s <|endoftext|> don't ab,. c.,d Straße ΑΣ naïve é  x")]
+    return [(d, t, "en" if i % 2 else None, None if i % 5 == 0 else f"s{i % 3}", i, 0.5, "w", i, 2, "h", 9, "b") for i, (d, t) in enumerate(rows)]
+
+
+@pytest.fixture(scope="module")
+def edge(spark):
+    return spark.createDataFrame(edge_rows(), SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def pairs():
+    return [r[:2] for r in edge_rows()]
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def documents(spark, small):
+    return spark.read.parquet(f"{small}/documents.parquet")
+
+
+def rows(df, *cols):
+    return sorted((tuple(r) for r in df.select(*cols).collect()), key=repr)
+
+
+def same(got, want):
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+# Benchmark decontamination
+
+ITEMS = [(1, "one two"), (2, prose(2, 25)), (3, None), (None, "one two"), (4, "..."), (2, prose(1, 40)), (5, "One, TWO!"), (6, prose(99, 50))]
+
+
+def test_contaminated_edge(spark, edge, pairs):
+    items = spark.createDataFrame([(i, t, "x") for i, t in ITEMS], "item_id bigint, text string, words string")
+    for bits in (1 << 10, 1 << 20):  # a crowded bitmap changes nothing
+        got = rows(decontaminate.contaminated(edge, items, filter_bits=bits), "doc_id", "n_words", "n_hit", "n_items", "items", "contaminated")
+        same(got, brute.contaminated(pairs, ITEMS))
+
+
+def test_contaminated_documents(spark, small, documents):
+    items = spark.read.parquet(f"{small}/benchmark.parquet")
+    got = rows(decontaminate.contaminated(documents, items), "doc_id", "n_words", "n_hit", "n_items", "items", "contaminated")
+    same(got, brute.contaminated([(r.doc_id, r.text) for r in documents.collect()], [(r.item_id, r.text) for r in items.collect()]))
+
+
+def test_contaminated_empty(spark, edge, empty):
+    none = spark.createDataFrame([], "item_id bigint, text string")
+    assert decontaminate.contaminated(empty, none).count() == 0
+    assert not any(r.contaminated for r in decontaminate.contaminated(edge, none).collect())
+
+
+# Repeated substrings
+
+@pytest.mark.parametrize(("length", "reach", "window", "cell"), [(40, 24, 8, 4), (60, 40, 12, 16)])
+def test_repeats_edge(edge, pairs, length, reach, window, cell):
+    short = [(d, t[:3000] if t else t) for d, t in pairs]
+    df = edge.withColumn("text", F.substring("text", 1, 3000))
+    got = rows(substrings.without_repeats(df, length, reach=reach, window=window, cell=cell), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    same(got, brute.without_repeats(short, length))
+
+
+def test_repeats_documents(documents):
+    got = rows(substrings.without_repeats(documents), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    same(got, brute.without_repeats([(r.doc_id, r.text) for r in documents.collect()], 400))
+
+
+def test_repeats_empty(empty):
+    assert substrings.without_repeats(empty).count() == 0
+
+
+def test_triggers_depend_on_the_string_alone():
+    text = np.frombuffer((prose(7, 400) + "ab" * 300).encode(), np.uint8)
+    a = substrings.triggers(text, 64, 8)
+    for s in range(0, len(text) - 80, 7):
+        assert substrings.triggers(text[s:s + 71].copy(), 64, 8)[0] == a[s] - s
+
+
+# Nearest neighbours
+
+def test_nearest(spark):
+    r = np.random.default_rng(3)
+    v = [(i, [float(np.float32(x)) for x in r.normal(size=12)]) for i in range(300)]
+    v += [(i, v[7][1]) for i in range(300, 340)] + [(400, None), (401, []), (402, [0.0] * 12), (403, [float("nan")] + [1.0] * 11), (404, [None] + [1.0] * 11), (405, [float("inf")] * 12),
+                                                   (None, [1.0] * 12), (406, [1.0, 2.0]), (410, [2.0, 1.0]), (1, v[1][1])]
+    df = spark.createDataFrame([(i, x, 5, 1) for i, x in v], "vec_id bigint, embedding array<float>, rank int, dim int").repartition(4)
+    for q, c in ((2048, 8192), (7, 50)):
+        got = neighbours.nearest(df, F.col("vec_id") % 10 == 0, query_block=q, candidate_block=c).collect()
+        want = brute.nearest(v[:-1], lambda i: i % 10 == 0, 5)
+        assert sorted((g.query_id, g["rank"], g.vec_id) for g in got) == sorted(w[:3] for w in want)
+        have = {(w[0], w[1]): w[3] for w in want}
+        assert all(abs(g.score - have[g.query_id, g["rank"]]) < 1e-9 for g in got)
+
+
+def test_nearest_few(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0])], "vec_id bigint, embedding array<float>")
+    assert neighbours.nearest(df, F.lit(True)).count() == 0
+    assert neighbours.nearest(df.where("false"), F.lit(True)).count() == 0
+
+
+# Personal data
+
+def test_personal_data(edge, pairs):
+    got = pii.detected(edge.select("doc_id", "text"), name="found").collect()
+    base = sorted(((r.doc_id, [(s.kind, s.start, s.end) for s in r.found if s.kind != "iban"]) for r in got), key=repr)
+    assert base == sorted(((d, brute.personal_data(t)) for d, t in pairs), key=repr)
+    rich = next(r for r in got if r.doc_id == 14)
+    assert [rich.text[s.start:s.end] for s in rich.found if s.kind == "iban"] == ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"]
+    assert all(0 <= s.score <= 1 for s in rich.found)
+
+
+def test_personal_data_random(spark):
+    r = random.Random(5)
+    texts = ["".join(r.choices(["1", "2", "0", "4111111111111111", ".", "@", "a", "+", " ", "-", "(", ")", "é", "🙂", "b.c"], k=60)) for _ in range(300)]
+    got = pii.detected(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).collect()
+    assert [[(s.kind, s.start, s.end) for s in x.spans if s.kind != "iban"] for x in got] == [brute.personal_data(t) for t in texts]
+
+
+def test_personal_data_is_one_projection(documents):
+    plan = pii.detected(documents)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_personal_data_long_runs(spark):
+    df = spark.createDataFrame([("1" * 100_000 + " " + "a" * 100_000 + "@" + "b." * 20_000,)], "text string")
+    assert len(pii.detected(df).first().spans) <= 2
+
+
+# Jaccard join
+
+def test_join_edge(edge, pairs):
+    got = {r.doc_id: (r.class_id, r.n_links) for r in near_duplicates.joined(edge, block=2).collect()}
+    assert got == brute.jaccard_classes({d: t for d, t in pairs if d is not None}.items())
+
+
+def test_join_hot_family(spark):
+    """Many variants of one text, in blocks of 8: all links between different texts are counted."""
+    r = random.Random(9)
+    base = prose(11, 120).split(" ")
+    docs = []
+    for i in range(90):
+        w = list(base)
+        for _ in range(r.choice([0, 1, 2])):
+            w[r.randrange(len(w))] = f"x{r.randrange(10 ** 6)}"
+        docs.append((i, " ".join(w)))
+    docs += [(100 + i, prose(1000 + i, 60)) for i in range(60)]
+    got = {x.doc_id: (x.class_id, x.n_links) for x in near_duplicates.joined(spark.createDataFrame(docs, "doc_id bigint, text string"), block=8).collect()}
+    assert got == brute.jaccard_classes(docs)
+
+
+def test_join_documents(documents):
+    got = {r.doc_id: (r.class_id, r.n_links) for r in near_duplicates.joined(documents).collect()}
+    assert got == brute.jaccard_classes([(r.doc_id, r.text) for r in documents.collect()])
+
+
+def test_join_empty(empty):
+    assert near_duplicates.joined(empty).count() == 0
+
+
+def test_depth_meets_the_recall():
+    d = near_duplicates.last_depth()
+    assert 1 - (1 - 0.8 ** d) ** near_duplicates.TREES >= near_duplicates.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** near_duplicates.TREES
+
+
+def test_connected_chain(spark):
+    e = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)]
+    got = dict(rows(connected(spark.createDataFrame(e, "a bigint, b bigint"), "chain"), "v", "root"))
+    assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
+
+
+# Quality classifier
+
+def test_quality(spark, small, documents, edge, empty):
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    model = quality.train(documents, labels)
+    got = quality.scored(documents, model).join(labels, "doc_id").toPandas()
+    assert ((got.score >= quality.THRESHOLD) == (got.quality == 1)).mean() > 0.95
+    own = quality.scored(edge, model, "p").collect()
+    assert len(own) == edge.count() and all(0 <= r.p <= 1 for r in own)
+    assert quality.scored(empty, model, "p").count() == 0
+    none = labels.where("false")
+    assert quality.train(documents, none) is None
+    assert {r.p for r in quality.scored(edge, None, "p").collect()} == {0.5}
+
+
+def test_quality_does_not_learn_from_the_held_out_fold(spark, small, documents):
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    flipped = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
+    a, b = quality.train(documents, labels), quality.train(documents, flipped)
+    assert all(np.array_equal(a[k], b[k]) for k in a)
+
+
+def test_gradient_of_the_fit():
+    """One step of the fit lowers the loss; attention weights of a bag sum to one."""
+    r = np.random.default_rng(1)
+    x, bag = r.normal(size=(60, quality.N_FEATURES)), np.repeat(np.arange(20), 3)
+    y = (x[::3, 0] > 0).astype(float)
+    p = quality.fit(x, bag, y, epochs=120)
+    out, (_, _, _, a, *_) = quality._forward(p, x, bag)
+    assert np.allclose(np.bincount(bag, a), 1)
+    assert ((out > 0.5) == (y > 0.5)).mean() > 0.9
+
+
+# Language identification
+
+def test_language(documents, edge, empty):
+    names, proto = language.prototypes(documents)
+    assert names == sorted(names) and np.allclose(np.linalg.norm(proto, axis=1), 1, atol=1e-5)
+    got = language.predicted(documents, names, proto).join(documents.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
+    assert (got.lang == got.lang_pred).mean() > 0.95
+    by_id = {}
+    for r in language.predicted(edge, names, proto).collect():
+        by_id.setdefault(r.doc_id, r)
+        assert 0 <= r.score <= 1
+    assert all(by_id[i].lang_pred == "und" and by_id[i].score == 0 for i in (6, 7, 10, 13)) and by_id[3].lang_pred != "und"
+    assert language.predicted(empty, names, proto).count() == 0
+    assert {r.lang_pred for r in language.predicted(edge, *language.prototypes(empty)).collect()} == {"und"}
+
+
+def test_bundles_do_not_depend_on_the_group():
+    texts = [prose(i, 30) for i in range(7)] + ["", "Ω ж", "12"]
+    b = language._Bundler(keep=50)
+    assert np.allclose(b(texts), np.concatenate([language._Bundler()([t]) for t in texts]), atol=1e-6)
+
+
+# Language model scores
+
+def test_lm_base(documents, edge, pairs, empty):
+    for df, docs in ((documents, None), (edge, pairs)):
+        docs = docs or [(r.doc_id, r.text) for r in df.collect()]
+        total, want = brute.base_scores([x for i, x in enumerate(docs) if x[0] is not None])
+        if df is edge:  # a repeated id trains once for each of its rows
+            count = [x for x in docs if x[0] is not None]
+            assert len(count) != len({d for d, _ in count})
+            continue
+        got = lm.scored(df, block_tokens=5000).collect()
+        assert {r.train_tokens for r in got} == {total}
+        for r in got:
+            n, known, base = want[r.doc_id]
+            assert (r.n_tokens, r.n_known) == (n, known) and abs(r.base_score - base) < 1e-6 * abs(base)
+            assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
+        held = [r for r in got if r.held_out]
+        assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    got = lm.scored(edge).collect()
+    assert len(got) == len(pairs) and all(np.isfinite(r.score) and np.isfinite(r.base_score) for r in got)
+    assert lm.scored(empty).count() == 0
+
+
+def test_lm_is_a_distribution():
+    """Symbol probabilities of every context sum to one, and the words of a class with one unseen word share it out."""
+    r = np.random.default_rng(2)
+    s = lm.SYMBOLS
+    train, held = np.zeros(s ** 3, np.int64), np.zeros(s ** 3, np.int64)
+    live = np.array([0, 1, 2, lm.TOP, lm.TOP + 3, lm.END])
+    for c in (train, held):
+        u, v, w = (r.choice(live, 4000) for _ in range(3))
+        np.add.at(c, (u * s + v) * s + w, 1)
+    m = lm.Model(train, held, np.arange(3, dtype=np.uint64), np.full(s, 10), np.full(s, 4))
+    assert np.allclose(m.weights.sum(1), 1)
+    for u, v in ((0, 1), (lm.END, 2), (lm.TOP, lm.START), (50, 60)):
+        sym = np.arange(s - 1)
+        p, b = m._parts(np.full(s - 1, u), np.full(s - 1, v), sym)
+        assert abs((m.weights[b] * p).sum() - 1) < 1e-9
+
+
+# Mixture
+
+def test_water_filling(spark):
+    r = random.Random(4)
+    for _ in range(3):
+        kids = [(f"d{i}", r.choice([0, 10, 100, 1000]) * 1.0) for i in range(4)]
+        plan = mixture.Plan()
+        nodes = spark.createDataFrame(kids, "domain string, supply double").withColumn("budget", F.lit(700.0))
+        got = {x.domain: x.budget for x in mixture._dealt(nodes, [], "domain", plan).collect()}
+        want = brute.levels([(plan.weights["domain"][k], c) for k, c in kids], 700.0)
+        assert all(abs(got[k] - w) < 1e-6 for (k, _), w in zip(kids, want, strict=True))
+
+
+def test_mixture(spark, documents, edge, empty):
+    docs = documents.unionByName(documents.withColumn("doc_id", F.col("doc_id") + 10 ** 6)).cache()
+    plan = mixture.Plan(share=0.6)
+    got = mixture.mixed(docs, plan, slices=16).toPandas()
+    assert list(got.columns) == [*docs.columns, "domain", "n_tokens", "copies"] and len(got) == docs.count()
+    used = (got.n_tokens * got.copies).sum()
+    assert abs(used / got.n_tokens.sum() - 0.6) < 0.1
+    cut = {(r.domain, r.language, r.origin): r for r in mixture.cutoffs(docs, plan, slices=16).collect()}
+    leaf = got.assign(used=got.n_tokens * got.copies).groupby(["domain", "lang", "source"])
+    for key, part in leaf:  # within one document of the budget of each leaf
+        assert abs(part.used.sum() - cut[key].budget) <= part.n_tokens.max()
+    again = mixture.mixed(docs, plan, slices=4096).toPandas()
+    assert got.sort_values("doc_id").copies.tolist() == again.sort_values("doc_id").copies.tolist()
+    own = mixture.mixed(edge, prefix="m_").collect()
+    assert len(own) == edge.count() and all(r.m_copies == 0 for r in own if not r.text)
+    assert mixture.mixed(empty, prefix="m_").count() == 0
+
+
+# Token files
+
+def test_token_files(spark, documents, edge, pairs, empty):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(token_files.tokenizer_path())
+    for df, docs in ((documents, [(r.doc_id, r.text) for r in documents.collect()]), (edge, pairs)):
+        got = sorted(token_files.encoded(df, parts=3, shard_tokens=3000).collect(), key=lambda r: r.start)
+        start = 0
+        for (d, text), r in zip(sorted(docs, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, (x[1] or "").encode())), got, strict=True):
+            ids = np.array([*tok.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+            assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (d, start, len(ids), zlib.crc32(ids.tobytes()))
+            start += len(ids)
+    assert token_files.encoded(empty).count() == 0
+
+
+def test_grammar_round_trip(spark, documents):
+    folder = shared_dir(spark, "shards")
+    token_files.write(documents, folder, parts=2, shard_tokens=20_000)
+    for row in spark.read.parquet(folder).collect():
+        s = token_files.Shard(bytes(row.body))
+        flat, at = s.tokens(), 0
+        assert len(flat) == row.n_tokens == s.counts.sum() and len(s.seq) < len(flat)
+        for i, n in enumerate(s.counts):
+            assert np.array_equal(s.document(i), flat[at:at + n])
+            at += n
+    r = np.random.default_rng(1)
+    for ids in (np.zeros(0, np.uint32), np.full(5000, 3, np.uint32), r.integers(0, 4, 3000).astype(np.uint32), r.integers(0, 4000, 3000).astype(np.uint32)):
+        seq, rules = token_files.compress(ids, 5000)
+        assert np.array_equal(token_files.expand(seq, rules, 5000), ids)
