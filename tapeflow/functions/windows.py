@@ -110,11 +110,6 @@ def top_n(df: DataFrame, keys: list[str], order: list, n: int, rank: str = "rank
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
 
 
-def keep_last(arr: Column, n: int = 500) -> Column:
-    """Last n elements of an array."""
-    return F.when(F.size(arr) > n, F.slice(arr, -n, n)).otherwise(arr)
-
-
 def time_folds(df: DataFrame, order: list[str], n_splits: int = 5) -> DataFrame:
     """Expanding-window folds on row order.
 

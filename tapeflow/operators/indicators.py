@@ -134,22 +134,24 @@ def indicators(bars: DataFrame, min_bars: int = DEFAULTS.min_bars_indicators) ->
 
     ``rs_nifty200`` is NULL here; ``relative_strength`` fills it from an index.
     """
-    b = window_indicators(bars)
     n = F.count(F.lit(1)).over(Window.partitionBy("symbol"))
-    b = b.withColumn("_n", n).filter(F.col("_n") >= min_bars).drop("_n")
-    out = recursive_indicators(b)
+    b = bars.select(*BAR_COLUMNS).withColumn("_n", n).filter(F.col("_n") >= min_bars).drop("_n")
+    # Python sees the bars only; the rolling columns follow in the JVM.
+    out = _add_window_columns(recursive_indicators(b)).select(*BAR_COLUMNS, "rn", *WINDOW_COLUMNS, *recursive.COLUMNS)
     e = F.col("ema_200")
     return out.withColumns({
         "pct_from_ema200": (F.col("close") - e) / e * 100,
         "rs_nifty200": F.lit(None).cast("double")})
 
 
-def incremental(bars: DataFrame, days: int = 30, warmup: int = 300) -> DataFrame:
-    """Indicators of the last ``days`` bars per symbol, computed on ``warmup`` more."""
+def incremental(bars: DataFrame, days: int = 30) -> DataFrame:
+    """Rows of the last ``days`` bars per symbol, for an upsert into the stored table.
+
+    Running sums and recursive averages remember the whole series, so they are
+    computed on it; only the refreshed rows leave.
+    """
     w = Window.partitionBy("symbol").orderBy(F.desc("date"))
-    recent = bars.withColumn("_age", F.row_number().over(w)).filter(F.col("_age") <= days + warmup).drop("_age")
-    out = indicators(recent)
-    return out.withColumn("_age", F.row_number().over(w)).filter(F.col("_age") <= days).drop("_age")
+    return indicators(bars).withColumn("_age", F.row_number().over(w)).filter(F.col("_age") <= days).drop("_age")
 
 
 def index_returns(index: DataFrame, close: str = "nifty200_close", n: int = 20) -> DataFrame:

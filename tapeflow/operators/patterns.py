@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeflow.functions.windows import series, trailing
+from tapeflow.functions.windows import latest, series, trailing
 
 STATE_SCHEMA = ("symbol string, date date, ret double, state int, n_states int, score double, "
                 "transition_matrix array<array<double>>")
@@ -155,18 +155,17 @@ def current_states(named: DataFrame) -> DataFrame:
 
 
 def pattern_rows(named: DataFrame) -> DataFrame:
-    """Pattern table: current state, names, transition matrix and the last 500 states."""
-    rk = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date")))
-    last = named.withColumn("_rk", rk)
-    hist = F.sort_array(F.collect_list(F.when(F.col("_rk") <= 500, F.struct("date", "state"))))  # at most 500
+    """Pattern table: current state, names and transition matrix. The states themselves stay a long table."""
     names = F.map_from_entries(F.collect_set(F.struct(F.col("state").cast("string"), "state_label")))
-    return last.groupBy("symbol").agg(
+    return named.groupBy("symbol").agg(
         F.first("n_states").alias("n_states"), names.alias("state_labels"), F.first("transition_matrix").alias("transition_matrix"),
-        F.max_by("state", "date").alias("current_state"), hist.alias("state_history"), F.first("score").alias("score"))
+        F.max_by("state", "date").alias("current_state"), F.first("score").alias("score"))
 
 
-def state_history(patterns: DataFrame) -> DataFrame:
-    return patterns.select("symbol", F.explode("state_history").alias("h")).select("symbol", "h.*")
+def state_history(named: DataFrame, n: int | None = None) -> DataFrame:
+    """(symbol, date, state); with ``n`` the last n of each symbol."""
+    out = named.select("symbol", "date", "state")
+    return out if n is None else latest(out, ["symbol"], "date", n)
 
 
 def state_statistics(rows: DataFrame, keys: list[str], ret: str = "ret") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeflow.functions.rules import Panel, entry_signal, exit_signal
-from tapeflow.functions.windows import keep_last, running, series
+from tapeflow.functions.windows import latest, running, series
 from tapeflow.operators import indicators as I
 from tapeflow.operators import regimes as R
 from tapeflow.operators.strategies import rule_parts, stop_loss, target_price
@@ -223,23 +223,24 @@ def cycle_breakdown(trades: DataFrame) -> DataFrame:
 
 
 def result_rows(trades: DataFrame, docs: list[dict], from_date: str, to_date: str, p=DEFAULTS) -> DataFrame:
-    """Backtest result table: metrics, cycle breakdown as map, last 500 trades as array."""
-    key = ["strategy_id", "symbol"]
-    m = trade_metrics(trades, p)
-    b = cycle_breakdown(trades).groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct(
-        "cycle", F.struct("n_trades", "win_rate", "sharpe", "avg_return").alias("m")))).alias("cycle_breakdown"))
-    # A symbol has at most one exit per date, so the array is calendar-bounded before the cut.
-    log = trades.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(
-        "exit_date", "entry_date", "entry_price", "exit_price", "pnl_pct", "pnl_inr", "holding_days",
-        "exit_reason", "cycle"))).alias("trades"))
+    """Backtest result table: one row of metrics per run. Cycles and trades are long tables of their own
+    (``cycle_breakdown``, ``trade_log``) that share the run id."""
     tf = F.create_map(*[F.lit(x) for doc in docs for x in (doc["strategy_id"], doc["timeframes"][0])])
-    return (m.join(b, key, "left").join(log, key, "left")
-            .withColumn("trades", keep_last(F.col("trades"), 500))
-            .withColumn("timeframe", tf[F.col("strategy_id")])
-            .withColumn("from_date", F.lit(from_date).cast("date")).withColumn("to_date", F.lit(to_date).cast("date"))
+    return with_run_id(trade_metrics(trades, p), from_date, to_date).withColumn("timeframe", tf[F.col("strategy_id")])
+
+
+def with_run_id(rows: DataFrame, from_date: str, to_date: str) -> DataFrame:
+    """Period and id of the run of each (strategy_id, symbol)."""
+    return (rows.withColumn("from_date", F.lit(from_date).cast("date")).withColumn("to_date", F.lit(to_date).cast("date"))
             .withColumn("run_id", F.substring(F.sha2(F.concat_ws("|", "strategy_id", "symbol", "from_date", "to_date"), 256), 1, 12)))
 
 
+def trade_log(trades: DataFrame, from_date: str, to_date: str, n: int | None = None) -> DataFrame:
+    """Trades with their run id; with ``n`` only the last n of each run."""
+    out = trades if n is None else latest(trades, ["strategy_id", "symbol"], ["exit_date", "entry_date"], n)
+    return with_run_id(out, from_date, to_date)
+
+
 def strategy_rollup(metrics: DataFrame, attempted: DataFrame, p=DEFAULTS) -> DataFrame:
     """Mean metrics per strategy over its symbols.
 
@@ -256,8 +257,8 @@ def strategy_rollup(metrics: DataFrame, attempted: DataFrame, p=DEFAULTS) -> Dat
                       F.coalesce("avg_win_rate", F.lit(0.0)).alias("avg_win_rate"), gate.alias("is_active"))
 
 
-def explore(results: DataFrame, strategy_id=None, timeframe=None, min_sharpe=None, limit: int = 200) -> DataFrame:
-    """Best results first, missing Sharpe last."""
+def explore(results: DataFrame, strategy_id=None, timeframe=None, min_sharpe=None, limit: int | None = None) -> DataFrame:
+    """Best results first, missing Sharpe last; all of them without ``limit``."""
     out = results
     if strategy_id is not None:
         out = out.filter(F.col("strategy_id") == strategy_id)
@@ -265,4 +266,5 @@ def explore(results: DataFrame, strategy_id=None, timeframe=None, min_sharpe=Non
         out = out.filter(F.col("timeframe") == timeframe)
     if min_sharpe is not None:
         out = out.filter(F.col("sharpe_ratio") >= min_sharpe)
-    return out.orderBy(F.desc_nulls_last("sharpe_ratio"), "strategy_id", "symbol").limit(limit)
+    out = out.orderBy(F.desc_nulls_last("sharpe_ratio"), "strategy_id", "symbol")
+    return out if limit is None else out.limit(limit)

@@ -103,9 +103,9 @@ def watchlist(log: DataFrame, timeframe: str | None = None, signal_type: str | N
     return out.orderBy(F.desc("confidence"), "symbol", "timeframe")
 
 
-def history(log: DataFrame, n: int = 100) -> DataFrame:
-    """Latest n signals per (symbol, timeframe)."""
-    return latest(log, ["symbol", "timeframe"], ["generated_at", "seq"], n)
+def history(log: DataFrame, n: int | None = None) -> DataFrame:
+    """Latest n signals per (symbol, timeframe), or all of them."""
+    return log if n is None else latest(log, ["symbol", "timeframe"], ["generated_at", "seq"], n)
 
 
 def counts(log: DataFrame) -> DataFrame:

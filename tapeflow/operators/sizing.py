@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,6 +80,32 @@ def ratio_size(proposals: DataFrame, positions: DataFrame, p=DEFAULTS, mode: str
     }).drop("_value", "_net", "_entry", "_fees")
 
 
+def sequential_size(proposals: DataFrame, positions: DataFrame, order: str, p=DEFAULTS) -> DataFrame:
+    """Add ``qty`` to proposals that are filled one after another within a strategy.
+
+    Floors and caps per order make the remaining capital a fold, so a strategy's proposals of one
+    batch pass through one task, as narrow rows; what is bought at ``price`` lowers the capital of the rows
+    after it in ``order``.
+    """
+    d = available_capital(proposals, positions, p)
+    conf = F.coalesce("confidence", F.lit(1.0)) if "confidence" in proposals.columns else F.lit(1.0)
+    narrow = d.select("strategy_id", order, "price", F.col("capital_available").alias("left"), (p.total_capital * _strategy_ratio(p)).alias("capital"), conf.alias("conf"))
+
+    def fill(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, spent, qty = rows.sort_values(order), 0.0, []
+        for r in rows.itertuples():
+            value = min(r.capital * (1 - p.reserve_pct), p.max_per_stock, max(0.0, r.left - spent)) * r.conf
+            net = value - (value * p.slippage_pct + p.brokerage)
+            n = int(net // (r.price * (1 + p.slippage_pct))) if r.price > 0 and net > 0 else 0
+            spent += n * r.price
+            qty.append(n)
+        return pd.DataFrame({order: rows[order], "qty": qty})
+
+    kind = proposals.schema[order].dataType.simpleString()
+    filled = narrow.groupBy("strategy_id").applyInPandas(fill, f"{order} {kind}, qty bigint")
+    return d.join(filled, order)
+
+
 def sector_exposure(proposals: DataFrame, positions: DataFrame, stocks: DataFrame, p=DEFAULTS) -> DataFrame:
     """Whether a proposal (symbol, value_inr) keeps its sector within the limit."""
     dim = stocks.select("symbol", "sector")

@@ -26,10 +26,11 @@ def check_triggers(triggers: DataFrame, prices: DataFrame, as_of: str, invalid:
     """Next state of every trigger against the latest prices.
 
     Only pending rows with a price move: past expiry to expired, at or below the
-    buy price to eligible, otherwise the price and distance are refreshed.
+    buy price to eligible, otherwise the price and distance are refreshed. Where ``prices`` has a
+    column ``low``, that price decides.
     ``invalid`` (trigger_id) optionally marks pending rows invalidated first.
     """
-    j = triggers.join(prices.select("symbol", F.col("price").alias("_p")), "symbol", "left")
+    j = triggers.join(prices.select("symbol", F.col("price").alias("_p"), F.col("low" if "low" in prices.columns else "price").alias("_low")), "symbol", "left")
     if invalid is not None:
         j = j.join(invalid.select("trigger_id", F.lit(True).alias("_bad")), "trigger_id", "left")
     else:
@@ -40,13 +41,13 @@ def check_triggers(triggers: DataFrame, prices: DataFrame, as_of: str, invalid:
     open_ = pending & F.col("_p").isNotNull() & ~bad
     expired = open_ & F.coalesce(today > F.col("expiry_date"), F.lit(False))
     live = open_ & ~expired
-    below = live & (F.col("_p") <= F.col("buy_below_price"))
+    below = live & (F.col("_low") <= F.col("buy_below_price"))
     dist = F.when(F.col("buy_below_price") > 0,
                   (F.col("_p") - F.col("buy_below_price")) / F.col("buy_below_price") * 100).otherwise(0.0)
     return j.withColumns({
         "status": F.when(bad, "invalidated").when(expired, "expired").when(below, "eligible").otherwise(F.col("status")),
         "current_price": F.when(live, F.col("_p")).otherwise(F.col("current_price")),
-        "distance_pct": F.when(live, dist).otherwise(F.col("distance_pct"))}).drop("_p", "_bad")
+        "distance_pct": F.when(live, dist).otherwise(F.col("distance_pct"))}).drop("_p", "_low", "_bad")
 
 
 def check_counts(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -58,15 +59,17 @@ def check_counts(before: DataFrame, after: DataFrame) -> DataFrame:
                  F.count_if(F.col("status") == "expired").alias("expired"))
 
 
-def find_triggers(triggers: DataFrame, as_of: str, status: str = "all", timeframe: str | None = None, limit: int = 100) -> DataFrame:
+def find_triggers(triggers: DataFrame, as_of: str, status: str = "all", timeframe: str | None = None, limit: int | None = None) -> DataFrame:
+    """Triggers with their age, newest first; all of them without ``limit``."""
     conds = []
     if status != "all":
         conds.append(F.col("status") == status)
     if timeframe is not None:
         conds.append(F.col("timeframe") == timeframe)
-    return (triggers.filter(all_of(conds))
-            .withColumn("days_old", F.datediff(F.lit(as_of).cast("date"), "trigger_date"))
-            .orderBy(F.desc("trigger_date"), F.desc("trigger_id")).limit(limit))
+    out = (triggers.filter(all_of(conds))
+           .withColumn("days_old", F.datediff(F.lit(as_of).cast("date"), "trigger_date"))
+           .orderBy(F.desc("trigger_date"), F.desc("trigger_id")))
+    return out if limit is None else out.limit(limit)
 
 
 def validate(triggers: DataFrame, latest_panel: DataFrame, docs: list[dict], positions: DataFrame, stocks: DataFrame,
@@ -99,13 +102,15 @@ def confirm_buys(triggers: DataFrame, orders: DataFrame, positions: DataFrame, l
 
     Returns the next trigger snapshot and the new positions. Orders whose
     trigger is not eligible, or whose size is below one share, change nothing.
+    Orders of a strategy are filled one after another, by trigger id: each lowers what the next
+    may spend. A symbol without indicators is bought with the default levels.
     """
     from tapeflow.operators.portfolio import _with_rules
     from tapeflow.operators.strategies import stop_loss, table_rule_parts, target_price
     e = triggers.filter("status = 'eligible'").join(orders, "trigger_id")
     e = e.withColumn("price", F.coalesce("override_price", "current_price", "buy_below_price"))
-    sized = sizing.ratio_size(e, positions, p).filter("qty >= 1")
-    r = _with_rules(sized, latest_indicators, parsed_catalog)
+    sized = sizing.sequential_size(e, positions, "trigger_id", p).filter("qty >= 1")
+    r = _with_rules(sized, latest_indicators, parsed_catalog, how="left")
     parts = table_rule_parts()
     r = r.withColumn("stop_loss", stop_loss(parts, F.col("price"), F.col("price")))
     r = r.withColumn("target", target_price(parts, F.col("price"), F.col("stop_loss")))

@@ -242,12 +242,9 @@ def all_indicators(spark, d):
     return rounded(I.indicators(td.bars(spark, d)), ALL)
 
 
-RECENT = [c for c in I.WINDOW_COLUMNS if c != "obv"]  # 300 bars of warm-up settle all but the running total
-
-
-@query("incremental_indicators", "I-26 W-10", f"SELECT symbol, {DATE}, {rsql(RECENT)} FROM win4 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) <= 30", "win4")
+@query("incremental_indicators", "I-26 W-10", f"SELECT symbol, {DATE}, {rsql(ALL)} FROM ind QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) <= 30", "ind")
 def incremental_indicators(spark, d):
-    return rounded(I.incremental(td.bars(spark, d), days=30), RECENT)
+    return rounded(I.incremental(td.bars(spark, d), days=30), ALL)
 
 
 add_table("rs", "bars market_index", """

@@ -111,7 +111,7 @@ def closed_trade_summary(spark, d):
 SELECT symbol, CAST(exit_date AS VARCHAR) AS exit_date, CAST(entry_date AS VARCHAR) AS entry_date, qty FROM closed
 ORDER BY exit_date DESC, symbol, closed.entry_date, entry_price, exit_price, qty LIMIT 50""", "closed")
 def recent_trades(spark, d):
-    return PF.recent_trades(td.closed_trades(spark, d)).select("symbol", F.col("exit_date").cast("string"), F.col("entry_date").cast("string"), "qty")
+    return PF.recent_trades(td.closed_trades(spark, d), 50).select("symbol", F.col("exit_date").cast("string"), F.col("entry_date").cast("string"), "qty")
 
 
 @query("merged_positions", "A-14 S-07", """
@@ -198,7 +198,7 @@ SELECT symbol, side, gap_pct FROM (
 def opening_gaps(spark, d):
     watch = td.stocks(spark, d).select("symbol", F.lit("intraday").alias("timeframe"), F.lit(True).alias("is_active"), F.lit(0.5).alias("confidence"))
     held = td.holdings(spark, d)
-    tracked = PF.tracked_symbols(held, watch)
+    tracked = PF.tracked_symbols(held, watch, limit=20)
     g = PF.gap_lists(td.bars_raw(spark, d), tracked)
     return g.select("symbol", "side", (F.col("gap_pct") + 0.0).alias("gap_pct"))
 
@@ -438,7 +438,7 @@ def trigger_check_counts(spark, d):
 SELECT trigger_id, CAST(date_diff('day', trigger_date, {NOW}) AS INTEGER) AS days_old FROM triggers WHERE timeframe = 'swing' AND status = 'pending'
 ORDER BY trigger_date DESC, trigger_id DESC LIMIT 100""", "triggers")
 def trigger_list(spark, d):
-    return TR.find_triggers(triggers(spark, d), AS_OF, "pending", "swing").select("trigger_id", "days_old")
+    return TR.find_triggers(triggers(spark, d), AS_OF, "pending", "swing", limit=100).select("trigger_id", "days_old")
 
 
 @query("cancelled_triggers", "K-05", """
@@ -449,9 +449,17 @@ def cancelled_triggers(spark, d):
 
 
 @query("confirmed_buys", "K-05 H-01", """
-SELECT trigger_id, round(avg_cost, 4) + 0.0 AS avg_cost, qty FROM (
-SELECT trigger_id, cur AS avg_cost, CAST(floor((v - (v * CAST(0.001 AS DOUBLE) + 20)) / (cur * CAST(1.001 AS DOUBLE))) AS BIGINT) AS qty
-FROM (SELECT c.*, s.v FROM checked c JOIN sized s USING (trigger_id) WHERE new_status = 'eligible')) WHERE qty >= 1""", "checked sized")
+SELECT * FROM (WITH RECURSIVE o AS (
+  SELECT c.trigger_id, c.strategy_id, c.cur, a.available, 2500000 * SIZE * 0.9 AS cap, row_number() OVER (PARTITION BY c.strategy_id ORDER BY c.trigger_id) AS rn
+  FROM checked c JOIN avail a USING (trigger_id) WHERE c.new_status = 'eligible'),
+f AS (
+  SELECT strategy_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS VARCHAR) AS trigger_id, CAST(NULL AS DOUBLE) AS cur, CAST(0 AS BIGINT) AS qty, CAST(0 AS DOUBLE) AS spent
+  FROM o GROUP BY 1
+  UNION ALL SELECT strategy_id, rn, trigger_id, cur, q, spent + q * cur FROM (
+    SELECT *, CASE WHEN v - (v * CAST(0.001 AS DOUBLE) + 20) <= 0 THEN 0 ELSE CAST(floor((v - (v * CAST(0.001 AS DOUBLE) + 20)) / (cur * CAST(1.001 AS DOUBLE))) AS BIGINT) END AS q FROM (
+      SELECT o.strategy_id, o.rn, CAST(o.trigger_id AS VARCHAR) AS trigger_id, o.cur, f.spent, least(o.cap, 200000, greatest(0, o.available - f.spent)) AS v
+      FROM f JOIN o ON o.strategy_id = f.strategy_id AND o.rn = f.rn + 1)))
+SELECT trigger_id, round(cur, 4) + 0.0 AS avg_cost, qty FROM f WHERE qty >= 1)""".replace("SIZE", SIZE_TF.replace("timeframe", "c.timeframe")), "checked avail")
 def confirmed_buys(spark, d):
     t = TR.check_triggers(triggers(spark, d), prices_at(spark, d, "1999-01-15"), "1999-01-15")
     orders = t.select("trigger_id", F.lit(None).cast("double").alias("override_price"), F.lit("scheduled").alias("note"))
@@ -468,7 +476,7 @@ LEFT JOIN (SELECT sector, sum(qty * avg_cost) AS held FROM positions JOIN stocks
 def validated_triggers(spark, d):
     from tapeflow.functions.windows import latest
     from tapeflow.plans.q_strategies import panel
-    docs = ST.STRATEGIES[:12]
+    docs = ST.STRATEGIES
     p = TR.rule_checks(panel(spark, d), docs)
     last = latest(p.select("symbol", "date", *[f"checks_{i}" for i in range(len(docs))]), ["symbol"], "date")
     v = TR.validate(triggers(spark, d), last, docs, td.positions(spark, d), td.stocks(spark, d))

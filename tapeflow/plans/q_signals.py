@@ -82,7 +82,7 @@ def active_watchlist(spark, d):
 
 @query("signal_history", "G-06 W-10", "SELECT symbol, timeframe, strategy_id FROM sig_log QUALIFY row_number() OVER (PARTITION BY symbol, timeframe ORDER BY seq DESC) <= 100", "sig_log")
 def signal_history(spark, d):
-    return SG.history(signal_log(spark, d)).select("symbol", "timeframe", "strategy_id")
+    return SG.history(signal_log(spark, d), 100).select("symbol", "timeframe", "strategy_id")
 
 
 @query("signal_counts", "A-19", "SELECT timeframe, count(*) AS buy, CAST(0 AS BIGINT) AS sell, CAST(0 AS BIGINT) AS hold FROM sig_log GROUP BY 1", "sig_log")
@@ -223,16 +223,15 @@ def market_regime_forest(spark, d):
 @query("classified_regimes", "R-06 R-04 S-05 A-25")
 def classified_regimes(spark, d):
     m, s, k = market_rows(spark, d), sector_rows(spark, d), stock_rows(spark, d)
-    small = {"trees": 40}
-    return C.classify_all(C.train(m, **small), C.train(s, **small), C.train(k, **small), m, s, k, td.stocks(spark, d))
+    return C.classify_all(C.train(m), C.train(s), C.train(k), m, s, k, td.stocks(spark, d))
 
 
 # Patterns
 
-@query("pattern_states", "R-09 R-10 R-11 W-12 F-06")
+@query("pattern_states", "R-09 R-10 R-11 F-06")
 def pattern_states(spark, d):
     p = HM.pattern_rows(HM.name_states(HM.fit_states(td.bars(spark, d))))
-    return p.withColumns({c: F.to_json(c) for c in ("state_labels", "transition_matrix", "state_history")})
+    return p.withColumns({c: F.to_json(c) for c in ("state_labels", "transition_matrix")})
 
 
 @query("pattern_statistics", "R-12 A-16 J-11")
@@ -314,10 +313,10 @@ def page_fundamentals(spark, d):
 
 @query("eod_report", "Z-01 A-18 A-19")
 def eod_report(spark, d):
-    return reports.lines(reports.eod_report(cycles(spark, d), signal_log(spark, d)))
+    return reports.lines(reports.eod_report(cycles(spark, d), signal_log(spark, d), n=10))
 
 
 @query("morning_report", "Z-02 H-05 W-15")
 def morning_report(spark, d):
-    return reports.lines(reports.morning_report(td.bars_raw(spark, d), td.positions(spark, d), signal_log(spark, d)))
+    return reports.lines(reports.morning_report(td.bars_raw(spark, d), td.positions(spark, d), signal_log(spark, d), n=5, tracked_limit=20))
 

@@ -9,6 +9,7 @@ from tapeflow.operators import sweep as SW
 from tapeflow.plans import rule_sql
 from tapeflow.plans.fixture_sql import add_table
 from tapeflow.plans.q_indicators import DATE, rsql
+from tapeflow.params import DEFAULTS
 from tapeflow.plans.registry import query
 from tapeflow.sources import testdata as td
 
@@ -150,11 +151,11 @@ def cycle_breakdown(spark, d):
 
 
 @query("strategy_rollup", "A-05 T-05 J-12", """
-SELECT s.strategy_id, count(m.symbol) AS ok, 100 - count(m.symbol) AS failed, round(coalesce(avg(m.sharpe_ratio), 0), 3) + 0.0 AS avg_sharpe,
+SELECT s.strategy_id, count(m.symbol) AS ok, (SELECT count(*) FROM stocks) - count(m.symbol) AS failed, round(coalesce(avg(m.sharpe_ratio), 0), 3) + 0.0 AS avg_sharpe,
   round(coalesce(avg(m.win_rate), 0), 3) + 0.0 AS avg_win_rate,
   coalesce(avg(m.sharpe_ratio), 0) >= 1.0 AND coalesce(avg(m.win_rate), 0) >= 0.52 AS is_active
 FROM (VALUES """ + ", ".join(f"('{s['strategy_id']}')" for s in DOCS) + """) s(strategy_id)
-LEFT JOIN (SELECT * FROM metrics_all WHERE total_trades >= 5) m ON m.strategy_id = s.strategy_id GROUP BY 1""", "metrics_all")
+LEFT JOIN (SELECT * FROM metrics_all WHERE total_trades >= 5) m ON m.strategy_id = s.strategy_id GROUP BY 1""", "metrics_all stocks")
 def strategy_rollup(spark, d):
     n = td.stocks(spark, d).agg(F.count(F.lit(1)).alias("symbols"))
     attempted = ST.catalog(spark).select("strategy_id").crossJoin(F.broadcast(n))
@@ -162,11 +163,23 @@ def strategy_rollup(spark, d):
     return r.select("strategy_id", "ok", "failed", *[(F.round(c, 3) + 0.0).alias(c) for c in ("avg_sharpe", "avg_win_rate")], "is_active")
 
 
-@query("backtest_results", "W-12 F-05 F-06 T-07 A-04 S-05")
+RUN_ID = "substr(sha256(strategy_id || '|' || symbol || '|1995-01-01|" + td.AS_OF + "'), 1, 12) AS run_id"
+
+
+@query("backtest_results", "F-05 F-06 T-07 S-05", f"""
+SELECT strategy_id, symbol, {RUN_ID}, CASE strategy_id {' '.join(f"WHEN '{s['strategy_id']}' THEN '{s['timeframes'][0]}'" for s in DOCS)} END AS timeframe, total_trades,
+  {', '.join(f'round_even({c}, 4) + 0.0 AS {c}' for c in METRICS)} FROM metrics_all WHERE total_trades >= {DEFAULTS.min_trades}""", "metrics_all")
 def backtest_results(spark, d):
-    r = P.result_rows(trades(spark, d), DOCS, "1995-01-01", td.AS_OF, )
-    r = P.explore(r, limit=200)
-    return r.withColumns({"cycle_breakdown": F.to_json("cycle_breakdown"), "trades": F.to_json("trades")})
+    r = P.explore(P.result_rows(trades(spark, d), DOCS, "1995-01-01", td.AS_OF))
+    return r.select("strategy_id", "symbol", "run_id", "timeframe", "total_trades", *[(F.col(c) + 0.0).alias(c) for c in METRICS])
+
+
+@query("backtest_trade_log", "W-12 F-05", f"""
+SELECT strategy_id, symbol, {RUN_ID}, CAST(entry_date AS VARCHAR) AS entry_date, CAST(exit_date AS VARCHAR) AS exit_date, exit_reason FROM trades
+QUALIFY row_number() OVER (PARTITION BY strategy_id, symbol ORDER BY exit_date DESC, entry_date DESC) <= 500""", "trades")
+def backtest_trade_log(spark, d):
+    log = P.trade_log(trades(spark, d), "1995-01-01", td.AS_OF, n=500)
+    return log.select("strategy_id", "symbol", "run_id", F.col("entry_date").cast("string"), F.col("exit_date").cast("string"), "exit_reason")
 
 
 @query("best_backtests", "T-07 O-01 O-02", f"""
@@ -175,7 +188,7 @@ SELECT strategy_id, symbol, total_trades, sh + 0.0 AS sharpe_ratio FROM (
 ORDER BY sh DESC NULLS LAST, strategy_id, symbol LIMIT 200""", "metrics_all")
 def best_backtests(spark, d):
     m = P.trade_metrics(trades(spark, d), min_trades=5)
-    return P.explore(m, min_sharpe=0.5).select("strategy_id", "symbol", "total_trades", (F.col("sharpe_ratio") + 0.0).alias("sharpe_ratio"))
+    return P.explore(m, min_sharpe=0.5, limit=200).select("strategy_id", "symbol", "total_trades", (F.col("sharpe_ratio") + 0.0).alias("sharpe_ratio"))
 
 
 @query("sampled_backtest", "T-06 O-03")

@@ -68,19 +68,32 @@ def _stored(spark, stream, name):
     return spark.read.schema(stream.schema).parquet(_run(spark, stream, name))
 
 
-@query("streamed_tick_bars", "X-01", f"""
-SELECT symbol, {START}, open, high, low, close, volume, ticks FROM tick_bars
-WHERE bar_start + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM ticks) - INTERVAL 10 MINUTE""", "tick_bars ticks")
+def _split_events(spark, d):
+    """The events dealt over six files out of time order, as a stream that reads two files a batch."""
+    path = shared_folder(spark, "event-files")
+    events = spark.read.schema(B.EVENT_SCHEMA).parquet(f"{d}/events.parquet")
+    events.repartition(6, "event_id").write.parquet(path)
+    return td.tick_columns(B.read_events(spark, path, "part-*.parquet", files_per_batch=2))
+
+
+def _streamed_bars(spark, d):
+    out, ck = shared_folder(spark, "bar-parts"), shared_folder(spark, "bar-parts-checkpoint")
+    B.run_bars(_split_events(spark, d), out, ck).awaitTermination()
+    return B.merged_bars(spark.read.parquet(out))
+
+
+@query("streamed_tick_bars", "X-01", f"SELECT symbol, {START}, open, high, low, close, volume, ticks FROM tick_bars", "tick_bars")
 def streamed_tick_bars(spark, d):
-    ticks = td.tick_columns(B.read_events(spark, d))
-    return start(_stored(spark, B.stream_bars(ticks), "tick-bars")).drop("turnover")
+    return start(_streamed_bars(spark, d)).drop("turnover")
 
 
-@query("streamed_opening_ranges", "X-02", RANGES + " AND bar_start + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM ticks) - INTERVAL 10 MINUTE", "tick_bars ticks")
+@query("streamed_opening_ranges", "X-02", RANGES, "tick_bars")
 def streamed_opening_ranges(spark, d):
-    # The bar stream lands in a table; the stateful stream reads that table.
-    first = B.stream_bars(td.tick_columns(B.read_events(spark, d)))
-    bars = spark.readStream.schema(first.schema).parquet(_run(spark, first, "bars-for-ranges"))
+    # The merged bars land in a table; the stateful stream reads that table.
+    path = shared_folder(spark, "bars-for-ranges")
+    merged = _streamed_bars(spark, d)
+    merged.write.parquet(path)
+    bars = spark.readStream.schema(merged.schema).parquet(path)
     out = start(_stored(spark, opening_range.stream_opening_range(bars, "00:00"), "opening-ranges"))
     return out.withColumn("day", F.col("day").cast("string"))
 
@@ -110,17 +123,25 @@ def streamed_drawdown_alerts(spark, d):
 
 
 @query("streamed_trigger_checks", "X-03 K-02", """
-SELECT trigger_id, CASE WHEN price <= buy_below THEN 'eligible' ELSE 'pending' END AS status FROM (
-SELECT 'X' || symbol AS trigger_id, arg_max(price, ts) AS price, avg(price) AS buy_below FROM ticks GROUP BY 1) WHERE price <= buy_below""", "ticks")
+SELECT 'X' || symbol AS trigger_id, 'eligible' AS status FROM ticks GROUP BY symbol HAVING min(price) <= avg(price) * 0.5""", "ticks")
 def streamed_trigger_checks(spark, d):
-    trg = td.ticks(spark, d).groupBy("symbol").agg(F.avg("price").alias("buy_below_price")).select(
+    trg = td.ticks(spark, d).groupBy("symbol").agg((F.avg("price") * 0.5).alias("buy_below_price")).select(
         F.concat(F.lit("X"), "symbol").alias("trigger_id"), "symbol", "buy_below_price", F.lit(None).cast("date").alias("expiry_date"),
         F.lit("pending").alias("status"), F.lit(None).cast("double").alias("current_price"), F.lit(None).cast("double").alias("distance_pct"))
     out, ck = shared_folder(spark, "trigger-changes"), shared_folder(spark, "trigger-checkpoint")
+    written = []
+
+    def read():
+        if not written:
+            return trg
+        done = spark.read.parquet(*written)
+        return trg.join(done.select("trigger_id").distinct(), "trigger_id", "left_anti").unionByName(done)
 
     def write(changes, batch_id):
-        changes.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        path = f"{out}/batch={batch_id}"
+        changes.write.mode("overwrite").parquet(path)
+        if path not in written:
+            written.append(path)
 
-    q = alerts.run_trigger_checks(td.tick_columns(B.read_events(spark, d)), lambda: trg, write, "2024-01-31", ck)
-    q.awaitTermination()
-    return spark.read.parquet(out).select("trigger_id", "status").distinct()
+    alerts.run_trigger_checks(_split_events(spark, d), read, write, "2024-01-31", ck).awaitTermination()
+    return spark.read.parquet(out).select("trigger_id", "status")

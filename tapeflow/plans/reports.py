@@ -10,16 +10,16 @@ from tapeflow.operators import regimes as R
 from tapeflow.operators import signals as SG
 
 
-def eod_report(cycles: DataFrame, log: DataFrame, n: int = 10) -> dict[str, DataFrame]:
+def eod_report(cycles: DataFrame, log: DataFrame, n: int | None = None) -> dict[str, DataFrame]:
     """End of day: regime, sector tally, signal counts and the best buys."""
     watch = SG.watchlist(log, signal_type="buy")
-    return {"regime": R.market_state(cycles), "sectors": R.sector_tally(cycles), "counts": SG.counts(log), "top": watch.limit(n)}
+    return {"regime": R.market_state(cycles), "sectors": R.sector_tally(cycles), "counts": SG.counts(log), "top": watch if n is None else watch.limit(n)}
 
 
-def morning_report(bars: DataFrame, positions: DataFrame, log: DataFrame, n: int = 5) -> dict[str, DataFrame]:
+def morning_report(bars: DataFrame, positions: DataFrame, log: DataFrame, n: int | None = None, tracked_limit: int | None = None) -> dict[str, DataFrame]:
     """Morning: the largest gaps each way and the three best setups."""
     watch = SG.supersede(log)
-    tracked = PF.tracked_symbols(positions, watch)
+    tracked = PF.tracked_symbols(positions, watch, limit=tracked_limit)
     return {"gaps": PF.gap_lists(bars, tracked, n=n), "setups": SG.top_setups(watch)}
 
 

@@ -34,11 +34,13 @@ def get_spark(app: str = "tapeflow", master: str | None = None, **conf) -> Spark
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder in that setting. Only when it is unset, as
-    in local tests, is a temporary folder taken and the setting filled in.
+    A cluster must name a shared folder in that setting. Only with a local master,
+    as in tests, is a temporary folder taken and the setting filled in.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tapeflow-")
         spark.conf.set("spark.checkpoint.dir", base)
     return os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")

@@ -104,10 +104,11 @@ def cells(pages: DataFrame) -> DataFrame:
 
 
 def _first_match(name, table):
+    """Field of the first pattern that names one; entries without a field stand for labels that are skipped and end nothing."""
     out = F
     for part, field in table:
-        hit = F.lit(field).cast("string")
-        out = out.when(name.contains(part), hit)
+        if field is not None:
+            out = out.when(name.contains(part), F.lit(field))
     return out
 
 

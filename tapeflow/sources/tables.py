@@ -98,8 +98,9 @@ def conform(df: DataFrame, target: T.StructType) -> DataFrame:
 
 
 def dedupe(df: DataFrame, keys: list[str], order: list | None = None) -> DataFrame:
-    """One row per key: the last one in ``order``."""
-    w = Window.partitionBy(*keys).orderBy(*(order or [F.lit(1)]))
+    """One row per key: the first one in ``order``; without an order the smallest row by all its columns."""
+    rest = [F.col(c) for c in df.columns if c not in keys and not isinstance(df.schema[c].dataType, T.MapType)]
+    w = Window.partitionBy(*keys).orderBy(*(order or rest or keys))
     return df.withColumn("_rk", F.row_number().over(w)).filter("_rk = 1").drop("_rk")
 
 
@@ -122,7 +123,12 @@ def insert_absent(old: DataFrame, new: DataFrame, keys: list[str], order: list |
 
 def upsert_table(spark: SparkSession, path: str, new: DataFrame, keys: list[str], partition_by: str,
                  order: list | None = None) -> None:
-    """Upsert into a partitioned Parquet table, rewriting only the partitions ``new`` touches."""
+    """Upsert into a partitioned Parquet table, rewriting only the partitions ``new`` touches.
+
+    The partition column must be a key or follow from one (as the year of a date):
+    a key that moved to another partition would stay behind in its old one. A row of ``new``
+    whose key is stored under another partition is refused.
+    """
     try:
         old = spark.read.parquet(path)
     except Exception as e:  # the first load has no table yet
@@ -130,6 +136,11 @@ def upsert_table(spark: SparkSession, path: str, new: DataFrame, keys: list[str]
             raise
         dedupe(new, keys, order).write.partitionBy(partition_by).parquet(path)
         return
+    if partition_by not in keys:
+        moved = old.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(partition_by).alias("_part"))
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        if not new.join(moved, [*same, ~F.col(partition_by).eqNullSafe(F.col("_part"))], "left_semi").isEmpty():
+            raise ValueError(f"a key would move to another {partition_by}")
     touched = new.select(partition_by).distinct()
     old = old.join(touched, partition_by, "left_semi").select(*old.columns)
     (upsert(old, new.select(*old.columns), keys, order)

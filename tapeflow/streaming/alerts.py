@@ -12,21 +12,22 @@ from tapeflow.operators.triggers import check_triggers
 from tapeflow.params import DEFAULTS
 
 
-def newest_prices(ticks: DataFrame) -> DataFrame:
-    """Last price per symbol of a micro-batch."""
-    return ticks.groupBy("symbol").agg(F.max_by("price", "ts").alias("price"))
+def batch_prices(ticks: DataFrame) -> DataFrame:
+    """Last and lowest price per symbol of a micro-batch."""
+    return ticks.groupBy("symbol").agg(F.max_by("price", "ts").alias("price"), F.min("price").alias("low"))
 
 
 def run_trigger_checks(ticks: DataFrame, read_triggers: Callable[[], DataFrame], write_changes: Callable[[DataFrame, int], None],
                        as_of: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Check the pending triggers against every micro-batch of prices.
 
-    ``read_triggers`` returns the current snapshot and ``write_changes`` stores
-    the changed rows under the batch id, so that a replayed batch is harmless.
+    ``read_triggers`` returns the snapshot with all changes written so far and ``write_changes`` stores
+    the changed rows under the batch id, so that a replayed batch is harmless. The lowest price of a batch decides, so
+    a dip inside a batch counts however the stream is cut.
     """
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         pending = read_triggers().filter("status = 'pending'")
-        after = check_triggers(pending, newest_prices(batch), as_of)
+        after = check_triggers(pending, batch_prices(batch), as_of)
         write_changes(after.filter("status <> 'pending'"), batch_id)
 
     return ticks.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

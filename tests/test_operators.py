@@ -233,8 +233,10 @@ def test_pattern_tables(spark, small):
     named = patterns.name_states(patterns.fit_states(td.bars(spark, small))).persist()
     p = patterns.pattern_rows(named)
     cur = {r.symbol: r.current_state for r in patterns.current_states(named).collect()}
-    hist = patterns.state_history(p)
+    assert patterns.state_history(named).count() == named.count()
+    hist = patterns.state_history(named, 500)
     assert hist.groupBy("symbol").count().agg(F.max("count")).first()[0] <= 500
+    assert p.count() == named.select("symbol").distinct().count()
     last = {r.symbol: r.state for r in hist.groupBy("symbol").agg(F.max_by("state", "date").alias("state")).collect()}
     assert cur == last and len(cur) > 0
     named.unpersist()
