@@ -123,6 +123,15 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return _spans(low, offsets, _BLANK[low])
 
 
+_SPACE = np.ones(256, bool)
+_SPACE[[32, 10]] = False
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Strings between spaces and line ends, as they are."""
+    return _spans(data, offsets, _SPACE[data])
+
+
 def _spans(low: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n = len(low)
     if not n:
@@ -159,6 +168,26 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def flagged(df: DataFrame, keys: DataFrame, key: str, name: str = "maybe__", bits: int = 1 << 24) -> DataFrame:
+    """`df` with a boolean column: false only where the key is not among `keys` (which has the same column).
+
+    The bitmap behind it is built by a distributed aggregate and has `bits` bits whatever the number of keys, so it may go to all
+    tasks; where it fills up it only sends more rows to the join that decides."""
+    slot = F.pmod(F.xxhash64(key), F.lit(bits)) + 1
+    marks = keys.select(F.bitmap_bucket_number(slot).alias("part__"), F.bitmap_bit_position(slot).alias("bit__")) \
+        .groupBy("part__").agg(F.bitmap_construct_agg("bit__").alias("marks__"))
+    at = F.bitmap_bit_position("slot__")
+    byte = F.conv(F.hex(F.substring("marks__", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.floor(byte / F.pow(F.lit(2), at % 8)).cast("int") % 2 == 1
+    own = df.withColumn("slot__", slot).join(F.broadcast(marks), F.bitmap_bucket_number("slot__") == F.col("part__"), "left")
+    return own.select(*df.columns, F.coalesce(bit, F.lit(False)).alias(name))
+
+
+def maybe_in(df: DataFrame, keys: DataFrame, key: str, bits: int = 1 << 24) -> DataFrame:
+    """Rows of `df` whose key may be among `keys`: all that are and few others."""
+    return flagged(df, keys, key, bits=bits).where("maybe__").drop("maybe__")
+
+
 def connected(edges: DataFrame, purpose: str) -> DataFrame:
     """(v, root) for the undirected edges (a, b): root is the smallest id of the component.
 

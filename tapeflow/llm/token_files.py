@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,14 +30,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapeflow.llm.common import shared_dir
+from tapeflow.llm.common import pieces, shared_dir, text_slices
 
 END_ID = 2
 SHARD_TOKENS = 1 << 20
 MAX_ROUNDS = 6
 MAX_RULES = 1 << 14
 MIN_COUNT = 8
+SLOT_BITS = 18  #: of the table of hashed pair counts, small enough for the processor's cache
 _MAGIC = b"RPS1"
+MARKS = ".,;:!?%$*&|#@)"  #: punctuation that is cut off a word before it is looked up
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -45,44 +48,79 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class _ByteLetters(dict):
+    """The characters that stand for the UTF-8 bytes of a character in a byte-level vocabulary, asked of the library once each."""
+
+    def __missing__(self, code: int) -> str:
+        from tokenizers import pre_tokenizers
+
+        self[code] = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(code))[0][0]
+        return self[code]
+
+
 class Encoder:
     """Ids of texts. Pieces between spaces are encoded once and remembered: the vocabulary never joins across white space.
 
-    The memory is emptied when it holds `keep` pieces, so it is bounded whatever the texts."""
+    A piece that is one word of Latin-1 letters, with or without punctuation behind it, goes straight to the library's
+    model: lower-casing is all its normaliser does to it and its pattern cuts it where the letters end. Other pieces take the full way.
+    The memory, by 64-bit fingerprints of pieces, is emptied when it holds `keep` of them, so it is bounded whatever the texts."""
 
     def __init__(self, path: str, keep: int = 1 << 20):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.keep, self.known, self.stems = keep, {}, {}
-
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.known) + len(pieces) > self.keep:
-            self.known.clear()
-        if len(self.stems) > self.keep:
-            self.stems.clear()
-        split = [(p, p[:-1].lower(), p[-1]) if p[-1] in ".," and p.isascii() and p[:-1].isalpha() else (p, p.lower(), "") if p.isascii() and p.isalpha() else (p, p, "")
-                 for p in pieces]
-        new = list({s for _, s, _ in split if s not in self.stems} | {t for t in (".", ",") if t not in self.stems})
-        for s, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.stems[s] = np.array(e.ids, np.uint32).tobytes()
-        for p, s, t in split:
-            self.known[p] = self.stems[s] + self.stems[t] if t else self.stems[s]
-
-    def __call__(self, text: str) -> bytes:
-        pieces = text.replace("\n", " ").split(" ")
-        get = self.known.get
-        got = [get(p) for p in pieces]
-        if None in got:
-            self._learn(list({p for p, g in zip(pieces, got, strict=True) if g is None and p}))
-            self.known[""] = b""
-            got = [get(p) or self._again(p) for p in pieces]
-        return b"".join(got)
-
-    def _again(self, piece: str) -> bytes:
-        if piece and piece not in self.known:
-            self._learn([piece])
-        return self.known.get(piece, b"")
+        self.model = self.tok.model
+        self.letters = _ByteLetters()
+        self.keep, self.known, self.words, self.tails = keep, {}, {}, {}
+
+    def _full(self, pieces: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        if len(self.words) > self.keep // 2:
+            self.words.clear()
+        words, tails, tokenize, out, rest = self.words, self.tails, self.model.tokenize, [], []
+        for i, p in enumerate(pieces):
+            body = p.rstrip(MARKS)
+            if body.isalpha() and (body.isascii() or max(body) <= "ÿ"):
+                word, tail = body.lower(), p[len(body):]
+                ids = words.get(word)
+                if ids is None:
+                    shown = word if word.isascii() else word.translate(self.letters)
+                    ids = words[word] = array("I", [t.id for t in tokenize(shown)]).tobytes()
+                if tail:
+                    if tail not in tails:
+                        tails[tail] = self._full([tail])[0]
+                    ids = ids + tails[tail]
+                out.append(ids)
+            else:
+                out.append(b"")
+                rest.append(i)
+        if len(tails) > 1 << 14:
+            tails.clear()
+        for i, ids in zip(rest, self._full([pieces[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
+    def __call__(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each) of UTF-8 texts that lie behind one another."""
+        key, row, start, end = pieces(data, off)
+        own, first, inv = np.unique(key, return_index=True, return_inverse=True)
+        keys = own.tolist()
+        got = list(map(self.known.get, keys))
+        new = [i for i, g in enumerate(got) if g is None]
+        if new:
+            raw, at = data.tobytes(), first[new]
+            for i, ids in zip(new, self._learn([raw[a:b].decode("utf-8", "replace") for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]), strict=True):
+                got[i] = ids
+            if len(self.known) + len(new) > self.keep:
+                self.known.clear()
+            self.known.update((keys[i], got[i]) for i in new)
+        flat = np.frombuffer(b"".join(got), np.uint32)
+        size = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        count = size[inv]
+        place = np.repeat((np.cumsum(size) - size)[inv] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        return flat[place], np.bincount(row, count, len(off) - 1).astype(np.int64)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -101,35 +139,37 @@ def compress(ids: np.ndarray, first: int, max_rounds: int = MAX_ROUNDS, min_coun
         room = max_rules - len(rules)
         if len(seq) < 2 or room <= 0:
             break
-        slot = ((seq[:-1] * np.uint32(0x9E3779B1) ^ seq[1:] * np.uint32(0x85EBCA77)) >> np.uint32(10)).astype(np.int64)
-        count = np.bincount(slot, minlength=1 << 22)
-        floor = min_count
-        if (count >= floor).sum() > room:  # only the most frequent pairs get this round's rules
-            floor = max(floor, int(np.partition(count, -room)[-room]))
+        # Counts of hashed pairs are upper bounds; only places whose pair may be frequent enough are counted exactly.
+        slot = (seq[:-1] * np.uint32(0x9E3779B1) ^ seq[1:] * np.uint32(0x85EBCA77)) >> np.uint32(32 - SLOT_BITS)
+        count = np.bincount(slot, minlength=1 << SLOT_BITS)
+        most = max(1, min(room, MAX_RULES // 4 * (round_ + 1)))
+        tall = np.bincount(np.minimum(count, 1 << 16))[::-1].cumsum()[::-1]  # slots with at least that count
+        floor = max(min_count, int(np.searchsorted(-tall, -2 * most, side="left")))
         at = np.flatnonzero((count >= floor)[slot])
         code = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
-        pair, inv, n = np.unique(code, return_inverse=True, return_counts=True)
-        rank = np.full(len(pair), -1)
+        order = np.argsort(code)
+        code = code[order]
+        head = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+        pair, n = code[head], np.diff(np.append(head, len(code)))
         good = np.flatnonzero(n >= min_count)
-        good = good[np.argsort(-n[good], kind="stable")][:max(1, min(room, MAX_RULES // 4 * (round_ + 1)))]
+        good = good[np.argsort(-n[good], kind="stable")][:most]
         if not len(good):
             break
+        rank = np.full(len(pair), -1)
         rank[good] = np.arange(len(good))
-        chosen = rank[inv]
+        chosen = np.empty(len(code), np.int64)
+        chosen[order] = np.repeat(rank, n)
         at, chosen = at[chosen >= 0], chosen[chosen >= 0]
         # Neighbouring places overlap: of each run of them every second one is replaced.
         head = np.flatnonzero(np.concatenate([[True], np.diff(at) != 1]))
-        nth = np.arange(len(at)) - np.repeat(head, np.diff(np.concatenate([head, [len(at)]])))
+        nth = np.arange(len(at)) - np.repeat(head, np.diff(np.append(head, len(at))))
         at, chosen = at[nth % 2 == 0], chosen[nth % 2 == 0]
-        used = np.bincount(chosen, minlength=len(good))
-        keep = used >= 3
+        keep = np.bincount(chosen, minlength=len(good)) >= 3
         if not keep.any():
             break
         at, chosen = at[keep[chosen]], chosen[keep[chosen]]
-        number = np.cumsum(keep) - 1
         new = pair[good[keep]]
-        seq = seq.copy()
-        seq[at] = first + len(rules) + number[chosen]
+        seq[at] = first + len(rules) + (np.cumsum(keep) - 1)[chosen]
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
         seq = seq[stay]
@@ -214,28 +254,38 @@ def _write(path: str, end_id: int, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(path)
         first = max(encode.tok.get_vocab_size(with_added_tokens=True), end_id + 1)
-        end, part, number = np.array([end_id], np.uint32).tobytes(), TaskContext.get().partitionId(), 0
-        ids, counts, parts, held = [], [], [], 0
-
-        def flush():
-            nonlocal number, ids, counts, parts, held
-            flat = np.frombuffer(b"".join(parts), np.uint32)
-            row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([len(flat)], pa.int64()),
-                                              pa.array([pack(ids, np.array(counts), flat, first)], pa.binary())], names=["part", "shard", "n_docs", "n_tokens", "body"])
-            number, ids, counts, parts, held = number + 1, [], [], [], 0
-            return row
+        part, number = TaskContext.get().partitionId(), 0
+        held: list[tuple[list, np.ndarray, np.ndarray]] = []
+
+        def shard(doc_ids, counts, ids):
+            nonlocal number
+            number += 1
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number - 1], pa.int32()), pa.array([len(doc_ids)], pa.int64()), pa.array([len(ids)], pa.int64()),
+                                               pa.array([pack(doc_ids, counts, ids, first)], pa.binary())], names=["part", "shard", "n_docs", "n_tokens", "body"])
+
+        def flushed(all_: bool):
+            """Full shards of what is held; the rest stays, or goes too with `all_`."""
+            nonlocal held
+            doc_ids, counts, ids = [d for h in held for d in h[0]], np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
+            end = np.cumsum(counts)
+            a = 0
+            while a < len(doc_ids):
+                base = int(end[a - 1]) if a else 0
+                b = max(a + 1, int(np.searchsorted(end, base + shard_tokens, side="right")))
+                if b >= len(doc_ids) and not all_:
+                    break
+                yield shard(doc_ids[a:b], counts[a:b], ids[base:int(end[b - 1])])
+                a = b
+            held = [(doc_ids[a:], counts[a:], ids[int(end[a - 1]) if a else 0:])] if a < len(doc_ids) else []
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                own = encode(text.as_py() or "") + end
-                if held and held + len(own) // 4 > shard_tokens:
-                    yield flush()
-                ids.append(doc_id)
-                counts.append(len(own) // 4)
-                parts.append(own)
-                held += len(own) // 4
-        if ids:
-            yield flush()
+            for at, n, data, off in text_slices(batch, "text"):
+                ids, counts = encode(data, off)
+                held.append((batch.column("doc_id").slice(at, n).to_pylist(), counts + 1, np.insert(ids, np.cumsum(counts), np.uint32(end_id))))
+                if sum(len(h[2]) for h in held) > shard_tokens:
+                    yield from flushed(False)
+        if held:
+            yield from flushed(True)
     return run
 
 
