@@ -106,6 +106,12 @@ def sequential_size(proposals: DataFrame, positions: DataFrame, order: str, p=DE
     return d.join(filled, order)
 
 
+def ratio_totals(ratios: DataFrame, keys: list[str]) -> DataFrame:
+    """Sum of the allocation ratios (column ``ratio``) per group, and whether it is at most 1 and 1 within 0.01."""
+    total = F.sum("ratio")
+    return ratios.groupBy(*keys).agg(total.alias("total"), (total <= 1.0).alias("fits"), (F.abs(total - 1.0) <= 0.01).alias("exact"))
+
+
 def sector_exposure(proposals: DataFrame, positions: DataFrame, stocks: DataFrame, p=DEFAULTS) -> DataFrame:
     """Whether a proposal (symbol, value_inr) keeps its sector within the limit."""
     dim = stocks.select("symbol", "sector")

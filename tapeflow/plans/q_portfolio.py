@@ -158,6 +158,14 @@ SELECT *, CASE WHEN v - (v * 0.001 + 20) <= 0 THEN 0 ELSE CAST(floor((v - (v * C
 FROM (SELECT *, least(2500000 * {SIZE_TF} * 0.9, 200000, available) AS v FROM avail)""")
 
 
+@query("ratio_totals", "H-13", """
+SELECT timeframe, round(sum(v) / 500000, 6) + 0.0 AS total, sum(v) / 500000 <= 1.0 AS fits, abs(sum(v) / 500000 - 1.0) <= 0.01 AS exact
+FROM (SELECT timeframe, qty * avg_cost AS v FROM positions) GROUP BY 1""", "positions")
+def ratio_totals(spark, d):
+    shares = td.positions(spark, d).select("timeframe", (F.col("qty") * F.col("avg_cost") / 500000).alias("ratio"))
+    return SZ.ratio_totals(shares, ["timeframe"]).select("timeframe", *r(["total"], 6), "fits", "exact")
+
+
 @query("available_capital", "A-21", "SELECT trigger_id, round(available, 3) + 0.0 AS capital_available FROM avail", "avail")
 def available_capital(spark, d):
     a = SZ.available_capital(proposals(spark, d), td.positions(spark, d))

@@ -54,6 +54,20 @@ WHERE entry AND p.close > stop_loss AND (target_price - p.close) / (p.close - st
   AND {CONF} >= CASE m.cycle WHEN 'bear' THEN 0.3 ELSE 0.5 END""")
 
 
+MODEL_CONF = f"coalesce(p.rsi_14 / 100, {CONF})"  # any column may stand for a model's confidence
+
+
+@query("model_confidence_signals", "G-03", f"""
+SELECT h.symbol, timeframe, strategy_id, round_even({MODEL_CONF}, 4) + 0.0 AS confidence
+FROM sig_hits h JOIN panel p ON p.symbol = h.symbol AND p.date = h.date CROSS JOIN (SELECT cycle FROM regime WHERE scope = 'market') m
+WHERE entry AND p.close > stop_loss AND (target_price - p.close) / (p.close - stop_loss) >= 1.5
+  AND {MODEL_CONF} >= CASE m.cycle WHEN 'bear' THEN 0.3 ELSE 0.5 END""", "sig_hits panel regime")
+def model_confidence_signals(spark, d):
+    hits = SG.entries(panel(spark, d), DOCS)
+    s = SG.generate(hits, R.current_regime(cycles(spark, d)), NOW, model_confidence=F.col("rsi_14") / 100, p=EASY)
+    return s.select("symbol", "timeframe", "strategy_id", (F.bround("confidence", 4) + 0.0).alias("confidence"))
+
+
 def signal_log(spark, d, p=EASY, timeframe=None):
     hits = SG.entries(panel(spark, d), DOCS)
     return SG.generate(hits, R.current_regime(cycles(spark, d)), NOW, timeframe=timeframe, p=p)
@@ -287,26 +301,27 @@ def holdings_file_check(spark, d):
 
 
 @query("page_titles", "S-10", """
-SELECT page_id, len(regexp_extract_all(html, '<a [^>]*href="')) AS links FROM pages""")
+SELECT page_id, replace(replace(replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title, len(regexp_extract_all(html, '<a [^>]*href="')) AS links FROM pages""")
 def page_titles(spark, d):
-    return html_fields.titles_and_links(td.table(spark, d, "pages")).select("page_id", "links")
+    return html_fields.titles_and_links(td.table(spark, d, "pages")).select("page_id", F.trim("title").alias("title"), "links")
 
 
 @query("page_fundamentals", "S-10 F-02", """
-SELECT page_id, CAST(page_id % 90 + 5 AS DOUBLE) AS pe_ratio, CAST(1000 + page_id AS DOUBLE) AS revenue_cr,
+SELECT page_id, CAST(page_id % 90 + 5 AS DOUBLE) AS pe_ratio, CAST(page_id % 7 + 1 AS DOUBLE) AS pb_ratio, CAST(1000 + page_id AS DOUBLE) AS revenue_cr,
   round((CAST(1000 + page_id AS DOUBLE) / (900 + page_id) - 1) * 100, 6) + 0.0 AS revenue_growth, CAST(page_id % 60 AS DOUBLE) + 0.5 AS promoter_holding FROM pages""")
 def page_fundamentals(spark, d):
     # The driver's pages carry no ratio tables, so each page gets one derived from its id.
     pid = F.col("page_id")
     extra = F.concat(
         F.lit('<ul id="top-ratios"><li><span class="name">Stock P/E</span><span class="value">₹'), (pid % 90 + 5).cast("string"),
+        F.lit('</span></li><li><span class="name">Price to book value</span><span class="value">'), (pid % 7 + 1).cast("string"),
         F.lit('</span></li></ul><section id="profit-loss"><table><tr><td>Sales</td><td>'), F.format_number(900 + pid, 0),
         F.lit("</td><td>"), F.format_number(1000 + pid, 0),
         F.lit('</td></tr></table></section><section id="shareholding"><table><tbody><tr><td>Promoters</td><td>'),
         (pid % 60).cast("string"), F.lit(".5%</td></tr></tbody></table></section>"))
     pages = td.table(spark, d, "pages").withColumn("html", F.concat("html", extra))
     f = html_fields.fundamentals(pages)
-    return f.select("page_id", "pe_ratio", "revenue_cr", (F.round("revenue_growth", 6) + 0.0).alias("revenue_growth"), "promoter_holding")
+    return f.select("page_id", "pe_ratio", "pb_ratio", "revenue_cr", (F.round("revenue_growth", 6) + 0.0).alias("revenue_growth"), "promoter_holding")
 
 
 # Reports

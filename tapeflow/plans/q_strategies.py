@@ -191,7 +191,10 @@ def best_backtests(spark, d):
     return P.explore(m, min_sharpe=0.5, limit=200).select("strategy_id", "symbol", "total_trades", (F.col("sharpe_ratio") + 0.0).alias("sharpe_ratio"))
 
 
-@query("sampled_backtest", "T-06 O-03")
+@query("sampled_backtest", "T-06 O-03", f"""
+SELECT strategy_id, symbol, total_trades, winning_trades, losing_trades, {', '.join(f'round_even({c}, 4) + 0.0 AS {c}' for c in METRICS)},
+  sharpe_ratio >= 1.0 AND win_rate >= 0.52 AND total_trades >= 50 AS passes_gates
+FROM metrics_all WHERE total_trades >= 5 AND symbol IN (SELECT symbol FROM (SELECT DISTINCT symbol FROM stocks) ORDER BY md5('42|' || symbol), symbol LIMIT 30)""", "metrics_all stocks")
 def sampled_backtest(spark, d):
     from tapeflow.sources.universe import sample_symbols
     pick = sample_symbols(td.stocks(spark, d), 30)
@@ -219,6 +222,22 @@ def rule_explanations(spark, d):
 add_table("last_ind", "ind", "SELECT * FROM ind QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1")
 
 
+@query("next_generations", "T-10", """
+SELECT t AS template, coalesce(max(CASE WHEN p_partkey % 3 = 0 AND 'T' || (p_partkey % 5) = t THEN p_size END), 0) + 1 AS generation
+FROM part, (SELECT unnest(['T0', 'T1', 'T2', 'T3', 'T4', 'T5']) AS t) GROUP BY 1""")
+def next_generations(spark, d):
+    # A table of discovered strategies from the parts: origin, name and generation of each.
+    k = F.col("p_partkey")
+    found = td.table(spark, d, "part").select(
+        F.when(k % 3 == 0, "genetic").otherwise("seed").alias("discovered_by"), F.concat(F.lit("T"), (k % 5).cast("string"), F.lit(" variant "), k.cast("string")).alias("name"),
+        F.col("p_size").alias("generation"))
+    out = None
+    for t in ("T0", "T1", "T2", "T3", "T4", "T5"):
+        one = ST.next_generation(found, t).select(F.lit(t).alias("template"), "generation")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("active_strategies", "S-12 T-09 P-14", "SELECT * FROM (VALUES " + ", ".join(
     f"('{s['strategy_id']}', '{s['name']}', '{s['type']}')" for s in DOCS if "swing" in s["timeframes"]) + """) c(strategy_id, name, type)
 CROSS JOIN (SELECT sector, count(*) AS symbols FROM stocks GROUP BY 1)""", "stocks")

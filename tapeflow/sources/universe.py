@@ -38,6 +38,6 @@ def symbols_in_sector(universe: DataFrame, sector: str) -> DataFrame:
 
 
 def sample_symbols(universe: DataFrame, n: int, seed_value: int = 42) -> DataFrame:
-    """n symbols in hash order: the same ones on every run."""
+    """n symbols in the order of a seeded digest: the same ones on every run and in any engine that has md5."""
     return (universe.select("symbol").distinct()
-            .orderBy(F.xxhash64("symbol", F.lit(seed_value)), "symbol").limit(n))
+            .orderBy(F.md5(F.concat(F.lit(f"{seed_value}|"), F.col("symbol")).cast("binary")), "symbol").limit(n))

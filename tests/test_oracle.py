@@ -37,7 +37,7 @@ def test_every_operator_has_a_query():
     count = {"S": 14, "P": 14, "J": 17, "A": 25, "W": 17, "I": 32, "R": 13, "T": 10, "G": 8, "K": 5, "H": 15, "C": 8, "X": 4, "Z": 4, "O": 3, "U": 3, "F": 8}
     skip = {"I-25"}  # computed but never stored upstream
     want = {f"{k}-{i:02d}" for k, n in count.items() for i in range(1, n + 1)} - skip
-    assert want - covered == {"T-10"}  # works on the catalogue alone, see test_strategy_catalogue
+    assert want <= covered
 
 
 def test_every_sql_text_is_complete():
