@@ -7,8 +7,11 @@ pass for all strategies. Only the position walk runs in Python, per symbol
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,6 +133,21 @@ def walk(close, entry, exit_, stop, target, trail: float | None, warmup: int):
             return trades
 
 
+BITS = 62  # flags in one long
+
+
+def _packed(signals: DataFrame, n: int) -> DataFrame:
+    """Flags of all strategies as bits, and their levels only on rows where one enters: little goes to Python."""
+    def bits(kind):
+        words = [[F.when(F.col(f"{kind}_{i}"), F.lit(1 << (i - lo)).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for i in range(lo, min(n, lo + BITS))]
+                 for lo in range(0, n, BITS)]
+        return F.array(*[reduce(lambda a, b: a.bitwiseOR(b), w) for w in words])
+
+    levels = F.array(*[F.col(f"{k}_{i}") for k in ("stop", "target") for i in range(n)])
+    out = signals.select("symbol", "date", "close", "cycle", bits("entry").alias("entry"), bits("exit").alias("exit"), levels.alias("levels"))
+    return out.withColumn("levels", F.when(F.exists("entry", lambda b: b != 0), F.col("levels")))
+
+
 def replay(signals: DataFrame, docs: list[dict], p=DEFAULTS) -> DataFrame:
     """Walk all strategies over each symbol's signal columns; one row per closed trade."""
     schema_names = [f.split()[0] for f in TRADE_SCHEMA.split(", ")]
@@ -144,13 +162,16 @@ def replay(signals: DataFrame, docs: list[dict], p=DEFAULTS) -> DataFrame:
         close = t.column("close").to_numpy()
         out = {c: [] for c in ("sid", "e", "x", "level", "why")}
         if len(close) >= p.min_bars_replay:
-            for i in range(len(ids)):
-                entry = t.column(f"entry_{i}").to_numpy()
+            n = len(ids)
+            flags = {k: pc.list_flatten(t.column(k)).to_numpy().reshape(len(close), -1) for k in ("entry", "exit")}
+            rows = np.flatnonzero(flags["entry"].any(1))
+            levels = np.full((2 * n, len(close)), np.nan)
+            levels[:, rows] = pc.list_flatten(t.column("levels").drop_null()).to_numpy(zero_copy_only=False).reshape(-1, 2 * n).T
+            for i in range(n):
+                entry, leave = ((flags[k][:, i // BITS] >> (i % BITS) & 1).astype(bool) for k in ("entry", "exit"))
                 if not entry.any():
                     continue
-                trades = walk(close, entry, t.column(f"exit_{i}").to_numpy(),
-                              t.column(f"stop_{i}").to_numpy(), t.column(f"target_{i}").to_numpy(),
-                              trails[i], p.warmup_rows)
+                trades = walk(close, entry, leave, levels[i], levels[n + i], trails[i], p.warmup_rows)
                 for e, x, level, why in trades:
                     for k, v in zip(out, (i, e, x, level, why)):
                         out[k].append(v)
@@ -167,7 +188,7 @@ def replay(signals: DataFrame, docs: list[dict], p=DEFAULTS) -> DataFrame:
                 pa.array([REASONS[i] for i in out["why"]], pa.string()), t.column("cycle").take(pa.array(x))]
         return pa.table(cols, names=schema_names)
 
-    return signals.groupBy("symbol").applyInArrow(run, TRADE_SCHEMA)
+    return _packed(signals, len(ids)).groupBy("symbol").applyInArrow(run, TRADE_SCHEMA)
 
 
 def backtest(panel: DataFrame, docs: list[dict], p=DEFAULTS) -> DataFrame:

@@ -32,23 +32,25 @@ def confidence(market_cycle: Column) -> Column:
 def entries(panel: DataFrame, docs: list[dict], min_bars: int = 10) -> DataFrame:
     """Latest row per symbol with one struct per (strategy, timeframe) whose entry rules hold.
 
-    Rules look back over the whole panel, so they are compiled before the
-    latest row is picked; history excludes the current row.
+    Rules look back over the whole panel, so their flags are compiled before the
+    latest row is picked; history excludes the current row. Levels only need that row.
     """
     ctx = Panel.of(panel)
     close = F.col("close")
+    flags = panel.withColumns({f"_e{i}": entry_signal(d, ctx) for i, d in enumerate(docs)})
+    last = latest(flags.filter(F.col("rn") >= min_bars), ["symbol"], "date")
     cols = {}
     for i, d in enumerate(docs):
         parts = rule_parts(d)
         stop = stop_loss(parts, close, close)
-        cols[f"_s{i}"] = F.when(entry_signal(d, ctx), F.array(*[
+        cols[f"_s{i}"] = F.when(F.col(f"_e{i}"), F.array(*[
             F.struct(F.lit(i).alias("seq"), F.lit(d["strategy_id"]).alias("strategy_id"), F.lit(d["name"]).alias("strategy_name"),
                      F.lit(tf).alias("timeframe"), stop.alias("stop_loss"), target_price(parts, close, stop).alias("target_price"))
             for tf in d["timeframes"]]))
-    hits = panel.withColumns(cols)
+    hits = last.withColumns(cols)
     empty = F.array().cast("array<struct<seq:int,strategy_id:string,strategy_name:string,timeframe:string,stop_loss:double,target_price:double>>")
-    hits = hits.withColumn("_hits", F.flatten(F.array(*[F.coalesce(c, empty) for c in cols]))).drop(*cols)
-    return latest(hits.filter(F.col("rn") >= min_bars), ["symbol"], "date")
+    hits = hits.withColumn("_hits", F.flatten(F.array(*[F.coalesce(c, empty) for c in cols])))
+    return hits.drop(*cols, *[f"_e{i}" for i in range(len(docs))])
 
 
 def generate(latest_hits: DataFrame, regime: DataFrame, generated_at: str, patterns: DataFrame | None = None,
