@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeflow.llm.common import connected, mix, runs, signed, stored, text_slices, words
+from tapeflow.llm.common import connected, maybe_in, mix, runs, signed, stored, text_slices, words
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -116,52 +116,76 @@ def _paths(depth: int):
 def _low_bytes(batches):
     for batch in batches:
         low = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8)[::4].reshape(batch.num_rows, TREES * DEPTH)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r.tobytes() for r in low], pa.binary())], names=["doc_id", "sig"])
-
-
-def _possible(least: float):
-    """Pairs whose signatures agree in at least `least` of their values; one byte of each value is compared, which only lets more pass."""
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r.tobytes() for r in low], pa.binary())], names=["doc_id", "low"])
+
+
+def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links from every id to the smallest one it is connected with."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[:len(a)], at[len(a):]
+    label = np.arange(len(ids))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
+        np.minimum.at(new, label[a], new[a])  # a whole tree moves with its members
+        np.minimum.at(new, label[b], new[b])
+        new = new[new]
+        if (new == label).all():
+            own = label != np.arange(len(ids))
+            return ids[label[own]], ids[own]
+        label = new
+
+
+def _linked(least: float):
+    """Links between rows in trie order: with the `NEAR` rows before and the first row of the bucket, where at least `least` of the
+    signatures agree (one byte of each value is compared, which only lets more pass). A bucket that a border of ranges cuts is
+    held together by a link to its first row. Only a spanning set of links leaves a task."""
     def run(batches):
+        bucket, doc, head, low = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, TREES * DEPTH), np.uint8)
+        found, size = [], 0
         for batch in batches:
-            n = batch.num_rows
-            if not n:
+            if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(n, -1) for c in ("sig_a", "sig_b"))
-            ok = pa.array((x == y).mean(1) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
+            old = len(bucket)
+            b, d, h = (batch.column(c).to_numpy() for c in ("bucket", "doc_id", "head"))
+            new = np.frombuffer(b"".join(batch.column("low").to_pylist()), np.uint8).reshape(len(b), -1)
+            bucket, doc, head, low = np.concatenate([bucket, b]), np.concatenate([doc, d]), np.concatenate([head, h]), np.concatenate([low, new])
+            start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            first = np.repeat(start, np.diff(np.append(start, len(bucket))))
+            at = np.arange(old, len(bucket))
+            for to, of in [(at, first[at]), *((at[at >= k], at[at >= k] - k) for k in range(1, NEAR + 1))]:
+                ok = (bucket[to] == bucket[of]) & (doc[to] != doc[of])
+                to, of = to[ok], of[ok]
+                ok = (low[to] == low[of]).mean(1) >= least
+                found.append((doc[to[ok]], doc[of[ok]]))
+            cut = start[(start >= old) | (old == 0)]
+            cut = cut[head[cut] != doc[cut]]
+            found.append((doc[cut], head[cut]))
+            size += sum(len(x) for x, _ in found[-NEAR - 2:])
+            if size > 1 << 20:
+                found = [_spanning(*(np.concatenate(x) for x in zip(*found, strict=True)))]
+                size = len(found[0][0])
+                if size > 1 << 19:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found[0]], names=["a", "b"])
+                    found, size = [], 0
+            # The first row of an open bucket and the last few rows are still needed.
+            keep = np.unique(np.append(np.arange(max(0, len(bucket) - NEAR), len(bucket)), first[-1]))
+            bucket, doc, head, low = bucket[keep], doc[keep], head[keep], low[keep]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _spanning(*(np.concatenate(x) for x in zip(*found, strict=True)))], names=["a", "b"])
     return run
 
 
 def _candidates(reps: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) that may be similar: neighbours in the tries with signatures that agree."""
+    """(a, b): links that hold the families together."""
     paths = reps.select("doc_id", "sig").mapInArrow(_paths(last_depth(threshold)), "doc_id bigint, bucket bigint, tail binary")
     shared = stored(paths, "paths")
     many = shared.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("tail", "doc_id")).alias("head")).where("n > 1").select("bucket", F.col("head.doc_id").alias("head"))
-    own = shared.join(many, "bucket")
-    # Trie order inside a bucket: a range of the sorted table, so a bucket of any size is spread over tasks; a text at the border of a
-    # range has fewer neighbours there but keeps the first of its bucket.
-    near = own.repartitionByRange(F.col("bucket"), F.col("tail"), F.col("doc_id")).sortWithinPartitions("bucket", "tail", "doc_id").mapInArrow(_neighbours, "a bigint, b bigint")
-    pairs = near.distinct()
-    sig = reps.select("doc_id", "sig").mapInArrow(_low_bytes, "doc_id bigint, sig binary")
-    both = pairs.join(sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b")
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(_possible(threshold - DOUBT * math.sqrt(threshold * (1 - threshold) / (TREES * DEPTH))), "a bigint, b bigint")
-
-
-def _neighbours(batches):
-    bucket, doc = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for batch in batches:
-        b, d, head = (batch.column(c).to_numpy() for c in ("bucket", "doc_id", "head"))
-        old = len(bucket)
-        bucket, doc = np.concatenate([bucket, b]), np.concatenate([doc, d])
-        a_s, b_s = [head[head != d]], [d[head != d]]
-        for k in range(1, NEAR + 1):
-            to = np.arange(max(old, k), len(doc))
-            to = to[bucket[to] == bucket[to - k]]
-            a_s.append(doc[to - k])
-            b_s.append(doc[to])
-        x, y = np.concatenate(a_s), np.concatenate(b_s)
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
-        bucket, doc = bucket[-NEAR:], doc[-NEAR:]
+    own = shared.join(many, "bucket").join(reps.select("doc_id", "sig").mapInArrow(_low_bytes, "doc_id bigint, low binary"), "doc_id")
+    # Trie order inside a bucket comes from ranges of a sorted table, so a bucket of any size is spread over tasks.
+    ordered = own.repartitionByRange("bucket", "tail", "doc_id").sortWithinPartitions("bucket", "tail", "doc_id").select("bucket", "doc_id", "head", "low")
+    return ordered.mapInArrow(_linked(threshold - DOUBT * math.sqrt(threshold * (1 - threshold) / (TREES * DEPTH))), "a bigint, b bigint")
 
 
 def _sets(batches):
@@ -223,10 +247,10 @@ def _verify(threshold: float):
 
 
 def joined(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """doc_id, class_id, n_links, n_similar, n_copies: one row for each id.
+    """doc_id, class_id, n_links, n_similar, n_copies, n_rows: one row for each id.
 
     n_links counts the other documents with a similarity of at least `threshold`, copies included, n_similar the other texts among
-    them and n_copies the documents with the same words."""
+    them n_copies the documents with the same words and n_rows the rows of the id."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
     rows = stored(texts.mapInArrow(_signed_rows, "doc_id bigint, k1 bigint, k2 bigint, sig binary"), "signatures")
     keys = rows.groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("k")).select("doc_id", "k.k1", "k.k2")
@@ -237,7 +261,8 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) ->
     members = stored(family.join(of_size, "root").join(groups.withColumnRenamed("rep", "v"), "v")
                      .select(F.col("v").alias("doc_id"), F.col("root").alias("family"), "copies", F.ceil(F.col("n") / block).cast("int").alias("blocks"), "k1", "k2")
                      .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")), "members")
-    named = texts.join(members, "doc_id").mapInArrow(_sets, "doc_id bigint, family bigint, copies bigint, blocks int, block int, shingles binary")
+    likely = maybe_in(texts, members, "doc_id")  # so that few texts are moved
+    named = likely.join(members.hint("merge"), "doc_id").mapInArrow(_sets, "doc_id bigint, family bigint, copies bigint, blocks int, block int, shingles binary")
     tiles = named.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
         .select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "block", "copies", "shingles")
     verified = stored(tiles.groupBy("family", "i", "j").applyInArrow(_verify(threshold), "doc_id bigint, n bigint, head bigint, similar bigint"), "links")
@@ -246,6 +271,6 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) ->
     by_text = groups.join(classes.select(F.col("v").alias("rep"), "root"), "rep", "left").join(links.select(F.col("doc_id").alias("rep"), "n", "similar"), "rep", "left") \
         .select("k1", "k2", F.coalesce("root", "rep").alias("class_id"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("similar", F.lit(0)).alias("n_similar"), "copies")
     known = keys.join(by_text, ["k1", "k2"]).select("doc_id", "class_id", (F.col("n") + F.col("copies") - 1).alias("n_links"), "n_similar", F.col("copies").alias("n_copies"))
-    every = texts.select("doc_id").distinct().join(known, "doc_id", "left")
+    every = texts.groupBy("doc_id").agg(F.count("*").alias("n_rows")).join(known, "doc_id", "left")
     return every.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
-                        F.coalesce("n_similar", F.lit(0)).cast("bigint").alias("n_similar"), F.coalesce("n_copies", F.lit(1)).cast("bigint").alias("n_copies"))
+                        F.coalesce("n_similar", F.lit(0)).cast("bigint").alias("n_similar"), F.coalesce("n_copies", F.lit(1)).cast("bigint").alias("n_copies"), "n_rows")
