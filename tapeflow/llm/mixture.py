@@ -45,7 +45,7 @@ class Plan:
 
 def leaf_columns(plan: Plan) -> dict[str, Column]:
     origin = F.coalesce(F.col("source").cast("string"), F.lit("unknown"))
-    return {"domain": F.concat(F.lit("d"), (F.crc32(origin.cast("binary")) % plan.n_domains).cast("string")),
+    return {"domain": F.concat(F.lit("d"), (F.conv(F.substring(F.md5(origin.cast("binary")), 1, 8), 16, 10).cast("bigint") % plan.n_domains).cast("string")),
             "language": F.coalesce(F.col("lang").cast("string"), F.lit("unknown")), "origin": origin}
 
 
