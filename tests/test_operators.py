@@ -262,3 +262,70 @@ def test_drawdown_batch_reports_the_first_price_of_a_day(spark):
     t = spark.createDataFrame([("A", ts(2020, 1, 1, 10), 95.0), ("A", ts(2020, 1, 1, 11), 80.0), ("A", ts(2020, 1, 1, 12), 70.0)], "symbol string, ts timestamp, price double")
     pos = spark.createDataFrame([("H", "A", "long_term", 100.0, True)], "holding_id string, symbol string, timeframe string, avg_cost double, is_active boolean")
     assert [r.ts.hour for r in alerts.drawdown_batch(t, pos).collect()] == [11]
+
+
+def _orders(spark, n, symbols=("A", "NO_BARS")):
+    sid = ST.STRATEGIES[0]["strategy_id"]
+    trg = spark.createDataFrame([(f"{i:02d}", symbols[i % len(symbols)], sid, "swing", 100.0, 100.0, "eligible") for i in range(n)],
+                                "trigger_id string, symbol string, strategy_id string, timeframe string, buy_below_price double, current_price double, status string")
+    orders = trg.select("trigger_id", F.lit(None).cast("double").alias("override_price"), F.lit("n").alias("note"))
+    ind = spark.createDataFrame([("A", 2.0)], "symbol string, atr_14 double")
+    held = spark.createDataFrame([], "symbol string, timeframe string, strategy_id string, qty bigint, avg_cost double, is_active boolean")
+    return triggers.confirm_buys(trg, orders, held, ind, ST.parsed(ST.catalog(spark)), "2020-01-31")
+
+
+def test_buys_without_indicators_get_default_levels(spark):
+    after, new = _orders(spark, 2)
+    got = {r.symbol: r for r in new.collect()}
+    assert set(got) == {"A", "NO_BARS"} and all(r.stop_loss < 100 < r.target for r in got.values())
+    assert {r.status for r in after.collect()} == {"bought"}
+
+
+def test_buys_of_a_batch_share_the_strategy_capital(spark):
+    _, new = _orders(spark, 12)
+    rows = new.orderBy("holding_id").collect()
+    spent = sum(r.qty * r.avg_cost for r in rows)
+    allowance = DEFAULTS.total_capital * DEFAULTS.timeframe_ratios["swing"]
+    assert 0.9 * allowance < spent <= allowance
+    assert [r.holding_id for r in rows] == [f"T-{i:02d}" for i in range(len(rows))]  # first come, first served
+
+
+def test_recommendation_without_indicators(spark):
+    df = spark.createDataFrame([(-12.0, None, "neutral", None, None, None, 20.0)],
+                               "pnl_pct double, stock_cycle string, market_cycle string, rsi_14 double, close double, sma_200 double, roe double")
+    assert portfolio.recommend(df).first().recommendation == "AVERAGE_DOWN"
+
+
+def test_skipped_labels_do_not_end_the_search(spark):
+    html = '<ul id="top-ratios"><li><span class="name">Price to book value</span><span class="value">3.5</span></li><li><span class="name">Book Value</span><span class="value">40</span></li></ul>'
+    f = {r.field: r.value for r in html_fields.fields(spark.createDataFrame([(1, html)], "page_id bigint, html string")).collect()}
+    assert f["pb_ratio"] == 3.5
+
+
+def test_dedupe_without_an_order_is_stable(spark):
+    df = spark.createDataFrame([("A", i, -i) for i in range(50)], "k string, x int, y int")
+    assert {tuple(tables.dedupe(df.repartition(n), ["k"]).first()) for n in (1, 3, 7)} == {("A", 0, 0)}
+
+
+def test_upsert_refuses_a_key_that_changes_its_partition(spark, tmp_path):
+    path = str(tmp_path / "t")
+    old = spark.createDataFrame([("A", 1, 2000)], "k string, x int, year int")
+    tables.upsert_table(spark, path, old, ["k"], "year")
+    with pytest.raises(ValueError):
+        tables.upsert_table(spark, path, spark.createDataFrame([("A", 2, 2001)], old.schema), ["k"], "year")
+
+
+def test_partial_bars_merge_to_the_bars_of_all_ticks(spark):
+    from tapeflow.streaming import bars as B
+    base = datetime.datetime(2024, 1, 1, 9, 15)
+    ticks = spark.createDataFrame([("A", base + datetime.timedelta(seconds=(i * 37) % 900), float(100 + (i * 7) % 13), 1 + i % 3, i) for i in range(200)],
+                                  "symbol string, ts timestamp_ntz, price double, volume bigint, seq bigint")
+    parts = [B.partial_bars(ticks.where(F.col("seq") % 3 == k)) for k in range(3)]
+    merged = B.merged_bars(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, B.tick_bars(ticks).collect()))
+
+
+def test_limits_are_explicit(spark):
+    from tapeflow.operators import replay
+    df = spark.createDataFrame([("s", f"x{i}", float(i)) for i in range(300)], "strategy_id string, symbol string, sharpe_ratio double")
+    assert replay.explore(df).count() == 300 and replay.explore(df, limit=200).count() == 200
