@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tapeflow.operators import replay as P
 from tapeflow.operators.strategies import STRATEGIES
 from tapeflow.params import DEFAULTS
+from tapeflow.session import shared_folder
 
 # Fixed values: (parameter, minimum, maximum, step) per template.
 PARAMETER_SPACES = {
@@ -40,7 +41,7 @@ PARAMETER_SPACES = {
         ("atr_sl_mult", 1.5, 3.5, 0.1), ("adx_min", 10, 25, 1)],
 }
 
-# Entry conditions a parameter replaces: indicator (and operator) -> parameter.
+# Entry conditions a parameter replaces, indicator (and operator) -> parameter.
 ENTRY_VALUES = (
     ("adx_14", None, "adx_threshold"), ("volume_ratio", None, "volume_min_ratio"),
     ("bb_pct_b", None, "bb_pct_entry"), ("pct_from_52w_high", None, "near_high_threshold"),
@@ -105,13 +106,39 @@ def without_near_duplicates(ranked: DataFrame, existing: DataFrame | None = None
     return ranked.join(others, cond, "left_anti")
 
 
+CHUNK = 20  # documents whose rules become columns of one plan
+
+
+def effective(doc: dict) -> str:
+    """What decides the trades of a document; parameters that no rule reads do not."""
+    parts = [doc["entry_rules"], doc["exit_rules"], doc.get("stoploss_rules", {}), doc.get("parameters", {}).get("atr_target_mult")]
+    return json.dumps(parts, sort_keys=True)
+
+
+def fitness(panel: DataFrame, docs: list[dict], min_symbol_trades: int, p=DEFAULTS) -> DataFrame:
+    """(candidate_id, sharpe, win_rate, n_trades) of every document that trades.
+
+    Documents with equal effect are replayed once. The panel is written once; plans stay small because
+    each holds ``CHUNK`` documents, and its few result rows are written before the next one starts.
+    """
+    spark = panel.sparkSession
+    first = {}
+    for d in docs:
+        first.setdefault(effective(d), d)
+    same = spark.createDataFrame([(d["strategy_id"], first[effective(d)]["strategy_id"]) for d in docs], "candidate_id string, strategy_id string")
+    base, out = shared_folder(spark, "sweep-panel"), shared_folder(spark, "sweep-fitness")
+    panel.write.parquet(base)
+    stored, distinct = spark.read.schema(panel.schema).parquet(base), list(first.values())
+    for k in range(0, len(distinct), CHUNK):
+        m = P.trade_metrics(P.backtest(stored, distinct[k:k + CHUNK], p), p, min_trades=min_symbol_trades)
+        m.groupBy("strategy_id").agg(F.avg("sharpe_ratio").alias("sharpe"), F.avg("win_rate").alias("win_rate"), F.sum("total_trades").alias("n_trades")) \
+            .write.parquet(f"{out}/chunk={k}")
+    return spark.read.schema("strategy_id string, sharpe double, win_rate double, n_trades bigint").parquet(out).join(same, "strategy_id").drop("strategy_id", "chunk")
+
+
 def evaluate(panel: DataFrame, cand: DataFrame, min_symbol_trades: int = 5, p=DEFAULTS) -> DataFrame:
     """Fitness of every candidate over all symbols, and whether it passes the gates."""
-    docs = candidate_documents(cand)
-    m = P.trade_metrics(P.backtest(panel, docs, p), p, min_trades=min_symbol_trades)
-    fit = m.groupBy(F.col("strategy_id").alias("candidate_id")).agg(
-        F.avg("sharpe_ratio").alias("sharpe"), F.avg("win_rate").alias("win_rate"), F.sum("total_trades").alias("n_trades"))
-    out = cand.join(fit, "candidate_id", "left").withColumns({
+    out = cand.join(fitness(panel, candidate_documents(cand), min_symbol_trades, p), "candidate_id", "left").withColumns({
         "sharpe": F.coalesce("sharpe", F.lit(-1.0)), "win_rate": F.coalesce("win_rate", F.lit(0.0)),
         "n_trades": F.coalesce("n_trades", F.lit(0))})
     gate = ((F.col("sharpe") >= p.gate_sharpe) & (F.col("win_rate") >= p.gate_win_rate)

@@ -251,6 +251,6 @@ def active_strategies(spark, d):
 @query("parameter_sweep", "T-08 J-16 P-13")
 def parameter_sweep(spark, d):
     p = panel(spark, d)
-    cand = SW.candidates(spark, per_template=6)
+    cand = SW.candidates(spark)
     return SW.evaluate(p, cand, min_symbol_trades=5)
 
