@@ -120,7 +120,7 @@ def _bucketed(docs: DataFrame) -> DataFrame:
 def repeated(texts: DataFrame, length: int = LENGTH, reach: int = REACH, window: int = WINDOW, cell: int = CELL) -> list[DataFrame]:
     """Tables (row_no, lo, hi): the strings of `length` bytes that start at lo..hi occur elsewhere too. `texts`: row_no, text."""
     rows = stored(texts.select("row_no", "text").mapInArrow(_phrases(length, reach, window), "core bigint, row_no bigint, a int, lo int, hi int"), "phrases")
-    twice = rows.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+    twice = stored(rows.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "cores")  # stored, so that the join can split a hot core
     todo = rows.join(twice, "core", "left_semi")
     found = []
     for width in (reach, cell, 1):
@@ -129,12 +129,12 @@ def repeated(texts: DataFrame, length: int = LENGTH, reach: int = REACH, window:
             .mapInArrow(_spans(length, width), "core bigint, u1 bigint, u2 bigint, row_no bigint, a int, lo int, hi int")
         spans = stored(spans, "spans")
         if width > 1:
-            twice = spans.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+            twice = stored(spans.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "cores")
             spans = spans.join(twice, "core", "left_semi")
         entries = stored(spans.groupBy("u1", "u2").agg(F.count("*").alias("n"), F.min(F.struct("core", "row_no", "a", "lo", "hi")).alias("e")), "entries")
         found.append(spans.join(entries.where("n > 1").select("u1", "u2"), ["u1", "u2"], "left_semi").select("row_no", "lo", "hi"))
         kept = entries.select("e.*")
-        todo = kept.join(kept.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "core", "left_semi")
+        todo = kept.join(stored(kept.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "cores"), "core", "left_semi")
     return found
 
 
