@@ -67,12 +67,17 @@ def _require(df: DataFrame, required) -> None:
 
 
 def validate(df: DataFrame, kind: str = "holdings") -> dict:
-    """Validity, missing columns, row count, columns and the first five rows."""
+    """Validity, missing columns, row count, columns and the first five rows (``preview``), for a dialogue."""
     df, required = (holdings_columns(df), HOLDINGS_REQUIRED) if kind == "holdings" else (
         df.toDF(*[re.sub(" ", "_", c.strip().lower()) for c in df.columns]), TRADEBOOK_REQUIRED)
     gone = _missing(df, required)
     return {"valid": not gone, "missing_cols": gone, "row_count": df.count(), "columns": df.columns,
-            "preview": [r.asDict() for r in df.limit(5).collect()]}
+            "preview": [r.asDict() for r in preview(df).collect()]}
+
+
+def preview(df: DataFrame, n: int = 5) -> DataFrame:
+    """Some rows of a file as text, to look at before an import."""
+    return df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns]).limit(n)
 
 
 def validation_report(df: DataFrame, kind: str = "holdings") -> DataFrame:
@@ -96,17 +101,31 @@ def holdings_rows(df: DataFrame) -> DataFrame:
         "pnl": (F.col("ltp") - F.col("avg_cost")) * F.col("qty"), "pnl_pct": (F.col("ltp") / F.col("avg_cost") - 1) * 100})
 
 
-def import_holdings(existing: DataFrame, file_rows: DataFrame, timeframe: str = "long_term", as_of: str | None = None) -> DataFrame:
-    """Positions after the import: equal symbols of a timeframe merge at weighted mean cost."""
+def import_holdings(existing: DataFrame, file_rows: DataFrame, timeframe: str = "long_term", as_of: str | None = None,
+                    import_id: str | None = None) -> DataFrame:
+    """Positions after the import: equal symbols of a timeframe merge at weighted mean cost.
+
+    Positions remember the ids of their imports (``import_ids``); a symbol that already holds
+    ``import_id`` takes nothing from a file that is imported again.
+    """
     day = F.lit(as_of).cast("date") if as_of else F.current_date()
+    none = F.array().cast("array<string>")
+    if "import_ids" not in existing.columns:
+        existing = existing.withColumn("import_ids", none)
     new = holdings_rows(file_rows).select(
         "symbol", F.lit(timeframe).alias("timeframe"), "qty", "avg_cost", day.alias("entry_date"))
     act = existing.filter("is_active")
+    if import_id is not None:
+        done = act.filter(F.array_contains(F.coalesce("import_ids", none), import_id)).select("symbol", "timeframe").distinct()
+        new = new.join(done, ["symbol", "timeframe"], "left_anti")
+    tags = act.select("symbol", "timeframe", F.explode(F.coalesce("import_ids", none)).alias("id"))
+    tags = tags.unionByName(new.select("symbol", "timeframe", F.lit(import_id).alias("id"))).groupBy("symbol", "timeframe").agg(F.array_sort(F.collect_set("id")).alias("import_ids"))
     both = act.select("symbol", "timeframe", "qty", "avg_cost", "entry_date").unionByName(new)
     first = both.groupBy("symbol", "timeframe").agg(F.min("entry_date").alias("entry_date"))
     merged = merge_cost(both).join(first, ["symbol", "timeframe"])
-    known = act.dropDuplicates(["symbol", "timeframe"]).drop("qty", "avg_cost", "entry_date")
-    out = merged.join(known, ["symbol", "timeframe"], "left").withColumn("is_active", F.lit(True))
+    known = act.dropDuplicates(["symbol", "timeframe"]).drop("qty", "avg_cost", "entry_date", "import_ids")
+    out = merged.join(known, ["symbol", "timeframe"], "left").join(tags, ["symbol", "timeframe"], "left") \
+        .withColumns({"is_active": F.lit(True), "import_ids": F.coalesce("import_ids", none)})
     return existing.filter(~F.col("is_active")).unionByName(out, allowMissingColumns=True)
 
 
