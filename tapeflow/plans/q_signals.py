@@ -234,6 +234,20 @@ def market_regime_forest(spark, d):
     return C.predict(C.train(rows), rows).withColumn("probabilities", F.to_json("probabilities"))
 
 
+@query("regime_validation", "R-04 W-16", """
+SELECT k AS fold, CAST(floor(n / 6) AS BIGINT) AS n_test, TRUE AS f1_in_range, TRUE AS importances_valid
+FROM (SELECT unnest([1, 2, 3, 4, 5]) AS k), (SELECT count(*) AS n FROM market_index m JOIN labels l ON l.date = m.date AND l.scope = 'market')""", "market_index labels")
+def regime_validation(spark, d):
+    rows = market_rows(spark, d)
+    scores = C.cross_validate(rows)
+    cols = C.feature_columns(rows)
+    total = sum(C.importances(C.train(rows), cols).values())
+    goal = 1.0 if rows.select("cycle").distinct().count() > 1 else 0.0  # a single class is never split
+    ok = spark.createDataFrame([(k + 1, bool(0.0 <= f <= 1.0)) for k, f in enumerate(scores)], "fold int, f1_in_range boolean")
+    n = time_folds(rows, ["date"], len(scores)).groupBy("fold").agg(F.count(F.lit(1)).alias("n_test"))
+    return n.join(ok, "fold").withColumn("importances_valid", F.lit(abs(total - goal) < 1e-6))
+
+
 @query("classified_regimes", "R-06 R-04 S-05 A-25")
 def classified_regimes(spark, d):
     m, s, k = market_rows(spark, d), sector_rows(spark, d), stock_rows(spark, d)
