@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from tapeflow.functions.scalars import clean_number
 
-CELLS_SCHEMA = "page_id bigint, section string, row int, col int, n_cols int, text string"
+LINES_SCHEMA = ("page_id bigint, title string, links bigint, "
+                "lines array<struct<section:string,row:int,label:string,second:string,last:string,previous:string>>")
 TABLES = ("quarters", "profit-loss", "shareholding")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
@@ -87,20 +88,28 @@ def page_cells(html: str) -> list[list]:
     return p.cells
 
 
-def cells(pages: DataFrame) -> DataFrame:
-    """One row per cell of the known sections, plus title and links."""
+def _lines(found: list[list]) -> list[dict]:
+    """Rows of the known sections: first, second, last and second-to-last cell."""
+    rows: dict[tuple, list[str]] = {}
+    for section, row, _, text in found:
+        if section == "top-ratios" or section in TABLES:
+            rows.setdefault((section, row), []).append(text)
+    return [{"section": s, "row": r, "label": c[0].lower(), "second": c[1] if len(c) > 1 else None, "last": c[-1], "previous": c[-2] if len(c) > 2 else c[-1]}
+            for (s, r), c in rows.items()]
+
+
+def page_lines(pages: DataFrame) -> DataFrame:
+    """One row per page: title, number of links and the rows of its known sections."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for pid, html in zip(b["page_id"], b["html"]):
                 found = page_cells(html)
-                width = {}
-                for sec, row, col, _ in found:
-                    width[sec, row] = max(width.get((sec, row), 0), col + 1)
-                out += [(pid, s, r, c, width[s, r], t) for s, r, c, t in found]
-            yield pd.DataFrame(out, columns=["page_id", "section", "row", "col", "n_cols", "text"])
+                titles = [t for s, _, _, t in found if s == "title"]
+                out.append((pid, max(titles) if titles else None, sum(s == "link" for s, *_ in found), _lines(found)))
+            yield pd.DataFrame(out, columns=["page_id", "title", "links", "lines"])
 
-    return pages.select("page_id", "html").mapInPandas(run, CELLS_SCHEMA)
+    return pages.select("page_id", "html").mapInPandas(run, LINES_SCHEMA)
 
 
 def _first_match(name, table):
@@ -112,35 +121,48 @@ def _first_match(name, table):
     return out
 
 
+def _picked(line):
+    """Fields that a line names, with its text."""
+    label, sec = line["label"], line["section"]
+
+    def one(field, text):
+        return F.struct(field.alias("field"), text.alias("text"), line["row"].alias("row"), sec.alias("section"))
+
+    none = F.array().cast("array<struct<field:string,text:string,row:int,section:string>>")
+    return (F.when(sec == "top-ratios", F.array(one(_first_match(label, RATIO_FIELDS), line["second"])))
+            .when((sec == "quarters") & label.contains("eps"), F.array(one(F.lit("eps_q"), line["last"])))
+            .when((sec == "profit-loss") & label.contains("sales"), F.array(one(F.lit("revenue_cr"), line["last"]), one(F.lit("revenue_prev"), line["previous"])))
+            .when((sec == "profit-loss") & label.contains("net profit"), F.array(one(F.lit("net_profit"), line["last"])))
+            .when(sec == "shareholding", F.array(one(_first_match(label, HOLDER_FIELDS), line["last"])))
+            .otherwise(none))
+
+
+NAMES = (*[f for f in FIELDS if f != "net_profit_margin"], "eps_q", "revenue_prev", "net_profit")
+
+
+def field_columns(pages: DataFrame) -> DataFrame:
+    """One row per page with a column per field. All rows of a page are together, so nothing is shuffled."""
+    p = page_lines(pages).withColumn("found", F.flatten(F.transform("lines", _picked)))
+    # Ratio and holder lists: the last row of a field wins; tables: the first.
+    p = p.withColumn("found", F.filter(F.transform("found", lambda x: F.struct(
+        x.field.alias("field"), F.when(x.section.isin("top-ratios", "shareholding"), x.row).otherwise(-x.row).alias("key"), clean_number(x.text).alias("value"))),
+        lambda x: x.field.isNotNull() & x.value.isNotNull()))
+
+    def best(name):
+        own = F.filter("found", lambda x: x.field == name)
+        return F.array_max(F.transform(own, lambda x: F.struct(x.key.alias("key"), x.value.alias("value"))))["value"].alias(name)
+
+    return p.select("page_id", *[best(n) for n in NAMES])
+
+
 def fields(pages: DataFrame) -> DataFrame:
     """Fundamental fields as rows (page_id, field, value)."""
-    c = cells(pages).filter(F.col("section").isin("top-ratios", *TABLES))
-    rows = c.groupBy("page_id", "section", "row").agg(
-        F.max(F.when(F.col("col") == 0, F.lower("text"))).alias("label"),
-        F.max(F.when(F.col("col") == 1, F.col("text"))).alias("second"),
-        F.max(F.when(F.col("col") == F.col("n_cols") - 1, F.col("text"))).alias("last"),
-        F.max(F.when((F.col("col") == F.col("n_cols") - 2) | (F.col("n_cols") < 3) & (F.col("col") == F.col("n_cols") - 1),
-                     F.struct(-F.col("col"), "text"))["text"]).alias("previous"))
-    label, sec = F.col("label"), F.col("section")
-    picked = (F.when(sec == "top-ratios", F.array(F.struct(_first_match(label, RATIO_FIELDS).alias("field"), F.col("second").alias("text"))))
-              .when((sec == "quarters") & label.contains("eps"), F.array(F.struct(F.lit("eps_q").alias("field"), F.col("last").alias("text"))))
-              .when((sec == "profit-loss") & label.contains("sales"), F.array(
-                  F.struct(F.lit("revenue_cr").alias("field"), F.col("last").alias("text")),
-                  F.struct(F.lit("revenue_prev").alias("field"), F.col("previous").alias("text"))))
-              .when((sec == "profit-loss") & label.contains("net profit"), F.array(F.struct(F.lit("net_profit").alias("field"), F.col("last").alias("text"))))
-              .when(sec == "shareholding", F.array(F.struct(_first_match(label, HOLDER_FIELDS).alias("field"), F.col("last").alias("text")))))
-    long = rows.select("page_id", "section", "row", F.explode(picked).alias("p")).select(
-        "page_id", "section", "row", "p.field", clean_number(F.col("p.text")).alias("value"))
-    long = long.filter(F.col("field").isNotNull() & F.col("value").isNotNull())
-    # Ratio and holder lists: the last row of a field wins; tables: the first.
-    key = F.when(F.col("section").isin("top-ratios", "shareholding"), F.col("row")).otherwise(-F.col("row"))
-    return long.groupBy("page_id", "field").agg(F.max_by("value", key).alias("value"))
+    return field_columns(pages).unpivot(["page_id"], list(NAMES), "field", "value").filter(F.col("value").isNotNull())
 
 
 def fundamentals(pages: DataFrame) -> DataFrame:
     """One row per page with data: ratios, growth, margin and holdings."""
-    names = [f for f in FIELDS if f != "net_profit_margin"] + ["eps_q", "revenue_prev", "net_profit"]
-    w = fields(pages).groupBy("page_id").pivot("field", names).agg(F.first("value"))
+    w = field_columns(pages).where(" or ".join(f"{n} is not null" for n in NAMES))
     rev, prev = F.col("revenue_cr"), F.nullif(F.col("revenue_prev"), F.lit(0.0))
     return w.withColumns({
         "eps": F.coalesce("eps_q", "eps"),
@@ -149,7 +171,5 @@ def fundamentals(pages: DataFrame) -> DataFrame:
 
 
 def titles_and_links(pages: DataFrame) -> DataFrame:
-    """Title and number of links of every page: the same walk at full size."""
-    return cells(pages).groupBy("page_id").agg(
-        F.max(F.when(F.col("section") == "title", F.col("text"))).alias("title"),
-        F.count_if(F.col("section") == "link").alias("links"))
+    """Title and number of links of every page."""
+    return page_lines(pages).select("page_id", "title", "links")

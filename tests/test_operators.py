@@ -329,3 +329,21 @@ def test_limits_are_explicit(spark):
     from tapeflow.operators import replay
     df = spark.createDataFrame([("s", f"x{i}", float(i)) for i in range(300)], "strategy_id string, symbol string, sharpe_ratio double")
     assert replay.explore(df).count() == 300 and replay.explore(df, limit=200).count() == 200
+
+
+def test_page_fields_need_no_shuffle(spark, small):
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    for df in (html_fields.fundamentals(pages), html_fields.titles_and_links(pages)):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_replay_sends_few_columns_to_python(spark, small):
+    from tapeflow.operators import replay
+    n = 70  # more flags than one long holds
+    df = spark.createDataFrame([("A", D(2020, 1, 1), 1.0, "bull", *([True, False] * n), *([1.0, 2.0] * n))],
+                               "symbol string, date date, close double, cycle string, " + ", ".join(f"{k}_{i} boolean" for i in range(n) for k in ("entry", "exit")) + ", "
+                               + ", ".join(f"{k}_{i} double" for i in range(n) for k in ("stop", "target")))
+    p = replay._packed(df, n)
+    assert p.columns == ["symbol", "date", "close", "cycle", "entry", "exit", "levels"]
+    r = p.first()
+    assert r.entry == [2 ** 62 - 1, 2 ** 8 - 1] and r.exit == [0, 0] and r.levels == [1.0] * n + [2.0] * n
