@@ -94,19 +94,20 @@ def _forward(p: dict[str, np.ndarray], x: np.ndarray, bag: np.ndarray):
     return y, (z, t, g, a, m, cut, width)
 
 
-def fit(x: np.ndarray, bag: np.ndarray, label: np.ndarray, epochs: int = 400, rate: float = 0.02, seed: int = 7) -> dict[str, np.ndarray]:
+def fit(x: np.ndarray, bag: np.ndarray, label: np.ndarray, epochs: int = 150, rate: float = 0.04, seed: int = 7) -> dict[str, np.ndarray]:
     """Adam on the mean logistic loss; x, bag: all passages, bag non-decreasing; label: one for each bag."""
     r = np.random.default_rng(seed)
     f = x.shape[1]
     p = {"mean": x.mean(0), "std": x.std(0) + 0.02, "E": r.normal(0, f ** -0.5, (f, HIDDEN)), "e": np.zeros(HIDDEN), "V": r.normal(0, 0.3, (HIDDEN, HIDDEN)),
          "U": r.normal(0, 0.3, (HIDDEN, HIDDEN)), "w": r.normal(0, 0.3, HIDDEN), "c": r.normal(0, 0.3, HIDDEN), "b": np.zeros(1)}
+    p = {k: v.astype(x.dtype) for k, v in p.items()}
     learn = [k for k in p if k not in ("mean", "std")]
     m1, m2 = ({k: np.zeros_like(p[k]) for k in learn} for _ in range(2))
     xs = (x - p["mean"]) / p["std"]
     n = len(label)
     for step in range(1, epochs + 1):
         y, (z, t, g, a, m, _, width) = _forward(p, x, bag)
-        d = (y - label) / n
+        d = ((y - label) / n).astype(x.dtype)
         dm = np.repeat(d[:, None] * p["c"], width, 0)
         da = (dm * z).sum(1)
         cut = np.concatenate([[0], np.cumsum(width)[:-1]])
@@ -145,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes
     if got.quality.nunique() < 2:
         return None
     bags = [np.frombuffer(b, np.float32).reshape(-1, N_FEATURES) for b in got.bag]
-    return fit(np.concatenate(bags).astype(np.float64), np.repeat(np.arange(len(bags)), [len(b) for b in bags]), (got.quality.to_numpy() > 0).astype(np.float64))
+    return fit(np.concatenate(bags), np.repeat(np.arange(len(bags)), [len(b) for b in bags]), (got.quality.to_numpy() > 0).astype(np.float32))
 
 
 def scored(docs: DataFrame, model: dict[str, np.ndarray] | None, name: str = "score") -> DataFrame:
