@@ -58,6 +58,46 @@ class _ByteLetters(dict):
         return self[code]
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of the ranges start..start + size, one range after the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+class _Memory:
+    """Ids by fingerprint in sorted arrays, about 25 bytes an entry; the newest entries wait in a small dict."""
+
+    def __init__(self, keep: int, recent: int = 1 << 16):
+        self.keep, self.most = keep, recent
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.at, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.recent: dict[int, bytes] = {}
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which keys are in the arrays, and where)"""
+        if not len(self.keys):
+            return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return self.keys[at] == keys, at
+
+    def add(self, keys: list[int], ids: list[bytes]) -> None:
+        self.recent.update(zip(keys, ids, strict=True))
+        if len(self.recent) < self.most:
+            return
+        if len(self.keys) > self.keep:
+            self.clear()
+            return
+        size = np.fromiter(map(len, self.recent.values()), np.int64, len(self.recent)) // 4
+        new = np.fromiter(self.recent, np.uint64, len(self.recent))
+        at = len(self.flat) + np.cumsum(size) - size
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(self.recent.values()), np.uint32)])
+        keys_ = np.concatenate([self.keys, new])
+        order = np.argsort(keys_, kind="stable")
+        self.keys, self.at, self.size = keys_[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
+        self.recent = {}
+
+
 class Encoder:
     """Ids of texts. Pieces between spaces are encoded once and remembered: the vocabulary never joins across white space.
 
@@ -65,19 +105,19 @@ class Encoder:
     model: lower-casing is all its normaliser does to it and its pattern cuts it where the letters end. Other pieces take the full way.
     The memory, by 64-bit fingerprints of pieces, is emptied when it holds `keep` of them, so it is bounded whatever the texts."""
 
-    def __init__(self, path: str, keep: int = 1 << 20):
+    def __init__(self, path: str, keep: int = 1 << 21):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.model = self.tok.model
         self.letters = _ByteLetters()
-        self.keep, self.known, self.words, self.tails = keep, {}, {}, {}
+        self.known, self.words, self.tails = _Memory(keep), {}, {}
 
     def _full(self, pieces: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def _learn(self, pieces: list[str]) -> list[bytes]:
-        if len(self.words) > self.keep // 2:
+        if len(self.words) > 1 << 17:
             self.words.clear()
         words, tails, tokenize, out, rest = self.words, self.tails, self.model.tokenize, [], []
         for i, p in enumerate(pieces):
@@ -106,21 +146,27 @@ class Encoder:
         """(ids of all texts, number of ids of each) of UTF-8 texts that lie behind one another."""
         key, row, start, end = pieces(data, off)
         own, first, inv = np.unique(key, return_index=True, return_inverse=True)
-        keys = own.tolist()
-        got = list(map(self.known.get, keys))
+        hit, at = self.known.find(own)
+        rest = np.flatnonzero(~hit)
+        keys = own[rest].tolist()
+        got = list(map(self.known.recent.get, keys))
         new = [i for i, g in enumerate(got) if g is None]
         if new:
-            raw, at = data.tobytes(), first[new]
-            for i, ids in zip(new, self._learn([raw[a:b].decode("utf-8", "replace") for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]), strict=True):
+            raw, of = data.tobytes(), first[rest[new]]
+            for i, ids in zip(new, self._learn([raw[a:b].decode("utf-8", "replace") for a, b in zip(start[of].tolist(), end[of].tolist(), strict=True)]), strict=True):
                 got[i] = ids
-            if len(self.known) + len(new) > self.keep:
-                self.known.clear()
-            self.known.update((keys[i], got[i]) for i in new)
-        flat = np.frombuffer(b"".join(got), np.uint32)
-        size = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        size = np.empty(len(own), np.int64)
+        size[hit] = self.known.size[at[hit]] if hit.any() else 0
+        size[rest] = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        place = np.cumsum(size) - size
+        flat = np.empty(int(size.sum()), np.uint32)
+        if hit.any():
+            flat[_ranges(place[hit], size[hit])] = self.known.flat[_ranges(self.known.at[at[hit]], size[hit])]
+        flat[_ranges(place[rest], size[rest])] = np.frombuffer(b"".join(got), np.uint32)
+        if new:
+            self.known.add([keys[i] for i in new], [got[i] for i in new])
         count = size[inv]
-        place = np.repeat((np.cumsum(size) - size)[inv] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        return flat[place], np.bincount(row, count, len(off) - 1).astype(np.int64)
+        return flat[_ranges(place[inv], count)], np.bincount(row, count, len(off) - 1).astype(np.int64)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -177,7 +223,8 @@ def compress(ids: np.ndarray, first: int, max_rounds: int = MAX_ROUNDS, min_coun
     return seq, rules
 
 
-def expand(seq: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
+def _unrolled(seq: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
+    """One level of rules after the other."""
     while True:
         big = seq >= first
         if not big.any():
@@ -190,6 +237,16 @@ def expand(seq: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
         seq = out
 
 
+def expand(seq: np.ndarray, rules: np.ndarray, first: int, lengths: np.ndarray | None = None) -> np.ndarray:
+    """The ids that the symbols stand for. The rules are unrolled once; the symbols are then copied from that table."""
+    lengths = _lengths(rules, first) if lengths is None else lengths
+    table = np.concatenate([np.arange(first, dtype=np.uint32), _unrolled(np.arange(first, first + len(rules), dtype=np.uint32), rules, first)])
+    size = np.concatenate([np.ones(first, np.int32), lengths.astype(np.int32)])
+    width = size[seq]
+    shift = (np.cumsum(size) - size)[seq] - (np.cumsum(width) - width)
+    return table[np.repeat(shift, width) + np.arange(int(width.sum()))]
+
+
 def _lengths(rules: np.ndarray, first: int) -> np.ndarray:
     n = np.ones(len(rules), np.int64)
     todo = np.arange(len(rules))
@@ -235,7 +292,7 @@ class Shard:
         self.seq = take(f"<u{width}", s).astype(np.uint32)
 
     def tokens(self) -> np.ndarray:
-        return expand(self.seq, self.rules, self.first)
+        return expand(self.seq, self.rules, self.first, self.lengths)
 
     def document(self, i: int) -> np.ndarray:
         """The ids of the i-th document; only the symbols that cover it are expanded."""
@@ -247,7 +304,7 @@ class Shard:
         hi = lo + int(self.counts[i])
         a, b = int(np.searchsorted(end, lo, side="right")), int(np.searchsorted(end, hi, side="left")) + 1
         skip = lo - (int(end[a - 1]) if a else 0)
-        return expand(self.seq[a:b], self.rules, self.first)[skip:skip + hi - lo]
+        return expand(self.seq[a:b], self.rules, self.first, self.lengths)[skip:skip + hi - lo]
 
 
 def _write(path: str, end_id: int, shard_tokens: int):
