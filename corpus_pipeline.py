@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeflow.llm import decontaminate, mixture, near_duplicates, quality, token_files
-from tapeflow.llm.common import stored, table
+from tapeflow.llm.common import flagged, stored, table
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,18 +23,24 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates the document with the smallest id; of rows that repeat an id one."""
-    stay = near_duplicates.joined(docs.select("doc_id", "text")).where("doc_id = class_id").select("doc_id")
+    found = near_duplicates.joined(docs.select("doc_id", "text"))
+    special = stored(found.where("doc_id <> class_id or n_rows > 1").select("doc_id", (F.col("doc_id") == F.col("class_id")).alias("first__")), "special")
+    # Few texts are moved: those that a bitmap of the special ids lets through.
+    marked = flagged(docs, special, "doc_id")
+    some = marked.where("maybe__").select(*docs.columns)
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    kept = docs.join(stay, "doc_id").select(*docs.columns).withColumn("nth__", nth).where("nth__ = 1").drop("nth__")
-    return kept.unionByName(docs.where("doc_id is null"))
+    first = some.join(special.where("first__"), "doc_id").select(*docs.columns).withColumn("nth__", nth).where("nth__ = 1").select(*docs.columns)
+    return marked.where("not maybe__").select(*docs.columns).unionByName(some.join(special, "doc_id", "left_anti")).unionByName(first)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item. Texts are told apart by a 64-bit fingerprint."""
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     found = decontaminate.contaminated(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    hit = found.where("contaminated").select(F.col("doc_id").alias("text__")).distinct()
-    return docs.join(hit, key == F.col("text__"), "left_anti")
+    hit = stored(found.where("contaminated").select(F.col("doc_id").alias("text__")).distinct(), "contaminated")
+    marked = flagged(docs.withColumn("text__", key), hit, "text__")
+    some = marked.where("maybe__").join(hit, "text__", "left_anti")
+    return marked.where("not maybe__").select(*docs.columns).unionByName(some.select(*docs.columns))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
