@@ -17,7 +17,14 @@ _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 
 
+BATCH_ROWS = 1000  #: of long texts, that go to Python at once
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table by name. Sees to it that texts go to Python in small batches, unless the session asks for even smaller ones."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= BATCH_ROWS:
+        spark.conf.set(setting, BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
