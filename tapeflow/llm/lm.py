@@ -1,23 +1,31 @@
 """Language model scores by deleted interpolation.
 
-Words are mapped to symbols: the `TOP` most frequent training words have a symbol each, every other word one of
-`CLASSES` drawn from its last bytes, and the end of a text one more. The model predicts the next symbol by mixing maximum-likelihood estimates of
-trigram, bigram and unigram order with a uniform one, then the word inside its symbol by its training count plus one:
-    P(w | u, v) = (l3 P(s | u, v) + l2 P(s | v) + l1 P(s) + l0 / S) * (c(w) + 1) / (c(s) + V(s) + 1)
-c(s), V(s) are the count and number of distinct words of the class; a symbol with one word has factor 1. The weights l depend on the bucket (powers of two) of how often the
-context u, v was seen; expectation-maximisation learns them on counts of a deleted part of the training texts, after which
-the estimates use all of it.
-
-What goes to every task is bounded: `TOP` words and two tables of S**2 and S**3 counts (S = TOP + CLASSES + 2). Word counts grow
-with the corpus and stay distributed: they are combined per task, summed by word, and a block of documents gets the counts
-of its distinct words by a join. Blocks are hash groups of about `BLOCK_TOKENS` tokens.
+A word is predicted by mixing maximum-likelihood estimates of trigram, bigram and unigram order, over all words, with a class model:
+    P(w | u, v) = l3 c(u, v, w) / c(u, v) + l2 c(v, w) / c(v) + l1 c(w) / N + l0 Q(w | u, v)
+An order whose context was never seen takes the estimate of the next lower one. The weights l depend on the bucket (powers of two) of
+how often the context u, v was seen; expectation-maximisation learns them on a deleted part of the training texts with the counts of
+the rest, after which the estimates use all of it.
+
+Q gives words and contexts that were never seen their share. It maps words to symbols: the `TOP` most frequent training words have a
+symbol each, every other word one of `CLASSES` drawn from its last bytes, and the end of a text one more. It mixes trigram, bigram,
+unigram and uniform estimates of symbols in the same way, then takes the word inside its symbol by its training count plus one:
+    Q(w | u, v) = (q3 P(s | u, v) + q2 P(s | v) + q1 P(s) + q0 / S) * (c(w) + 1) / (c(s) + V(s) + 1)
+c(s), V(s) are the count and number of distinct words of the class; a symbol with one word has factor 1.
+
+What goes to every task is bounded: `TOP` words, and tables of S**2 and S**3 symbol counts (S = TOP + CLASSES + 2). Counts of words,
+bigrams and trigrams grow with the corpus and stay distributed. Documents are cut into blocks, hash groups of about `BLOCK_TOKENS`
+tokens; a block sends the sorted fingerprints of its distinct n-grams with their counts, cut at ranges of fingerprints, whose
+number grows with the corpus. Each range sums them over the blocks and returns the sums in the order in which they were sent. The
+statistics of expectation-maximisation are sums for each bucket.
 
 Defined results: NULL text is empty and has only the end token; each input row gives one output row; documents with a NULL id
-never train; with nothing to learn from the estimates are uniform. Words are compared by 64-bit fingerprints.
+never train; with nothing to learn from the estimates are uniform. Words and n-grams are compared by 64-bit fingerprints.
 """
 
 from __future__ import annotations
 
+import copy
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,8 +40,11 @@ CLASSES = 31
 SYMBOLS = TOP + CLASSES + 2  # and the end of a text, and the start
 END, START = TOP + CLASSES, TOP + CLASSES + 1
 END_HASH = np.uint64(0xE0D)  #: stands for the end token among the fingerprints of words
+START_HASH = np.uint64(0x57A)
 BUCKETS = 24
 BLOCK_TOKENS = 1 << 20
+ROUNDS, SETTLED = 30, 1e-4  #: of expectation-maximisation: at most, and the change of a weight at which it ends
+TRAIN, HELD, REST = range(3)  #: what a block holds: texts that train, deleted ones, others
 
 
 def _text_tokens(batch: pa.RecordBatch):
@@ -52,19 +63,20 @@ def _count_words(batches):
     held, size = [], 0
 
     def squeezed():
-        w, k, c = (np.concatenate(x) for x in zip(*held, strict=True))
+        w, k, c, d = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.argsort(w, kind="stable")
-        w, k, c = w[order], k[order], c[order]
+        w, k, c, d = w[order], k[order], c[order], d[order]
         cut = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-        return w[cut], k[cut], np.add.reduceat(c, cut)
+        return w[cut], k[cut], np.add.reduceat(c, cut), np.add.reduceat(d, cut)
 
     def batch_of(x):
-        return pa.RecordBatch.from_arrays([pa.array(signed(x[0])), pa.array(x[1]), pa.array(x[2])], names=["word", "kind", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(signed(x[0])), *[pa.array(y) for y in x[1:]]], names=["word", "kind", "n", "d"])
 
     for batch in batches:
-        for _, _, h, kind, _ in _text_tokens(batch):
-            w, first, c = np.unique(h, return_index=True, return_counts=True)
-            held.append((w, kind[first].astype(np.int32), c.astype(np.int64)))
+        part = batch.column("deleted").to_numpy(zero_copy_only=False)
+        for at, _, h, kind, row in _text_tokens(batch):
+            w, first, at_w, c = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+            held.append((w, kind[first].astype(np.int32), c.astype(np.int64), np.bincount(at_w[part[at + row]], minlength=len(w))))
             size += len(w)
             if size > 1 << 20:
                 held = [squeezed()]
@@ -150,55 +162,149 @@ class Model:
         p = np.stack([ratio(self.c3[u, v, s], n3), ratio(self.c2[v, s], self.n2[v]), ratio(self.c1[s], np.full(len(s), self.c1.sum())), np.full(len(s), flat)], 1)
         return p, np.minimum(np.ceil(np.log2(n3 + 1)).astype(np.int64), BUCKETS - 1)
 
-    def log10(self, u, v, s, c) -> np.ndarray:
+    def prob(self, u, v, s, c) -> np.ndarray:
+        """Q of words with the symbols `s` and the counts `c`."""
         p, b = self._parts(u, v, s)
         inside = np.where((s >= TOP) & (s < END), (c + 1) / (self.class_count[s] + self.class_words[s] + 1.0), 1.0)
-        return np.log10((self.weights[b] * p).sum(1) * inside)
+        return (self.weights[b] * p).sum(1) * inside
+
+    def without(self, train: np.ndarray, class_count: np.ndarray, class_words: np.ndarray) -> Model:
+        """The same weights with the counts of a part."""
+        out = copy.copy(self)
+        out.class_count, out.class_words = class_count, class_words
+        out._set(train)
+        return out
+
+
+def _packed(n: np.ndarray) -> bytes:
+    """Counts, one byte each up to 254."""
+    return np.minimum(n, 255).astype(np.uint8).tobytes() + n[n >= 255].astype(np.int64).tobytes()
+
+
+def _unpacked(data: bytes, size: int) -> np.ndarray:
+    n = np.frombuffer(data, np.uint8, size).astype(np.int64)
+    n[n == 255] = np.frombuffer(data, np.int64, offset=size)
+    return n
+
+
+class _Block:
+    """The tokens of a block of documents and its distinct n-grams in order of their fingerprints."""
+
+    def __init__(self, texts: pa.Table):
+        h, kind, row, self.slices, rows = [], [], [], [], 0
+        for batch in texts.combine_chunks().to_batches():
+            for at, n, words, k, r in _text_tokens(batch):
+                h.append(words)
+                kind.append(k)
+                row.append(r + rows)
+                self.slices.append(batch.slice(at, n))
+                rows += n
+        self.rows = rows
+        self.h, self.kind, self.row = (np.concatenate(x) for x in (h, kind, row))
+        self.first = np.concatenate([[True], self.row[1:] != self.row[:-1]])
+        v = np.concatenate([[START_HASH], self.h[:-1]])
+        v[self.first] = START_HASH
+        u = np.concatenate([[START_HASH], v[:-1]])
+        u[self.first] = START_HASH
+        start = mix(np.array([START_HASH]) + np.uint64(1 << 41))
+        one = mix(self.h + np.uint64(1 << 41))
+        two = mix(mix(v + np.uint64(1 << 42)) + self.h)
+        twice = mix(mix(np.array([START_HASH]) + np.uint64(1 << 42)) + START_HASH)
+        three = mix(mix(mix(u + np.uint64(1 << 43)) + v) + self.h)
+        self.grams, at = np.unique(np.concatenate([one, two, three, start, twice]), return_inverse=True)
+        self.count = np.bincount(at)
+        self.count[at[-2:]] += rows - 1  # each text begins with START, START
+        n = len(self.h)
+        self.one, self.two, self.three = at[:n], at[n:2 * n], at[2 * n:3 * n]
+        # A context is the word or bigram that ends one token earlier.
+        self.v, self.uv = np.concatenate([at[-2:-1], self.one[:-1]]), np.concatenate([at[-1:], self.two[:-1]])
+        self.v[self.first], self.uv[self.first] = at[-2], at[-1]
+
+    def estimates(self, count: np.ndarray, total: int, model: Model, tokens: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """Estimates of the orders 3, 2, 1 and Q, and the context bucket, by the counts of the n-grams."""
+        s = _Symbols(model.top)(self.h, self.kind)
+        u, v = _contexts(s, self.row)
+        c1, n2, n3 = count[self.one[tokens]], count[self.v[tokens]], count[self.uv[tokens]]
+        q = model.prob(u[tokens], v[tokens], s[tokens], c1)
+        p1 = c1 / total if total else q
+        p2 = np.where(n2 > 0, count[self.two[tokens]] / np.maximum(n2, 1), p1)
+        p3 = np.where(n3 > 0, count[self.three[tokens]] / np.maximum(n3, 1), p2)
+        return np.stack([p3, p2, p1, q], 1), np.minimum(np.ceil(np.log2(n3 + 1)).astype(np.int64), BUCKETS - 1)
+
+
+def _sent(ranges: int):
+    """The n-grams of a block and their counts, cut at equal ranges of fingerprints."""
+    def run(texts: pa.Table) -> pa.Table:
+        own = _Block(texts)
+        cut = np.searchsorted((own.grams >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1, dtype=np.uint64))
+        live = np.flatnonzero(np.diff(cut))
+        return pa.table({"range": live, "block": np.full(len(live), texts.column("block")[0].as_py()), "size": np.diff(cut)[live],
+                         "grams": pa.array([own.grams[cut[i]:cut[i + 1]].tobytes() for i in live], pa.binary()),
+                         "n": pa.array([_packed(own.count[cut[i]:cut[i + 1]]) for i in live], pa.binary())})
+    return run
 
 
-def _requests(top):
-    """The distinct words of each block of a task that are not in `top`."""
-    def run(batches):
-        have: dict[int, list[np.ndarray]] = {}
-        symbols = _Symbols(top)
-        for batch in batches:
-            block = batch.column("block").to_numpy()
-            for at, n, h, kind, row in _text_tokens(batch):
-                rare = symbols(h, kind) >= TOP
-                h, b = h[rare & (kind != END)], block[at + row[rare & (kind != END)]]
-                for k in np.unique(b):
-                    have.setdefault(int(k), []).append(np.unique(h[b == k]))
-        for k, parts in have.items():
-            w = np.unique(np.concatenate(parts))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), k)), pa.array(signed(w))], names=["block", "word"])
+def _summed(parts: pa.Table) -> pa.Table:
+    """For each part of a block in a range of fingerprints: the counts of its n-grams in all texts that train, and in the deleted ones."""
+    block, size = parts.column("block").to_numpy(), parts.column("size").to_numpy()
+    _, at = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in parts.column("grams").to_pylist()]), return_inverse=True)
+    n = np.concatenate([_unpacked(x, k) for x, k in zip(parts.column("n").to_pylist(), size, strict=True)])
+    cut, out = np.concatenate([[0], np.cumsum(size)]), []
+    for kind in (TRAIN, HELD):
+        use = np.repeat(block % 3 == kind, size)
+        total = np.bincount(at[use], n[use], at.max() + 1).astype(np.int64)
+        out.append(pa.array([_packed(total[at[i:j]]) for i, j in zip(cut, cut[1:], strict=False)], pa.binary()))
+    return pa.table({"block": block, "range": parts.column("range"), "size": size, "n": out[0], "d": out[1]})
+
+
+def _counts(own: _Block, totals: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """What `_summed` returned for the n-grams of a block."""
+    totals = totals.sort_by("range")
+    size = totals.column("size").to_pylist()
+    n, d = (np.concatenate([_unpacked(x, k) for x, k in zip(totals.column(c).to_pylist(), size, strict=True)]) for c in ("n", "d"))
+    if len(n) != len(own.grams):
+        raise ValueError("a block changed between two passes")
+    return n, d
+
+
+def _deleted_estimates(shared, total):
+    """Estimates for each distinct trigram of a deleted block, by the counts of the other texts that train."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        own = _Block(left)
+        _, first, n = np.unique(own.three, return_index=True, return_counts=True)
+        p, b = own.estimates(_counts(own, right)[0], total, shared.value, first)
+        return pa.table({"b": b, "n": n, **{f"p{k}": p[:, k] for k in range(4)}})
     return run
 
 
-def _score(shared, top_counts, end_count, total, distinct):
+def _weights(estimates: DataFrame) -> np.ndarray:
+    """Mixture weights for each context bucket by expectation-maximisation; a round is one sum over the stored estimates."""
+    weights = np.full((BUCKETS, 4), 0.25)
+    for _ in range(ROUNDS):
+        mass = [F.array(*map(F.lit, weights[:, k].tolist()))[F.col("b")] * F.col(f"p{k}") for k in range(4)]
+        new = np.full((BUCKETS, 4), 1e-3)
+        parts = estimates.select("b", *[m.alias(f"m{k}") for k, m in enumerate(mass)], (F.col("n") / sum(mass[1:], mass[0])).alias("share"))
+        for r in parts.groupBy("b").agg(*[F.sum(F.col(f"m{k}") * F.col("share")) for k in range(4)]).collect():
+            new[r[0]] += r[1:]
+        new /= new.sum(1, keepdims=True)
+        old, weights = weights, new
+        if np.abs(new - old).max() < SETTLED:
+            break
+    return weights
+
+
+def _score(shared, weights, total, distinct):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        model: Model = shared.value
-        symbols = _Symbols(model.top)
-        word = right.column("word").to_numpy().view(np.uint64)
-        order = np.argsort(word)
-        word, count = word[order], right.column("n").to_numpy()[order]
-        outs = []
-        for batch in left.combine_chunks().to_batches():
-            for at, n, h, kind, row in _text_tokens(batch):
-                s = symbols(h, kind)
-                c = np.zeros(len(h), np.int64)
-                if len(word):
-                    j = np.minimum(np.searchsorted(word, h), len(word) - 1)
-                    c = np.where(word[j] == h, count[j], 0)
-                c = np.where(s < TOP, top_counts[np.minimum(s, TOP - 1)], np.where(s == END, end_count, c))
-                u, v = _contexts(s, row)
-                outs.append(pa.table({
-                    "doc_id": batch.column("doc_id").slice(at, n), "held_out": batch.column("held_out").slice(at, n), "n_tokens": np.bincount(row, minlength=n),
-                    "n_known": np.bincount(row, c > 0, n).astype(np.int64), "train_tokens": np.full(n, total),
-                    "base_score": np.bincount(row, np.log10((c + 1) / (total + distinct + 1)), n), "score": np.bincount(row, model.log10(u, v, s, c), n)}))
-        if outs:
-            return pa.concat_tables(outs)
-        return pa.table({k: pa.array([], t) for k, t in (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-                                                        ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})
+        own = _Block(left)
+        n, d = _counts(own, right)
+        count = n + d
+        p, b = own.estimates(count, total, shared.value)
+        c, texts = count[own.one], pa.Table.from_batches(own.slices)
+        return pa.table({
+            "doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": np.bincount(own.row, minlength=own.rows),
+            "n_known": np.bincount(own.row, c > 0, own.rows).astype(np.int64), "train_tokens": np.full(own.rows, total),
+            "base_score": np.bincount(own.row, np.log10((c + 1) / (total + distinct + 1)), own.rows),
+            "score": np.bincount(own.row, np.log10((weights[b] * p).sum(1)), own.rows)})
     return run
 
 
@@ -206,30 +312,34 @@ def scored(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of `docs`."""
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), fold("doc_id", FOLDS).alias("fold"))
-    train = own.where(F.col("fold") != HELD_OUT)
-    counts = stored(train.select("text").mapInArrow(_count_words, "word bigint, kind int, n bigint").groupBy("word").agg(F.first("kind").alias("kind"), F.sum("n").alias("n")), "words")
+    train = own.where(F.col("fold") != HELD_OUT).select("text", (F.col("fold") == DELETED).alias("deleted"))
+    counts = stored(train.mapInArrow(_count_words, "word bigint, kind int, n bigint, d bigint")
+                    .groupBy("word").agg(F.first("kind").alias("kind"), F.sum("n").alias("n"), F.sum("d").alias("d")), "words")
     ranked = counts.where(F.col("kind") != END).orderBy(F.col("n").desc(), "word").limit(TOP).toPandas()
     top = ranked.word.to_numpy(np.int64).view(np.uint64)
-    top_counts = np.zeros(TOP, np.int64)
-    top_counts[:len(top)] = ranked.n
-    classes = counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas()
-    class_count, class_words = np.zeros(SYMBOLS, np.int64), np.zeros(SYMBOLS, np.int64)
-    class_count[classes.kind], class_words[classes.kind] = classes.n, classes.v
-    total, distinct, end_count = int(class_count.sum()), int(class_words.sum()), int(class_count[END])
-    np.subtract.at(class_count, ranked.kind.to_numpy(np.int64), ranked.n.to_numpy(np.int64))
-    np.subtract.at(class_words, ranked.kind.to_numpy(np.int64), 1)
-    grams = train.select("text", (F.col("fold") == DELETED).alias("deleted")).mapInArrow(_count_grams(top), "code int, n bigint") \
-        .groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # 2 * SYMBOLS**3 rows at most
+    classes = counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.col("n") - F.col("d")).alias("fit_n"), F.count_if(F.col("n") > F.col("d")).alias("fit_v")).toPandas()
+    by_class = {k: np.zeros(SYMBOLS, np.int64) for k in ("n", "v", "fit_n", "fit_v")}
+    for k, x in by_class.items():
+        x[classes.kind] = classes[k]
+    total, distinct, fit_total = int(by_class["n"].sum()), int(by_class["v"].sum()), int(by_class["fit_n"].sum())
+    for k, x in (("n", ranked.n), ("v", ranked.n > 0), ("fit_n", ranked.n - ranked.d), ("fit_v", ranked.n > ranked.d)):
+        np.subtract.at(by_class[k], ranked.kind.to_numpy(np.int64), x.to_numpy(np.int64))
+    grams = train.mapInArrow(_count_grams(top), "code int, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # 2 * SYMBOLS**3 rows at most
     both = np.zeros(2 * SYMBOLS ** 3, np.int64)
     both[grams.column("code").to_numpy()] = grams.column("n").to_numpy()
-    model = spark.sparkContext.broadcast(Model(*both.reshape(2, -1), top, class_count, class_words))
-    blocks = max(1, round(total * FOLDS / (FOLDS - 1) / block_tokens))
+    model = Model(*both.reshape(2, -1), top, by_class["n"], by_class["v"])
+    fit = model.without(both[:SYMBOLS ** 3], by_class["fit_n"], by_class["fit_v"])
+
+    blocks = [max(1, round(total * k / (FOLDS - 1) / block_tokens)) for k in (FOLDS - 2, 1, 1)]
+    kind = F.when(F.col("fold") == DELETED, HELD).when(F.col("fold") != HELD_OUT, TRAIN).otherwise(REST)
+    of_kind = F.when(kind == TRAIN, blocks[TRAIN]).when(kind == HELD, blocks[HELD]).otherwise(blocks[REST])
     placed = own.select("doc_id", F.coalesce(F.col("fold") == HELD_OUT, F.lit(True)).alias("held_out"), "text",
-                        F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).alias("block"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = placed.repartition(parts, "block")
-    asked = placed.select("block", "text").mapInArrow(_requests(top), "block bigint, word bigint")
-    known = asked.join(counts.select("word", "n"), "word").select("block", "word", "n")
-    return placed.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(
-        _score(model, top_counts, end_count, total, distinct),
+                        (F.pmod(F.xxhash64("doc_id", F.octet_length("text")), of_kind) * 3 + kind).cast("bigint").alias("block"))
+    sent = placed.groupBy("block").applyInArrow(_sent(sum(blocks)), "range bigint, block bigint, size bigint, grams binary, n binary")
+    totals = stored(sent.groupBy("range").applyInArrow(_summed, "block bigint, range bigint, size bigint, n binary, d binary"), "grams")
+    deleted = F.col("block") % 3 == HELD
+    estimates = stored(placed.where(deleted).groupBy("block").cogroup(totals.where(deleted).groupBy("block")).applyInArrow(
+        _deleted_estimates(spark.sparkContext.broadcast(fit), fit_total), "b bigint, n bigint, p0 double, p1 double, p2 double, p3 double"), "estimates")
+    return placed.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(
+        _score(spark.sparkContext.broadcast(model), _weights(estimates), total, distinct),
         "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

@@ -303,6 +303,57 @@ def test_lm_is_a_distribution():
         assert abs((m.weights[b] * p).sum() - 1) < 1e-9
 
 
+def test_lm_counts_all_words(spark):
+    """Scores by bigrams and trigrams of rare words; their endings are alike, so classes cannot tell the orders apart."""
+    r = random.Random(8)
+    pool = [f"{k:03d}qx" for k in range(400)]
+    chains = [r.sample(pool, 12) for _ in range(60)]
+    train = [d for d in range(2000) if brute.fold(d, 7) != 2][:600]
+    held = [d for d in range(2000) if brute.fold(d, 7) == 2][:40]
+    docs = [(d, " ".join(r.choice(chains))) for d in train]
+    seen, other = [" ".join(r.choice(chains)) for _ in held], []
+    for t in seen:
+        x = t.split(" ")
+        r.shuffle(x)
+        other.append(" ".join(x))
+    docs += list(zip(held, seen)) + list(zip([d + 10 ** 6 for d in held], other))
+    tables = []
+    for tokens in (500, 1 << 20):  # many blocks and ranges give the same as one
+        got = lm.scored(spark.createDataFrame(docs, "doc_id bigint, text string"), block_tokens=tokens).collect()
+        tables.append({x.doc_id: x.score for x in got})
+    assert tables[0].keys() == tables[1].keys() and all(abs(tables[0][d] - tables[1][d]) < 1e-6 for d in tables[0])
+    assert all(tables[0][d] > tables[0][d + 10 ** 6] + 5 for d in held if brute.fold(d + 10 ** 6, 7) == 2)
+    assert sum(tables[0][d] for d in held) > sum(tables[0][d + 10 ** 6] for d in held) + 200
+
+
+def test_lm_totals(spark):
+    """Counts that a block gets back are those of brute force."""
+    r = random.Random(3)
+    docs = [(d, " ".join(r.choices("abcdefgh", k=r.randint(0, 30)))) for d in range(60)]
+    left = [lm.pa.table({"text": [t for d, t in docs if d % 3 == k], "block": np.full(20, k)}) for k in range(3)]
+    parts = lm.pa.concat_tables([lm._sent(5)(t) for t in left])
+    sums = lm.pa.concat_tables([lm._summed(parts.filter(lm.pa.compute.equal(parts["range"], i))) for i in range(5)])
+    own = lm._Block(left[2])
+    counts = lm._counts(own, sums.filter(lm.pa.compute.equal(sums["block"], 2)))
+    want = [brute.Counter() for _ in range(2)]
+    for d, t in docs:
+        w = ["<", "<", *t.split(), ">"]
+        for i in range(2, len(w)):
+            for c in want[d % 3:d % 3 + 1] if d % 3 < 2 else []:
+                c.update([(w[i],), (w[i - 1], w[i]), (w[i - 2], w[i - 1], w[i])])
+        if d % 3 < 2:
+            want[d % 3].update([("<",), ("<", "<")])
+    at = 0
+    for t in (t for d, t in docs if d % 3 == 2):
+        w = ["<", "<", *t.split(), ">"]
+        for i in range(2, len(w)):
+            for c, n in zip(want, counts, strict=True):
+                assert [n[x[at]] for x in (own.one, own.two, own.three, own.v, own.uv)] == [
+                    c[(w[i],)], c[(w[i - 1], w[i])], c[(w[i - 2], w[i - 1], w[i])], c[(w[i - 1],)], c[(w[i - 2], w[i - 1])]]
+            at += 1
+    assert at == len(own.h)
+
+
 # Mixture
 
 def test_water_filling(spark):
