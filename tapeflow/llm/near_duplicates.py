@@ -4,7 +4,9 @@ Texts become sets of shingles of five words. Each of `TREES` trees orders texts
 in a prefix trie. Matches are first sought on whole paths; prefixes are then shortened step by step until pairs at the threshold
 share a prefix in some tree with probability `RECALL`: 1 - (1 - t**depth)**trees. In each bucket of the last depth, texts sorted by
 their paths are linked with the first text and the few before them whenever their signatures agree well enough
-that a similarity of t is possible. Connected texts form families.
+that a similarity of t is possible. Connected texts form families. In buckets where that leaves several families, all pairs of texts of
+different families are then tested, in blocks of `BLOCK` texts whose pairs are groups, so every pair that shares a bucket is either
+tested or in one family already.
 
 Inside a family all pairs are verified on the shingle sets. Families are cut into blocks of `BLOCK` texts; each pair of blocks is one
 group, so a family that holds a third of the table is spread over many tasks, and a group sends on only counts and a spanning set of
@@ -140,17 +142,17 @@ def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _linked(least: float):
     """Links between rows in trie order: with the `NEAR` rows before and the first row of the bucket, where at least `least` of the
     signatures agree (one byte of each value is compared, which only lets more pass). A bucket that a border of ranges cuts is
-    held together by a link to its first row. Only a spanning set of links leaves a task."""
+    held together by a link to its first row, from all its rows if `_across` leaves it out. Only a spanning set of links leaves a task."""
     def run(batches):
-        bucket, doc, head, low = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, TREES * DEPTH), np.uint8)
+        bucket, doc, head, many, low = *(np.zeros(0, np.int64) for _ in range(4)), np.zeros((0, TREES * DEPTH), np.uint8)
         found, size = [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             old = len(bucket)
-            b, d, h = (batch.column(c).to_numpy() for c in ("bucket", "doc_id", "head"))
+            b, d, h, m = (batch.column(c).to_numpy() for c in ("bucket", "doc_id", "head", "n"))
             new = np.frombuffer(b"".join(batch.column("low").to_pylist()), np.uint8).reshape(len(b), -1)
-            bucket, doc, head, low = np.concatenate([bucket, b]), np.concatenate([doc, d]), np.concatenate([head, h]), np.concatenate([low, new])
+            bucket, doc, head, many, low = (np.concatenate(x) for x in ((bucket, b), (doc, d), (head, h), (many, m), (low, new)))
             start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
             first = np.repeat(start, np.diff(np.append(start, len(bucket))))
             at = np.arange(old, len(bucket))
@@ -159,8 +161,7 @@ def _linked(least: float):
                 to, of = to[ok], of[ok]
                 ok = (low[to] == low[of]).mean(1) >= least
                 found.append((doc[to[ok]], doc[of[ok]]))
-            cut = start[(start >= old) | (old == 0)]
-            cut = cut[head[cut] != doc[cut]]
+            cut = at[(head[at] != doc[first[at]]) & ((first[at] == at) | (many[at] <= NEAR + 2))]
             found.append((doc[cut], head[cut]))
             size += sum(len(x) for x, _ in found[-NEAR - 2:])
             if size > 1 << 20:
@@ -171,21 +172,54 @@ def _linked(least: float):
                     found, size = [], 0
             # The first row of an open bucket and the last few rows are still needed.
             keep = np.unique(np.append(np.arange(max(0, len(bucket) - NEAR), len(bucket)), first[-1]))
-            bucket, doc, head, low = bucket[keep], doc[keep], head[keep], low[keep]
+            bucket, doc, head, many, low = bucket[keep], doc[keep], head[keep], many[keep], low[keep]
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in _spanning(*(np.concatenate(x) for x in zip(*found, strict=True)))], names=["a", "b"])
     return run
 
 
-def _candidates(reps: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): links that hold the families together."""
+def _tested(least: float):
+    """Links between texts of different families in a pair of blocks of a bucket, where at least `least` of the signatures agree."""
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        doc, root, block = (t.column(c).to_numpy() for c in ("doc_id", "root", "block"))
+        low = np.frombuffer(b"".join(t.column("low").to_pylist()), np.uint8).reshape(len(doc), -1)
+        to, of = (np.flatnonzero(block == k.as_py()) for k in key[1:])
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for k in range(0, len(to), 64):
+            some = to[k:k + 64]
+            x, y = np.nonzero(((low[some][:, None] == low[of]).mean(2) >= least) & (root[some][:, None] != root[of]))
+            found.append((doc[some[x]], doc[of[y]]))
+        return pa.table(dict(zip("ab", _spanning(*(np.concatenate(x) for x in zip(*found, strict=True))), strict=True)))
+    return run
+
+
+def _families(reps: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(v, root): texts that are connected by possible links, named by their smallest id."""
+    least = threshold - DOUBT * math.sqrt(threshold * (1 - threshold) / (TREES * DEPTH))
     paths = reps.select("doc_id", "sig").mapInArrow(_paths(last_depth(threshold)), "doc_id bigint, bucket bigint, tail binary")
     shared = stored(paths, "paths")
-    many = shared.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("tail", "doc_id")).alias("head")).where("n > 1").select("bucket", F.col("head.doc_id").alias("head"))
-    own = shared.join(many, "bucket").join(reps.select("doc_id", "sig").mapInArrow(_low_bytes, "doc_id bigint, low binary"), "doc_id")
+    many = shared.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("tail", "doc_id")).alias("head")).where("n > 1").select("bucket", "n", F.col("head.doc_id").alias("head"))
+    low = reps.select("doc_id", "sig").mapInArrow(_low_bytes, "doc_id bigint, low binary")
+    own = shared.join(many, "bucket").join(low, "doc_id")
     # Trie order inside a bucket comes from ranges of a sorted table, so a bucket of any size is spread over tasks.
-    ordered = own.repartitionByRange("bucket", "tail", "doc_id").sortWithinPartitions("bucket", "tail", "doc_id").select("bucket", "doc_id", "head", "low")
-    return ordered.mapInArrow(_linked(threshold - DOUBT * math.sqrt(threshold * (1 - threshold) / (TREES * DEPTH))), "a bigint, b bigint")
+    ordered = own.repartitionByRange("bucket", "tail", "doc_id").sortWithinPartitions("bucket", "tail", "doc_id").select("bucket", "doc_id", "head", "n", "low")
+    family = connected(ordered.mapInArrow(_linked(least), "a bigint, b bigint"), "families")
+    across = stored(_across(shared, low, family, least, block), "across")
+    if across.isEmpty():
+        return family
+    return connected(across.union(family.select("v", "root")), "families")
+
+
+def _across(shared: DataFrame, low: DataFrame, family: DataFrame, least: float, block: int) -> DataFrame:
+    """(a, b): links between families whose texts share a bucket that `_linked` does not test completely."""
+    named = shared.join(shared.groupBy("bucket").count().where(F.col("count") > NEAR + 2).select("bucket"), "bucket") \
+        .join(family.withColumnRenamed("v", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    mixed = named.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi") \
+        .select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    own = named.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).join(low, "doc_id")
+    tiles = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
+        .select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "root", "block", "low")
+    return tiles.groupBy("bucket", "i", "j").applyInArrow(_tested(least), "a bigint, b bigint")
 
 
 def _sets(batches):
@@ -256,7 +290,7 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) ->
     keys = rows.groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("k")).select("doc_id", "k.k1", "k.k2")
     groups = stored(keys.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "copies")
     reps = stored(rows.join(groups.select(F.col("rep").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"]).select("doc_id", "sig"), "texts")
-    family = connected(_candidates(reps, threshold), "families")
+    family = _families(reps, threshold, block)
     of_size = family.groupBy("root").agg(F.count("*").alias("n"))
     members = stored(family.join(of_size, "root").join(groups.withColumnRenamed("rep", "v"), "v")
                      .select(F.col("v").alias("doc_id"), F.col("root").alias("family"), "copies", F.ceil(F.col("n") / block).cast("int").alias("blocks"), "k1", "k2")

@@ -188,6 +188,33 @@ def test_join_hot_family(spark):
     assert got == brute.jaccard_classes(docs)
 
 
+def test_join_boilerplate(spark):
+    """Texts with much in common share buckets without being similar; pairs among them stand anywhere in their trie order."""
+    r = random.Random(6)
+    common, docs = [f"c{k}" for k in range(170)], []
+    for p in range(150):
+        own = [f"p{p}w{k}" for k in range(60)]
+        docs.append((2 * p, " ".join(common + own)))
+        for k in r.sample(range(60), 4):
+            own[k] = f"p{p}x{k}"
+        docs.append((2 * p + 1, " ".join(common + own)))
+    got = {x.doc_id: (x.class_id, x.n_links) for x in near_duplicates.joined(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got == brute.jaccard_classes(docs)
+
+
+def test_join_tests_all_pairs_of_a_bucket(spark):
+    """Two texts that share one bucket, far apart in its order, with many others that are like neither."""
+    r = np.random.default_rng(1)
+    sig = r.integers(0, 1 << 32, (400, near_duplicates.TREES, near_duplicates.DEPTH), dtype=np.uint32)
+    sig[:, 0, :4] = 7
+    sig[300] = sig[100]
+    sig[300, 1:, 0] += 1  # no other bucket is shared
+    sig[:, 0, 4] = np.arange(400) << 20
+    reps = spark.createDataFrame([(d, bytearray(x.tobytes())) for d, x in enumerate(sig)], "doc_id bigint, sig binary")
+    for block in (64, 256):
+        assert {tuple(x) for x in near_duplicates._families(reps, 0.8, block).collect()} >= {(300, 100), (100, 100)}
+
+
 def test_join_documents(documents):
     got = {r.doc_id: (r.class_id, r.n_links) for r in near_duplicates.joined(documents).collect()}
     assert got == brute.jaccard_classes([(r.doc_id, r.text) for r in documents.collect()])
