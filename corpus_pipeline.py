@@ -3,12 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next one's
 docs. All but the last return the columns of documents.
 
-Rows with a NULL doc_id are judged by their texts alone: they pass near-duplicate removal, which names documents by id.
+Near-duplicate removal names rows by a stored number, so rows that repeat a doc_id or have none are each judged by their own text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeflow.llm import decontaminate, mixture, near_duplicates, quality, token_files
@@ -22,15 +22,17 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the smallest id; of rows that repeat an id one."""
-    found = near_duplicates.joined(docs.select("doc_id", "text"))
-    special = stored(found.where("doc_id <> class_id or n_rows > 1").select("doc_id", (F.col("doc_id") == F.col("class_id")).alias("first__")), "special")
-    # Few texts are moved: those that a bitmap of the special ids lets through.
-    marked = flagged(docs, special, "doc_id")
-    some = marked.where("maybe__").select(*docs.columns)
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    first = some.join(special.where("first__"), "doc_id").select(*docs.columns).withColumn("nth__", nth).where("nth__ = 1").select(*docs.columns)
-    return marked.where("not maybe__").select(*docs.columns).unionByName(some.join(special, "doc_id", "left_anti")).unionByName(first)
+    """Of each class of near duplicates the row with the smallest id. Texts without words are their own class, so their rows all stay."""
+    rows = stored(docs.withColumn("row__", F.monotonically_increasing_id()), "rows")  # stored, so that every pass sees the same numbers
+    found = stored(near_duplicates.joined(rows.select(F.col("row__").alias("doc_id"), "text")).select(F.col("doc_id").alias("row__"), "class_id"), "classes")
+    shared = found.where("row__ <> class_id").select("class_id").distinct()
+    members = stored(rows.select("row__", "doc_id").join(found.join(shared, "class_id"), "row__"), "members")
+    kept = members.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row__")).alias("first")).select(F.col("first.row__").alias("row__"))
+    extra = stored(members.join(kept, "row__", "left_anti").select("row__"), "extra")
+    # Few texts are moved: those that a bitmap of the extra rows lets through.
+    marked = flagged(rows, extra, "row__")
+    some = marked.where("maybe__").join(extra, "row__", "left_anti")
+    return marked.where("not maybe__").select(*docs.columns).unionByName(some.select(*docs.columns))
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -69,6 +69,17 @@ def test_edge_rows(spark, small):
     assert docs.count() > 0
 
 
+def test_duplicates_are_rows(spark, small):
+    """Rows that share an id, or have none, are judged by their own texts; one row of each class stays."""
+    words = [[f"{a}{k}" for k in range(60)] for a in "abcd"]
+    a, b, c, d = (" ".join(w) for w in words)
+    near = " ".join([*words[0][:-1], "other"])
+    rows = [(3, a), (5, near), (5, b), (5, c), (None, c), (None, d), (None, d), (None, None), (6, ""), (7, "...")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = pairs({"rows": corpus_pipeline.one_of_each_group(spark, docs, small).collect()})
+    assert sorted(got, key=repr) == sorted([(3, a), (5, b), (5, c), (None, d), (None, None), (6, ""), (7, "...")], key=repr)
+
+
 def test_empty_table(spark, small):
     docs = stored(table(spark, small, "documents").where("false"), "none")
     for _, stage in corpus_pipeline.STAGES:
