@@ -1,8 +1,8 @@
 """N-gram Jaccard join with a MinHash LSH forest.
 
 Texts become sets of shingles of five words. Each of `TREES` trees orders texts by a signature of `DEPTH` MinHash values, a path
-in a prefix trie. Matches are first sought on whole paths; prefixes are then shortened step by step until pairs at the threshold
-share a prefix in some tree with probability `RECALL`: 1 - (1 - t**depth)**trees. In each bucket of the last depth, texts sorted by
+in a prefix trie. Buckets are prefixes of one depth, fixed in advance by the parameters and not by matches found: the longest at which pairs at the
+threshold share a prefix in some tree with probability `RECALL`: 1 - (1 - t**depth)**trees. In each bucket, texts sorted by
 their paths are linked with the first text and the few before them whenever their signatures agree well enough
 that a similarity of t is possible. Connected texts form families. In buckets where that leaves several families, all pairs of texts of
 different families are then tested, in blocks of `BLOCK` texts whose pairs are groups, so every pair that shares a bucket is either
@@ -44,7 +44,7 @@ _ADD = _r.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32)
 
 
 def last_depth(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
-    """The longest prefix that reaches the recall, shortening from whole paths."""
+    """The longest prefix that reaches the recall."""
     while depth > 1 and 1 - (1 - threshold ** depth) ** trees < recall:
         depth -= 1
     return depth
