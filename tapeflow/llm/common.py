@@ -130,6 +130,11 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return _spans(low, offsets, _BLANK[low])
 
 
+def plain_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words between blanks as they are, as `words` returns them."""
+    return _spans(data, offsets, _BLANK[data])
+
+
 _SPACE = np.ones(256, bool)
 _SPACE[[32, 10]] = False
 
@@ -158,6 +163,20 @@ def _spans(low: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np
     return Fingerprints(low).of(start, end), row, start, end
 
 
+def spaced(data: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, place of each word and the end) of the words [start, end) with one space between words of a row."""
+    blank = np.append(row[1:] == row[:-1], False) if len(row) else np.zeros(0, bool)
+    size = end - start + blank
+    to = np.concatenate([[0], np.cumsum(size)])
+    out = np.empty(to[-1], np.uint8)
+    for k in range(0, len(row), 1 << 16):
+        m = min(k + (1 << 16), len(row))
+        source = np.arange(to[k], to[m]) + np.repeat(start[k:m] - to[k:m], size[k:m])
+        out[to[k]:to[m]] = data[np.minimum(source, len(data) - 1)]
+    out[to[1:][blank] - 1] = 32
+    return out, to
+
+
 def runs(h: np.ndarray, k: int, seed: int = 7) -> np.ndarray:
     """Fingerprints of k consecutive entries at each of the len(h) - k + 1 positions (ignoring row borders)."""
     n = len(h) - k + 1

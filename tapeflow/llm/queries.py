@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeflow.llm import decontaminate, language, lm, mixture, near_duplicates, neighbours, pii, quality, substrings, token_files
+from tapeflow.llm import decontaminate, divergence, language, lm, mixture, near_duplicates, neighbours, periodic, pii, quality, simhash, substrings, token_files
 from tapeflow.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,46 @@ SELECT d.doc_id, coalesce(class.c, d.doc_id) AS class_id, coalesce(n_links, 0) A
 FROM d LEFT JOIN class ON class.a = d.doc_id LEFT JOIN deg ON deg.a = d.doc_id LEFT JOIN key USING (doc_id) LEFT JOIN copies USING (k)""")
 def op5(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.joined(table(spark, d, "documents"))
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, d: str) -> DataFrame:
+    found = periodic.detected(table(spark, d, "documents").select("doc_id", "text"), seed=F.crc32(F.col("doc_id").cast("string").cast("binary")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), r.period.cast("string")), F.lit("\n")))
+    length, period = best.getField("length"), -best.getField("period")
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), (-best.getField("start")).alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op12_simhash")
+def op12(spark: SparkSession, d: str) -> DataFrame:
+    found = simhash.components(table(spark, d, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+TERMS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query("op13_source_divergence", f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {TERMS_SQL} AS ws FROM documents),
+w AS (SELECT r, lang, source, unnest(ws) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS lang_n FROM w GROUP BY 1, 2 HAVING count(DISTINCT r) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+size AS (SELECT lang, count(*) AS v, sum(lang_n) AS total FROM kept GROUP BY 1),
+own AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY 1, 2),
+p AS (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n,
+  1 + (1000000000 * (coalesce(c.n, 0) + 5)::HUGEINT) // (coalesce(own.total, 0) + 5 * size.v)::HUGEINT AS p,
+  1 + (1000000000 * (kept.lang_n + 5)::HUGEINT) // (size.total + 5 * size.v)::HUGEINT AS q
+  FROM g JOIN size USING (lang) JOIN kept USING (lang) LEFT JOIN own ON own.lang = g.lang AND own.source = g.source
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+pair AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(pair.value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, CAST(p - q AS BIGINT) AS value FROM p WHERE n > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM pairs
+UNION ALL SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM terms) WHERE rank <= 50""")
+def op13(spark: SparkSession, d: str) -> DataFrame:
+    return divergence.audited(table(spark, d, "documents"))

@@ -142,3 +142,92 @@ def levels(children, budget):
         budget -= sum(children[i][1] for i in full)
         open_ = [i for i in open_ if i not in full]
     return out
+
+
+def echoed(doc_id, text):
+    """Words of a text, the tail made periodic for one id in ten."""
+    w = TOKEN.findall(text or "")
+    n, h = len(w), None if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h is not None and h % 10 == 0 and n:
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        w = [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+    return w
+
+
+def periodic_runs(w):
+    """(start, period, length) of all runs, by trying each period."""
+    n, out = len(w), []
+    code = {x: i for i, x in enumerate(dict.fromkeys(w))}
+    x = np.array([code[v] for v in w], int)
+    for q in range(1, n // 4 + 1):
+        same = np.concatenate([[False], x[:-q] == x[q:], [False]])
+        edge = np.flatnonzero(same[1:] != same[:-1])
+        for a, b in edge.reshape(-1, 2).tolist():
+            if b - a + q >= max(6, 4 * q) and not any((x[a:b + q - e] == x[a + e:b + q]).all() for e in range(1, q)):
+                out.append((a, q, b - a + q))
+    return sorted(out)
+
+
+def collapsed(w, found):
+    gone = set()
+    for a, q, length in found:
+        gone |= set(range(a + q, a + length))
+    return " ".join(x for i, x in enumerate(w) if i not in gone)
+
+
+def simhash(text):
+    import xxhash
+    w = TOKEN.findall(lower(text))
+    s = [" ".join(w[i:i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def simhash_components(docs):
+    """[(doc_id, fingerprint, component)] by comparing all pairs."""
+    fp = [simhash(t) for _, t in docs]
+    root = list(range(len(docs)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(docs)):
+        for j in range(i):
+            if (fp[i] ^ fp[j]).bit_count() <= 2:
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(docs):
+        k = find(i)
+        least[k] = min((x for x in (least.get(k), d) if x is not None), default=None)
+    return [(d, f"{fp[i]:016x}", least[find(i)]) for i, (d, _) in enumerate(docs)]
+
+
+def divergence(docs, least_docs=30, top=50):
+    """docs: (text, lang, source); rows of the audit."""
+    n, df, groups = defaultdict(Counter), defaultdict(Counter), defaultdict(set)
+    for text, lang, source in docs:
+        lang, source = lang or "", source or ""
+        w = re.findall("[^\x00-\x40\x5B-\x60\x7B-\x7F]+", lower(text))
+        groups[lang].add(source)
+        n[lang, source].update(w)
+        df[lang].update(set(w))
+    out = []
+    for lang, sources in groups.items():
+        kept = [t for t, c in df[lang].items() if c >= least_docs]
+
+        def shares(counts, kept=kept):
+            total = sum(counts[t] for t in kept)
+            return {t: 1 + 1_000_000_000 * (counts[t] + 5) // (total + 5 * len(kept)) for t in kept}
+
+        q = shares(sum((n[lang, s] for s in sources), Counter()))
+        p = {s: shares(n[lang, s]) for s in sources}
+        for s in sources:
+            pairs = [(-sum(abs(p[s][t] - p[o][t]) for t in kept), o.encode(), o) for o in sources if o != s]
+            terms = [(q[t] - p[s][t], t.encode(), t) for t in kept if n[lang, s][t] and p[s][t] > q[t]]
+            for part, found in (("pair", sorted(pairs)), ("term", sorted(terms)[:top])):
+                out += [(lang, s, part, item, -v, r + 1) for r, (v, _, item) in enumerate(found)]
+    return out
