@@ -12,7 +12,7 @@ from tapeflow.operators import regimes as R
 from tapeflow.operators import signals as SG
 from tapeflow.operators import strategies as ST
 from tapeflow.params import DEFAULTS, SIGNAL_FEATURES
-from tapeflow.plans import reports, rule_sql
+from tapeflow.plans import forest_sql, reports, rule_sql
 from tapeflow.plans.fixture_sql import add_table
 from tapeflow.plans.q_indicators import DATE, rounded, rsql
 from tapeflow.plans.q_regimes import cycles
@@ -231,27 +231,110 @@ def time_fold_sizes(spark, d):
 @query("market_regime_forest", "R-04 R-05 R-07")
 def market_regime_forest(spark, d):
     rows = market_rows(spark, d)
-    return C.predict(C.train(rows), rows).withColumn("probabilities", F.to_json("probabilities"))
+    return C.predict(C.node_table(C.train(rows)), rows).withColumn("probabilities", F.to_json("probabilities"))
 
 
-@query("regime_validation", "R-04 W-16", """
-SELECT k AS fold, CAST(floor(n / 6) AS BIGINT) AS n_test, TRUE AS f1_in_range, TRUE AS importances_valid
-FROM (SELECT unnest([1, 2, 3, 4, 5]) AS k), (SELECT count(*) AS n FROM market_index m JOIN labels l ON l.date = m.date AND l.scope = 'market')""", "market_index labels")
+@query("regime_validation", "R-04 W-16")
 def regime_validation(spark, d):
+    """The F1 and size of each fold, and the importance of each feature in the forest of all rows."""
     rows = market_rows(spark, d)
-    scores = C.cross_validate(rows)
-    cols = C.feature_columns(rows)
-    total = sum(C.importances(C.train(rows), cols).values())
-    goal = 1.0 if rows.select("cycle").distinct().count() > 1 else 0.0  # a single class is never split
-    ok = spark.createDataFrame([(k + 1, bool(0.0 <= f <= 1.0)) for k, f in enumerate(scores)], "fold int, f1_in_range boolean")
-    n = time_folds(rows, ["date"], len(scores)).groupBy("fold").agg(F.count(F.lit(1)).alias("n_test"))
-    return n.join(ok, "fold").withColumn("importances_valid", F.lit(abs(total - goal) < 1e-6))
+    folds = C.weighted_f1(C.confusion(C.fold_predictions(rows))).select(F.lit("fold").alias("part"), F.col("fold").cast("string").alias("name"), "n_test", F.col("f1").alias("value"))
+    weights = list(C.importances(C.train(rows), C.feature_columns(rows)).items())
+    used = spark.createDataFrame(weights, "name string, value double").select(F.lit("feature").alias("part"), "name", F.lit(None).cast("bigint").alias("n_test"), "value")
+    return folds.unionByName(used)
 
 
 @query("classified_regimes", "R-06 R-04 S-05 A-25")
 def classified_regimes(spark, d):
     m, s, k = market_rows(spark, d), sector_rows(spark, d), stock_rows(spark, d)
-    return C.classify_all(C.train(m), C.train(s), C.train(k), m, s, k, td.stocks(spark, d))
+    models = [C.node_table(C.train(x)) for x in (m, s, k)]
+    return C.classify_all(*models, m, s, k, td.stocks(spark, d))
+
+
+# The same steps with forests of random cuts, which SQL can grow as well.
+
+TREES, CUTS, FOREST_SEED = 12, 4, 7
+_NAMES, _SHAPE = C.CYCLE_NAMES, (TREES, CUTS)
+
+
+def _forest_rows(cols, table, more=""):
+    return f"SELECT 0 AS k, cycle, {more}[{', '.join(f'coalesce({c}, 0)::DOUBLE' for c in cols)}] AS x FROM {table}"
+
+
+def _over(select, *parts):
+    """A query over common tables of its own."""
+    return "SELECT * FROM (WITH " + ",\n".join(p for part in parts for p in ([part] if isinstance(part, str) else part)) + f" {select})"
+
+
+add_table("market_rows", "market_index labels", """
+SELECT m.date, l.cycle, india_vix, CAST(coalesce(c > m50, FALSE) AS INTEGER) AS nifty200_above_50dma, CAST(coalesce(c > m200, FALSE) AS INTEGER) AS nifty200_above_200dma,
+  (c / m50 - 1) * 100 AS nifty200_dma50_pct, (c / m200 - 1) * 100 AS nifty200_dma200_pct, nifty200_1d_ret, nifty200_5d_ret, nifty200_20d_ret
+FROM (SELECT *, nifty200_close AS c, CASE WHEN row_number() OVER w >= 50 THEN avg(nifty200_close) OVER (ORDER BY date ROWS 49 PRECEDING) END AS m50,
+    CASE WHEN row_number() OVER w >= 200 THEN avg(nifty200_close) OVER (ORDER BY date ROWS 199 PRECEDING) END AS m200,
+    (nifty200_close / lag(nifty200_close, 1) OVER w - 1) * 100 AS nifty200_1d_ret, (nifty200_close / lag(nifty200_close, 5) OVER w - 1) * 100 AS nifty200_5d_ret,
+    (nifty200_close / lag(nifty200_close, 20) OVER w - 1) * 100 AS nifty200_20d_ret
+  FROM market_index WINDOW w AS (ORDER BY date)) m JOIN labels l ON l.date = m.date AND l.scope = 'market'""")
+add_table("sector_rows", "labels market_index", """
+SELECT l.scope_id AS sector, l.date, l.cycle, l.close AS index_close, rsi AS rsi_14, m.india_vix, m.r20 AS nifty200_20d_ret, above_dma AS above_50dma,
+  (l.close / lag(l.close, 5) OVER w - 1) * 100 AS ret_5d, (l.close / lag(l.close, 20) OVER w - 1) * 100 AS ret_20d, (l.close / lag(l.close, 60) OVER w - 1) * 100 AS ret_60d,
+  CASE WHEN row_number() OVER w >= 200 AND l.close > avg(l.close) OVER (PARTITION BY l.scope_id ORDER BY l.date ROWS 199 PRECEDING) THEN 1 ELSE 0 END AS above_200dma
+FROM labels l JOIN (SELECT *, (nifty200_close / lag(nifty200_close, 20) OVER (ORDER BY date) - 1) * 100 AS r20 FROM market_index) m ON m.date = l.date
+WHERE l.scope = 'sector' WINDOW w AS (PARTITION BY l.scope_id ORDER BY l.date)""")
+add_table("stock_rows", "ind rs market_index labels", """
+SELECT i.symbol, i.date, l.cycle, i.pct_from_ema200, i.pct_from_52w_high, i.pct_from_52w_low, CASE WHEN i.close > sma_50 THEN 1 ELSE 0 END AS above_50dma,
+  CASE WHEN i.close > sma_200 THEN 1 ELSE 0 END AS above_200dma, (ema_50 - ema_200) / nullif(ema_200, 0) * 100 AS ema50_vs_ema200, rsi_14, rsi_9, adx_14, macd_hist, volume_ratio,
+  rs.rs_nifty200 AS rs_nifty200, m.india_vix, hist_vol_21
+FROM ind i JOIN rs ON rs.symbol = i.symbol AND rs.date = i.date JOIN market_index m ON m.date = i.date
+JOIN labels l ON l.scope = 'stock' AND l.scope_id = i.symbol AND l.date = i.date WHERE rsi_14 IS NOT NULL""")
+
+SECTOR_COLS = ["index_close", "ret_5d", "ret_20d", "ret_60d", "above_50dma", "above_200dma", "0", "1", "rsi_14", "0", "india_vix", "nifty200_20d_ret", "0"]
+STOCK_COLS = ["pct_from_ema200", "pct_from_52w_high", "pct_from_52w_low", "above_50dma", "above_200dma", "ema50_vs_ema200", "rsi_14", "rsi_9", "adx_14", "macd_hist", "volume_ratio",
+              "rs_nifty200", "india_vix", "{m}", "{s}", "hist_vol_21"]
+_MARKET = [f"mr AS ({_forest_rows(MF, 'market_rows', 'date, ')})", *forest_sql.grown("mf", "mr", len(MF), _NAMES, *_SHAPE, FOREST_SEED)]
+
+
+@query("random_tree_regimes", "R-07 R-05", _over(
+    f"SELECT {DATE}, cycle, {rsql(['confidence', 'p0', 'p1', 'p2'], 6)} FROM p", _MARKET, forest_sql.scored("p", "mr", "date", "mf", _NAMES, *_SHAPE)), "market_rows")
+def random_tree_regimes(spark, d):
+    rows = market_rows(spark, d)
+    p = C.predict(C.random_forest(rows, *_SHAPE, FOREST_SEED), rows)
+    p = p.select("date", "cycle", "confidence", *[F.col("probabilities")[c].alias(f"p{i}") for i, c in enumerate(_NAMES)])
+    return p.select(F.col("date").cast("string"), "cycle", *[(F.round(c, 6) + 0.0).alias(c) for c in ("confidence", "p0", "p1", "p2")])
+
+
+@query("random_tree_validation", "R-04 W-16 A-25", _over(
+    """SELECT CAST(k AS INTEGER) AS fold, CAST(sum(support) AS BIGINT) AS n_test, round(sum(support * 2.0::DOUBLE * hits / (support + coalesce(claimed, 0))) / sum(support), 6) + 0.0 AS f1
+FROM c LEFT JOIN g USING (k, truth) GROUP BY 1""",
+    f"""r0 AS (SELECT *, CASE WHEN p < total - 5 * (total // 6) THEN 0 ELSE (p - (total - 5 * (total // 6))) // (total // 6) + 1 END AS fold
+  FROM (SELECT date, cycle, x, row_number() OVER (ORDER BY date) - 1 AS p, count(*) OVER () AS total FROM ({_forest_rows(MF, 'market_rows', 'date, ')})))""",
+    "r AS (SELECT ks.k, cycle, x FROM r0 JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS k) ks ON fold < ks.k)", "q AS (SELECT fold AS k, date, cycle AS truth, x FROM r0 WHERE fold > 0)",
+    forest_sql.grown("f", "r", len(MF), _NAMES, *_SHAPE, FOREST_SEED), forest_sql.scored("p", "q", "date, truth", "f", _NAMES, *_SHAPE),
+    "c AS (SELECT k, truth, sum(CASE WHEN cycle = truth THEN 1 ELSE 0 END) AS hits, count(*) AS support FROM p GROUP BY 1, 2)",
+    "g AS (SELECT k, cycle AS truth, count(*) AS claimed FROM p GROUP BY 1, 2)"), "market_rows")
+def random_tree_validation(spark, d):
+    found = C.fold_predictions(market_rows(spark, d), fit=lambda r: C.random_forest(r, *_SHAPE, FOREST_SEED))
+    return C.weighted_f1(C.confusion(found)).select("fold", "n_test", (F.round("f1", 6) + 0.0).alias("f1"))
+
+
+_ENCODED = "CASE cycle WHEN 'bull' THEN 1.0 WHEN 'bear' THEN -1.0 ELSE 0.0 END"
+_LAST_STOCKS = f"""(SELECT * FROM stock_rows QUALIFY date = max(date) OVER (PARTITION BY symbol))
+  LEFT JOIN (SELECT symbol, se FROM stocks JOIN (SELECT sector, {_ENCODED} AS se FROM sp) USING (sector)) USING (symbol), (SELECT {_ENCODED} AS me FROM mp)"""
+
+
+@query("random_tree_classes", "R-06 R-05 S-05 J-08", _over(
+    f"""SELECT {DATE}, scope, scope_id, cycle, {rsql(['confidence'], 6)} FROM (SELECT date, 'market' AS scope, NULL::VARCHAR AS scope_id, cycle, confidence FROM mp
+  UNION ALL SELECT date, 'sector', sector, cycle, confidence FROM sp UNION ALL SELECT date, 'stock', symbol, cycle, confidence FROM kp)""",
+    _MARKET, "mq AS (SELECT * FROM mr QUALIFY date = max(date) OVER ())", forest_sql.scored("mp", "mq", "date", "mf", _NAMES, *_SHAPE),
+    f"sr AS ({_forest_rows(SECTOR_COLS, 'sector_rows', 'date, sector, ')})", forest_sql.grown("sf", "sr", len(SECTOR_COLS), _NAMES, *_SHAPE, FOREST_SEED),
+    "sq AS (SELECT * FROM sr QUALIFY date = max(date) OVER (PARTITION BY sector))", forest_sql.scored("sp", "sq", "date, sector", "sf", _NAMES, *_SHAPE),
+    f"kr AS ({_forest_rows([c.format(m='0', s='0') for c in STOCK_COLS], 'stock_rows')})", forest_sql.grown("kf", "kr", len(STOCK_COLS), _NAMES, *_SHAPE, FOREST_SEED),
+    f"kq AS ({_forest_rows([c.format(m='me', s='se') for c in STOCK_COLS], _LAST_STOCKS, 'date, symbol, ')})",
+    forest_sql.scored("kp", "kq", "date, symbol", "kf", _NAMES, *_SHAPE)), "market_rows sector_rows stock_rows stocks")
+def random_tree_classes(spark, d):
+    m, s, k = market_rows(spark, d), sector_rows(spark, d), stock_rows(spark, d)
+    models = [C.random_forest(x, *_SHAPE, FOREST_SEED) for x in (m, s, k)]
+    c = C.classify_all(*models, m, s, k, td.stocks(spark, d))
+    return c.select(F.col("date").cast("string"), "scope", "scope_id", "cycle", (F.round("confidence", 6) + 0.0).alias("confidence"))
 
 
 # Patterns
