@@ -10,6 +10,7 @@ from tapeflow.operators import indicators as I
 from tapeflow.operators import patterns as HM
 from tapeflow.operators import regimes as R
 from tapeflow.operators import signals as SG
+from tapeflow.operators import state_blocks as SB
 from tapeflow.operators import strategies as ST
 from tapeflow.params import DEFAULTS, SIGNAL_FEATURES
 from tapeflow.plans import forest_sql, reports, rule_sql
@@ -345,6 +346,100 @@ def pattern_states(spark, d):
     return p.withColumns({c: F.to_json(c) for c in ("state_labels", "transition_matrix")})
 
 
+# The state model by blocks, under the models that rounds start from
+
+add_table("state_x", "bars", """
+SELECT *, count(*) OVER (PARTITION BY symbol) AS n FROM (SELECT symbol, date, rn, coalesce(close / lag(close) OVER w - 1, 0) AS ret,
+  coalesce(CASE WHEN rn >= 20 THEN ln(nullif(volume, 0) / avg(volume) OVER (PARTITION BY symbol ORDER BY date ROWS 19 PRECEDING)) END, 0) AS vol
+  FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date))""")
+add_table("state_first", "state_x", """
+SELECT symbol, part, floor_ret, floor_vol, avg(ret) AS mr, avg(vol) AS mv, var_pop(ret) + floor_ret AS vr, var_pop(vol) + floor_vol AS vv FROM (
+  SELECT *, ntile(3) OVER (PARTITION BY symbol ORDER BY ret, date) AS part, 1e-3 * greatest(var_pop(ret) OVER (PARTITION BY symbol), 1e-12) AS floor_ret,
+    1e-3 * greatest(var_pop(vol) OVER (PARTITION BY symbol), 1e-12) AS floor_vol FROM state_x WHERE n >= 200) GROUP BY 1, 2, 3, 4""")
+add_table("state_d", "state_x state_first", """
+SELECT *, greatest(d1, d2, d3) AS top, exp(d1 - greatest(d1, d2, d3)) AS e1, exp(d2 - greatest(d1, d2, d3)) AS e2, exp(d3 - greatest(d1, d2, d3)) AS e3 FROM (
+  SELECT symbol, date, rn, n, ret, vol, max(CASE WHEN part = 1 THEN d END) AS d1, max(CASE WHEN part = 2 THEN d END) AS d2, max(CASE WHEN part = 3 THEN d END) AS d3 FROM (
+    SELECT x.*, part, -0.5 * (ln(2 * pi() * vr) + (ret - mr) * (ret - mr) / vr + ln(2 * pi() * vv) + (vol - mv) * (vol - mv) / vv) AS d FROM state_x x JOIN state_first USING (symbol))
+  GROUP BY 1, 2, 3, 4, 5, 6)""")
+_T = [[0.9 if i == j else 0.05 for j in range(3)] for i in range(3)]
+
+
+def _three(text):
+    return ", ".join(text(i) for i in range(3))
+
+
+add_table("state_fwd", "state_d", f"""
+SELECT symbol, rn, e1 / (e1 + e2 + e3) AS a1, e2 / (e1 + e2 + e3) AS a2, e3 / (e1 + e2 + e3) AS a3, ln((e1 + e2 + e3) / 3) + top AS score FROM state_d WHERE rn = 1
+UNION ALL SELECT symbol, rn, r1 / (r1 + r2 + r3), r2 / (r1 + r2 + r3), r3 / (r1 + r2 + r3), score + ln(r1 + r2 + r3) + top FROM (
+  SELECT d.symbol, d.rn, score, top, {_three(lambda j: f"({' + '.join(f'a{i + 1} * {_T[i][j]}::DOUBLE' for i in range(3))}) * e{j + 1} AS r{j + 1}")}
+  FROM state_fwd f JOIN state_d d ON d.symbol = f.symbol AND d.rn = f.rn + 1)""", recursive=True)
+add_table("state_bwd", "state_d", f"""
+SELECT symbol, rn, 1.0::DOUBLE AS b1, 1.0::DOUBLE AS b2, 1.0::DOUBLE AS b3 FROM state_d WHERE rn = n
+UNION ALL SELECT symbol, rn, r1 / greatest(r1, r2, r3), r2 / greatest(r1, r2, r3), r3 / greatest(r1, r2, r3) FROM (
+  SELECT d.symbol, d.rn - 1 AS rn, {_three(lambda i: ' + '.join(f"{_T[i][j]}::DOUBLE * e{j + 1} * b{j + 1}" for j in range(3)) + f" AS r{i + 1}")}
+  FROM state_bwd b JOIN state_d d ON d.symbol = b.symbol AND d.rn = b.rn WHERE d.rn > 1)""", recursive=True)
+_XI = [[f"p.a{i + 1} * {_T[i][j]}::DOUBLE * e{j + 1} * b{j + 1}" for j in range(3)] for i in range(3)]
+
+
+@query("state_model_round", "R-09", f"""
+SELECT symbol, state, {rsql(['score'], 3)}, {rsql(['start', 'mean_ret', 'mean_vol', 'var_ret', 'var_vol', 'to_0', 'to_1', 'to_2'], 7)} FROM (
+SELECT g.symbol, part - 1 AS state, g.score, g0 AS start, sr / w AS mean_ret, sv / w AS mean_vol, greatest(qr / w - (sr / w) * (sr / w), 0) + floor_ret AS var_ret,
+  greatest(qv / w - (sv / w) * (sv / w), 0) + floor_vol AS var_vol, {_three(lambda j: f"m{j + 1} / (m1 + m2 + m3) AS to_{j}")}
+FROM (SELECT symbol, part, sum(g) AS w, sum(g * ret) AS sr, sum(g * vol) AS sv, sum(g * ret * ret) AS qr, sum(g * vol * vol) AS qv, max(CASE WHEN rn = 1 THEN g END) AS g0, max(CASE WHEN rn = n THEN score END) AS score
+  FROM (SELECT symbol, rn, n, ret, vol, score, unnest([1, 2, 3]) AS part, unnest([a1 * b1, a2 * b2, a3 * b3]) / (a1 * b1 + a2 * b2 + a3 * b3) AS g
+    FROM state_fwd JOIN state_bwd USING (symbol, rn) JOIN state_d USING (symbol, rn)) GROUP BY 1, 2) g
+JOIN (SELECT symbol, part, sum(x1 / total) AS m1, sum(x2 / total) AS m2, sum(x3 / total) AS m3 FROM (
+    SELECT symbol, total, unnest([1, 2, 3]) AS part, {_three(lambda j: f"unnest([{', '.join(f'x{i + 1}{j + 1}' for i in range(3))}]) AS x{j + 1}")} FROM (
+      SELECT d.symbol, {', '.join(f'{_XI[i][j]} AS x{i + 1}{j + 1}' for i in range(3) for j in range(3))}, {' + '.join(_XI[i][j] for i in range(3) for j in range(3))} AS total
+      FROM state_d d JOIN state_fwd p ON p.symbol = d.symbol AND p.rn = d.rn - 1 JOIN state_bwd b ON b.symbol = d.symbol AND b.rn = d.rn)) GROUP BY 1, 2) m USING (symbol, part)
+JOIN state_first USING (symbol, part))""", "state_fwd state_bwd state_first state_d")
+def state_model_round(spark, d):
+    """What one round of expectation-maximisation makes of the first models, and the log-likelihood of those."""
+    x = HM.features(td.bars(spark, d))
+    score, better = SB.one_round(SB.blocks(x), SB.first_models(x))
+    per = F.inline(F.array(*[F.struct(
+        F.lit(i).alias("state"), F.element_at("start", i + 1).alias("start"), *[F.element_at(a, 2 * i + j + 1).alias(f"{n}_{c}") for a, n in (("mean", "mean"), ("var", "var")) for j, c in enumerate(SB.SERIES)],
+        *[F.element_at("trans", 3 * i + j + 1).alias(f"to_{j}") for j in range(3)]) for i in range(3)]))
+    out = better.join(score, "symbol").select("symbol", "score", per)
+    return out.select("symbol", "state", (F.round("score", 3) + 0.0).alias("score"), *[(F.round(c, 7) + 0.0).alias(c) for c in ("start", "mean_ret", "mean_vol", "var_ret", "var_vol", "to_0", "to_1", "to_2")])
+
+
+def _move(i, j):
+    return f"s{i + 1} + ln({_T[i][j]}::DOUBLE)"
+
+
+add_table("state_best", "state_d", f"""
+SELECT symbol, rn, ln(1 / 3.0::DOUBLE) + d1 AS s1, ln(1 / 3.0::DOUBLE) + d2 AS s2, ln(1 / 3.0::DOUBLE) + d3 AS s3, 0 AS p1, 0 AS p2, 0 AS p3 FROM state_d WHERE rn = 1
+UNION ALL SELECT d.symbol, d.rn, {_three(lambda j: f"greatest({_three(lambda i: _move(i, j))}) + d{j + 1}")},
+  {_three(lambda j: f"CASE WHEN {_move(0, j)} >= {_move(1, j)} AND {_move(0, j)} >= {_move(2, j)} THEN 0 WHEN {_move(1, j)} >= {_move(2, j)} THEN 1 ELSE 2 END")}
+FROM state_best b JOIN state_d d ON d.symbol = b.symbol AND d.rn = b.rn + 1""", recursive=True)
+add_table("state_path", "state_best state_d", """
+SELECT b.symbol, b.rn, CASE WHEN s1 >= s2 AND s1 >= s3 THEN 0 WHEN s2 >= s3 THEN 1 ELSE 2 END AS state FROM state_best b JOIN state_d d ON d.symbol = b.symbol AND d.rn = b.rn WHERE d.rn = d.n
+UNION ALL SELECT p.symbol, p.rn - 1, CASE p.state WHEN 0 THEN p1 WHEN 1 THEN p2 ELSE p3 END FROM state_path p JOIN state_best b ON b.symbol = p.symbol AND b.rn = p.rn WHERE p.rn > 1""", recursive=True)
+add_table("state_named", "state_path state_d", """
+SELECT symbol, date, rn, n, state, CASE WHEN states = 3 THEN CASE place WHEN 3 THEN 'Trending Up' WHEN 1 THEN 'Declining' ELSE 'Consolidating' END
+  WHEN m > 0.001 THEN 'Trending Up' WHEN m < -0.001 THEN 'Declining' ELSE 'Consolidating' END AS state_label
+FROM state_path JOIN state_d USING (symbol, rn) JOIN (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY m, state) AS place, count(*) OVER (PARTITION BY symbol) AS states
+  FROM (SELECT symbol, state, avg(ret) AS m FROM state_path JOIN state_d USING (symbol, rn) GROUP BY 1, 2)) USING (symbol, state)""")
+
+
+def _named_paths(spark, d):
+    x = HM.features(td.bars(spark, d))
+    b, m = SB.blocks(x), SB.first_models(x)
+    score = SB.weighed(b, m).groupBy("symbol").agg(F.first("score").alias("score"))
+    return HM.name_states(SB.state_rows(b, m.join(score, "symbol")))
+
+
+@query("state_paths", "R-09 R-10 R-11", f"SELECT symbol, {DATE}, state, state_label FROM state_named", "state_named")
+def state_paths(spark, d):
+    return _named_paths(spark, d).select("symbol", F.col("date").cast("string"), "state", "state_label")
+
+
+@query("current_states", "R-11 W-09", f"SELECT symbol, state AS current_state, state_label, 3 AS n_states, {rsql(['score'], 3)} FROM state_named JOIN state_fwd USING (symbol, rn) WHERE rn = n", "state_named state_fwd")
+def current_states(spark, d):
+    return HM.current_states(_named_paths(spark, d)).withColumn("score", F.round("score", 3) + 0.0)
+
+
 @query("pattern_statistics", "R-12 A-16 J-11")
 def pattern_statistics(spark, d):
     n = HM.name_states(HM.fit_states(td.bars(spark, d)))
