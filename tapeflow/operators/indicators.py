@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,9 +32,13 @@ SCRATCH = ("rn", "tp", "prev", "ptp", "mfv", "_sum", "_h13", "_l13", "_c14h", "_
 BAR_COLUMNS = ("symbol", "date", "open", "high", "low", "close", "volume")
 
 
-def _add_window_columns(bars: DataFrame) -> DataFrame:
-    """Window columns; bars must hold the columns of ``BAR_COLUMNS``."""
+def window_columns(bars: DataFrame, bars_before: Column | None = None, obv_before: Column | None = None) -> DataFrame:
+    """Window columns; bars must hold the columns of ``BAR_COLUMNS``.
+
+    Where ``bars`` start in the middle of a series, the other arguments are the number of bars before and the balance volume at the first one."""
     w = series()
+    bars_before = F.lit(0) if bars_before is None else bars_before
+    obv_before = F.lit(0.0) if obv_before is None else obv_before
     c, h, lo, v = F.col("close"), F.col("high"), F.col("low"), F.col("volume").cast("double")
     rn = F.col("rn")
 
@@ -47,7 +51,7 @@ def _add_window_columns(bars: DataFrame) -> DataFrame:
     tp = (h + lo + c) / 3
     span = h - lo
     b = bars.withColumns({
-        "rn": F.row_number().over(w), "tp": tp, "prev": F.lag("close").over(w), "ptp": F.lag(tp).over(w),
+        "rn": (F.row_number().over(w) + bars_before).cast("int"), "tp": tp, "prev": F.lag("close").over(w), "ptp": F.lag(tp).over(w),
         "mfv": F.when(span > 0, ((c - lo) - (h - c)) / span * v).otherwise(0.0),
         # Short frames and a running sum from which the long frames follow.
         "_sum": F.sum("close").over(running(w)),
@@ -72,7 +76,7 @@ def _add_window_columns(bars: DataFrame) -> DataFrame:
         "_ret": F.ln(c / F.col("prev")),
         "_up": F.sum(F.when(F.col("tp") > F.col("ptp"), flow).otherwise(0.0)).over(trailing(w, 14)),
         "_dn": F.sum(F.when(F.col("tp") < F.col("ptp"), flow).otherwise(0.0)).over(trailing(w, 14)),
-        "obv": F.sum(F.coalesce(F.signum(c - F.col("prev")), F.lit(0.0)) * v).over(running(w)),
+        "obv": F.sum(F.coalesce(F.signum(c - F.col("prev")), F.lit(0.0)) * v).over(running(w)) + obv_before,
         "cmf_20": from_(20, F.try_divide(F.sum("mfv").over(trailing(w, 20)), F.sum(v).over(trailing(w, 20)))),
         "volume_sma20": full(20, F.avg, v),
         "_hi252": long_extreme(F.greatest, "_c14h", w, 252, 14), "_lo252": long_extreme(F.least, "_c14l", w, 252, 14),
@@ -110,7 +114,7 @@ def _add_window_columns(bars: DataFrame) -> DataFrame:
 
 def window_indicators(bars: DataFrame) -> DataFrame:
     """Rolling indicators only, without the recursive ones."""
-    return _add_window_columns(bars.select(*BAR_COLUMNS)).select(*BAR_COLUMNS, "rn", *WINDOW_COLUMNS)
+    return window_columns(bars.select(*BAR_COLUMNS)).select(*BAR_COLUMNS, "rn", *WINDOW_COLUMNS)
 
 
 def recursive_indicators(df: DataFrame) -> DataFrame:
@@ -137,7 +141,12 @@ def indicators(bars: DataFrame, min_bars: int = DEFAULTS.min_bars_indicators) ->
     n = F.count(F.lit(1)).over(Window.partitionBy("symbol"))
     b = bars.select(*BAR_COLUMNS).withColumn("_n", n).filter(F.col("_n") >= min_bars).drop("_n")
     # Python sees the bars only; the rolling columns follow in the JVM.
-    out = _add_window_columns(recursive_indicators(b)).select(*BAR_COLUMNS, "rn", *WINDOW_COLUMNS, *recursive.COLUMNS)
+    return finish(window_columns(recursive_indicators(b)))
+
+
+def finish(panel: DataFrame, *more: str) -> DataFrame:
+    """The columns of the indicator table, from those of windows and recurrences."""
+    out = panel.select(*BAR_COLUMNS, "rn", *WINDOW_COLUMNS, *recursive.COLUMNS, *more)
     e = F.col("ema_200")
     return out.withColumns({
         "pct_from_ema200": (F.col("close") - e) / e * 100,

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tapeflow.operators import carried
 from tapeflow.operators import indicators as I
 from tapeflow.plans.fixture_sql import add_table
 from tapeflow.plans.registry import query
@@ -247,6 +248,22 @@ def incremental_indicators(spark, d):
     return rounded(I.incremental(td.bars(spark, d), days=30), ALL)
 
 
+CUTS = ("2000-06-30", "2001-08-31")
+
+
+@query("refreshed_indicators", "I-26 S-13", f"SELECT symbol, {DATE}, {rsql(ALL)} FROM ind WHERE date > DATE '{CUTS[0]}'", "ind")
+def refreshed_indicators(spark, d):
+    """A state of the bars up to the first date, then two refreshes with the bars after it; the second also fills in lagging spans of the first."""
+    bars = td.bars(spark, d)
+    date = F.col("date")
+    _, _, state = carried.refresh(carried.empty_state(bars), bars.filter(date <= CUTS[0]))
+    first, _, state = carried.refresh(state, bars.filter((date > CUTS[0]) & (date <= CUTS[1])))
+    second, spans, _ = carried.refresh(state, bars.filter(date > CUTS[1]))
+    late = spans.withColumnRenamed(carried.LAGGING, "_late")
+    mended = first.join(late, ["symbol", "date"], "left").withColumn(carried.LAGGING, F.coalesce("_late", carried.LAGGING)).drop("_late")
+    return rounded(mended.unionByName(second), ALL)
+
+
 add_table("rs", "bars market_index", """
 SELECT b.*, (close / lag(close, 20) OVER w - 1) / idx AS rs_nifty200
 FROM bars b LEFT JOIN (SELECT date, nifty200_close / lag(nifty200_close, 20) OVER (ORDER BY date) - 1 AS idx FROM market_index) m
