@@ -89,15 +89,26 @@ def streamed_tick_bars(spark, d):
 
 @query("streamed_opening_ranges", "X-02", RANGES, "tick_bars")
 def streamed_opening_ranges(spark, d):
-    # The merged bars land in a table; the stateful stream reads that table.
+    # The merged bars land in a table, dealt over files out of time order; the stateful stream reads two files of it a batch.
     path = shared_folder(spark, "bars-for-ranges")
-    merged = _streamed_bars(spark, d)
-    merged.write.parquet(path)
-    bars = spark.readStream.schema(merged.schema).parquet(path)
-    out = start(_stored(spark, opening_range.stream_opening_range(bars, "00:00"), "opening-ranges"))
+    merged = _streamed_bars(spark, d).select("symbol", "bar_start", "high", "low", "close")
+    merged.repartition(6, F.xxhash64("symbol", "bar_start")).write.parquet(path)
+    _beat(merged, "bar_start").write.mode("append").parquet(path)
+    bars = spark.readStream.schema(merged.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    out = start(_stored(spark, opening_range.stream_opening_range(bars, "00:00", LATENESS), "opening-ranges"))
     return out.withColumn("day", F.col("day").cast("string"))
 
 
+LATENESS = "60 days"  # the files mix all days of the events
+
+
+def _beat(rows, time):
+    """A row far behind the last one, which moves the watermark past all others; its own state never ends. It has values everywhere, as
+    conditions on them are checked before the watermark."""
+    last = rows.agg(*[F.max(c).alias(c) for c in rows.columns])
+    return last.withColumns({time: F.expr(f"{time} + interval 100 days").cast(rows.schema[time].dataType), "symbol": F.lit("~")}).coalesce(1)
+
+
 def tick_positions(spark, d):
     """Long-term positions on the tick symbols at twice their mean price."""
     return td.ticks(spark, d).groupBy("symbol").agg((F.avg("price") * 2).alias("avg_cost")).select(
@@ -115,11 +126,15 @@ def tick_drawdown_alerts(spark, d):
     return start(a, "ts").select("holding_id", F.col("day").cast("string"), "ts")
 
 
-@query("streamed_drawdown_alerts", "X-04", "SELECT holding_id, CAST(day AS VARCHAR) AS day FROM tick_alerts", "tick_alerts")
+@query("streamed_drawdown_alerts", "X-04", "SELECT holding_id, CAST(day AS VARCHAR) AS day, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM tick_alerts", "tick_alerts")
 def streamed_drawdown_alerts(spark, d):
-    ticks = td.tick_columns(B.read_events(spark, d))
-    a = _stored(spark, alerts.drawdown_stream(ticks, tick_positions(spark, d)), "drawdown-alerts")
-    return a.select("holding_id", F.col("day").cast("string"))
+    path = shared_folder(spark, "ticks-for-alerts")
+    ticks = td.ticks(spark, d).select("symbol", "ts", "price")
+    ticks.repartition(6, F.xxhash64("symbol", "ts")).write.parquet(path)
+    _beat(ticks, "ts").write.mode("append").parquet(path)
+    stream = spark.readStream.schema(ticks.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    a = _stored(spark, alerts.drawdown_stream(stream, tick_positions(spark, d), LATENESS), "drawdown-alerts")
+    return start(a, "ts").select("holding_id", F.col("day").cast("string"), "ts")
 
 
 @query("streamed_trigger_checks", "X-03 K-02", """

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tapeflow.operators.triggers import check_triggers
 from tapeflow.params import DEFAULTS
@@ -33,18 +35,63 @@ def run_trigger_checks(ticks: DataFrame, read_triggers: Callable[[], DataFrame],
     return ticks.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+ALERT_SCHEMA = "holding_id string, day date, symbol string, us bigint, price double, avg_cost double"
+
+
+def _earliest(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """One (holding, day): its earliest hit (at the lowest price) waits until no earlier one can come, then is sent once."""
+    end, sent, *first = state.get if state.exists else (0, False, None, None, None, None)
+    now, out = state.getCurrentWatermarkMs(), []
+    for rows in batches:
+        rows = rows[rows["us"] > now * 1000].sort_values(["us", "price"])  # Spark itself lets rows pass that are late by one batch only
+        if len(rows):
+            r = next(rows[["symbol", "us", "price", "avg_cost", "day_end"]].itertuples(index=False, name=None))
+            end = r[4]
+            if not sent and (first[1] is None or (r[1], r[2]) < (first[1], first[2])):
+                first = list(r[:4])
+    if not sent and first[1] is not None and first[1] <= now * 1000:
+        out, sent = [(*key, *first)], True
+    if end > now and first[1] is not None:
+        state.update((int(end), sent, first[0], int(first[1]), *map(float, first[2:])))
+        state.setTimeoutTimestamp(int(end if sent else -(-first[1] // 1000)))
+    elif state.exists:
+        state.remove()
+    if out:
+        yield pd.DataFrame(out, columns=[f.split()[0] for f in ALERT_SCHEMA.split(", ")])
+
+
 def drawdown_stream(ticks: DataFrame, positions: DataFrame, lateness: str = "1 day", p=DEFAULTS) -> DataFrame:
-    """First price per position and day at or below the drawdown limit.
+    """The earliest price per position and day at or below the drawdown limit, the same as in ``drawdown_batch`` however the stream is cut.
 
-    Stream-static join. The watermark spans a day, so that repeats within the
-    day of a (holding, day) alert are dropped.
+    Stream-static join, then a state per (holding, day) that lives until the watermark has passed the day. Ticks may come in any order within ``lateness``; an
+    alert is sent when the watermark has passed it, as an earlier price may come until then. ``run_late_rows`` keeps the ticks that come later still.
     """
     held = positions.filter(F.col("is_active") & (F.col("timeframe") == "long_term")).select("holding_id", "symbol", "avg_cost")
     dd = (F.col("price") - F.col("avg_cost")) / F.col("avg_cost")
-    hits = ticks.withWatermark("ts", lateness).join(held, "symbol").filter(dd <= -p.drawdown_alert_pct)
-    hits = hits.withColumns({"day": F.to_date("ts"), "drawdown_pct": dd * 100})
-    return (hits.dropDuplicatesWithinWatermark(["holding_id", "day"])
-            .select("holding_id", "symbol", "day", "ts", "price", "avg_cost", "drawdown_pct"))
+    day = F.to_date("ts")
+    hits = ticks.withWatermark("ts", lateness).join(held, "symbol").filter(dd <= -p.drawdown_alert_pct).select(
+        F.col("holding_id").cast("string"), day.alias("day"), "ts", "symbol", F.unix_micros("ts").alias("us"), "price", "avg_cost", F.unix_millis(F.date_add(day, 1).cast("timestamp")).alias("day_end"))
+    found = hits.groupBy("holding_id", "day").applyInPandasWithState(
+        _earliest, ALERT_SCHEMA, "day_end bigint, sent boolean, symbol string, us bigint, price double, avg_cost double", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select("holding_id", "symbol", "day", F.timestamp_micros("us").alias("ts"), "price", "avg_cost", (dd * 100).alias("drawdown_pct"))
+
+
+def run_late_rows(rows: DataFrame, time: str, lateness_ms: int, out: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Keep the rows that a watermark of ``lateness_ms`` on ``time`` drops: those not after the latest time of all earlier batches less the lateness.
+
+    Run beside a watermarked query on the same source and batch size. ``out``/late holds the rows and ``out``/seen the latest time, both by batch, so a replayed batch
+    overwrites its own.
+    """
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        # The first batch has nothing before it; the path is listed by Spark, so it may lie in any store.
+        before = spark.read.schema("us bigint, batch bigint").parquet(f"{out}/seen").filter(F.col("batch") < batch_id).agg(F.max("us")).first()[0] if batch_id else None
+        us = F.unix_micros(time)
+        late = batch.filter(us <= (before // 1000 - lateness_ms) * 1000) if before is not None else batch.limit(0)
+        late.write.mode("overwrite").parquet(f"{out}/late/batch={batch_id}")
+        batch.agg(F.max(us).alias("us")).write.mode("overwrite").parquet(f"{out}/seen/batch={batch_id}")
+
+    return rows.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def drawdown_batch(ticks: DataFrame, positions: DataFrame, p=DEFAULTS) -> DataFrame:

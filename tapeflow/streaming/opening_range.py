@@ -11,8 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # Session times of the intraday rules.
 OPEN_AT, RANGE_MINUTES, LAST_ENTRY, FORCE_EXIT = "09:15", 15, "13:30", "15:15"
-STATE_KEPT_MS = 2 * 86_400_000
-OUT_SCHEMA = "symbol string, day date, bar_start timestamp, close double, orb_high double, orb_low double, entry boolean, force_exit boolean"
+ROW_SCHEMA = "symbol string, day date, at bigint, close double, orb_high double, orb_low double, entry boolean, force_exit boolean"
 
 
 def _minutes(text: str) -> int:
@@ -38,43 +37,50 @@ def opening_range(bars: DataFrame, open_at: str = OPEN_AT) -> DataFrame:
 
 
 def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState, start: int) -> Iterator[pd.DataFrame]:
-    """State per (symbol, day): range high and low, and whether an entry fired."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    high, low, entered = state.get if state.exists else (None, None, False)
-    rows = pd.concat(list(batches)).sort_values("bar_start")  # at most 288 bars a day
-    out = []
-    for r in rows.itertuples(index=False):
-        m = r.bar_start.hour * 60 + r.bar_start.minute
+    """One (symbol, day). Bars wait in the state until the watermark has passed them, so that they are taken in the order of time
+    and the range is closed before any later bar is judged, whatever the order in which they came."""
+    high, low, entered, end, *waiting = state.get if state.exists else (None, None, False, 0, [], [], [], [], [])
+    bars = {r[0]: r for r in zip(*waiting, strict=True)}  # at most 288 a day
+    now, out = state.getCurrentWatermarkMs(), []
+    for rows in batches:
+        rows = rows[rows["at"] > now]  # Spark itself lets rows pass that are late by one batch only
+        for r in rows[["at", "m", "high", "low", "close"]].itertuples(index=False, name=None):
+            bars[r[0]] = r
+        if len(rows):
+            end = int(rows["day_end"].iloc[0])
+    for at in sorted(a for a in bars if a <= now):
+        _, m, h, lo, close = bars.pop(at)
         if m < start:
             continue
         if m < start + RANGE_MINUTES:
-            high = r.high if high is None else max(high, r.high)
-            low = r.low if low is None else min(low, r.low)
+            high = h if high is None else max(high, h)
+            low = lo if low is None else min(low, lo)
         elif high is not None:
-            up = r.close > high and m <= _minutes(LAST_ENTRY)
-            out.append((key[0], key[1], r.bar_start, r.close, high, low, up and not entered, m >= _minutes(FORCE_EXIT)))
+            up = close > high and m <= _minutes(LAST_ENTRY)
+            out.append((*key, at, close, high, low, up and not entered, m >= _minutes(FORCE_EXIT)))
             entered = entered or up
-    if high is not None:
-        state.update((high, low, entered))
-        until = int(pd.Timestamp(key[1]).timestamp() * 1000) + STATE_KEPT_MS
-        if until > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(until)
-        else:
-            state.remove()
+    if bars or end > now:
+        state.update((high, low, entered, end, *([list(x) for x in zip(*bars.values(), strict=True)] if bars else [[]] * 5)))
+        state.setTimeoutTimestamp(int(min(bars, default=end)))
+    elif state.exists:
+        state.remove()
     if out:
-        yield pd.DataFrame(out, columns=[f.split()[0] for f in OUT_SCHEMA.split(", ")])
+        yield pd.DataFrame(out, columns=[f.split()[0] for f in ROW_SCHEMA.split(", ")])
 
 
-def stream_opening_range(bars: DataFrame, open_at: str = OPEN_AT) -> DataFrame:
-    """Stateful form over a stream of intraday bars. State is dropped once the watermark is past its day.
+def stream_opening_range(bars: DataFrame, open_at: str = OPEN_AT, lateness: str = "1 day") -> DataFrame:
+    """Stateful form over a stream of complete intraday bars, which may come in any order within ``lateness``.
 
-    Spark allows this state function only on a stream without an aggregate, so
-    ``bars`` has to come from a table the bar stream writes.
+    A bar is returned once the watermark has passed it; later ones wait in the state, which ends with its day. Spark allows this state function only on
+    a stream without an aggregate, so ``bars`` has to come from a table the bar stream writes. Bars later than that are dropped, as by any
+    watermark (``alerts.run_late_rows`` keeps them).
     """
     start = _minutes(open_at)
-    b = bars.withWatermark("bar_start", "1 day").withColumn("day", F.to_date("bar_start"))
-    return b.select("symbol", "day", "bar_start", "high", "low", "close").groupBy("symbol", "day").applyInPandasWithState(
-        lambda key, batches, state: _advance(key, batches, state, start),
-        OUT_SCHEMA, "high double, low double, entered boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    day = F.to_date("bar_start")
+    b = bars.withWatermark("bar_start", lateness).select(
+        "symbol", day.alias("day"), "bar_start", F.unix_millis("bar_start").alias("at"), (F.hour("bar_start") * 60 + F.minute("bar_start")).alias("m"),
+        F.unix_millis(F.date_add(day, 1).cast("timestamp")).alias("day_end"), "high", "low", "close")
+    found = b.groupBy("symbol", "day").applyInPandasWithState(
+        lambda key, batches, state: _advance(key, batches, state, start), ROW_SCHEMA,
+        "high double, low double, entered boolean, day_end bigint, at array<bigint>, m array<int>, highs array<double>, lows array<double>, closes array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select("symbol", "day", F.timestamp_millis("at").alias("bar_start"), "close", "orb_high", "orb_low", "entry", "force_exit")
