@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeflow.functions.scalars import lookup
 from tapeflow.params import DEFAULTS
+from tapeflow.session import shared_folder, stored
 
 
 def simple_size(proposals: DataFrame, p=DEFAULTS) -> DataFrame:
@@ -80,30 +81,68 @@ def ratio_size(proposals: DataFrame, positions: DataFrame, p=DEFAULTS, mode: str
     }).drop("_value", "_net", "_entry", "_fees")
 
 
-def sequential_size(proposals: DataFrame, positions: DataFrame, order: str, p=DEFAULTS) -> DataFrame:
-    """Add ``qty`` to proposals that are filled one after another within a strategy.
+def _shares(value: Column, price: Column, p) -> Column:
+    """Whole shares that a value buys after fees."""
+    net, cost = value - (value * p.slippage_pct + p.brokerage), price * (1 + p.slippage_pct)
+    q = F.floor(net / cost)
+    return F.when((price > 0) & (net > 0), F.when(q * cost > net, q - 1).otherwise(q)).otherwise(0)
 
-    Floors and caps per order make the remaining capital a fold, so a strategy's proposals of one
-    batch pass through one task, as narrow rows; what is bought at ``price`` lowers the capital of the rows
-    after it in ``order``.
+
+def sequential_size(proposals: DataFrame, positions: DataFrame, order: str, p=DEFAULTS, chunk: int = 10_000) -> DataFrame:
+    """Add ``qty`` to proposals that are filled one after another within a strategy: what is bought at ``price`` lowers the capital of
+    the rows after it in ``order``.
+
+    While the capital left is at least the cap of an order, its cost does not depend on the orders before, so what was spent before an order is a sum: totals of
+    ranges of the order, then running sums inside a range. Only from the first order that finds less than its cap the rest is folded, ``chunk`` orders of a strategy at
+    a time, and the next round sums on from there. Spending never falls, so orders that what is left cannot pay a share of leave all later rounds; a round ends with a timeframe
+    running out, or with a chunk. Nulls in a price, and prices of 0 or less, buy nothing.
     """
+    spark = proposals.sparkSession
     d = available_capital(proposals, positions, p)
     conf = F.coalesce("confidence", F.lit(1.0)) if "confidence" in proposals.columns else F.lit(1.0)
-    narrow = d.select("strategy_id", order, "price", F.col("capital_available").alias("left"), (p.total_capital * _strategy_ratio(p)).alias("capital"), conf.alias("conf"))
-
-    def fill(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, spent, qty = rows.sort_values(order), 0.0, []
-        for r in rows.itertuples():
-            value = min(r.capital * (1 - p.reserve_pct), p.max_per_stock, max(0.0, r.left - spent)) * r.conf
+    cap = F.least(p.total_capital * _strategy_ratio(p) * (1 - p.reserve_pct), F.lit(p.max_per_stock))
+    rows = d.select("strategy_id", F.col(order).alias("at"), "price", F.col("capital_available").alias("left"), cap.alias("cap"), conf.alias("conf"))
+    rows = rows.withColumn("full", _shares(F.col("cap") * F.col("conf"), F.col("price"), p)).filter("full >= 1")
+    rows = stored(rows.repartitionByRange("strategy_id", "at").withColumn("range", F.spark_partition_id()), "orders")
+    by = Window.partitionBy("strategy_id")
+
+    def fill(t: pd.DataFrame) -> pd.DataFrame:
+        t, spent, out = t.sort_values("at"), None, []
+        for r in t.itertuples():
+            spent = r.spent if spent is None else spent
+            value = min(r.cap, max(0.0, r.left - spent)) * r.conf
             net = value - (value * p.slippage_pct + p.brokerage)
-            n = int(net // (r.price * (1 + p.slippage_pct))) if r.price > 0 and net > 0 else 0
+            n = int(net // (r.price * (1 + p.slippage_pct))) if net > 0 else 0
             spent += n * r.price
-            qty.append(n)
-        return pd.DataFrame({order: rows[order], "qty": qty})
-
-    kind = proposals.schema[order].dataType.simpleString()
-    filled = narrow.groupBy("strategy_id").applyInPandas(fill, f"{order} {kind}, qty bigint")
-    return d.join(filled, order)
+            out.append((r.strategy_id, r.at, n, spent))
+        return pd.DataFrame(out, columns=["strategy_id", "at", "qty", "spent"])
+
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("strategy_id", "at")}
+    schema = f"strategy_id {kinds['strategy_id']}, at {kinds['at']}, qty bigint, spent double"
+    state, out, round_ = rows.select("strategy_id").distinct().select("*", F.lit(None).cast(kinds["at"]).alias("done"), F.lit(0.0).alias("base")), shared_folder(spark, "filled"), 0
+    while True:
+        can = _shares(F.least("cap", F.col("left") - F.col("base")) * F.col("conf"), F.col("price"), p) >= 1
+        live = rows.join(state, "strategy_id").filter((F.col("done").isNull() | (F.col("at") > F.col("done"))) & can).withColumn("cost", F.col("full") * F.col("price"))
+        totals = live.groupBy("strategy_id", "range").agg(F.sum("cost").alias("cost"))
+        before = totals.select("strategy_id", "range", F.coalesce(F.sum("cost").over(by.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"))
+        inside = Window.partitionBy("strategy_id", "range").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+        run = stored(live.join(before, ["strategy_id", "range"]).withColumn("spent", F.col("base") + F.col("before") + F.coalesce(F.sum("cost").over(inside), F.lit(0.0)))
+                     .select("strategy_id", "at", "price", "left", "cap", "conf", "full", "spent"), "spent")
+        short = run.filter(F.col("left") - F.col("spent") < F.col("cap")).groupBy("strategy_id").agg(F.min("at").alias("first"))
+        both = run.join(short, "strategy_id", "left")
+        ample = both.filter(F.col("first").isNull() | (F.col("at") < F.col("first"))).select("strategy_id", "at", F.col("full").alias("qty"), "spent", F.lit(False).alias("tail"))
+        rest = both.filter(F.col("at") >= F.col("first")).withColumn("nth", F.row_number().over(by.orderBy("at"))).filter(F.col("nth") <= chunk)
+        tail = rest.groupBy("strategy_id").applyInPandas(fill, schema).withColumn("tail", F.lit(True))
+        path = f"{out}/round={round_}"
+        ample.unionByName(tail).write.parquet(path)
+        round_ += 1
+        got = spark.read.schema(schema + ", tail boolean").parquet(path).filter("tail")
+        if got.isEmpty():
+            break
+        state = got.groupBy("strategy_id").agg(F.max("at").alias("done"), F.max_by("spent", "at").alias("base"))
+    filled = spark.read.schema(schema).parquet(*[f"{out}/round={i}" for i in range(round_)])
+    bought = filled.select(F.col("at").alias(order), "qty")
+    return d.join(bought, order, "left").withColumn("qty", F.coalesce("qty", F.lit(0)).cast("bigint"))
 
 
 def ratio_totals(ratios: DataFrame, keys: list[str]) -> DataFrame:
