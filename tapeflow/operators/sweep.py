@@ -88,22 +88,41 @@ def candidate_documents(cand: DataFrame) -> list[dict]:
     return [build(by_name[r.template], json.loads(r.params), r.candidate_id) for r in rows.toLocalIterator()]
 
 
+CELL_PARAMETERS = 3  #: parameters whose cells make a key; a point has 3 ** 3 neighbour cells
+
+
 def without_near_duplicates(ranked: DataFrame, existing: DataFrame | None = None, close: float = 0.2,
                             share: float = 0.9) -> DataFrame:
     """Drop candidates too close to a better one, or to a stored variant, of the same template.
 
     Close means: more than ``share`` of the parameters differ by less than
-    ``close``. ``rank`` orders candidates within the template.
+    ``close``. ``rank`` orders candidates within the template; it is unique there.
+
+    Points are compared through a grid with cells as wide as ``close``: two values that differ by less lie in the same or in neighbouring
+    cells. If m parameters may differ, they are dealt to m + 1 groups, one of which agrees throughout; a point meets others in the cells of one group
+    and their neighbours, on the parameters of the group with the most cells. What meets is compared exactly, so nothing is lost.
     """
-    def similar(a, b):
-        near = F.size(F.filter(F.zip_with(a, b, lambda x, y: F.abs(x - y) < close), lambda v: v))
-        return near / F.size(a) > share
-
-    others = ranked.select(F.col("template").alias("t2"), F.col("point").alias("p2"), F.col("rank").alias("r2"))
-    if existing is not None:
-        others = others.unionByName(existing.select(F.col("template").alias("t2"), F.col("point").alias("p2"), F.lit(0).alias("r2")))
-    cond = (F.col("template") == F.col("t2")) & (F.col("r2") < F.col("rank")) & similar(F.col("point"), F.col("p2"))
-    return ranked.join(others, cond, "left_anti")
+    points = ranked.select("template", "point", "rank")
+    others = points if existing is None else points.unionByName(existing.select("template", "point", F.lit(0).cast(ranked.schema["rank"].dataType).alias("rank")))
+    may_differ = F.size("point") - 1 - F.floor(F.size("point") * F.lit(share) + 1e-9)
+    cells = others.select("template", may_differ.alias("miss"), F.posexplode(F.transform("point", lambda v: F.floor(v / close)))) \
+        .groupBy("template", "pos", "miss").agg(F.approx_count_distinct("col").alias("n"))
+    group = F.pmod("pos", F.greatest(F.col("miss"), F.lit(0)) + 1)
+    w = Window.partitionBy("template", "miss", "group").orderBy(F.desc("n"), "pos")  # the parameters of a template
+    used = cells.withColumn("group", group).withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= CELL_PARAMETERS) \
+        .groupBy("template", "miss", "group").agg(F.sort_array(F.collect_list("pos")).alias("places"))
+
+    def keyed(df):
+        own = df.withColumn("miss", may_differ).join(used, ["template", "miss"])
+        return own.withColumn("cell", F.transform("places", lambda i: F.floor(F.element_at("point", i + 1) / close)))
+
+    number = F.explode(F.sequence(F.lit(0), F.pow(F.lit(3), F.size("places")).cast("int") - 1))
+    beside = keyed(others).withColumn("number", number).withColumn(
+        "cell", F.transform("cell", lambda c, i: c + F.pmod(F.floor(F.col("number") / F.pow(F.lit(3), i)), F.lit(3)).cast("bigint") - 1))
+    beside = beside.select("template", "miss", "group", "cell", F.col("point").alias("p2"), F.col("rank").alias("r2"))
+    near = F.size(F.filter(F.zip_with("point", "p2", lambda x, y: F.abs(x - y) < close), lambda v: v)) / F.size("point") > share
+    dropped = keyed(points).join(beside, ["template", "miss", "group", "cell"]).filter((F.col("r2") < F.col("rank")) & near).select("template", "rank").distinct()
+    return ranked.join(dropped, ["template", "rank"], "left_anti").select(*ranked.columns)
 
 
 CHUNK = 20  # documents whose rules become columns of one plan

@@ -1,5 +1,6 @@
 """Queries over rules, replay, metrics and the strategy catalogue."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tapeflow.functions.rules import Panel, condition, explain_rules
@@ -248,6 +249,20 @@ def active_strategies(spark, d):
     return c.select("strategy_id", "name", "type").crossJoin(n)
 
 
+POINT = ["(p_size % 9) * 0.1", "(p_partkey % 13) * 0.15", "(p_partkey % 7) * 0.1", "length(p_name) * 0.5", "(p_size % 4) * 0.25"]
+
+
+@query("spread_points", "J-16", f"""
+SELECT p_partkey, p_brand FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn, [{', '.join(f'CAST({c} AS DOUBLE)' for c in POINT)}] AS v FROM part) a
+WHERE NOT EXISTS (SELECT 1 FROM (SELECT p_brand AS brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r2, [{', '.join(f'CAST({c} AS DOUBLE)' for c in POINT)}] AS u FROM part) b
+  WHERE brand = p_brand AND r2 < rn AND {' AND '.join(f'abs(v[{i + 1}] - u[{i + 1}]) < 0.2' for i in range(len(POINT)))})""")
+def spread_points(spark, d):
+    """The parts of a brand as parameter points, without those near one with a smaller key."""
+    rank = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    rows = td.table(spark, d, "part").select("p_partkey", "p_brand", F.array(*[F.expr(f"cast({c} as double)") for c in POINT]).alias("point"), rank.alias("rank"))
+    return SW.without_near_duplicates(rows.withColumn("template", F.col("p_brand"))).select("p_partkey", "p_brand")
+
+
 @query("parameter_sweep", "T-08 J-16 P-13")
 def parameter_sweep(spark, d):
     p = panel(spark, d)

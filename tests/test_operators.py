@@ -1,4 +1,5 @@
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -160,6 +161,29 @@ def test_near_duplicates_keep_the_best(spark):
     assert {x.candidate_id for x in sweep.without_near_duplicates(r).collect()} == {"a", "c"}
 
 
+@pytest.mark.parametrize(("size", "share"), [(3, 0.9), (12, 0.8), (20, 0.9), (5, 0.0)])
+def test_near_duplicates_equal_all_pairs(spark, size, share):
+    r = random.Random(size)
+    base = [[round(r.uniform(-1, 1), 1) for _ in range(size)] for _ in range(12)]
+    rows = []
+    for t in ("T", "U"):
+        for k in range(60):
+            p = [v + r.choice([0.0, 0.0, 0.1, 0.19, -0.15]) for v in r.choice(base)]
+            for i in r.sample(range(size), r.randint(0, 3)):
+                p[i] += r.choice([0.2, 1.0, -0.4])
+            rows.append((f"{t}{k}", t, p, k + 1))
+    old = [("T", base[0]), ("U", base[1])]
+    schema = "candidate_id string, template string, point array<double>, rank int"
+
+    def close(a, b):
+        return sum(abs(x - y) < 0.2 for x, y in zip(a, b)) / size > share
+
+    want = {c for c, t, p, k in rows if not any(close(p, q) for _, u, q, j in rows if u == t and j < k) and not any(u == t and close(p, q) for u, q in old)}
+    got = sweep.without_near_duplicates(spark.createDataFrame(rows, schema), spark.createDataFrame(old, "template string, point array<double>"), share=share)
+    assert {x.candidate_id for x in got.collect()} == want and 0 < len(want) < len(rows)
+    assert sweep.without_near_duplicates(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_holdings_file(spark, tmp_path):
     f = tmp_path / "h.csv"
     f.write_text(' Symbol ,Quantity,Average Cost,LTP\n tcs ,"1,000",₹2.50,3\nTCS,1000,3.5,4\nTotal,5,1,1\nINFY,0,1,1\nWIPRO,3,abc,1\n', encoding="utf-8")
