@@ -223,6 +223,17 @@ def exit_candidates(spark, d):
     return c.select("timeframe", "perspective", "holding_id")
 
 
+@query("scored_exit_candidates", "H-04", """
+SELECT timeframe, 'ml_score' AS perspective, arg_min(holding_id, (score, holding_id)) AS holding_id, min(score) AS score FROM (
+  SELECT *, ((CAST(substr(symbol, 2) AS BIGINT) * 37) % 101) / 101.0::DOUBLE AS score FROM priced) GROUP BY 1""", "priced")
+def scored_exit_candidates(spark, d):
+    """The weakest signal of each timeframe, by scores that differ from symbol to symbol."""
+    pos = td.positions(spark, d)
+    scores = pos.select("symbol", "timeframe", ((F.expr("cast(substring(symbol, 2) as bigint)") * 37 % 101) / 101.0).alias("confidence"))
+    c = PF.exit_candidates(pos, PF.latest_prices(td.bars(spark, d)), scores, AS_OF)
+    return c.filter("perspective = 'ml_score'").select("timeframe", "perspective", "holding_id", F.col("signal_score").alias("score"))
+
+
 @query("preclose_actions", "H-07", """
 SELECT holding_id, CASE WHEN current <= coalesce(stop_loss, 0) THEN 'EXIT_NOW' WHEN current < avg_cost THEN 'REVIEW_EXIT'
   WHEN pnl_pct >= 0.5 THEN 'TRAILING_SL_UPDATED' ELSE 'MONITOR' END AS action,
@@ -400,6 +411,54 @@ def applied_actions(spark, d):
     return res
 
 
+add_table("actions2", "actions", """
+SELECT action_id, symbol, action_type, ex_date, adjustment_factor, processed FROM actions
+UNION ALL SELECT action_id || '-b', symbol, 'bonus', CAST(ex_date + 400 AS DATE), 1.5::DOUBLE, 0 FROM actions WHERE CAST(substr(symbol, 2) AS BIGINT) % 3 <> 0
+UNION ALL SELECT action_id || '-c', symbol, 'split', CAST(ex_date + 900 AS DATE), 2.0::DOUBLE, 0 FROM actions WHERE CAST(substr(symbol, 2) AS BIGINT) % 2 = 0""")
+add_table("factors2", "bars actions2", """
+SELECT b.*, coalesce((SELECT product(adjustment_factor) FROM actions2 a WHERE a.symbol = b.symbol AND a.ex_date > b.date AND a.processed = 0 AND action_type IN ('split', 'bonus')), 1) AS factor FROM bars b""")
+
+
+def several_actions(spark, d):
+    """Up to three actions a symbol: the given ones, a bonus 400 days and a split 900 days later."""
+    a = td.corporate_actions(spark, d).select("action_id", "symbol", "action_type", "ex_date", "adjustment_factor", "processed")
+    k = F.expr("cast(substring(symbol, 2) as bigint)")
+
+    def later(tag, kind, days, factor, which):
+        return a.filter(which).select(F.concat("action_id", F.lit(tag)).alias("action_id"), "symbol", F.lit(kind).alias("action_type"), F.date_add("ex_date", days).alias("ex_date"),
+                                      F.lit(factor).alias("adjustment_factor"), F.lit(0).alias("processed"))
+
+    return a.unionByName(later("-b", "bonus", 400, 1.5, k % 3 != 0)).unionByName(later("-c", "split", 900, 2.0, k % 2 == 0))
+
+
+def _applied(spark, d):
+    b = td.bars(spark, d)
+    return A.apply_actions(several_actions(spark, d), b, b.select("symbol", "date"), td.positions(spark, d), TR.create_triggers(td.trigger_seeds(spark, d)))
+
+
+@query("applied_bars", "C-05 C-02 A-15", f"""
+SELECT symbol, {DATE}, round(open / factor, 4) + 0.0 AS open, round(high / factor, 4) + 0.0 AS high, round(low / factor, 4) + 0.0 AS low, round(close / factor, 4) + 0.0 AS close, volume FROM factors2""", "factors2")
+def applied_bars(spark, d):
+    """Prices after several unprocessed actions a symbol."""
+    return _applied(spark, d)["bars"].select("symbol", F.col("date").cast("string"), *r(["open", "high", "low", "close"], 4), "volume")
+
+
+@query("applied_holdings", "C-05 C-03 C-04", """
+SELECT * FROM (WITH f AS (SELECT symbol, product(adjustment_factor) AS f FROM actions2 WHERE processed = 0 AND action_type <> 'dividend' GROUP BY 1)
+SELECT 'position' AS part, holding_id AS id, CAST(floor(qty * coalesce(f, 1)) AS BIGINT) AS qty, round(avg_cost / coalesce(f, 1), 4) + 0.0 AS price FROM positions LEFT JOIN f USING (symbol)
+UNION ALL SELECT 'trigger', trigger_id, NULL, round(buy_below_price / coalesce(f, 1), 4) + 0.0 FROM triggers LEFT JOIN f USING (symbol)
+UNION ALL SELECT 'indicator rows', symbol, count(*), NULL FROM bars WHERE symbol NOT IN (SELECT symbol FROM actions2 WHERE processed = 0 AND action_type IN ('split', 'bonus')) GROUP BY symbol
+UNION ALL SELECT 'processed', action_id, 1, NULL FROM actions2)""", "actions2 positions triggers bars")
+def applied_holdings(spark, d):
+    """Positions, triggers, kept indicator rows and actions after several unprocessed actions a symbol."""
+    out = _applied(spark, d)
+    none = F.lit(None)
+    return (out["positions"].select(F.lit("position").alias("part"), F.col("holding_id").alias("id"), "qty", *r(["avg_cost"], 4)).withColumnRenamed("avg_cost", "price")
+            .unionByName(out["triggers"].select(F.lit("trigger").alias("part"), F.col("trigger_id").alias("id"), none.cast("bigint").alias("qty"), (F.round("buy_below_price", 4) + 0.0).alias("price")))
+            .unionByName(out["indicators"].groupBy("symbol").agg(F.count(F.lit(1)).alias("qty")).select(F.lit("indicator rows").alias("part"), F.col("symbol").alias("id"), "qty", none.cast("double").alias("price")))
+            .unionByName(out["actions"].select(F.lit("processed").alias("part"), F.col("action_id").alias("id"), F.col("processed").cast("bigint").alias("qty"), none.cast("double").alias("price"))))
+
+
 @query("action_impact", "C-06", """
 SELECT a.action_id, (SELECT count(*) FROM bars b WHERE b.symbol = a.symbol AND b.date < a.ex_date) AS price_row_count,
   (SELECT count(*) FROM positions p WHERE p.symbol = a.symbol) AS positions, (SELECT count(*) FROM triggers t WHERE t.symbol = a.symbol) AS triggers FROM actions a""", "actions bars positions triggers")

@@ -224,6 +224,16 @@ def inserted_if_absent(spark, d):
     return S.insert_absent(old, new, ["symbol"])
 
 
+@query("inserted_new_symbols", "S-06 U-03", """
+SELECT symbol, CAST(min(date) AS VARCHAR) AS date FROM bars_raw WHERE CAST(substr(symbol, 2) AS BIGINT) % 3 <> 0 GROUP BY symbol
+UNION ALL SELECT symbol, '1970-01-01' FROM stocks WHERE k % 3 = 0""", "bars_raw stocks")
+def inserted_new_symbols(spark, d):
+    """Two thirds of the symbols are known, the others are inserted."""
+    old = td.bars_raw(spark, d).filter(F.expr("cast(substring(symbol, 2) as bigint)") % 3 != 0).groupBy("symbol").agg(F.min("date").cast("string").alias("date"))
+    new = td.stocks(spark, d).select("symbol", F.lit("1970-01-01").alias("date"))
+    return S.insert_absent(old, new, ["symbol"])
+
+
 @query("sectors_of_universe", "S-11 O-01", "SELECT DISTINCT sector FROM stocks ORDER BY sector", "stocks")
 def sectors_of_universe(spark, d):
     from tapeflow.sources.universe import sectors

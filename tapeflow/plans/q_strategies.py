@@ -239,14 +239,44 @@ def next_generations(spark, d):
     return out
 
 
-@query("active_strategies", "S-12 T-09 P-14", "SELECT * FROM (VALUES " + ", ".join(
+@query("active_strategies", "S-12 T-09 P-14", "SELECT c.strategy_id, c.name, c.type, count(holding_id) AS positions, coalesce(sum(qty), 0)::BIGINT AS shares FROM (VALUES " + ", ".join(
     f"('{s['strategy_id']}', '{s['name']}', '{s['type']}')" for s in DOCS if "swing" in s["timeframes"]) + """) c(strategy_id, name, type)
-CROSS JOIN (SELECT sector, count(*) AS symbols FROM stocks GROUP BY 1)""", "stocks")
+LEFT JOIN positions p ON p.strategy_id = c.strategy_id GROUP BY 1, 2, 3""", "positions")
 def active_strategies(spark, d):
-    # The catalogue decides which strategies are evaluated on the symbols of each sector.
-    c = ST.find(ST.catalog(spark), active_only=True, timeframe="swing")
-    n = td.stocks(spark, d).groupBy("sector").agg(F.count(F.lit(1)).alias("symbols"))
-    return c.select("strategy_id", "name", "type").crossJoin(n)
+    """Active swing strategies of the catalogue with what is held by their rules."""
+    c = ST.find(ST.catalog(spark), active_only=True, timeframe="swing").select("strategy_id", "name", "type")
+    held = td.positions(spark, d).groupBy("strategy_id").agg(F.count(F.lit(1)).alias("positions"), F.sum("qty").cast("bigint").alias("shares"))
+    return c.join(held, "strategy_id", "left").fillna(0, ["positions", "shares"])
+
+
+def variant_catalog(spark, d):
+    """A catalogue with a variant for each part: nested rules as JSON text, their values drawn from the part."""
+    size = F.col("p_size")
+    return td.table(spark, d, "part").select(
+        F.concat(F.lit("V"), "p_partkey").alias("strategy_id"), F.concat_ws("_", F.lit("Turtle"), F.lower("p_type"), F.col("p_partkey").cast("string")).alias("name"),
+        F.lower("p_type").alias("type"), F.when(size % 2 == 0, '["swing", "medium"]').otherwise('["intraday"]').alias("timeframes"), F.lit('["bull"]').alias("best_cycles"),
+        F.format_string('{"logic": "AND", "conditions": [{"indicator": "rsi_14", "op": "<=", "value": %d}, {"indicator": "adx_14", "op": ">", "value": %d}]}', size, size % 7).alias("entry_rules"),
+        F.lit('{"logic": "OR", "conditions": []}').alias("exit_rules"), F.format_string('{"type": "atr_based", "multiplier": %.1f}', size / F.lit(10.0)).alias("stoploss_rules"),
+        F.format_string('{"atr_target_mult": %.2f}', size / F.lit(4.0)).alias("parameters"), F.lit("genetic").alias("discovered_by"), (size % 11).alias("generation"), (F.col("p_partkey") % 3 != 0).alias("is_active"))
+
+
+@query("catalogue_lookup", "S-12 T-09", """
+SELECT 'V' || p_partkey AS strategy_id, lower(p_type) AS type, CAST(p_size AS VARCHAR) AS rsi_limit, CAST(p_size % 7 AS VARCHAR) AS adx_limit, round(p_size / 10.0, 1)::DOUBLE AS multiplier, p_size / 4.0::DOUBLE AS target_mult
+FROM part WHERE p_partkey % 3 <> 0 AND p_size % 2 = 0 AND lower(p_type) = 'economy'""")
+def catalogue_lookup(spark, d):
+    """Active swing strategies of one type, with the values of their parsed rules."""
+    c = ST.parsed(ST.find(variant_catalog(spark, d), active_only=True, type_="economy", timeframe="swing"))
+    limit = [F.element_at(F.col("entry_rules.conditions"), i)["value"].cast("string") for i in (1, 2)]
+    return c.select("strategy_id", "type", limit[0].alias("rsi_limit"), limit[1].alias("adx_limit"), F.col("stop.multiplier").alias("multiplier"), "target_mult")
+
+
+@query("next_variant", "T-10 T-09", """
+SELECT lower(p_type) AS type, max(p_size % 11) + 1 AS generation FROM part GROUP BY 1""")
+def next_variant(spark, d):
+    """The next generation of each type's discovered variants."""
+    c = variant_catalog(spark, d)
+    own = (F.col("discovered_by") == "genetic") & F.col("name").startswith("Turtle")
+    return c.groupBy("type").agg((F.coalesce(F.max(F.when(own, F.col("generation"))), F.lit(0)) + 1).alias("generation"))
 
 
 POINT = ["(p_size % 9) * 0.1", "(p_partkey % 13) * 0.15", "(p_partkey % 7) * 0.1", "length(p_name) * 0.5", "(p_size % 4) * 0.25"]
