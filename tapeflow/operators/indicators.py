@@ -117,13 +117,13 @@ def window_indicators(bars: DataFrame) -> DataFrame:
     return window_columns(bars.select(*BAR_COLUMNS)).select(*BAR_COLUMNS, "rn", *WINDOW_COLUMNS)
 
 
-def recursive_indicators(df: DataFrame) -> DataFrame:
-    """Append the recursive columns; all columns of ``df`` pass through unchanged."""
+def recursive_indicators(df: DataFrame, min_bars: int = 0) -> DataFrame:
+    """Append the recursive columns; all columns of ``df`` pass through unchanged. Symbols with fewer than ``min_bars`` bars are left out."""
     schema = T.StructType(df.schema.fields + [T.StructField(c, T.DoubleType()) for c in recursive.COLUMNS])
     names = list(schema.fieldNames())
 
     def compute(t: pa.Table) -> pa.Table:
-        t = t.sort_by("date")
+        t = t.sort_by("date").slice(0, t.num_rows if t.num_rows >= min_bars else 0)
         arr = {c: t.column(c).to_numpy() for c in ("high", "low", "close")}
         cols = recursive.pack(arr["high"], arr["low"], arr["close"])
         for c in recursive.COLUMNS:
@@ -138,10 +138,8 @@ def indicators(bars: DataFrame, min_bars: int = DEFAULTS.min_bars_indicators) ->
 
     ``rs_nifty200`` is NULL here; ``relative_strength`` fills it from an index.
     """
-    n = F.count(F.lit(1)).over(Window.partitionBy("symbol"))
-    b = bars.select(*BAR_COLUMNS).withColumn("_n", n).filter(F.col("_n") >= min_bars).drop("_n")
-    # Python sees the bars only; the rolling columns follow in the JVM.
-    return finish(window_columns(recursive_indicators(b)))
+    # Python sees the bars only and counts them; the rolling columns follow in the JVM.
+    return finish(window_columns(recursive_indicators(bars.select(*BAR_COLUMNS), min_bars)))
 
 
 def finish(panel: DataFrame, *more: str) -> DataFrame:

@@ -12,7 +12,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeflow.functions.rules import Panel, entry_signal, exit_signal
@@ -136,21 +136,38 @@ def walk(close, entry, exit_, stop, target, trail: float | None, warmup: int):
 BITS = 62  # flags in one long
 
 
+def bits(flags: list[Column]) -> Column:
+    """Flags as bits of an array of longs."""
+    words = [[F.when(f, F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for i, f in enumerate(flags[lo:lo + BITS])] for lo in range(0, len(flags), BITS)]
+    return F.array(*[reduce(lambda a, b: a.bitwiseOR(b), w) for w in words])
+
+
 def _packed(signals: DataFrame, n: int) -> DataFrame:
     """Flags of all strategies as bits, and their levels only on rows where one enters: little goes to Python."""
-    def bits(kind):
-        words = [[F.when(F.col(f"{kind}_{i}"), F.lit(1 << (i - lo)).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for i in range(lo, min(n, lo + BITS))]
-                 for lo in range(0, n, BITS)]
-        return F.array(*[reduce(lambda a, b: a.bitwiseOR(b), w) for w in words])
-
     levels = F.array(*[F.col(f"{k}_{i}") for k in ("stop", "target") for i in range(n)])
-    out = signals.select("symbol", "date", "close", "cycle", bits("entry").alias("entry"), bits("exit").alias("exit"), levels.alias("levels"))
+    out = signals.select("symbol", "date", "close", "cycle", *[bits([F.col(f"{k}_{i}") for i in range(n)]).alias(k) for k in ("entry", "exit")], levels.alias("levels"))
     return out.withColumn("levels", F.when(F.exists("entry", lambda b: b != 0), F.col("levels")))
 
 
+def trade_rows(t: pa.Table, close: np.ndarray, found: list[tuple[str, list]], p) -> pa.Table:
+    """Closed trades of a series in the columns of ``TRADE_SCHEMA``, from (strategy, what ``walk`` returned) pairs."""
+    ids = [sid for sid, trades in found for _ in trades]
+    rows = [r for _, trades in found for r in trades]
+    e, x, why = (np.array([r[i] for r in rows], dtype=np.int64) for i in (0, 1, 3))
+    bought = close[e] * (1 + p.slippage_pct)
+    sold = np.array([r[2] for r in rows], dtype=float) * (1 - p.slippage_pct)
+    days = t.column("date").cast(pa.int32()).to_numpy()
+    qty = p.trade_capital * p.position_pct / bought
+    cols = [pa.array(ids, pa.string()), t.column("symbol").take(pa.array(e)), t.column("date").take(pa.array(e)),
+            t.column("date").take(pa.array(x)), pa.array(bought), pa.array(sold),
+            pa.array((sold - bought) / bought * 100), pa.array((sold - bought) * qty - 2 * p.brokerage),
+            pa.array((days[x] - days[e]).astype(np.int32)),
+            pa.array([REASONS[i] for i in why], pa.string()), t.column("cycle").take(pa.array(x))]
+    return pa.table(cols, names=[f.split()[0] for f in TRADE_SCHEMA.split(", ")])
+
+
 def replay(signals: DataFrame, docs: list[dict], p=DEFAULTS) -> DataFrame:
     """Walk all strategies over each symbol's signal columns; one row per closed trade."""
-    schema_names = [f.split()[0] for f in TRADE_SCHEMA.split(", ")]
     trails = []
     for doc in docs:
         sl = doc.get("stoploss_rules", {})
@@ -160,7 +177,7 @@ def replay(signals: DataFrame, docs: list[dict], p=DEFAULTS) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("date")
         close = t.column("close").to_numpy()
-        out = {c: [] for c in ("sid", "e", "x", "level", "why")}
+        found = []
         if len(close) >= p.min_bars_replay:
             n = len(ids)
             flags = {k: pc.list_flatten(t.column(k)).to_numpy().reshape(len(close), -1) for k in ("entry", "exit")}
@@ -171,22 +188,8 @@ def replay(signals: DataFrame, docs: list[dict], p=DEFAULTS) -> DataFrame:
                 entry, leave = ((flags[k][:, i // BITS] >> (i % BITS) & 1).astype(bool) for k in ("entry", "exit"))
                 if not entry.any():
                     continue
-                trades = walk(close, entry, leave, levels[i], levels[n + i], trails[i], p.warmup_rows)
-                for e, x, level, why in trades:
-                    for k, v in zip(out, (i, e, x, level, why)):
-                        out[k].append(v)
-        e, x = np.array(out["e"], dtype=np.int64), np.array(out["x"], dtype=np.int64)
-        bought = close[e] * (1 + p.slippage_pct)
-        sold = np.array(out["level"], dtype=float) * (1 - p.slippage_pct)
-        days = t.column("date").cast(pa.int32()).to_numpy()
-        qty = p.trade_capital * p.position_pct / bought
-        cols = [pa.array([ids[i] for i in out["sid"]], pa.string()),
-                t.column("symbol").take(pa.array(e)), t.column("date").take(pa.array(e)),
-                t.column("date").take(pa.array(x)), pa.array(bought), pa.array(sold),
-                pa.array((sold - bought) / bought * 100), pa.array((sold - bought) * qty - 2 * p.brokerage),
-                pa.array((days[x] - days[e]).astype(np.int32)),
-                pa.array([REASONS[i] for i in out["why"]], pa.string()), t.column("cycle").take(pa.array(x))]
-        return pa.table(cols, names=schema_names)
+                found.append((ids[i], walk(close, entry, leave, levels[i], levels[n + i], trails[i], p.warmup_rows)))
+        return trade_rows(t, close, found, p)
 
     return _packed(signals, len(ids)).groupBy("symbol").applyInArrow(run, TRADE_SCHEMA)
 

@@ -9,14 +9,20 @@ from __future__ import annotations
 
 import copy
 import json
+from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tapeflow.functions.rules import Panel, condition, exit_signal, operand
 from tapeflow.operators import replay as P
-from tapeflow.operators.strategies import STRATEGIES
+from tapeflow.operators.strategies import STRATEGIES, rule_parts, stop_loss
 from tapeflow.params import DEFAULTS
-from tapeflow.session import shared_folder
+from tapeflow.session import stored
 
 # Fixed values: (parameter, minimum, maximum, step) per template.
 PARAMETER_SPACES = {
@@ -53,7 +59,8 @@ def candidates(spark: SparkSession, per_template: int = 30, seed: int = 42) -> D
     spaces = [(t, i, n, float(lo), float(step), int(round((hi - lo) / step)) + 1)
               for t, ps in PARAMETER_SPACES.items() for i, (n, lo, hi, step) in enumerate(ps)]
     grid = spark.createDataFrame(spaces, "template string, pos int, param string, lo double, step double, points int")
-    draw = F.pmod(F.xxhash64("template", "param", "k", F.lit(seed)), F.col("points"))
+    text = F.concat_ws("-", F.lit(str(seed)), "template", "param", F.col("k").cast("string"))
+    draw = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % F.col("points")
     one = (grid.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(per_template))))
            .withColumn("value", F.round(F.col("lo") + draw * F.col("step"), 4)))
     c = one.groupBy("template", "k").agg(
@@ -125,39 +132,130 @@ def without_near_duplicates(ranked: DataFrame, existing: DataFrame | None = None
     return ranked.join(dropped, ["template", "rank"], "left_anti").select(*ranked.columns)
 
 
-CHUNK = 20  # documents whose rules become columns of one plan
+CHUNK = 64  #: candidates that a task replays on a series
+COMPARISONS = {">": np.greater, ">=": np.greater_equal, "<": np.less, "<=": np.less_equal}
 
 
-def effective(doc: dict) -> str:
-    """What decides the trades of a document; parameters that no rule reads do not."""
-    parts = [doc["entry_rules"], doc["exit_rules"], doc.get("stoploss_rules", {}), doc.get("parameters", {}).get("atr_target_mult")]
-    return json.dumps(parts, sort_keys=True)
+def _slot(cond: dict, names: set[str]) -> str | None:
+    """The parameter that replaces the value of an entry condition."""
+    if cond["op"] == "squeeze_breakout" and "squeeze_lookback" in names:
+        return "squeeze_lookback"
+    own = [n for ind, op, n in ENTRY_VALUES if cond["indicator"] == ind and op in (None, cond["op"]) and n in names]
+    if own and cond["op"] not in COMPARISONS:
+        raise ValueError(f"a parameter cannot replace the value of {cond}")
+    return own[-1] if own else None
 
 
-def fitness(panel: DataFrame, docs: list[dict], min_symbol_trades: int, p=DEFAULTS) -> DataFrame:
-    """(candidate_id, sharpe, win_rate, n_trades) of every document that trades.
+def effects(cand: DataFrame) -> DataFrame:
+    """Candidates by what decides their trades: (strategy_id, template, values, multiplier, target_mult, candidate_ids); parameters that
+    no rule reads do not count. ``values`` has the value of each entry condition that a parameter replaces."""
+    by_name = {s["name"]: s for s in STRATEGIES}
+
+    def of(name, *keys, default=None):
+        return F.coalesce(*[F.try_element_at("params", F.lit(k)) for k in keys], F.lit(default).cast("double"))
+
+    out = []
+    for name, space in PARAMETER_SPACES.items():
+        doc, names = by_name[name], {n for n, *_ in space}
+        slots = [_slot(c, names) for c in doc["entry_rules"]["conditions"]]
+        values = F.array(*[of(name, s) if s else F.lit(None).cast("double") for s in slots])
+        stop = doc.get("stoploss_rules", {})
+        used = stop.get("type", "atr_based") == "atr_based"
+        multiplier = of(name, "atr_sl_mult", "multiplier", default=float(stop.get("multiplier", 2.0))) if used else F.lit(0.0)
+        out.append(cand.filter(F.col("template") == name).select("candidate_id", "template", values.alias("values"), multiplier.alias("multiplier"),
+                                                                of(name, "atr_target_mult", default=float(doc.get("parameters", {}).get("atr_target_mult", 2.0))).alias("target_mult")))
+    every = reduce(DataFrame.unionByName, out)
+    # Candidates with one effect are as many as the grid of the unread parameters has points.
+    return every.groupBy("template", "values", "multiplier", "target_mult").agg(F.min("candidate_id").alias("strategy_id"), F.collect_list("candidate_id").alias("candidate_ids"))
+
+
+def _specs(panel: DataFrame):
+    """What is fixed of each template: flags of the conditions without a parameter and of the exit rules, operands of the others, and stops."""
+    ctx, flags, operands, stops, specs = Panel.of(panel), [], {}, [], {}
+    price = F.col("close") * (1 + DEFAULTS.slippage_pct)
+    by_name = {s["name"]: s for s in STRATEGIES}
+    for name, space in PARAMETER_SPACES.items():
+        doc, conds = by_name[name], []
+        for c in doc["entry_rules"]["conditions"]:
+            if _slot(c, {n for n, *_ in space}):
+                conds.append((c["op"], operands.setdefault(c["indicator"], len(operands))))
+            else:
+                conds.append((None, len(flags)))
+                flags.append(condition(c, ctx))
+        stop = doc.get("stoploss_rules", {})
+        fixed = None if stop.get("type", "atr_based") == "atr_based" else len(stops)
+        if fixed is not None:
+            stops.append(stop_loss(rule_parts(doc), price, F.col("close")))
+        specs[name] = {"all": doc["entry_rules"].get("logic", "AND") == "AND", "conds": conds, "exit": len(flags), "stop": fixed,
+                       "trail": stop.get("trail_pct", 7) / 100 if stop.get("trailing") else None}
+        flags.append(exit_signal(doc, ctx))
+    none = F.lit(float("nan"))
+    numbers = [F.coalesce(operand(n, ctx).try_cast("double"), none) for n in operands] + [F.coalesce(s, none) for s in stops] + [F.coalesce(F.nullif("atr_14", F.lit(0.0)), none), F.coalesce("bb_width", none)]
+    rows = panel.select("symbol", "date", "close", "cycle", P.bits(flags).alias("flags"), F.array(*numbers).alias("numbers"))
+    return rows, specs, len(operands)
+
 
-    Documents with equal effect are replayed once. The panel is written once; plans stay small because
-    each holds ``CHUNK`` documents, and its few result rows are written before the next one starts.
+def _entries(spec: dict, values: list, flag, numbers: np.ndarray) -> np.ndarray:
+    """Rows on which the entry rules of a candidate hold."""
+    held = []
+    for (op, at), value in zip(spec["conds"], values, strict=True):
+        if op is None:
+            held.append(flag(at))
+        elif op == "squeeze_breakout":
+            n = int(value)
+            low = pd.Series(numbers[:, -1]).shift(1).rolling(n, min_periods=1).min().to_numpy()
+            held.append((np.arange(len(numbers)) >= n) & (numbers[:, at] <= low))
+        else:
+            held.append(COMPARISONS[op](numbers[:, at], value))
+    return (np.all if spec["all"] else np.any)(held, axis=0)
+
+
+def fitness(panel: DataFrame, cand: DataFrame, min_symbol_trades: int, p=DEFAULTS, chunk: int = CHUNK) -> DataFrame:
+    """(candidate_id, sharpe, win_rate, n_trades) of every candidate that trades, in one job whatever their number.
+
+    Candidates stay a table: each series meets them in chunks, packed with what is fixed of their templates; the comparisons that parameters change are made
+    on the series' arrays. Candidates of equal effect are replayed once.
     """
-    spark = panel.sparkSession
-    first = {}
-    for d in docs:
-        first.setdefault(effective(d), d)
-    same = spark.createDataFrame([(d["strategy_id"], first[effective(d)]["strategy_id"]) for d in docs], "candidate_id string, strategy_id string")
-    base, out = shared_folder(spark, "sweep-panel"), shared_folder(spark, "sweep-fitness")
-    panel.write.parquet(base)
-    stored, distinct = spark.read.schema(panel.schema).parquet(base), list(first.values())
-    for k in range(0, len(distinct), CHUNK):
-        m = P.trade_metrics(P.backtest(stored, distinct[k:k + CHUNK], p), p, min_trades=min_symbol_trades)
-        m.groupBy("strategy_id").agg(F.avg("sharpe_ratio").alias("sharpe"), F.avg("win_rate").alias("win_rate"), F.sum("total_trades").alias("n_trades")) \
-            .write.parquet(f"{out}/chunk={k}")
-    return spark.read.schema("strategy_id string, sharpe double, win_rate double, n_trades bigint").parquet(out).join(same, "strategy_id").drop("strategy_id", "chunk")
+    distinct = stored(effects(cand), "sweep-effects")
+    chunks = max(1, -(-distinct.count() // chunk))
+    number = F.pmod(F.xxhash64("strategy_id"), F.lit(chunks)).cast("int")
+    lists = distinct.groupBy(number.alias("chunk")).agg(F.collect_list(F.struct("strategy_id", "template", "values", "multiplier", "target_mult")).alias("candidates"))
+    rows, specs, operands = _specs(panel)
+    rows = stored(rows, "sweep-panel")
+    every = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk")
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        t = left.sort_by("date")
+        close, found = t.column("close").to_numpy(), []
+        if len(close) >= p.min_bars_replay and right.num_rows:
+            words = pc.list_flatten(t.column("flags")).to_numpy().reshape(len(close), -1)
+            numbers = pc.list_flatten(t.column("numbers")).to_numpy().reshape(len(close), -1)
+
+            def flag(i):
+                return (words[:, i // P.BITS] >> (i % P.BITS) & 1).astype(bool)
+
+            entry, atr = close * (1 + p.slippage_pct), numbers[:, -2]
+            low, wide = np.where(np.isnan(atr), close * 0.02, atr), np.where(np.isnan(atr), entry * 0.02, atr)
+            for c in right.column("candidates")[0].as_py():
+                spec = specs[c["template"]]
+                enters = _entries(spec, c["values"], flag, numbers)
+                if not enters.any():
+                    continue
+                stop = np.round(entry - low * c["multiplier"], 2) if spec["stop"] is None else numbers[:, operands + spec["stop"]]
+                target = np.round(np.maximum(entry + wide * c["target_mult"], entry + (entry - stop) * p.min_risk_reward), 2)
+                found.append((c["strategy_id"], P.walk(close, enters, flag(spec["exit"]), stop, target, spec["trail"], p.warmup_rows)))
+        return P.trade_rows(t, close, found, p)
+
+    sides = rows.select(F.col("symbol").alias("own")).distinct().select("own", every).join(lists, "chunk").select(F.col("own").alias("symbol"), "chunk", "candidates")
+    trades = rows.select("*", every).groupBy("symbol", "chunk").cogroup(sides.groupBy("symbol", "chunk")).applyInArrow(run, P.TRADE_SCHEMA)
+    m = P.trade_metrics(trades, p, min_trades=min_symbol_trades)
+    m = m.groupBy("strategy_id").agg(F.avg("sharpe_ratio").alias("sharpe"), F.avg("win_rate").alias("win_rate"), F.sum("total_trades").alias("n_trades"))
+    return m.join(distinct.select("strategy_id", F.explode("candidate_ids").alias("candidate_id")), "strategy_id").drop("strategy_id")
 
 
 def evaluate(panel: DataFrame, cand: DataFrame, min_symbol_trades: int = 5, p=DEFAULTS) -> DataFrame:
     """Fitness of every candidate over all symbols, and whether it passes the gates."""
-    out = cand.join(fitness(panel, candidate_documents(cand), min_symbol_trades, p), "candidate_id", "left").withColumns({
+    out = cand.join(fitness(panel, cand, min_symbol_trades, p), "candidate_id", "left").withColumns({
         "sharpe": F.coalesce("sharpe", F.lit(-1.0)), "win_rate": F.coalesce("win_rate", F.lit(0.0)),
         "n_trades": F.coalesce("n_trades", F.lit(0))})
     gate = ((F.col("sharpe") >= p.gate_sharpe) & (F.col("win_rate") >= p.gate_win_rate)

@@ -1,5 +1,7 @@
 """Queries over rules, replay, metrics and the strategy catalogue."""
 
+import hashlib
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -7,7 +9,7 @@ from tapeflow.functions.rules import Panel, condition, explain_rules
 from tapeflow.operators import replay as P
 from tapeflow.operators import strategies as ST
 from tapeflow.operators import sweep as SW
-from tapeflow.plans import rule_sql
+from tapeflow.plans import fixture_sql, rule_sql
 from tapeflow.plans.fixture_sql import add_table
 from tapeflow.plans.q_indicators import DATE, rsql
 from tapeflow.params import DEFAULTS
@@ -293,6 +295,40 @@ def spread_points(spark, d):
     return SW.without_near_duplicates(rows.withColumn("template", F.col("p_brand"))).select("p_partkey", "p_brand")
 
 
+def _drawn(per_template: int, seed: int = 42) -> list[dict]:
+    """The documents of the candidates that ``sweep.candidates`` draws, for SQL text."""
+    out, by_name = [], {s["name"]: s for s in DOCS}
+    for t, space in SW.PARAMETER_SPACES.items():
+        seen = set()
+        for k in range(1, per_template + 1):
+            params = {}
+            for n, lo, hi, step in space:
+                draw = int(hashlib.md5(f"{seed}-{t}-{n}-{k}".encode()).hexdigest()[:8], 16)
+                params[n] = round(lo + draw % (int(round((hi - lo) / step)) + 1) * step, 4)
+            if tuple(params.values()) not in seen:
+                seen.add(tuple(params.values()))
+                out.append(SW.build(by_name[t], params, f"{t}#{k:03d}"))
+    return out
+
+
+SWEPT = 3
+add_table("sweep_sigs", "panel", "SELECT * FROM (" + rule_sql.signal_rows(_drawn(SWEPT)) + ")")
+add_table("sweep_walked", "sweep_sigs", fixture_sql.TABLES["walked"][1].replace("walked", "sweep_walked").replace("FROM sigs", "FROM sweep_sigs").replace("JOIN sigs", "JOIN sweep_sigs"), recursive=True)
+add_table("sweep_trades", "sweep_walked", fixture_sql.TABLES["trades"][1].replace("walked", "sweep_walked"))
+add_table("sweep_metrics", "sweep_trades", METRIC_SQL.replace("FROM trades", "FROM sweep_trades"))
+
+
+@query("sweep_fitness", "T-08 P-13", f"""
+SELECT strategy_id AS candidate_id, round(avg(round_even(sharpe_ratio, 4)), 3) + 0.0 AS sharpe, round(avg(round_even(win_rate, 4)), 3) + 0.0 AS win_rate, CAST(sum(total_trades) AS BIGINT) AS n_trades,
+  avg(round_even(sharpe_ratio, 4)) >= {DEFAULTS.gate_sharpe} AND avg(round_even(win_rate, 4)) >= {DEFAULTS.gate_win_rate} AND sum(total_trades) >= {DEFAULTS.gate_min_trades} AS passes
+FROM sweep_metrics WHERE total_trades >= 5 GROUP BY 1""", "sweep_metrics")
+def sweep_fitness(spark, d):
+    """Fitness and gates of a few candidates of each template over all symbols."""
+    f = SW.fitness(panel(spark, d), SW.candidates(spark, SWEPT), 5)
+    return f.select("candidate_id", *[(F.round(c, 3) + 0.0).alias(c) for c in ("sharpe", "win_rate")], "n_trades",
+                    ((F.col("sharpe") >= DEFAULTS.gate_sharpe) & (F.col("win_rate") >= DEFAULTS.gate_win_rate) & (F.col("n_trades") >= DEFAULTS.gate_min_trades)).alias("passes"))
+
+
 @query("parameter_sweep", "T-08 J-16 P-13")
 def parameter_sweep(spark, d):
     p = panel(spark, d)
