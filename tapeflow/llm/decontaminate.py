@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeflow.llm.common import runs, signed, stored, text_slices, words
+from tapeflow.llm.common import lean, runs, signed, stored, text_slices, words
 
 SIZE = 10  #: words of a window
 SHINGLE = 3  #: words of a shingle
@@ -128,12 +128,12 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = SIZE, shingle: i
         .select("win", "words", F.col("s.shingles").alias("shingle"), F.col("s.off").alias("off")).distinct()
     lengths = sorted({min(shingle, r[0]) for r in win.select(F.least(F.size("words"), F.lit(shingle))).distinct().collect()})
     counted = spark.sparkContext.broadcast(_bitmap(part, filter_bits))
-    rarity = texts.mapInArrow(_count(counted, lengths), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
+    rarity = texts.mapInArrow(lean(_count(counted, lengths)), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
     first = stored(part.join(rarity, "shingle", "left").groupBy("win", "words")
                    .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle", "off")).alias("p"))
                    .select("win", "words", "p.shingle", "p.off"), "prefixes")
     marked = spark.sparkContext.broadcast(_bitmap(first, filter_bits))
-    rows = stored(texts.mapInArrow(_candidates(marked, lengths, size), "doc_id bigint, row_no bigint, n_words bigint, "
+    rows = stored(texts.mapInArrow(lean(_candidates(marked, lengths, size)), "doc_id bigint, row_no bigint, n_words bigint, "
                                    "found array<struct<pos:int,shingle:bigint,lead:int,near:array<bigint>>>"), "candidates")
     found = rows.where(F.size("found") > 0).select("row_no", "n_words", F.explode("found").alias("f")).select("row_no", "n_words", "f.*")
     length = F.size("words")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeflow.llm.common import connected, maybe_in, mix, runs, signed, stored, text_slices, words
+from tapeflow.llm.common import connected, lean, maybe_in, mix, runs, signed, stored, text_slices, words
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -196,14 +196,14 @@ def _tested(least: float):
 def _families(reps: DataFrame, threshold: float, block: int) -> DataFrame:
     """(v, root): texts that are connected by possible links, named by their smallest id."""
     least = threshold - DOUBT * math.sqrt(threshold * (1 - threshold) / (TREES * DEPTH))
-    paths = reps.select("doc_id", "sig").mapInArrow(_paths(last_depth(threshold)), "doc_id bigint, bucket bigint, tail binary")
+    paths = reps.select("doc_id", "sig").mapInArrow(lean(_paths(last_depth(threshold))), "doc_id bigint, bucket bigint, tail binary")
     shared = stored(paths, "paths")
     many = shared.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("tail", "doc_id")).alias("head")).where("n > 1").select("bucket", "n", F.col("head.doc_id").alias("head"))
-    low = reps.select("doc_id", "sig").mapInArrow(_low_bytes, "doc_id bigint, low binary")
+    low = reps.select("doc_id", "sig").mapInArrow(lean(_low_bytes), "doc_id bigint, low binary")
     own = shared.join(many, "bucket").join(low, "doc_id")
     # Trie order inside a bucket comes from ranges of a sorted table, so a bucket of any size is spread over tasks.
     ordered = own.repartitionByRange("bucket", "tail", "doc_id").sortWithinPartitions("bucket", "tail", "doc_id").select("bucket", "doc_id", "head", "n", "low")
-    family = connected(ordered.mapInArrow(_linked(least), "a bigint, b bigint"), "families")
+    family = connected(ordered.mapInArrow(lean(_linked(least)), "a bigint, b bigint"), "families")
     across = stored(_across(shared, low, family, least, block), "across")
     if across.isEmpty():
         return family
@@ -286,7 +286,7 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) ->
     n_links counts the other documents with a similarity of at least `threshold`, copies included, n_similar the other texts among
     them n_copies the documents with the same words and n_rows the rows of the id."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
-    rows = stored(texts.mapInArrow(_signed_rows, "doc_id bigint, k1 bigint, k2 bigint, sig binary"), "signatures")
+    rows = stored(texts.mapInArrow(lean(_signed_rows), "doc_id bigint, k1 bigint, k2 bigint, sig binary"), "signatures")
     keys = rows.groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("k")).select("doc_id", "k.k1", "k.k2")
     groups = stored(keys.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "copies")
     reps = stored(rows.join(groups.select(F.col("rep").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"]).select("doc_id", "sig"), "texts")
@@ -296,7 +296,7 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) ->
                      .select(F.col("v").alias("doc_id"), F.col("root").alias("family"), "copies", F.ceil(F.col("n") / block).cast("int").alias("blocks"), "k1", "k2")
                      .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")), "members")
     likely = maybe_in(texts, members, "doc_id")  # so that few texts are moved
-    named = likely.join(members.hint("merge"), "doc_id").mapInArrow(_sets, "doc_id bigint, family bigint, copies bigint, blocks int, block int, shingles binary")
+    named = likely.join(members.hint("merge"), "doc_id").mapInArrow(lean(_sets), "doc_id bigint, family bigint, copies bigint, blocks int, block int, shingles binary")
     tiles = named.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
         .select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "block", "copies", "shingles")
     verified = stored(tiles.groupBy("family", "i", "j").applyInArrow(_verify(threshold), "doc_id bigint, n bigint, head bigint, similar bigint"), "links")

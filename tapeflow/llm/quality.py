@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeflow.llm.common import fold, text_slices, tokens
+from tapeflow.llm.common import fold, lean, text_slices, tokens
 
 PASSAGE = 48
 SAMPLE = 6000
@@ -141,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes
     # A row for each sampled id at most: bounded by `sample`, so it may go to every task.
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.octet_length("text") <= sample_bytes)
-    got = texts.join(F.broadcast(known), "doc_id").mapInArrow(_encoded, "doc_id bigint, quality int, bag binary").toPandas()
+    got = texts.join(F.broadcast(known), "doc_id").mapInArrow(lean(_encoded), "doc_id bigint, quality int, bag binary").toPandas()
     got = got.sort_values(["doc_id", "bag"]).drop_duplicates("doc_id")
     if got.quality.nunique() < 2:
         return None
@@ -158,4 +158,4 @@ def scored(docs: DataFrame, model: dict[str, np.ndarray] | None, name: str = "sc
                 own = batch.slice(at, n)
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.array(y, pa.float64())], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + f", `{name}` double")
+    return docs.mapInArrow(lean(run), ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + f", `{name}` double")

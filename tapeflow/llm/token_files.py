@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapeflow.llm.common import pieces, shared_dir, text_slices
+from tapeflow.llm.common import lean, pieces, shared_dir, text_slices
 
 END_ID = 2
 SHARD_TOKENS = 1 << 20
@@ -351,7 +351,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text") \
-        .mapInArrow(_write(path or tokenizer_path(), end_id, shard_tokens), "part int, shard int, n_docs bigint, n_tokens bigint, body binary").write.parquet(folder)
+        .mapInArrow(lean(_write(path or tokenizer_path(), end_id, shard_tokens)), "part int, shard int, n_docs bigint, n_tokens bigint, body binary").write.parquet(folder)
 
 
 def _read(batches):
@@ -373,7 +373,7 @@ def index(spark: SparkSession, folder: str) -> DataFrame:
     parts = head.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_base"))  # a row for each partition written
     starts = head.withColumn("base", F.sum("n_tokens").over(Window.partitionBy("part").orderBy("shard")) - F.col("n_tokens")).join(parts, "part") \
         .select("part", "shard", (F.col("base") + F.col("part_base")).alias("base"))
-    return shards.join(starts, ["part", "shard"]).select("base", "body").mapInArrow(_read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return shards.join(starts, ["part", "shard"]).select("base", "body").mapInArrow(lean(_read), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def encoded(docs: DataFrame, **options) -> DataFrame:
