@@ -141,8 +141,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes
     # A row for each sampled id at most: bounded by `sample`, so it may go to every task.
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.octet_length("text") <= sample_bytes)
-    got = texts.join(F.broadcast(known), "doc_id").mapInArrow(lean(_encoded), "doc_id bigint, quality int, bag binary").toPandas()
-    got = got.sort_values(["doc_id", "bag"]).drop_duplicates("doc_id")
+    got = texts.join(F.broadcast(known), "doc_id").mapInArrow(lean(_encoded), "doc_id bigint, quality int, bag binary")
+    # One row for each id, combined before the shuffle, so repeats of an id never reach the driver.
+    got = got.groupBy("doc_id").agg(F.min(F.struct("bag", "quality")).alias("first")).select("doc_id", "first.*").toPandas().sort_values("doc_id")
     if got.quality.nunique() < 2:
         return None
     bags = [np.frombuffer(b, np.float32).reshape(-1, N_FEATURES) for b in got.bag]

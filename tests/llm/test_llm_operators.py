@@ -442,3 +442,12 @@ def test_grammar_round_trip(spark, documents):
     for ids in (np.zeros(0, np.uint32), np.full(5000, 3, np.uint32), r.integers(0, 4, 3000).astype(np.uint32), r.integers(0, 4000, 3000).astype(np.uint32)):
         seq, rules = token_files.compress(ids, 5000)
         assert np.array_equal(token_files.expand(seq, rules, 5000), ids)
+
+
+def test_quality_sample_with_a_hot_id(spark, small, documents):
+    """An id that half of the rows have gives one row to the fit, whatever its other rows."""
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    hot = labels.where("doc_id is not null").select(F.col("doc_id").alias("d")).where(F.crc32(F.col("d").cast("string").cast("binary")) % 5 != 0).orderBy("d").first().d
+    many = documents.select("doc_id", "text").unionByName(documents.select(F.lit(hot).cast("bigint").alias("doc_id"), "text")).repartition(3)
+    first, second = quality.train(many, labels), quality.train(many.repartition(5), labels)
+    assert all(np.allclose(first[k], second[k]) for k in first)
