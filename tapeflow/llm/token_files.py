@@ -3,7 +3,8 @@
 Documents are put in the order of their ids by range partitions and sorted inside each. A task encodes its documents,
 appends the end id to each and cuts the ids into shards of about `SHARD_TOKENS` at document borders. In each shard
 frequent pairs of ids are repeatedly replaced by nonterminals: a round counts all pairs, replaces the most frequent
-ones from left to right, and stops when no pair occurs `MIN_COUNT` times or after `MAX_ROUNDS` rounds.
+ones from left to right, until no pair occurs `MIN_COUNT` times or the shard has `MAX_RULES` rules (so that its symbols mostly fit 16 bits). A nonterminal may
+stand for any number of ids.
 
 A shard is one row (part, shard, n_docs, n_tokens, body) of the output files, which Spark's own writer commits, so lost executors
 leave no half-written shards and any file system serves. The body holds, little-endian:
@@ -23,6 +24,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,6 @@ from tapeflow.llm.common import lean, pieces, shared_dir, text_slices
 
 END_ID = 2
 SHARD_TOKENS = 1 << 20
-MAX_ROUNDS = 6
 MAX_RULES = 1 << 14
 MIN_COUNT = 8
 SLOT_BITS = 18  #: of the table of hashed pair counts, small enough for the processor's cache
@@ -178,20 +179,20 @@ def _encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def compress(ids: np.ndarray, first: int, max_rounds: int = MAX_ROUNDS, min_count: int = MIN_COUNT, max_rules: int = MAX_RULES) -> tuple[np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, first: int, min_count: int = MIN_COUNT, max_rules: int = MAX_RULES) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): rule r is the pair that nonterminal first + r stands for."""
     seq, rules = ids.astype(np.uint32), np.zeros((0, 2), np.uint32)
-    for round_ in range(max_rounds):
+    for round_ in count(0):
         room = max_rules - len(rules)
         if len(seq) < 2 or room <= 0:
             break
         # Counts of hashed pairs are upper bounds; only places whose pair may be frequent enough are counted exactly.
         slot = (seq[:-1] * np.uint32(0x9E3779B1) ^ seq[1:] * np.uint32(0x85EBCA77)) >> np.uint32(32 - SLOT_BITS)
-        count = np.bincount(slot, minlength=1 << SLOT_BITS)
+        seen = np.bincount(slot, minlength=1 << SLOT_BITS)
         most = max(1, min(room, MAX_RULES // 4 * (round_ + 1)))
-        tall = np.bincount(np.minimum(count, 1 << 16))[::-1].cumsum()[::-1]  # slots with at least that count
+        tall = np.bincount(np.minimum(seen, 1 << 16))[::-1].cumsum()[::-1]  # slots with at least that count
         floor = max(min_count, int(np.searchsorted(-tall, -2 * most, side="left")))
-        at = np.flatnonzero((count >= floor)[slot])
+        at = np.flatnonzero((seen >= floor)[slot])
         code = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
         order = np.argsort(code)
         code = code[order]
