@@ -231,3 +231,97 @@ def divergence(docs, least_docs=30, top=50):
             for part, found in (("pair", sorted(pairs)), ("term", sorted(terms)[:top])):
                 out += [(lang, s, part, item, -v, r + 1) for r, (v, _, item) in enumerate(found)]
     return out
+
+
+def word_hash(word: bytes):
+    """The fingerprint of a word, byte by byte with whole numbers."""
+    from tapeflow.llm import common
+
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & (1 << 64) - 1
+        return x ^ x >> 31
+
+    base, total = (common._BASE * 3 | 1) & (1 << 64) - 1, 0
+    for i, b in enumerate(word):
+        total += mixed((b + 1) * common._BASE_INV + 1 & (1 << 64) - 1) * pow(base, i, 1 << 64)
+    return mixed(total + len(word) & (1 << 64) - 1)
+
+
+def passage_features(text):
+    """Feature lists of the passages of a text, by counting."""
+    from tapeflow.llm import quality as Q
+    raw = (text or "").encode()
+    spans = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    words = [raw[a:b] for a, b in spans]
+    low = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in words]
+    kinds = [int(Q._CLASSES[c]) for c in raw]
+    out = []
+    for a in range(0, max(len(words), 1), Q.PASSAGE):
+        b = min(a + Q.PASSAGE, len(words))
+        if a == b:
+            out.append([0.0] * Q.N_FEATURES)
+            continue
+        lo, hi, n = spans[a][0], spans[b - 1][1], b - a
+        x = [kinds[lo:hi].count(k) / (hi - lo) for k in range(Q.N_CLASSES)]
+        own = range(a, b)
+        shouts = [2 * sum(65 <= c <= 90 for c in words[i]) > len(words[i]) > 2 for i in own]
+        x += [sum(len(words[i]) / 16 for i in own) / n, sum(shouts) / n, sum(int(Q._CLASSES[words[i][-1]]) in (7, 8, 9) for i in own) / n]
+        x += [sum(i >= d and low[i] == low[i - d] for i in own) / n for d in (1, 2, 3)]
+        x += [sum(len(words[i]) == 1 for i in own) / n, min(n / Q.PASSAGE, 1)]
+        h = [word_hash(low[i]) for i in own]
+        x += [sum(v >> k & 1 for v in h) / n - 0.5 for k in range(Q.N_BITS)]
+        out.append(x)
+    return out
+
+
+def quality_score(p, text):
+    """Gated attention over the passages in plain loops."""
+    p = {k: v.astype(float).tolist() for k, v in p.items()}
+    hidden = range(len(p["c"]))
+    z, s = [], []
+    for x in passage_features(text):
+        x = [(v - m) / d for v, m, d in zip(x, p["mean"], p["std"], strict=True)]
+        e = [np.tanh(sum(x[i] * p["E"][i][j] for i in range(len(x))) + p["e"][j]) for j in hidden]
+        gate = [np.tanh(sum(e[i] * p["V"][i][j] for i in hidden)) / (1 + np.exp(-sum(e[i] * p["U"][i][j] for i in hidden))) for j in hidden]
+        z.append(e)
+        s.append(sum(g * w for g, w in zip(gate, p["w"], strict=True)))
+    top = [np.exp(v - max(s)) for v in s]
+    bag = [sum(a * e[j] for a, e in zip(top, z, strict=True)) / sum(top) for j in hidden]
+    return 1 / (1 + np.exp(-(sum(m * c for m, c in zip(bag, p["c"], strict=True)) + p["b"][0])))
+
+
+def language_vector(text):
+    """The unit vector of a text: letter vectors rotated, multiplied and added n-gram by n-gram; None without letters."""
+    from tapeflow.llm import language as L
+    letters = []
+    for c in f" {text or ''} ".lower():
+        if c.isalpha():
+            letters.append(c)
+        elif not letters or letters[-1] != " ":
+            letters.append(" ")
+    if not any(c != " " for c in letters):
+        return None
+    total = np.zeros(L.DIM)
+    for i in range(len(letters) - L.NGRAM + 1):
+        v = np.ones(L.DIM)
+        for j in range(L.NGRAM):
+            v *= np.roll(L.letter(ord(letters[i + j])).astype(float), j)
+        total += v
+    return total / max(np.linalg.norm(total), 1e-9)
+
+
+def languages(docs):
+    """[(doc_id, prediction, score)] of (doc_id, text, lang) rows."""
+    from tapeflow.llm import language as L
+    unit = [language_vector(t) for _, t, _ in docs]
+    proto = {}
+    for (d, t, lang), u in zip(docs, unit, strict=True):
+        if lang is not None and t is not None and fold(d, L.FOLDS) not in (0, None) and u is not None:
+            proto[lang] = proto.get(lang, 0) + np.rint(u * L.SCALE)
+    names = sorted(proto)
+    out = []
+    for (d, _, _), u in zip(docs, unit, strict=True):
+        cos = [float(u @ proto[n] / np.linalg.norm(proto[n])) for n in names] if u is not None else []
+        out.append((d, names[int(np.argmax(cos))], (1 + max(cos)) / 2) if cos else (d, "und", 0.0))
+    return out

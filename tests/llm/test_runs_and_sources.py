@@ -186,3 +186,24 @@ def test_share_is_exact_for_large_counts(spark):
     df = spark.createDataFrame([(x, 10**16, 12345) for x in n], "n bigint, total bigint, terms bigint")
     got = [r[0] for r in df.orderBy("n").select(divergence.share(F.col("n"), F.col("total"), F.col("terms"))).collect()]
     assert got == [1 + 1_000_000_000 * (x + 5) // (10**16 + 5 * 12345) for x in n]
+
+
+# Classifiers by plain loops
+
+def test_quality_scores_equal_plain_loops(spark, small, edge):
+    from tapeflow.llm import quality
+    docs = table(spark, small, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, small, "labels"))
+    some = edge.select("doc_id", F.substring("text", 1, 4000).alias("text")).unionByName(docs.orderBy("doc_id").limit(40))
+    for r in quality.scored(some, model).collect():
+        assert r.score == pytest.approx(brute.quality_score(model, r.text), abs=2e-4)
+
+
+def test_languages_equal_plain_loops(spark, small, edge):
+    from tapeflow.llm import language
+    docs = table(spark, small, "documents").select("doc_id", F.substring("text", 1, 600).alias("text"), "lang").orderBy("doc_id").limit(80)
+    df = docs.unionByName(edge.select("doc_id", F.substring("text", 1, 300).alias("text"), "lang"))
+    rows_ = [(r.doc_id, r.text, r.lang) for r in df.collect()]
+    got = sorted(((r.doc_id, r.lang_pred, r.score) for r in language.predicted(df, *language.prototypes(df)).collect()), key=repr)
+    for (a, p, s), (b, q, t) in zip(got, sorted(brute.languages(rows_), key=repr), strict=True):
+        assert (a, p) == (b, q) and s == pytest.approx(t, abs=1e-5)
