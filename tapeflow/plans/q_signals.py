@@ -524,6 +524,22 @@ def eod_report(spark, d):
     return reports.lines(reports.eod_report(cycles(spark, d), signal_log(spark, d), n=10))
 
 
+@query("eod_sections", "Z-01 A-18 A-19", """
+SELECT 'regime' AS part, scope AS name, cycle AS value FROM regime WHERE scope = 'market'
+UNION ALL SELECT 'sectors', cycle, string_agg(scope_id, ',' ORDER BY scope_id) FROM regime WHERE scope = 'sector' GROUP BY cycle
+UNION ALL SELECT 'counts', timeframe, CAST(count(*) AS VARCHAR) FROM sig_log GROUP BY timeframe
+UNION ALL SELECT 'top', symbol || '/' || timeframe, strategy_id FROM (SELECT * FROM sig_log QUALIFY row_number() OVER (PARTITION BY symbol, timeframe ORDER BY seq DESC) = 1)""", "regime sig_log")
+def eod_sections(spark, d):
+    """All sections of the end-of-day report as rows: the market's cycle, the sectors of each cycle, buy signals by timeframe, and the watch list."""
+    r = reports.eod_report(cycles(spark, d), signal_log(spark, d))
+    parts = {"regime": ("scope", "cycle"), "sectors": ("cycle", "names"), "counts": ("timeframe", "buy"), "top": (F.concat_ws("/", "symbol", "timeframe"), "strategy_id")}
+    out = None
+    for part, (name, value) in parts.items():
+        one = r[part].select(F.lit(part).alias("part"), (F.col(name) if isinstance(name, str) else name).alias("name"), F.col(value).cast("string").alias("value"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("morning_report", "Z-02 H-05 W-15")
 def morning_report(spark, d):
     return reports.lines(reports.morning_report(td.bars_raw(spark, d), td.positions(spark, d), signal_log(spark, d), n=5, tracked_limit=20))
