@@ -3,11 +3,12 @@
 Unit vectors are rounded to int8 with a scale each. Query blocks and candidate blocks meet in tiles; the tile is one
 integer-valued matrix product, and the norms of the rounding residuals bound the error of each product:
 |q.c - Q.C| <= |q - Q| |C| + |q| |c - C|. A pair survives if its upper bound reaches the k-th best lower bound of its
-query, first within the tile, then over all tiles. Survivors are computed again in double precision on the original
+query. Survivors are recomputed in float inside the tile, whose bounds are narrower by orders of magnitude, so a tile sends on k pairs a query and those that tie
+to float precision, also where all vectors lie closer together than the rounding to int8. What is left over all tiles is computed again in double precision on the original
 vectors and the best k are merged by bounded heaps (rank limits that Spark applies before and after the shuffle).
 The bounds never lose a true neighbour, so the result is exact.
 
-Each vector is sent once for each block of the other side: block sizes are the memory knob (a tile works in pieces of
+Each vector (int8 and float32) is sent once for each block of the other side: block sizes are the memory knob (a tile works in pieces of
 `STEP` candidates). Equal vectors tie exactly, so only the k + 1 smallest ids of each distinct vector are candidates; a
 vector shared by a third of the table costs k + 1 rows.
 
@@ -30,6 +31,9 @@ QUERY_BLOCK = 2048
 CANDIDATE_BLOCK = 8192
 STEP = 2048
 SLACK = 1e-6  #: covers the rounding of the bounds themselves
+FLOAT = 1e-6  #: bound of the error of products of unit vectors rounded to float32, summed in double precision
+EXACT = 1024  #: components whose int8 products float32 adds up exactly
+PAIRS = 1 << 16  #: survivors that are recomputed at once
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -49,48 +53,67 @@ def _quantised(batches):
             parts = [flat.reshape(-1, dim)]
         else:
             parts = [p[None, :] for p in np.split(flat, np.cumsum(off)[:-1])]
-        code, size, lost = [], [], []
+        code, unit, size, lost = [], [], [], []
         for x in parts:
             x = x / np.abs(x).max(1, keepdims=True)
             x = x / np.linalg.norm(x, axis=1, keepdims=True)
             scale = np.abs(x).max(1, keepdims=True) / 127
             c = np.rint(x / scale).astype(np.int8)
             code += [r.tobytes() for r in c]
+            unit += [r.tobytes() for r in x.astype(np.float32)]
             size.append(scale[:, 0])
             lost.append(np.linalg.norm(x - c * scale, axis=1))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("vec_id"), pa.array(off, pa.int32()), pa.array(code, pa.binary()), pa.array(np.concatenate(size) if size else [], pa.float64()),
-             pa.array(np.concatenate(lost) if lost else [], pa.float64())], names=["vec_id", "dim", "code", "scale", "lost"])
+            [batch.column("vec_id"), pa.array(off, pa.int32()), pa.array(code, pa.binary()), pa.array(unit, pa.binary()), pa.array(np.concatenate(size) if size else [], pa.float64()),
+             pa.array(np.concatenate(lost) if lost else [], pa.float64())], names=["vec_id", "dim", "code", "unit", "scale", "lost"])
 
 
 def _matrix(t: pa.Table):
     ids = t.column("vec_id").to_numpy()
     code = np.frombuffer(b"".join(t.column("code").to_pylist()), np.int8).reshape(len(ids), -1).astype(np.float32)
-    return ids, code, t.column("scale").to_numpy(), t.column("lost").to_numpy()
+    unit = np.frombuffer(b"".join(t.column("unit").to_pylist()), np.float32).reshape(len(ids), -1)
+    return ids, code, unit, t.column("scale").to_numpy(), t.column("lost").to_numpy()
+
+
+def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Exact products of int8 codes."""
+    return sum((q[:, a:a + EXACT] @ c[:, a:a + EXACT].T).astype(np.float64) for a in range(0, q.shape[1], EXACT))
+
+
+def _recomputed(q: np.ndarray, c: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(0), *[np.einsum("pd,pd->p", q[i[a:a + PAIRS]], c[j[a:a + PAIRS]], dtype=np.float64) for a in range(0, len(i), PAIRS)]])
+
+
+def _best(i: np.ndarray, score: np.ndarray, rows: int, k: int) -> np.ndarray:
+    """(rows, k) best scores of each row, largest first; -2 where there are fewer."""
+    order = np.lexsort((-score, i))
+    i, score = i[order], score[order]
+    nth = np.arange(len(i)) - np.searchsorted(i, i)
+    out = np.full((rows, k), -2.0)
+    out[i[nth < k], nth[nth < k]] = score[nth < k]
+    return out
 
 
 def _tile(k: int):
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"query_id": [], "vec_id": [], "low": [], "high": []}
         if left.num_rows and right.num_rows:
-            q_id, q, q_scale, q_lost = _matrix(left)
-            c_id, c, c_scale, c_lost = _matrix(right)
-            best = np.full((len(q_id), 0), -2.0)
-            kept = []
+            q_id, q, q_unit, q_scale, q_lost = _matrix(left)
+            c_id, c, c_unit, c_scale, c_lost = _matrix(right)
+            best = np.full((len(q_id), k), -2.0)
+            i, v, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
             for a in range(0, len(c_id), STEP):
                 b = slice(a, a + STEP)
-                dot = (q @ c[b].T).astype(np.float64) * q_scale[:, None] * c_scale[b]
+                dot = _products(q, c[b]) * q_scale[:, None] * c_scale[b]
                 err = q_lost[:, None] * (1 + c_lost[b]) + c_lost[b] + SLACK
                 dot[q_id[:, None] == c_id[b]] = -9
-                low = np.concatenate([best, dot - err], axis=1)
-                n = min(k, low.shape[1])
-                best = -np.partition(-low, n - 1, axis=1)[:, :n]
-                need = best.min(1) if n == k else np.full(len(q_id), -2.0)
-                i, j = np.nonzero((dot + err >= need[:, None]) & (dot > -5))
-                kept.append((i, c_id[b][j], (dot - err)[i, j], (dot + err)[i, j]))
-            i, v, low, high = (np.concatenate(x) for x in zip(*kept, strict=True))
-            ok = high >= (best.min(1) if best.shape[1] == k else np.full(len(q_id), -2.0))[i]
-            out = {"query_id": q_id[i[ok]], "vec_id": v[ok], "low": low[ok], "high": high[ok]}
+                need = -np.partition(-np.concatenate([best - FLOAT, dot - err], axis=1), k - 1, axis=1)[:, k - 1]
+                new, j = np.nonzero((dot + err >= need[:, None]) & (dot > -5))
+                i, v, score = np.concatenate([i, new]), np.concatenate([v, c_id[b][j]]), np.concatenate([score, _recomputed(q_unit, c_unit[b], new, j)])
+                best = _best(i, score, len(q_id), k)
+                ok = score + FLOAT >= best[i, -1] - FLOAT
+                i, v, score = i[ok], v[ok], score[ok]
+            out = {"query_id": q_id[i], "vec_id": v, "low": score - FLOAT, "high": score + FLOAT}
         return pa.table({n: pa.array(x, pa.int64() if n.endswith("id") else pa.float64()) for n, x in out.items()})
     return run
 
@@ -99,7 +122,7 @@ def nearest(vectors: DataFrame, is_query, k: int = K, query_block: int = QUERY_B
     """query_id, rank, vec_id, score: the k nearest other vectors of every row for which `is_query` (a condition on vec_id) holds."""
     base = stored(usable(vectors), "vectors")
     same = Window.partitionBy("embedding").orderBy("vec_id")
-    schema = "vec_id bigint, dim int, code binary, scale double, lost double"
+    schema = "vec_id bigint, dim int, code binary, unit binary, scale double, lost double"
     cand = base.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k + 1).select("vec_id", "embedding")
     query = base.where(is_query)
     n_q, n_c = query.count(), base.count()
