@@ -444,6 +444,17 @@ def test_grammar_round_trip(spark, documents):
         assert np.array_equal(token_files.expand(seq, rules, 5000), ids)
 
 
+def test_grammar_goes_on_until_no_pair_is_frequent():
+    """Long repeats shrink to their number of levels, not to a fixed share."""
+    r = np.random.default_rng(1)
+    for ids in (np.tile(r.integers(0, 4000, 500).astype(np.uint32), 2000), np.zeros(1_000_000, np.uint32)):
+        seq, rules = token_files.compress(ids, 5000)
+        assert len(seq) + len(rules) < 2000 and len(rules) < token_files.MAX_RULES
+        assert (token_files.expand(seq, rules, 5000) == ids).all()
+        pairs = np.unique(seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:], return_counts=True)[1]
+        assert pairs.max(initial=0) < 2 * token_files.MIN_COUNT  # overlapping places of one pair count once
+
+
 def test_quality_sample_with_a_hot_id(spark, small, documents):
     """An id that half of the rows have gives one row to the fit, whatever its other rows."""
     labels = spark.read.parquet(f"{small}/labels.parquet")
@@ -451,3 +462,48 @@ def test_quality_sample_with_a_hot_id(spark, small, documents):
     many = documents.select("doc_id", "text").unionByName(documents.select(F.lit(hot).cast("bigint").alias("doc_id"), "text")).repartition(3)
     first, second = quality.train(many, labels), quality.train(many.repartition(5), labels)
     assert all(np.allclose(first[k], second[k]) for k in first)
+
+
+def test_tight_cluster_survives_as_k_a_query():
+    """Vectors closer together than the rounding to int8: a tile still sends on little more than k pairs a query, the right ones."""
+    import pyarrow as pa
+    r = np.random.default_rng(3)
+    centre = r.normal(size=48)
+    x = centre / np.linalg.norm(centre) + 0.02 * r.normal(size=(3000, 48)) / 48 ** 0.5
+    rows_ = next(neighbours._quantised([pa.record_batch({"vec_id": np.arange(3000), "embedding": pa.array(x.tolist())})]))
+    t = pa.Table.from_batches([rows_])
+    got = neighbours._tile(5)((), t.slice(0, 60), t).to_pydict()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cos = u[:60] @ u.T
+    cos[np.arange(60), np.arange(60)] = -9
+    assert len(got["vec_id"]) < 60 * 8
+    pairs = set(zip(got["query_id"], got["vec_id"], strict=True))
+    assert all((q, c) in pairs for q in range(60) for c in np.argsort(-cos[q])[:5])
+    assert all(lo <= cos[q, c] <= hi for q, c, lo, hi in zip(got["query_id"], got["vec_id"], got["low"], got["high"], strict=True))
+
+
+def test_long_vectors_are_added_up_exactly():
+    q, c = (np.random.default_rng(k).integers(-127, 128, (3, 5000)).astype(np.float32) for k in (1, 2))
+    assert (neighbours._products(q, c) == q.astype(np.int64) @ c.astype(np.int64).T).all()
+
+
+def test_personal_data_in_a_text_of_many_matches(spark):
+    """Time grows with the matches, not with their square; the context of a span is the text just before it."""
+    import time
+    text = " ".join(f"user{i}@mail.example.org" for i in range(16_000))
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string").cache()
+    assert df.count() == 1
+    t = time.time()
+    got = pii.detected(df).first().spans
+    assert time.time() - t < 40 and len(got) == 16_000  # quadratic time took minutes
+    assert [text[s.start:s.end] for s in got] == text.split(" ")
+    r = random.Random(5)
+    bits = ["a@b.co", "1.2.3.4", "4111 1111 1111 1111", "+1 (555) 010-9999", "DE89 3704 0044 0532 0130 00", "card ", "mail", "tel: ", "é🙂 ", "order ", " ", "\n", "sample", "iban ", ",", "99"]
+    texts = [(i, "".join(r.choices(bits, k=r.choice([3, 20, 120])))) for i in range(60)]
+    found = pii.detected(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()
+    assert sum(len(x.spans) for x in found) > 300
+    for x in found:
+        for s in x.spans:
+            before = x.text[max(0, s.start - pii.REACH):s.start].lower()
+            want = pii.PRIOR[s.kind] + 0.3 * (s.kind in pii.CHECKED) + 0.2 * any(w in before for w in pii.CONTEXT[s.kind].split("|")) - 0.3 * any(w in before for w in pii.AGAINST.split("|"))
+            assert s.score == pytest.approx(min(1, max(0, want)))
