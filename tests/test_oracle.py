@@ -11,6 +11,8 @@ NAMES = [
     "market_breadth", "fifo_matched_trades", "fifo_open_lots", "booked_pnl", "back_adjusted_bars", "checked_triggers",
     "ratio_position_size", "fundamentals_as_of", "upserted_bars", "time_folds", "tick_bars", "opening_ranges",
     "streamed_tick_bars", "streamed_opening_ranges", "imported_tradebook", "page_fundamentals", "strategy_trades", "signals",
+    "refreshed_indicators", "applied_bars", "applied_holdings", "catalogue_lookup", "spread_points", "sweep_fitness", "random_tree_validation",
+    "state_model_round", "state_paths", "streamed_drawdown_alerts",
 ]
 
 
