@@ -110,3 +110,36 @@ def test_states_of_a_clear_series():
     path, trans, _ = patterns.fit(np.column_stack([x, rng.normal(0, 1, 450)]))
     assert [len(set(path[i:i + 140])) for i in (5, 155, 305)] == [1, 1, 1]
     assert np.allclose(trans.sum(axis=1), 1)
+
+
+def pattern_series(seed, n):
+    rng = np.random.default_rng(seed)
+    state = np.cumsum(rng.random(n) < 0.06) % 3
+    return np.column_stack([rng.normal(np.array([-0.02, 0.0, 0.015])[state], np.array([0.02, 0.004, 0.01])[state]), rng.normal(np.array([0.6, 0.0, 0.2])[state], 0.3)])
+
+
+def test_series_fitted_together_equal_each_alone():
+    xs = [pattern_series(i, 200 + 37 * i) for i in range(9)] + [np.zeros((210, 2))]
+    for n_iter in (3, 100):
+        for x, (path, trans, score) in zip(xs, patterns.fit_many(xs, n_iter=n_iter), strict=True):
+            want = patterns.fit(x, n_iter=n_iter)
+            assert path.tolist() == want[0].tolist() and np.allclose(trans, want[1], atol=1e-9) and abs(score - want[2]) < 1e-6
+
+
+def test_states_of_a_pack(spark, monkeypatch):
+    """Series that go over several batches, one without a name, one too short; packs hold several series."""
+    import datetime
+
+    import pyarrow as pa
+    rows = [(s, datetime.date(2001, 1, 1) + datetime.timedelta(d), *pattern_series(i, n)[d].tolist()) for i, (s, n) in enumerate([(None, 205), ("A", 260), ("B", 150), ("C", 200)]) for d in range(n)]
+    t = pa.table(dict(zip(("symbol", "date", "ret", "vol"), zip(*rows), strict=True)))
+    packs = list(patterns._packs(t.to_batches(max_chunksize=90), 200))
+    assert [[(p.column("symbol")[0].as_py(), p.num_rows) for p in pack] for pack in packs] == [[(None, 205), ("A", 260), ("C", 200)]]
+    x = spark.createDataFrame(rows, "symbol string, date date, ret double, vol double")
+    monkeypatch.setattr(patterns, "features", lambda bars: bars)
+    got = patterns.fit_states(x.repartition(3)).collect()
+    for i, s in [(0, None), (1, "A"), (3, "C")]:
+        own = sorted((r for r in got if r.symbol == s), key=lambda r: r.date)
+        path, trans, score = patterns.fit(np.array([r[2:] for r in rows if r[0] == s]))
+        assert [r.state for r in own] == path.tolist() and np.allclose(own[0].transition_matrix, trans, atol=1e-9) and abs(own[-1].score - score) < 1e-6
+    assert len(got) == 665
