@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeflow.functions.rules import Panel, explain_rules
+from tapeflow.functions.rules import Panel, condition, explain_rules
 from tapeflow.functions.scalars import lookup
-from tapeflow.functions.windows import all_of
+from tapeflow.functions.windows import all_of, latest
 from tapeflow.operators import sizing
 from tapeflow.params import DEFAULTS
 
@@ -77,7 +77,7 @@ def validate(triggers: DataFrame, latest_panel: DataFrame, docs: list[dict], pos
     """Re-check entry rules, capital and sector fit of every trigger.
 
     ``latest_panel`` must hold, per symbol, ``checks_<i>`` of each document
-    (``rule_checks``), computed before the latest row is picked.
+    (``latest_checks``).
     """
     checks = F.coalesce(*[F.when(F.col("strategy_id") == d["strategy_id"], F.col(f"checks_{i}")) for i, d in enumerate(docs)])
     j = triggers.join(latest_panel.select("symbol", *[f"checks_{i}" for i in range(len(docs))]), "symbol", "left")
@@ -96,6 +96,20 @@ def rule_checks(panel: DataFrame, docs: list[dict]) -> DataFrame:
     return panel.withColumns({f"checks_{i}": explain_rules(d["entry_rules"], ctx) for i, d in enumerate(docs)})
 
 
+def latest_checks(panel: DataFrame, docs: list[dict]) -> DataFrame:
+    """(symbol, date, ``checks_<i>`` per document) of the latest row of each symbol.
+
+    The conditions look back, so they are judged on the full panel; their texts are written for the latest rows only."""
+    ctx = Panel.of(panel)
+    conds = [d["entry_rules"].get("conditions", []) for d in docs]
+    passed = {f"_ok_{i}_{j}": condition(c, ctx) for i, cs in enumerate(conds) for j, c in enumerate(cs)}
+    names = {n for cs in conds for c in cs for n in (c.get("indicator"), str(c.get("value")).removeprefix("indicator:"))}
+    shown = [c for c in panel.columns if c in names and c not in ("symbol", "date")]
+    last = latest(panel.select("symbol", "date", *shown, *[ok.alias(n) for n, ok in passed.items()]), ["symbol"], "date")
+    return last.select("symbol", "date", *[explain_rules(d["entry_rules"], ctx, [F.col(f"_ok_{i}_{j}") for j in range(len(conds[i]))]).alias(f"checks_{i}")
+                                           for i, d in enumerate(docs)])
+
+
 def confirm_buys(triggers: DataFrame, orders: DataFrame, positions: DataFrame, latest_indicators: DataFrame,
                  parsed_catalog: DataFrame, as_of: str, p=DEFAULTS) -> tuple[DataFrame, DataFrame]:
     """Turn eligible triggers named in ``orders`` (trigger_id, override_price, note) into positions.

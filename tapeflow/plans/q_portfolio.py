@@ -541,11 +541,9 @@ FROM sized z JOIN stocks s ON s.symbol = z.symbol
 LEFT JOIN (SELECT strategy_id, symbol, entry FROM sigs QUALIFY date = max(date) OVER (PARTITION BY symbol)) g ON g.symbol = z.symbol AND g.strategy_id = z.strategy_id
 LEFT JOIN (SELECT sector, sum(qty * avg_cost) AS held FROM positions JOIN stocks USING (symbol) GROUP BY 1) h ON h.sector = s.sector""", "sized stocks sigs positions")
 def validated_triggers(spark, d):
-    from tapeflow.functions.windows import latest
     from tapeflow.plans.q_strategies import panel
     docs = ST.STRATEGIES
-    p = TR.rule_checks(panel(spark, d), docs)
-    last = latest(p.select("symbol", "date", *[f"checks_{i}" for i in range(len(docs))]), ["symbol"], "date")
+    last = TR.latest_checks(panel(spark, d), docs)
     v = TR.validate(triggers(spark, d), last, docs, td.positions(spark, d), td.stocks(spark, d))
     return v.select("trigger_id", "strategy_id", "all_passed", "capital_fit", "sector_fit")
 

@@ -371,3 +371,15 @@ def test_replay_sends_few_columns_to_python(spark, small):
     assert p.columns == ["symbol", "date", "close", "cycle", "entry", "exit", "levels"]
     r = p.first()
     assert r.entry == [2 ** 62 - 1, 2 ** 8 - 1] and r.exit == [0, 0] and r.levels == [1.0] * n + [2.0] * n
+
+
+def test_checks_are_written_for_latest_rows_only(spark):
+    cols = {c: F.col("close") + i for i, c in enumerate(("rsi_14", "adx_14", "macd_hist", "volume_ratio", "ema_20", "ema_50", "sma_200"))}
+    df = bars(spark, [10.0, 9.0, 12.0, 8.5, 13.0] * 6, **cols)
+    df = df.unionByName(df.where("rn < 9").withColumn("symbol", F.lit("B")))
+    docs = ST.STRATEGIES
+    got = triggers.latest_checks(df, docs)
+    every = triggers.rule_checks(df, docs).select(*got.columns).collect()
+    assert sorted(got.collect(), key=lambda r: r.symbol) == [max((r for r in every if r.symbol == s), key=lambda r: r.date) for s in ("A", "B")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("format_string") < plan.index("row_number()")
