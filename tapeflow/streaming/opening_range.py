@@ -11,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # Session times of the intraday rules.
 OPEN_AT, RANGE_MINUTES, LAST_ENTRY, FORCE_EXIT = "09:15", 15, "13:30", "15:15"
-ROW_SCHEMA = "symbol string, day date, at bigint, close double, orb_high double, orb_low double, entry boolean, force_exit boolean"
+ROW_SCHEMA = "symbol string, at bigint, close double, orb_high double, orb_low double, entry boolean, force_exit boolean"
 
 
 def _minutes(text: str) -> int:
@@ -37,31 +37,34 @@ def opening_range(bars: DataFrame, open_at: str = OPEN_AT) -> DataFrame:
 
 
 def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState, start: int) -> Iterator[pd.DataFrame]:
-    """One (symbol, day). Bars wait in the state until the watermark has passed them, so that they are taken in the order of time
-    and the range is closed before any later bar is judged, whatever the order in which they came."""
-    high, low, entered, end, *waiting = state.get if state.exists else (None, None, False, 0, [], [], [], [], [])
-    bars = {r[0]: r for r in zip(*waiting, strict=True)}  # at most 288 a day
+    """One symbol, with its open days. Bars wait in the state until the watermark has passed them, so that they are taken in the order of time
+    and the range of a day is closed before any later bar is judged, whatever the order in which they came."""
+    days, bars = {}, {}  # by the end of the day; at most 288 bars of each day
+    if state.exists:
+        ends, highs, lows, entered, *waiting = state.get
+        days = {end: x for end, *x in zip(ends, highs, lows, entered, strict=True)}
+        bars = {r[0]: r for r in zip(*waiting, strict=True)}
     now, out = state.getCurrentWatermarkMs(), []
     for rows in batches:
         rows = rows[rows["at"] > now]  # Spark itself lets rows pass that are late by one batch only
-        for r in rows[["at", "m", "high", "low", "close"]].itertuples(index=False, name=None):
+        for r in rows[["at", "m", "high", "low", "close", "day_end"]].itertuples(index=False, name=None):
             bars[r[0]] = r
-        if len(rows):
-            end = int(rows["day_end"].iloc[0])
+            days.setdefault(r[5], [None, None, False])
     for at in sorted(a for a in bars if a <= now):
-        _, m, h, lo, close = bars.pop(at)
+        _, m, h, lo, close, end = bars.pop(at)
+        high, low, done = days[end]
         if m < start:
             continue
         if m < start + RANGE_MINUTES:
-            high = h if high is None else max(high, h)
-            low = lo if low is None else min(low, lo)
+            days[end][:2] = h if high is None else max(high, h), lo if low is None else min(low, lo)
         elif high is not None:
             up = close > high and m <= _minutes(LAST_ENTRY)
-            out.append((*key, at, close, high, low, up and not entered, m >= _minutes(FORCE_EXIT)))
-            entered = entered or up
-    if bars or end > now:
-        state.update((high, low, entered, end, *([list(x) for x in zip(*bars.values(), strict=True)] if bars else [[]] * 5)))
-        state.setTimeoutTimestamp(int(min(bars, default=end)))
+            out.append((*key, at, close, high, low, up and not done, m >= _minutes(FORCE_EXIT)))
+            days[end][2] = done or up
+    days = {end: x for end, x in days.items() if end > now}
+    if days:
+        state.update((list(days), *([x[i] for x in days.values()] for i in range(3)), *([list(x) for x in zip(*bars.values(), strict=True)] if bars else [[]] * 6)))
+        state.setTimeoutTimestamp(int(min([*days, *bars])))
     elif state.exists:
         state.remove()
     if out:
@@ -77,10 +80,13 @@ def stream_opening_range(bars: DataFrame, open_at: str = OPEN_AT, lateness: str
     """
     start = _minutes(open_at)
     day = F.to_date("bar_start")
-    b = bars.withWatermark("bar_start", lateness).select(
-        "symbol", day.alias("day"), "bar_start", F.unix_millis("bar_start").alias("at"), (F.hour("bar_start") * 60 + F.minute("bar_start")).alias("m"),
+    b = bars.withWatermark("bar_start", lateness).filter(F.col("bar_start").isNotNull()).select(
+        "symbol", "bar_start", F.unix_millis("bar_start").alias("at"), (F.hour("bar_start") * 60 + F.minute("bar_start")).alias("m"),
         F.unix_millis(F.date_add(day, 1).cast("timestamp")).alias("day_end"), "high", "low", "close")
-    found = b.groupBy("symbol", "day").applyInPandasWithState(
+    # A group costs a call for each batch it has rows in, so a symbol's days share one; its state holds the days the watermark has not passed.
+    found = b.groupBy("symbol").applyInPandasWithState(
         lambda key, batches, state: _advance(key, batches, state, start), ROW_SCHEMA,
-        "high double, low double, entered boolean, day_end bigint, at array<bigint>, m array<int>, highs array<double>, lows array<double>, closes array<double>", "append", GroupStateTimeout.EventTimeTimeout)
-    return found.select("symbol", "day", F.timestamp_millis("at").alias("bar_start"), "close", "orb_high", "orb_low", "entry", "force_exit")
+        "day_end array<bigint>, high array<double>, low array<double>, entered array<boolean>, "
+        "at array<bigint>, m array<int>, highs array<double>, lows array<double>, closes array<double>, ends array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+    start_ = F.timestamp_millis("at")
+    return found.select("symbol", F.to_date(start_).alias("day"), start_.alias("bar_start"), "close", "orb_high", "orb_low", "entry", "force_exit")
