@@ -35,25 +35,27 @@ def run_trigger_checks(ticks: DataFrame, read_triggers: Callable[[], DataFrame],
     return ticks.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-ALERT_SCHEMA = "holding_id string, day date, symbol string, us bigint, price double, avg_cost double"
+ALERT_SCHEMA = "holding_id string, symbol string, us bigint, price double, avg_cost double"
 
 
 def _earliest(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One (holding, day): its earliest hit (at the lowest price) waits until no earlier one can come, then is sent once."""
-    end, sent, *first = state.get if state.exists else (0, False, None, None, None, None)
+    """One holding: the earliest hit of each open day (at the lowest price) waits until no earlier one can come, then is sent once."""
+    days = {end: x for end, *x in zip(*state.get, strict=True)} if state.exists else {}
     now, out = state.getCurrentWatermarkMs(), []
     for rows in batches:
-        rows = rows[rows["us"] > now * 1000].sort_values(["us", "price"])  # Spark itself lets rows pass that are late by one batch only
-        if len(rows):
-            r = next(rows[["symbol", "us", "price", "avg_cost", "day_end"]].itertuples(index=False, name=None))
-            end = r[4]
-            if not sent and (first[1] is None or (r[1], r[2]) < (first[1], first[2])):
-                first = list(r[:4])
-    if not sent and first[1] is not None and first[1] <= now * 1000:
-        out, sent = [(*key, *first)], True
-    if end > now and first[1] is not None:
-        state.update((int(end), sent, first[0], int(first[1]), *map(float, first[2:])))
-        state.setTimeoutTimestamp(int(end if sent else -(-first[1] // 1000)))
+        rows = rows[rows["us"] > now * 1000].sort_values(["us", "price"]).drop_duplicates("day_end")  # Spark itself lets rows pass that are late by one batch only
+        for symbol, us, price, cost, end in rows[["symbol", "us", "price", "avg_cost", "day_end"]].itertuples(index=False, name=None):
+            old = days.get(int(end))
+            if old is None or not old[0] and (us, price) < (old[2], old[3]):
+                days[int(end)] = [False, symbol, int(us), float(price), float(cost)]
+    for x in days.values():
+        if not x[0] and x[2] <= now * 1000:
+            out.append((*key, *x[1:]))
+            x[0] = True
+    days = {end: x for end, x in days.items() if end > now}
+    if days:
+        state.update((list(days), *map(list, zip(*days.values(), strict=True))))
+        state.setTimeoutTimestamp(int(min(end if x[0] else -(-x[2] // 1000) for end, x in days.items())))
     elif state.exists:
         state.remove()
     if out:
@@ -63,17 +65,17 @@ def _earliest(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterat
 def drawdown_stream(ticks: DataFrame, positions: DataFrame, lateness: str = "1 day", p=DEFAULTS) -> DataFrame:
     """The earliest price per position and day at or below the drawdown limit, the same as in ``drawdown_batch`` however the stream is cut.
 
-    Stream-static join, then a state per (holding, day) that lives until the watermark has passed the day. Ticks may come in any order within ``lateness``; an
+    Stream-static join, then a state per holding with the days that the watermark has not passed. Ticks may come in any order within ``lateness``; an
     alert is sent when the watermark has passed it, as an earlier price may come until then. ``run_late_rows`` keeps the ticks that come later still.
     """
     held = positions.filter(F.col("is_active") & (F.col("timeframe") == "long_term")).select("holding_id", "symbol", "avg_cost")
     dd = (F.col("price") - F.col("avg_cost")) / F.col("avg_cost")
-    day = F.to_date("ts")
-    hits = ticks.withWatermark("ts", lateness).join(held, "symbol").filter(dd <= -p.drawdown_alert_pct).select(
-        F.col("holding_id").cast("string"), day.alias("day"), "ts", "symbol", F.unix_micros("ts").alias("us"), "price", "avg_cost", F.unix_millis(F.date_add(day, 1).cast("timestamp")).alias("day_end"))
-    found = hits.groupBy("holding_id", "day").applyInPandasWithState(
-        _earliest, ALERT_SCHEMA, "day_end bigint, sent boolean, symbol string, us bigint, price double, avg_cost double", "append", GroupStateTimeout.EventTimeTimeout)
-    return found.select("holding_id", "symbol", "day", F.timestamp_micros("us").alias("ts"), "price", "avg_cost", (dd * 100).alias("drawdown_pct"))
+    hits = ticks.withWatermark("ts", lateness).filter(F.col("ts").isNotNull()).join(held, "symbol").filter(dd <= -p.drawdown_alert_pct).select(
+        F.col("holding_id").cast("string"), "ts", "symbol", F.unix_micros("ts").alias("us"), "price", "avg_cost", F.unix_millis(F.date_add(F.to_date("ts"), 1).cast("timestamp")).alias("day_end"))
+    found = hits.groupBy("holding_id").applyInPandasWithState(
+        _earliest, ALERT_SCHEMA, "day_end array<bigint>, sent array<boolean>, symbol array<string>, us array<bigint>, price array<double>, avg_cost array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+    ts = F.timestamp_micros("us")
+    return found.select("holding_id", "symbol", F.to_date(ts).alias("day"), ts.alias("ts"), "price", "avg_cost", (dd * 100).alias("drawdown_pct"))
 
 
 def run_late_rows(rows: DataFrame, time: str, lateness_ms: int, out: str, checkpoint: str, **trigger) -> StreamingQuery:

@@ -109,3 +109,20 @@ def test_late_rows_are_kept(spark, tmp_path, positions):
     got = run(spark, alerts.drawdown_stream(source, positions, "1 day"), tmp_path, "out")
     taken = alerts.drawdown_batch(spark.createDataFrame([r for r in rows[:-1] if r not in late], TICKS), positions)
     assert sorted(map(tuple, got.select("holding_id", "symbol", "day", "ts").collect())) == sorted(map(tuple, taken.select("holding_id", "symbol", "day", "ts").collect()))
+
+
+def most_states(stream, tmp_path, name):
+    out = str(tmp_path / name)
+    q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-ck").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return max(o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"])
+
+
+def test_days_share_the_state_of_their_symbol(spark, tmp_path, positions):
+    """The number of groups, each a call of its own, is that of symbols and holdings, not of their days."""
+    rows = bars()
+    source = dealt(spark, rows, BARS, str(tmp_path / "bars"), [list(range(len(rows) - 1)), [len(rows) - 1]], 1)
+    assert most_states(opening_range.stream_opening_range(source, lateness="10 days"), tmp_path, "ranges") <= 4
+    rows = ticks()
+    source = dealt(spark, rows, TICKS, str(tmp_path / "ticks"), [list(range(len(rows) - 1)), [len(rows) - 1]], 1)
+    assert most_states(alerts.drawdown_stream(source, positions, "10 days"), tmp_path, "alerts") <= 3
