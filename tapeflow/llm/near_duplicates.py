@@ -139,6 +139,30 @@ def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = new
 
 
+def _fewer(batches):
+    """A spanning set of the links of a task."""
+    found, size = [], 0
+    for batch in batches:
+        found.append(tuple(batch.column(c).to_numpy() for c in ("a", "b")))
+        size += batch.num_rows
+        if size > 1 << 20:
+            found = [_spanning(*(np.concatenate(x) for x in zip(*found, strict=True)))]
+            size = len(found[0][0])
+            if size > 1 << 19:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found[0]], names=["a", "b"])
+                found, size = [], 0
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in _spanning(*(np.concatenate(x) for x in zip(*found, strict=True)))], names=["a", "b"])
+
+
+def thinned(links: DataFrame) -> DataFrame:
+    """Links (a, b) that connect the same texts: a text that many buckets or blocks link keeps about one.
+
+    Links meet at their larger end, of which a spanning set has few: those names came from are the smallest ids."""
+    ends = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return ends.repartition("b").mapInArrow(lean(_fewer), "a bigint, b bigint")
+
+
 def _linked(least: float):
     """Links between rows in trie order: with the `NEAR` rows before and the first row of the bucket, where at least `least` of the
     signatures agree (one byte of each value is compared, which only lets more pass). A bucket that a border of ranges cuts is
@@ -203,7 +227,7 @@ def _families(reps: DataFrame, threshold: float, block: int) -> DataFrame:
     own = shared.join(many, "bucket").join(low, "doc_id")
     # Trie order inside a bucket comes from ranges of a sorted table, so a bucket of any size is spread over tasks.
     ordered = own.repartitionByRange("bucket", "tail", "doc_id").sortWithinPartitions("bucket", "tail", "doc_id").select("bucket", "doc_id", "head", "n", "low")
-    family = connected(ordered.mapInArrow(lean(_linked(least)), "a bigint, b bigint"), "families")
+    family = connected(thinned(ordered.mapInArrow(lean(_linked(least)), "a bigint, b bigint")), "families")
     across = stored(_across(shared, low, family, least, block), "across")
     if across.isEmpty():
         return family
@@ -300,7 +324,7 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) ->
     tiles = named.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
         .select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "block", "copies", "shingles")
     verified = stored(tiles.groupBy("family", "i", "j").applyInArrow(_verify(threshold), "doc_id bigint, n bigint, head bigint, similar bigint"), "links")
-    classes = connected(verified.where("head <> doc_id").select(F.col("doc_id").alias("a"), F.col("head").alias("b")), "classes")
+    classes = connected(thinned(verified.select(F.col("doc_id").alias("a"), F.col("head").alias("b"))), "classes")
     links = verified.groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum("similar").alias("similar"))
     by_text = groups.join(classes.select(F.col("v").alias("rep"), "root"), "rep", "left").join(links.select(F.col("doc_id").alias("rep"), "n", "similar"), "rep", "left") \
         .select("k1", "k2", F.coalesce("root", "rep").alias("class_id"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("similar", F.lit(0)).alias("n_similar"), "copies")

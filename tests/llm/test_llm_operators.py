@@ -507,3 +507,34 @@ def test_personal_data_in_a_text_of_many_matches(spark):
             before = x.text[max(0, s.start - pii.REACH):s.start].lower()
             want = pii.PRIOR[s.kind] + 0.3 * (s.kind in pii.CHECKED) + 0.2 * any(w in before for w in pii.CONTEXT[s.kind].split("|")) - 0.3 * any(w in before for w in pii.AGAINST.split("|"))
             assert s.score == pytest.approx(min(1, max(0, want)))
+
+
+def test_texts_keep_about_one_link(spark, monkeypatch):
+    """Links of 16 trees over many ranges that connect the same texts are thinned before components are sought."""
+    seen = {}
+    real = near_duplicates.connected
+
+    def counted(edges, purpose):
+        seen.setdefault(purpose, edges.where("a <> b").selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct().count())
+        return real(edges, purpose)
+
+    monkeypatch.setattr(near_duplicates, "connected", counted)
+    base, r = prose(70, 200).split(" "), random.Random(3)
+    rows_ = []
+    for i in range(600):
+        text = list(base)
+        for _ in range(2):
+            text[r.randrange(200)] = f"w{r.randrange(10 ** 6)}"
+        rows_.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows_, "doc_id bigint, text string")
+    got = near_duplicates.joined(docs).collect()
+    assert len({x.class_id for x in got}) == 1 and len(got) == 600
+    assert seen["families"] <= 2 * 600
+
+
+def test_thinned_links_connect_the_same(spark):
+    r = random.Random(8)
+    links = [(r.randrange(300), r.randrange(300)) for _ in range(280)] * 3
+    e = spark.createDataFrame(links, "a bigint, b bigint").repartition(7)
+    same(rows(connected(near_duplicates.thinned(e), "t"), "v", "root"), rows(connected(e, "t"), "v", "root"))
+    assert near_duplicates.thinned(e.limit(0)).count() == 0
