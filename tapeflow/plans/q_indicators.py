@@ -246,7 +246,7 @@ def all_indicators(spark, d):
 
 @query("incremental_indicators", "I-26 W-10", f"SELECT symbol, {DATE}, {rsql(ALL)} FROM ind QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) <= 30", "ind")
 def incremental_indicators(spark, d):
-    return rounded(I.incremental(td.bars(spark, d), days=30), ALL)
+    return I.incremental(td.bars(spark, d), days=30, digits=4).select("symbol", F.col("date").cast("string").alias("date"), *ALL)
 
 
 CUTS = ("2000-06-30", "2001-08-31")

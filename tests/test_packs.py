@@ -76,3 +76,23 @@ def test_tables_end_with_a_series():
     cut = [x.to_pydict() for x in packs.whole_series(iter(t.to_batches(max_chunksize=2)), 4)]
     assert [i for c in cut for i in c["i"]] == list(range(19))
     assert all(not set(a["symbol"]) & set(b["symbol"]) for a, b in zip(cut, cut[1:], strict=False)) and len(cut) > 2
+
+
+def test_last_rows_are_those_of_the_whole_series(spark):
+    rows = []
+    for k, n in enumerate((30, 70, 270)):
+        s = walk(n, 70 + k)
+        t = pd.DataFrame({"symbol": f"S{k}" if k else None, "date": pd.date_range("2000-01-03", periods=n).date, "open": s["close"], **s})
+        t["volume"] = t["volume"].astype("int64")
+        rows.append(t)
+    bars = spark.createDataFrame(pd.concat(rows), "symbol string, date date, open double, high double, low double, close double, volume long").localCheckpoint()
+
+    def shown(df):
+        return df.select("symbol", "date", "rn", *I.INDICATORS).toPandas().sort_values(["symbol", "rn"]).reset_index(drop=True)
+
+    whole = shown(I.indicators(bars, 0, 4))
+    size = whole.groupby("symbol", dropna=False)["rn"].transform("max")
+    pd.testing.assert_frame_equal(shown(I.indicators(bars, 0, 4, 40)), whole[whole["rn"] > size - 40].reset_index(drop=True))
+    # Rows that are not asked never leave the pass, so no window follows it.
+    plan = I.incremental(bars)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and len(shown(I.incremental(bars))) == 30  # one series is long enough
