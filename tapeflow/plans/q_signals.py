@@ -4,6 +4,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from tapeflow.functions.rules import look_back
 from tapeflow.functions.windows import series, time_folds
 from tapeflow.operators import classify as C
 from tapeflow.operators import indicators as I
@@ -65,13 +66,13 @@ FROM sig_hits h JOIN panel p ON p.symbol = h.symbol AND p.date = h.date CROSS JO
 WHERE entry AND p.close > stop_loss AND (target_price - p.close) / (p.close - stop_loss) >= 1.5
   AND {MODEL_CONF} >= CASE m.cycle WHEN 'bear' THEN 0.3 ELSE 0.5 END""", "sig_hits panel regime")
 def model_confidence_signals(spark, d):
-    hits = SG.entries(panel(spark, d), DOCS)
+    hits = SG.entries(panel(spark, d, last=look_back(DOCS) + 1), DOCS)  # the latest row and what its rules look back on
     s = SG.generate(hits, R.current_regime(cycles(spark, d)), NOW, model_confidence=F.col("rsi_14") / 100, p=EASY)
     return s.select("symbol", "timeframe", "strategy_id", (F.bround("confidence", 4) + 0.0).alias("confidence"))
 
 
 def signal_log(spark, d, p=EASY, timeframe=None):
-    hits = SG.entries(panel(spark, d), DOCS)
+    hits = SG.entries(panel(spark, d, last=look_back(DOCS) + 1), DOCS)  # the latest row and what its rules look back on
     return SG.generate(hits, R.current_regime(cycles(spark, d)), NOW, timeframe=timeframe, p=p)
 
 
@@ -525,9 +526,14 @@ def page_fundamentals(spark, d):
 
 # Reports
 
+def stored_log(spark, d):
+    """The signal log, stored: several sections of a report read it, and it is at most a few rows a symbol."""
+    return stored(signal_log(spark, d), "signals")
+
+
 @query("eod_report", "Z-01 A-18 A-19")
 def eod_report(spark, d):
-    return reports.lines(reports.eod_report(cycles(spark, d), signal_log(spark, d), n=10))
+    return reports.lines(reports.eod_report(cycles(spark, d), stored_log(spark, d), n=10))
 
 
 @query("eod_sections", "Z-01 A-18 A-19", """
@@ -537,7 +543,7 @@ UNION ALL SELECT 'counts', timeframe, CAST(count(*) AS VARCHAR) FROM sig_log GRO
 UNION ALL SELECT 'top', symbol || '/' || timeframe, strategy_id FROM (SELECT * FROM sig_log QUALIFY row_number() OVER (PARTITION BY symbol, timeframe ORDER BY seq DESC) = 1)""", "regime sig_log")
 def eod_sections(spark, d):
     """All sections of the end-of-day report as rows: the market's cycle, the sectors of each cycle, buy signals by timeframe, and the watch list."""
-    r = reports.eod_report(cycles(spark, d), signal_log(spark, d))
+    r = reports.eod_report(cycles(spark, d), stored_log(spark, d))
     parts = {"regime": ("scope", "cycle"), "sectors": ("cycle", "names"), "counts": ("timeframe", "buy"), "top": (F.concat_ws("/", "symbol", "timeframe"), "strategy_id")}
     out = None
     for part, (name, value) in parts.items():
@@ -548,5 +554,5 @@ def eod_sections(spark, d):
 
 @query("morning_report", "Z-02 H-05 W-15")
 def morning_report(spark, d):
-    return reports.lines(reports.morning_report(td.bars_raw(spark, d), td.positions(spark, d), signal_log(spark, d), n=5, tracked_limit=20))
+    return reports.lines(reports.morning_report(td.bars_raw(spark, d), td.positions(spark, d), stored_log(spark, d), n=5, tracked_limit=20))
 

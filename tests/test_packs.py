@@ -96,3 +96,21 @@ def test_last_rows_are_those_of_the_whole_series(spark):
     # Rows that are not asked never leave the pass, so no window follows it.
     plan = I.incremental(bars)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and len(shown(I.incremental(bars))) == 30  # one series is long enough
+
+
+def test_latest_signals_need_the_last_rows_only(spark, small):
+    from tapeflow.functions.rules import look_back
+    from tapeflow.operators import signals
+    from tapeflow.operators.strategies import STRATEGIES
+    from tapeflow.plans.q_strategies import panel
+
+    n = look_back(STRATEGIES)
+    assert n == 126
+
+    def shown(p):
+        hits = signals.entries(p, STRATEGIES).select("symbol", "date", "rn", "days_since_r100", "prev_close", F.to_json(F.struct("_hits")).alias("hits"))
+        return sorted(map(str, hits.collect()))
+
+    assert shown(panel(spark, small, last=n + 1)) == shown(panel(spark, small))
+    kept = panel(spark, small, last=n + 1).groupBy("symbol").count().agg(F.max("count")).first()[0]
+    assert kept == n + 1
