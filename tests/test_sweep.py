@@ -38,3 +38,10 @@ def test_sql_documents_are_those_that_are_drawn(spark):
 
 def test_no_candidates(spark, rows):
     assert SW.fitness(rows, SW.candidates(spark, 1).limit(0), 1).count() == 0
+
+
+def test_copies_of_a_point_meet_others_once(spark):
+    """30,000 rows of a few points: each row met all rows of the points near it before, 900 million pairs."""
+    k = F.col("id")
+    ranked = spark.range(30000).select(F.lit("T").alias("template"), F.array((k % 3).cast("double"), (k % 2) * F.lit(0.1)).alias("point"), (k + 1).cast("int").alias("rank"))
+    assert sorted(r["rank"] for r in SW.without_near_duplicates(ranked).collect()) == [1, 2, 3]
