@@ -14,9 +14,10 @@ c(s), V(s) are the count and number of distinct words of the class; a symbol wit
 
 What goes to every task is bounded: `TOP` words, and tables of S**2 and S**3 symbol counts (S = TOP + CLASSES + 2). Counts of words,
 bigrams and trigrams grow with the corpus and stay distributed. Documents are cut into blocks, hash groups of about `BLOCK_TOKENS`
-tokens; a block sends the sorted fingerprints of its distinct n-grams with their counts, cut at ranges of fingerprints, whose
-number grows with the corpus. Each range sums them over the blocks and returns the sums in the order in which they were sent. The
-statistics of expectation-maximisation are sums for each bucket.
+tokens; a block cuts the sorted fingerprints of its distinct n-grams at ranges of fingerprints, whose number grows with the corpus.
+It first sends outlines, the leading bits of the fingerprints, and learns which n-grams no other block can have: those keep the
+counts they have there. Of the others it sends fingerprints and counts; each range sums them over the blocks and returns the
+sums in the order in which they were sent. The statistics of expectation-maximisation are sums for each bucket.
 
 Defined results: NULL text is empty and has only the end token; each input row gives one output row; documents with a NULL id
 never train; with nothing to learn from the estimates are uniform. Words and n-grams are compared by 64-bit fingerprints.
@@ -232,39 +233,103 @@ class _Block:
         return np.stack([p3, p2, p1, q], 1), np.minimum(np.ceil(np.log2(n3 + 1)).astype(np.int64), BUCKETS - 1)
 
 
-def _sent(ranges: int):
-    """The n-grams of a block and their counts, cut at equal ranges of fingerprints."""
+def _gaps(x: np.ndarray) -> tuple[int, bytes]:
+    """Sorted numbers as their differences, each in the few bytes (first result) that almost all of them need."""
+    gap = np.diff(x, prepend=np.uint64(0))
+    mean = int(x[-1] - x[0]) // len(x) if len(x) else 0
+    width = min(8, (mean.bit_length() + 9) // 8)
+    top = np.uint64((1 << 8 * width) - 1)
+    return width, np.minimum(gap, top).view(np.uint8).reshape(-1, 8)[:, :width].tobytes() + gap[gap >= top].tobytes()
+
+
+def _ungapped(data: bytes, size: int, width: int) -> np.ndarray:
+    raw = np.zeros((size, 8), np.uint8)
+    raw[:, :width] = np.frombuffer(data, np.uint8, size * width).reshape(size, width)
+    gap, top = raw.reshape(-1).view(np.uint64), np.uint64((1 << 8 * width) - 1)
+    gap[gap == top] = np.frombuffer(data, np.uint64, offset=size * width)
+    return np.cumsum(gap, dtype=np.uint64)
+
+
+def _cells(own: _Block, ranges: int) -> np.ndarray:
+    """Where the n-grams of a block are cut, at equal ranges of fingerprints."""
+    return np.searchsorted((own.grams >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1, dtype=np.uint64))
+
+
+def _outlined(ranges: int, bits: int):
+    """The first `bits` bits of the fingerprints of a block's n-grams."""
     def run(texts: pa.Table) -> pa.Table:
         own = _Block(texts)
-        cut = np.searchsorted((own.grams >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1, dtype=np.uint64))
+        cut, short = _cells(own, ranges), own.grams >> np.uint64(64 - bits)
+        live = np.flatnonzero(np.diff(cut))
+        width, data = zip(*[_gaps(short[cut[i]:cut[i + 1]]) for i in live], strict=True)
+        return pa.table({"range": live, "block": np.full(len(live), texts.column("block")[0].as_py()), "size": np.diff(cut)[live], "width": pa.array(width, pa.int64()), "grams": pa.array(data, pa.binary())})
+    return run
+
+
+def _parts(cells: pa.Table) -> list[np.ndarray]:
+    return [_ungapped(*x) for x in zip(*[cells.column(c).to_pylist() for c in ("grams", "size", "width")], strict=True)]
+
+
+def _met(cells: pa.Table) -> pa.Table:
+    """For each part of a block in a range of fingerprints: which n-grams may be in another block too, a bit each."""
+    parts = _parts(cells)
+    _, at = np.unique(np.concatenate(parts), return_inverse=True)
+    once = np.concatenate([np.diff(x, prepend=~x[:1]) != 0 for x in parts])  # of one block
+    both = np.bincount(at[once])[at] > 1
+    cut = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+    return pa.table({"block": cells.column("block"), "range": cells.column("range"), "whole": cells.column("size"),
+                     "met": pa.array([np.packbits(both[i:j]).tobytes() for i, j in zip(cut, cut[1:], strict=False)], pa.binary())})
+
+
+def _flags(met: pa.Table) -> list[np.ndarray]:
+    return [np.unpackbits(np.frombuffer(x, np.uint8), count=k).astype(bool) for x, k in zip(met.column("met").to_pylist(), met.column("whole").to_pylist(), strict=True)]
+
+
+def _sent(ranges: int):
+    """The n-grams of a block that others may have (all, without `met`), and their counts."""
+    def run(texts: pa.Table, met: pa.Table | None = None) -> pa.Table:
+        own = _Block(texts)
+        cut = _cells(own, ranges)
         live = np.flatnonzero(np.diff(cut))
-        return pa.table({"range": live, "block": np.full(len(live), texts.column("block")[0].as_py()), "size": np.diff(cut)[live],
-                         "grams": pa.array([own.grams[cut[i]:cut[i + 1]].tobytes() for i in live], pa.binary()),
-                         "n": pa.array([_packed(own.count[cut[i]:cut[i + 1]]) for i in live], pa.binary())})
+        if met is None:
+            met = pa.table({"block": np.full(len(live), texts.column("block")[0].as_py()), "range": live, "whole": np.diff(cut)[live],
+                            "met": pa.array([np.packbits(np.ones(k, bool)).tobytes() for k in np.diff(cut)[live]], pa.binary())})
+        met = met.sort_by("range")
+        flags = _flags(met)
+        if not np.array_equal(live, met.column("range").to_numpy()) or not np.array_equal(np.diff(cut)[live], met.column("whole").to_numpy()):
+            raise ValueError("a block changed between two passes")
+        picks = [np.flatnonzero(f) + cut[i] for i, f in zip(live, flags, strict=True)]
+        width, data = zip(*[_gaps(own.grams[i]) for i in picks], strict=True)
+        return pa.table({"range": live, "block": met.column("block"), "whole": met.column("whole"), "met": met.column("met"), "size": pa.array([len(i) for i in picks], pa.int64()),
+                         "width": pa.array(width, pa.int64()), "grams": pa.array(data, pa.binary()), "n": pa.array([_packed(own.count[i]) for i in picks], pa.binary())})
     return run
 
 
-def _summed(parts: pa.Table) -> pa.Table:
-    """For each part of a block in a range of fingerprints: the counts of its n-grams in all texts that train, and in the deleted ones."""
-    block, size = parts.column("block").to_numpy(), parts.column("size").to_numpy()
-    _, at = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in parts.column("grams").to_pylist()]), return_inverse=True)
-    n = np.concatenate([_unpacked(x, k) for x, k in zip(parts.column("n").to_pylist(), size, strict=True)])
+def _summed(cells: pa.Table) -> pa.Table:
+    """For each part of a block in a range of fingerprints: the counts of the n-grams sent in all texts that train, and in the deleted ones."""
+    block, size = cells.column("block").to_numpy(), cells.column("size").to_numpy()
+    grams, at = np.unique(np.concatenate(_parts(cells)), return_inverse=True)
+    n = np.concatenate([_unpacked(x, k) for x, k in zip(cells.column("n").to_pylist(), size, strict=True)])
     cut, out = np.concatenate([[0], np.cumsum(size)]), []
     for kind in (TRAIN, HELD):
         use = np.repeat(block % 3 == kind, size)
-        total = np.bincount(at[use], n[use], at.max() + 1).astype(np.int64)
+        total = np.bincount(at[use], n[use], len(grams)).astype(np.int64)
         out.append(pa.array([_packed(total[at[i:j]]) for i, j in zip(cut, cut[1:], strict=False)], pa.binary()))
-    return pa.table({"block": block, "range": parts.column("range"), "size": size, "n": out[0], "d": out[1]})
+    return pa.table({"block": block, "range": cells.column("range"), "whole": cells.column("whole"), "met": cells.column("met"), "size": size, "n": out[0], "d": out[1]})
 
 
 def _counts(own: _Block, totals: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """What `_summed` returned for the n-grams of a block."""
+    """Counts of the n-grams of a block: what `_summed` returned, and its own counts where no other block has the n-gram."""
     totals = totals.sort_by("range")
-    size = totals.column("size").to_pylist()
-    n, d = (np.concatenate([_unpacked(x, k) for x, k in zip(totals.column(c).to_pylist(), size, strict=True)]) for c in ("n", "d"))
-    if len(n) != len(own.grams):
+    met, size, kind = np.concatenate(_flags(totals)), totals.column("size").to_pylist(), totals.column("block")[0].as_py() % 3
+    if len(met) != len(own.grams):
         raise ValueError("a block changed between two passes")
-    return n, d
+    out = []
+    for c, of in (("n", TRAIN), ("d", HELD)):
+        count = own.count.copy() if kind == of else np.zeros(len(met), np.int64)
+        count[met] = np.concatenate([_unpacked(x, k) for x, k in zip(totals.column(c).to_pylist(), size, strict=True)])
+        out.append(count)
+    return out[0], out[1]
 
 
 def _deleted_estimates(shared, total):
@@ -314,7 +379,7 @@ def scored(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), fold("doc_id", FOLDS).alias("fold"))
     train = own.where(F.col("fold") != HELD_OUT).select("text", (F.col("fold") == DELETED).alias("deleted"))
     counts = stored(train.mapInArrow(_count_words, "word bigint, kind int, n bigint, d bigint")
-                    .groupBy("word").agg(F.first("kind").alias("kind"), F.sum("n").alias("n"), F.sum("d").alias("d")), "words")
+                    .groupBy("word").agg(F.first("kind").alias("kind"), F.sum("n").alias("n"), F.sum("d").alias("d")), "words", release=True)
     ranked = counts.where(F.col("kind") != END).orderBy(F.col("n").desc(), "word").limit(TOP).toPandas()
     top = ranked.word.to_numpy(np.int64).view(np.uint64)
     classes = counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.col("n") - F.col("d")).alias("fit_n"), F.count_if(F.col("n") > F.col("d")).alias("fit_v")).toPandas()
@@ -335,11 +400,16 @@ def scored(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     of_kind = F.when(kind == TRAIN, blocks[TRAIN]).when(kind == HELD, blocks[HELD]).otherwise(blocks[REST])
     placed = own.select("doc_id", F.coalesce(F.col("fold") == HELD_OUT, F.lit(True)).alias("held_out"), "text",
                         (F.pmod(F.xxhash64("doc_id", F.octet_length("text")), of_kind) * 3 + kind).cast("bigint").alias("block"))
-    sent = placed.groupBy("block").applyInArrow(_sent(sum(blocks)), "range bigint, block bigint, size bigint, grams binary, n binary")
-    totals = stored(sent.groupBy("range").applyInArrow(_summed, "block bigint, range bigint, size bigint, n binary, d binary"), "grams")
+    # Outlines of 1/16 false hits at most, had all texts no two n-grams alike.
+    bits = min(64, max(32, (16 * 3 * max(total, 1) * FOLDS // (FOLDS - 1)).bit_length()))
+    outlines = placed.groupBy("block").applyInArrow(_outlined(sum(blocks), bits), "range bigint, block bigint, size bigint, width bigint, grams binary")
+    met = stored(outlines.groupBy("range").applyInArrow(_met, "block bigint, range bigint, whole bigint, met binary"), "met", release=True)
+    sent = placed.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(
+        _sent(sum(blocks)), "range bigint, block bigint, whole bigint, met binary, size bigint, width bigint, grams binary, n binary")
+    totals = stored(sent.groupBy("range").applyInArrow(_summed, "block bigint, range bigint, whole bigint, met binary, size bigint, n binary, d binary"), "grams", release=True)
     deleted = F.col("block") % 3 == HELD
     estimates = stored(placed.where(deleted).groupBy("block").cogroup(totals.where(deleted).groupBy("block")).applyInArrow(
-        _deleted_estimates(spark.sparkContext.broadcast(fit), fit_total), "b bigint, n bigint, p0 double, p1 double, p2 double, p3 double"), "estimates")
+        _deleted_estimates(spark.sparkContext.broadcast(fit), fit_total), "b bigint, n bigint, p0 double, p1 double, p2 double, p3 double"), "estimates", release=True)
     return placed.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(
         _score(spark.sparkContext.broadcast(model), _weights(estimates), total, distinct),
         "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
