@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tapeflow.functions.scalars import clean_float, clean_int, parse_day_first
 from tapeflow.operators import lots
 from tapeflow.operators.portfolio import merge_cost
+from tapeflow.session import stored
 
 # Columns of the two files and their accepted other names.
 HOLDINGS_REQUIRED = ("Instrument", "Qty", "Avg cost")
@@ -112,7 +113,8 @@ def import_holdings(existing: DataFrame, file_rows: DataFrame, timeframe: str =
     none = F.array().cast("array<string>")
     if "import_ids" not in existing.columns:
         existing = existing.withColumn("import_ids", none)
-    new = holdings_rows(file_rows).select(
+    rows = stored(holdings_rows(file_rows).select("symbol", "qty", "avg_cost"), "holdings-file")  # read several times below
+    new = rows.select(
         "symbol", F.lit(timeframe).alias("timeframe"), "qty", "avg_cost", day.alias("entry_date"))
     act = existing.filter("is_active")
     if import_id is not None:
@@ -145,7 +147,8 @@ def tradebook_rows(df: DataFrame) -> DataFrame:
 def import_tradebook(df: DataFrame, timeframe: str = "swing") -> tuple[DataFrame, DataFrame]:
     """Closed trades and open positions of a tradebook file."""
     # A prefix of the execution time follows the trade order within the date.
-    t = tradebook_rows(df).withColumn("slot", F.substring("order_execution_time", 1, 16))
+    # The file's text is read and parsed once; matching reads the rows several times.
+    t = stored(tradebook_rows(df), "tradebook").withColumn("slot", F.substring("order_execution_time", 1, 16))
     slices = ["trade_date", "slot"]
     closed = lots.closed_trades(lots.fifo_matches(t, slices=slices))
     open_ = lots.open_lots(t, slices=slices).select("symbol", F.col("open_qty").alias("qty"), F.col("price").alias("avg_cost"),
