@@ -45,12 +45,12 @@ SELECT scope, scope_id, date, cycle, CAST(0 AS DOUBLE) AS confidence
 FROM labels QUALIFY date = max(date) OVER (PARTITION BY scope)""")
 
 
-def labels(spark, d):
-    return R.label(R.scope_prices(td.market_index(spark, d), td.sector_index(spark, d), td.bars(spark, d)))
+def labels(spark, d, of=None):
+    return R.label(R.scope_prices(td.market_index(spark, d, of), td.sector_index(spark, d, of), td.bars(spark, d) if of is None else of))
 
 
-def cycles(spark, d):
-    return R.cycle_rows(labels(spark, d))
+def cycles(spark, d, of=None):
+    return R.cycle_rows(labels(spark, d, of))
 
 
 def sector_prices(spark, d):
