@@ -541,9 +541,12 @@ FROM sized z JOIN stocks s ON s.symbol = z.symbol
 LEFT JOIN (SELECT strategy_id, symbol, entry FROM sigs QUALIFY date = max(date) OVER (PARTITION BY symbol)) g ON g.symbol = z.symbol AND g.strategy_id = z.strategy_id
 LEFT JOIN (SELECT sector, sum(qty * avg_cost) AS held FROM positions JOIN stocks USING (symbol) GROUP BY 1) h ON h.sector = s.sector""", "sized stocks sigs positions")
 def validated_triggers(spark, d):
+    from tapeflow.functions.rules import look_back
     from tapeflow.plans.q_strategies import panel
+    from tapeflow.session import stored
     docs = ST.STRATEGIES
-    last = TR.latest_checks(panel(spark, d), docs)
+    # The latest row and what its rules look back on; a row a symbol is stored, so the panel is off the disk before the rest begins.
+    last = stored(TR.latest_checks(panel(spark, d, last=look_back(docs) + 1), docs), "checks")
     v = TR.validate(triggers(spark, d), last, docs, td.positions(spark, d), td.stocks(spark, d))
     return v.select("trigger_id", "strategy_id", "all_passed", "capital_fit", "sector_fit")
 
