@@ -57,6 +57,11 @@ WHERE entry AND p.close > stop_loss AND (target_price - p.close) / (p.close - st
   AND {CONF} >= CASE m.cycle WHEN 'bear' THEN 0.3 ELSE 0.5 END""")
 
 
+def latest_regime(spark, d, of):
+    """The current regime of every scope, stored: a row a scope and symbol, whose labels need not share the disk with the panel."""
+    return stored(R.current_regime(cycles(spark, d, of)), "regime")
+
+
 MODEL_CONF = f"coalesce(p.rsi_14 / 100, {CONF})"  # any column may stand for a model's confidence
 
 
@@ -66,14 +71,18 @@ FROM sig_hits h JOIN panel p ON p.symbol = h.symbol AND p.date = h.date CROSS JO
 WHERE entry AND p.close > stop_loss AND (target_price - p.close) / (p.close - stop_loss) >= 1.5
   AND {MODEL_CONF} >= CASE m.cycle WHEN 'bear' THEN 0.3 ELSE 0.5 END""", "sig_hits panel regime")
 def model_confidence_signals(spark, d):
-    hits = SG.entries(panel(spark, d, last=look_back(DOCS) + 1), DOCS)  # the latest row and what its rules look back on
-    s = SG.generate(hits, R.current_regime(cycles(spark, d)), NOW, model_confidence=F.col("rsi_14") / 100, p=EASY)
+    b = td.stored_bars(spark, d)
+    regime = latest_regime(spark, d, b)
+    hits = SG.entries(panel(spark, d, b, last=look_back(DOCS) + 1), DOCS)  # the latest row and what its rules look back on
+    s = SG.generate(hits, regime, NOW, model_confidence=F.col("rsi_14") / 100, p=EASY)
     return s.select("symbol", "timeframe", "strategy_id", (F.bround("confidence", 4) + 0.0).alias("confidence"))
 
 
-def signal_log(spark, d, p=EASY, timeframe=None):
-    hits = SG.entries(panel(spark, d, last=look_back(DOCS) + 1), DOCS)  # the latest row and what its rules look back on
-    return SG.generate(hits, R.current_regime(cycles(spark, d)), NOW, timeframe=timeframe, p=p)
+def signal_log(spark, d, p=EASY, timeframe=None, of=None):
+    b = td.stored_bars(spark, d) if of is None else of
+    regime = latest_regime(spark, d, b)
+    hits = SG.entries(panel(spark, d, b, last=look_back(DOCS) + 1), DOCS)  # the latest row and what its rules look back on
+    return SG.generate(hits, regime, NOW, timeframe=timeframe, p=p)
 
 
 @query("signals", "G-01 G-02 G-03 G-04 P-14 J-08 J-12", """
@@ -526,14 +535,15 @@ def page_fundamentals(spark, d):
 
 # Reports
 
-def stored_log(spark, d):
+def stored_log(spark, d, of=None):
     """The signal log, stored: several sections of a report read it, and it is at most a few rows a symbol."""
-    return stored(signal_log(spark, d), "signals")
+    return stored(signal_log(spark, d, of=of), "signals")
 
 
 @query("eod_report", "Z-01 A-18 A-19")
 def eod_report(spark, d):
-    return reports.lines(reports.eod_report(cycles(spark, d), stored_log(spark, d), n=10))
+    b = td.stored_bars(spark, d)
+    return reports.lines(reports.eod_report(cycles(spark, d, b), stored_log(spark, d, b), n=10))
 
 
 @query("eod_sections", "Z-01 A-18 A-19", """
@@ -543,7 +553,8 @@ UNION ALL SELECT 'counts', timeframe, CAST(count(*) AS VARCHAR) FROM sig_log GRO
 UNION ALL SELECT 'top', symbol || '/' || timeframe, strategy_id FROM (SELECT * FROM sig_log QUALIFY row_number() OVER (PARTITION BY symbol, timeframe ORDER BY seq DESC) = 1)""", "regime sig_log")
 def eod_sections(spark, d):
     """All sections of the end-of-day report as rows: the market's cycle, the sectors of each cycle, buy signals by timeframe, and the watch list."""
-    r = reports.eod_report(cycles(spark, d), stored_log(spark, d))
+    b = td.stored_bars(spark, d)
+    r = reports.eod_report(cycles(spark, d, b), stored_log(spark, d, b))
     parts = {"regime": ("scope", "cycle"), "sectors": ("cycle", "names"), "counts": ("timeframe", "buy"), "top": (F.concat_ws("/", "symbol", "timeframe"), "strategy_id")}
     out = None
     for part, (name, value) in parts.items():
