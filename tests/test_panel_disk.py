@@ -130,3 +130,22 @@ def test_latest_checks_and_entries_leave_one_row_a_symbol(panel, tables):
         last = P.rule_panel(*tables, last=1).filter("symbol is null or symbol <> 'C'")
         got, want = (sorted(map(str, judge(x, STRATEGIES).select("symbol", "date", F.to_json(F.struct("*"))).collect())) for x in (last, one))
         assert len(got) == 4 and got == want
+
+
+def test_stock_training_rows_are_one_shuffle(spark, tables):
+    """The wide indicator rows were dealt out for relative strength and again to meet their labels."""
+    from tapeflow.operators import classify as C
+    from tapeflow.operators import regimes as R
+    from tapeflow.plans.q_signals import stock_rows
+    from tapeflow.sources import testdata as td
+    b = tables[0].withColumn("close", F.when((F.col("symbol") != "B") | (F.dayofmonth("date") != 7), F.col("close"))).localCheckpoint()
+    df = stock_rows(spark, None, b)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    above = plan[:plan.rindex("MapInArrow")]
+    assert "Exchange hashpartitioning" not in above and "SortMergeJoin" not in above and plan.count("Exchange hashpartitioning(symbol") == 1
+    index = td.market_index(spark, None, b)
+    lab = R.cycle_rows(R.label(b.select(F.lit("stock").alias("scope"), F.col("symbol").alias("scope_id"), "date", "close")))
+    want = C.dataset(C.stock_features(I.relative_strength(I.indicators(b), index), index), lab, "stock", C.STOCK_FEATURES, "symbol")
+    got, want = (x.select("symbol", "date", "cycle", *[F.round(c, 9).alias(c) for c in C.feature_columns(want)]) for x in (df, want))
+    assert df.columns == ["date", "symbol", "cycle", *C.feature_columns(df)] and got.count() > 800
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
