@@ -149,3 +149,11 @@ def test_stock_training_rows_are_one_shuffle(spark, tables):
     got, want = (x.select("symbol", "date", "cycle", *[F.round(c, 9).alias(c) for c in C.feature_columns(want)]) for x in (df, want))
     assert df.columns == ["date", "symbol", "cycle", *C.feature_columns(df)] and got.count() > 800
     assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+
+
+def test_rows_without_a_date_are_walked_last(spark):
+    rows = spark.createDataFrame([("A", None, 1.0), ("A", "2000-01-05", 3.0), ("A", "2000-01-04", 2.0), (None, "2000-01-04", 5.0), (None, None, 4.0)], "symbol string, day string, x double").select(
+        "symbol", F.col("day").cast("date").alias("date"), "x")
+    for df, whole in ((rows, False), (rows.coalesce(1).sortWithinPartitions("symbol", "date"), True)):
+        got = P.by_series(df, lambda t: t.select(["symbol"]).slice(0, 1).append_column("xs", P.pa.array([t.column("x").to_pylist()])), "symbol string, xs array<double>", whole).collect()
+        assert {r.symbol: r.xs for r in got} == {"A": [2.0, 3.0, 1.0], None: [5.0, 4.0]}
